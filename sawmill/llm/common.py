@@ -48,14 +48,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds a bounded amount of text (one long text at least)."""
     for batch in batches:
         sizes = batch.column(column)
         sizes = np.diff(np.frombuffer(sizes.buffers()[1], np.int64 if pa.types.is_large_string(sizes.type) else np.int32)[sizes.offset : sizes.offset + len(sizes) + 1]) if len(sizes) else np.empty(0)
         at, total = 0, np.cumsum(sizes, dtype=np.int64)
         while at < len(batch):
-            full = int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP_CHARS, side="right"))
+            full = int(np.searchsorted(total, (total[at - 1] if at else 0) + chars, side="right"))
             end = min(len(batch), at + STEP_ROWS, max(at + 1, full))
             yield batch.slice(at, end - at)
             at = end
