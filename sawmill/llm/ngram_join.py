@@ -234,5 +234,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return documents.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group: that of its least doc_id, once. Of rows without doc_id those stay that link with no row that has one."""
+    groups = saved(similar_groups(docs))
+    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    if not groups.where("doc_id is null").head(1):
+        return named
+    alone = groups.where("component_id is null").head(1)
+    return named.unionByName(docs.where("doc_id is null")) if alone else named
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
