@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,12 @@ def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def guarded(docs: DataFrame, work: Callable[[DataFrame], DataFrame], core: tuple[str, ...] = ("doc_id", "text", "lang", "source")) -> DataFrame:
+    """``work`` on ``docs`` with its other columns renamed meanwhile, so that their names can't clash; returns the columns of ``docs``."""
+    names = [c if c in core else f"_extra{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*names)).select(*names).toDF(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

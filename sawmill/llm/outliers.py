@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import guarded, saved, table
 from .statistics import with_counts
 
 HELD, STEPS, LEAST = 0.75, 3, 100
@@ -115,7 +115,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_regular(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that fail the rules or are outliers."""
     groups = estimates(saved(with_counts(docs, ["lang", "source"])))
-    return judged(with_counts(docs, docs.columns), groups).where("kept").select(*docs.columns)
+    return guarded(docs, lambda rows: judged(with_counts(rows, rows.columns), groups).where("kept"))
 
 
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

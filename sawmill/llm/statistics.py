@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import steps, texts_of
 from .words import STEP_BYTES, WINDOW, U, Words, mix
@@ -83,4 +82,4 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
                 got = counts(texts_of(batch))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], [*keep, *COUNTS])
 
-    return docs.select(*keep, F.col("text")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
