@@ -21,8 +21,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Entries after which the memo of pieces starts again (about 100 bytes each).
-MEMO_PIECES = 400_000
+#: Entries at which the memo of pieces drops those that it met in one batch only (about 150 bytes each).
+MEMO_PIECES = 500_000
 #: Characters that one vectorised step handles; bounds a worker's memory.
 STEP_CHARS = 4_000_000
 #: The vectorised cut covers code points below this.
@@ -101,6 +101,19 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int32)
+
+    def _make_room(self) -> None:
+        """Keeps what several batches had, as long as that is less than half of the memo."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > MEMO_PIECES // 2:
+            return self._forget()
+        names = list(self.memo)  # in the order of their rows
+        length = np.diff(self.ends)[keep]
+        ends = np.cumsum(length)
+        self.ids = self.ids[np.repeat(self.ends[keep] - (ends - length), length) + np.arange(length.sum())]
+        self.ends, self.met = np.concatenate([[0], ends]), self.met[keep]
+        self.memo = {names[i]: k for k, i in enumerate(keep.tolist())}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -127,6 +140,7 @@ class PieceEncoder:
             self.memo.update(zip(some, range(base, base + len(some))))
             self.ids = np.concatenate([self.ids, ids])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n, dtype=np.int64)])
+        self.met = np.concatenate([self.met, np.zeros(len(self.ends) - 1 - len(self.met), np.int32)])
 
     def _covered(self, text: str) -> bool:
         return not (_UNCOVERED.search(text) or any(t in text for t in self.added))
@@ -166,18 +180,21 @@ class PieceEncoder:
         if joined.isascii():
             offsets = np.append(starts, len(points))
         else:
-            offsets = np.append((starts + (np.cumsum(points >= 0x80) - (points >= 0x80))[starts]), len(data := joined.encode()))
+            offsets = np.append((starts + (np.cumsum(wide := points >= 0x80, dtype=np.int32) - wide)[starts]), len(data := joined.encode()))
         data = joined.encode() if joined.isascii() else data
         pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
         known, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
         if len(self.memo) + len(known) > MEMO_PIECES:
-            self._forget()
+            self._make_room()
         if new := [p for p in known if p not in self.memo]:
             self._learn(new)
-        rows = np.fromiter(map(self.memo.__getitem__, known), np.int64, len(known))[codes]
-        begin, length = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
-        ends = np.cumsum(length)
-        ids = self.ids[np.repeat(begin - (ends - length), length) + np.arange(ends[-1])]
+        rows = np.fromiter(map(self.memo.__getitem__, known), np.int64, len(known))
+        self.met[rows] += 1
+        rows = rows[codes]
+        begin = self.ends.astype(np.int32)
+        length = np.diff(begin)[rows]
+        ends = np.cumsum(length, dtype=np.int32)
+        ids = self.ids[np.repeat(begin[rows] - (ends - length), length) + np.arange(ends[-1], dtype=np.int32)]
         upto = np.concatenate([[0], ends])[np.searchsorted(starts, np.concatenate([[0], text_ends]))]
         return ids, np.diff(upto)
 

@@ -8,14 +8,13 @@ executor leaves no half shard. ``data`` is one compressed blob:
     | ids known u8[n_docs] | doc_id i64[n_docs] | tokens of each document u32[n_docs]
     | planes, most significant first, ceil(n_tokens / 8) bytes each
 
-Little-endian, after the magic all zlib-compressed. A plane holds one bit of every
+Little-endian; after the magic the length of the rest (u64) and the rest, compressed by Zstandard. A plane holds one bit of every
 token; after each plane the tokens with a 0 go before those with a 1, in order.
 Counts of ones a block are rebuilt on reading and make rank and select fast.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,13 +47,14 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        planes, zeros, rest = [], [], ids
+        planes, zeros, rest = [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
-            bit = (rest >> np.uint32(level)) & np.uint32(1) != 0
+            bit = ((rest >> level) & 1).astype(np.uint8)
             planes.append(np.packbits(bit))
-            low = rest[~bit]
+            bit = bit.view(bool)
+            low = np.compress(~bit, rest)
             zeros.append(len(low))
-            rest = np.concatenate([low, rest[bit]])
+            rest = np.concatenate([low, np.compress(bit, rest)])
         return cls(len(ids), planes, zeros)
 
     def _bit(self, level: int, at: int) -> int:
@@ -107,14 +107,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """The whole sequence, plane by plane from the last one up."""
-        values = np.zeros(self.n, np.uint32)
+        values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            values[self.zeros[level] :] |= values.dtype.type(1 << (self.bits - 1 - level))
             above = np.empty_like(values)
-            above[~bit] = values[: self.zeros[level]]
-            above[bit] = values[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
+            above[~bit], above[bit] = values[: self.zeros[level]], values[self.zeros[level] :]
             values = above
-        return values
+        return values.astype(np.uint32)
 
 
 def dump(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -123,13 +123,14 @@ def dump(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
         np.array([m.bits], "<u4"), np.array([m.n, len(doc_ids), *m.zeros], "<u8"), np.array([d is not None for d in doc_ids], np.uint8),
         np.array([d or 0 for d in doc_ids], "<i8"), np.asarray(lengths, "<u4"), *m.planes,
     ]
-    return b"WVM1" + zlib.compress(b"".join(x.tobytes() for x in body), 1)
+    data = b"".join(x.tobytes() for x in body)
+    return b"WVM1" + len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
 
 
 def load(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     if blob[:4] != b"WVM1":
         raise ValueError("not a wavelet-matrix shard")
-    data, at = zlib.decompress(blob[4:]), 0
+    data, at = pa.Codec("zstd").decompress(blob[12:], int.from_bytes(blob[4:12], "little"), asbytes=True), 0
 
     def take(kind: str, n: int) -> np.ndarray:
         nonlocal at
@@ -185,7 +186,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     spark = docs.sparkSession
     parts = 4 * partitions(spark)
     placed, _ = in_id_order(docs.select(F.col("doc_id").cast("long"), "text"), parts)
-    placed.repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "text").mapInArrow(run, SHARDS).write.parquet(path)
+    placed.repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "text").mapInArrow(run, SHARDS).write.option("compression", "none").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
