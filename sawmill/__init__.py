@@ -1,0 +1,10 @@
+"""Log analytics on Spark: normalised entries, predicates, retrieval, aggregation, streams."""
+
+from pyspark.sql import SparkSession
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """The session settings that entries rely on: UTC for zone-less times, and objects whose later duplicate keys win."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return spark

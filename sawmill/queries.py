@@ -1,8 +1,515 @@
-"""The registered log queries and their SQL; filled in by the modules of the library."""
+"""The registered log queries, each with SQL that DuckDB runs on the same tables.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+``events`` is read as a log: every row becomes a JSON line in mixed dialects (level
+spellings, numeric levels, nested objects, fields that only some lines have), and
+``text_lines`` gives text lines. The queries parse the lines; the SQL works out the
+same answers from the columns that the lines were made from.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sawmill import configure
+from sawmill.functions import levels, paths, text
+from sawmill.functions import predicates as p
+from sawmill.operators import aggregate as agg
+from sawmill.operators import columns, facets
+from sawmill.operators import retrieve as get
+from sawmill.operators.normalize import is_json_log, normalize
+from sawmill.sources import files
+from sawmill.streaming import live
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+START, DAY = 1_704_067_200, 86_400  # 2024-01-01 UTC
+END = START + 30 * DAY
+
+#: What the lines are made from, for DuckDB.
+E = """with e as (select event_id as seq, epoch_us(ts)//1000000 as sec, user_id as u, event_type,
+    'svc-' || (user_id % 5) as service, 'src' || (user_id % 3) as source,
+    case event_type when 'error' then 'error' when 'purchase' then 'warn' when 'signup' then 'info' when 'view' then 'debug' else 'info' end as level,
+    event_type || ' by user ' || user_id as msg, cast(json_extract_string(props, '$.k') as bigint) as k,
+    't' || (user_id % 7) as tier, case when user_id % 2 = 0 then 'prod' end as env from events)
+"""
+CLASS = "case when level in ('error','fatal') then 'error' when level = 'warn' then 'warn' when level in ('info','notice') then 'info' when level in ('debug','trace') then 'debug' else 'other' end"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """(seq, source, line, ingest_ts): a JSON line for each event."""
+    return df.selectExpr(
+        "event_id as seq", "concat('src', user_id % 3) as source",
+        """concat('{"level":', case event_type when 'error' then '"ERROR"' when 'purchase' then '"WARNING"' when 'signup' then '"info"' when 'view' then '"DEBG"' else '30' end,
+            ',"ts":', floor(unix_micros(cast(ts as timestamp)) / 1000000), ',"service":"svc-', user_id % 5, '","msg":"', event_type, ' by user ', user_id,
+            '","user":{"id":', user_id, ',"tier":"t', user_id % 7, '"},"k":', get_json_object(props, '$.k'), if(user_id % 2 = 0, ',"env":"prod"', ''), '}') as line""",
+        "cast(ts as timestamp) as ingest_ts",
+    )
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize(json_lines(events(configure(spark), sf_dir)))
+
+
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, line): text lines in four shapes, the first with colour codes."""
+    return events(configure(spark), sf_dir).selectExpr(
+        "event_id as seq",
+        """case event_id % 4
+            when 0 then concat('\\u001b[32m', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), 'Z\\u001b[0m [', case event_type when 'error' then 'SEVERE' when 'view' then 'debug' else 'warning  ' end, '] svc: ', event_type)
+            when 1 then concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ',250 ', case event_type when 'error' then 'CRITICAL' else 'INFO' end, ' svc ', event_type)
+            when 2 then concat('kafka ', date_format(ts, 'HH:mm:ss'), ' NOTICE ==> ', event_type)
+            else concat('plain words of an info ', event_type) end as line""",
+    )
+
+
+def rows(df: DataFrame) -> DataFrame:
+    return df.select("seq", "level", "service", "msg")
+
+
+ROWS = "select seq, level, service, msg from "
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and worse of one service by day."""
+    return agg.histogram(entries(spark, sf_dir), START, END, DAY, p.at_least("error") & p.eq("service", "svc-3"))
+
+
+query("flagship", E + f""", spine as (select unnest(generate_series(0, 29)) as bucket), c as (select (sec - {START}) // {DAY} as bucket, count(*) as error from e
+    where level = 'error' and service = 'svc-3' and sec >= {START} and sec < {END} group by 1)
+    select cast(bucket as int) as bucket, coalesce(error, 0) as error, 0 as warn, 0 as info, 0 as debug, 0 as other, {START}.0::double + bucket * {DAY} as t from spine left join c using (bucket)""")(flagship)
+
+# --- sources and sinks -------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/spark-sawmill')}/logs-{uuid.uuid4().hex}"
+
+
+@query("s1_read_logs", E + "select source, count(*) as n, sum(seq) as seqs from (select 'lines' as source, seq from e) group by 1")
+def _s1(spark, sf_dir):
+    path = _scratch(spark)
+    json_lines(events(configure(spark), sf_dir)).select("line").write.text(path)
+    lines = files.read_logs(spark, path, "lines")
+    own = json_lines(events(spark, sf_dir)).select(F.col("seq").alias("event"), "line")
+    return lines.groupBy("line", "source").agg(F.count("*").alias("c")).join(own.groupBy("line").agg(F.sum("event").alias("s")), "line").groupBy("source").agg(F.sum("c").alias("n"), F.sum("s").alias("seqs"))
+
+
+@query("s3_union_sources", E + "select source, source_id, count(*) as n from (select case when u % 3 = 0 then 'a' else 'b' end as source, cast(case when u % 3 = 0 then 0 else 1 end as bigint) as source_id from e) group by 1, 2")
+def _s3(spark, sf_dir):
+    lines = json_lines(events(configure(spark), sf_dir))
+    both = files.union_sources({"a": lines.where("source = 'src0'").drop("source"), "b": lines.where("source <> 'src0'").drop("source")})
+    return both.groupBy("source", "source_id").agg(F.count("*").alias("n"))
+
+
+@query("s4_source_names", E + "select seq, case u % 3 when 0 then 'web' when 1 then 'db' else '' end as source from e")
+def _s4(spark, sf_dir):
+    ids = entries(spark, sf_dir).select("seq", F.substring("source", 4, 1).cast("long").alias("source_id"))
+    return files.with_source_names(ids, spark.createDataFrame([(0, "web"), (1, "db")], "source_id long, name string")).select("seq", "source")
+
+
+@query("s5_export", E + "select seq, sec::double as ts, source, level, service, msg, false as text from e where level = 'error' and seq >= 100 order by seq limit 100000")
+def _s5(spark, sf_dir):
+    path = _scratch(spark)
+    files.export_jsonl(entries(spark, sf_dir), path, p.eq("level", "error"), start=100)
+    return spark.read.schema("seq long, ts double, source string, level string, service string, msg string, text boolean").json(path)
+
+
+@query("s6_selection", E + ROWS + "e where seq in (select o_orderkey from orders)")
+def _s6(spark, sf_dir):
+    return rows(files.selected(entries(spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("seq"))))
+
+
+@query("s7_table", E + "select source, cast(to_timestamp(sec) at time zone 'UTC' as date) as date, count(*) as n from e group by 1, 2")
+def _s7(spark, sf_dir):
+    path = _scratch(spark)
+    files.write_table(entries(spark, sf_dir).drop("fields"), path)
+    return files.read_table(spark, path).groupBy("source", "date").agg(F.count("*").alias("n"))
+
+
+# --- normalisation -----------------------------------------------------------------------
+
+_TEXT = """with t as (select event_id as seq, event_type, ts, event_id % 4 as shape, epoch_us(ts)//1000000 as sec from events) """
+
+
+@query("n1_is_json_log", "select count(*) as json, 0 as text_lines from events")
+def _n1(spark, sf_dir):
+    lines = json_lines(events(configure(spark), sf_dir)).select("line", F.lit(1).alias("j")).unionByName(text_lines(spark, sf_dir).select("line", F.lit(0).alias("j")))
+    return is_json_log(lines).agg(F.count_if(F.col("is_json") & (F.col("j") == 1)).alias("json"), F.count_if(F.col("is_json") & (F.col("j") == 0)).alias("text_lines"))
+
+
+@query("n2_normalize", E + "select seq, sec::double as ts, source, level, service, msg, env, false as is_text from e")
+def _n2(spark, sf_dir):
+    return entries(spark, sf_dir).select("seq", "ts", "source", "level", "service", "msg", "env", "is_text")
+
+
+@query("n3_strip_ansi", _TEXT + """select seq, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' [' || case event_type when 'error' then 'SEVERE' when 'view' then 'debug' else 'warning  ' end || '] svc: ' || event_type as clean from t where shape = 0
+    union all select seq, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',250 ' || case event_type when 'error' then 'CRITICAL' else 'INFO' end || ' svc ' || event_type from t where shape = 1
+    union all select seq, 'kafka ' || strftime(ts, '%H:%M:%S') || ' NOTICE ==> ' || event_type from t where shape = 2
+    union all select seq, 'plain words of an info ' || event_type from t where shape = 3""")
+def _n3(spark, sf_dir):
+    return text_lines(spark, sf_dir).select("seq", text.strip_ansi(F.col("line")).alias("clean"))
+
+
+@query("n4_text_time", _TEXT + f"select seq, case shape when 0 then sec::double when 1 then sec + 0.25::double when 2 then ({START} + sec % {DAY})::double end as at from t")
+def _n4(spark, sf_dir):
+    return text_lines(spark, sf_dir).select("seq", text.text_time(text.strip_ansi(F.col("line")), "2024-01-01").alias("at"))
+
+
+@query("n5_text_level", _TEXT + """select seq, case shape when 0 then case event_type when 'error' then 'error' when 'view' then 'debug' else 'warn' end
+    when 1 then case event_type when 'error' then 'fatal' else 'info' end when 2 then 'notice' end as level from t""")
+def _n5(spark, sf_dir):
+    return text_lines(spark, sf_dir).select("seq", text.text_level(text.strip_ansi(F.col("line"))).alias("level"))
+
+
+@query("n6_normalize_level", "select event_id as seq, case event_type when 'error' then 'error' when 'purchase' then 'warn' when 'signup' then 'info' when 'view' then 'debug' end as level from events")
+def _n6(spark, sf_dir):
+    raw = F.create_map(*(F.lit(x) for kv in {"error": " SEVERE", "purchase": "Warning ", "signup": "Information", "view": "FINE", "click": "clicked"}.items() for x in kv))
+    return events(configure(spark), sf_dir).select(F.col("event_id").alias("seq"), levels.normalize_level(raw[F.col("event_type")]).alias("level"))
+
+
+@query("n7_numeric_level", """select event_id as seq, x, case when x >= 40000 then 'error' when x >= 30000 then 'warn' when x >= 20000 then 'info' when x >= 10000 then 'debug' when x >= 1000 then 'trace'
+    when x >= 500 then 'fatal' when x >= 400 then 'error' when x >= 300 then 'warn' when x >= 250 then 'notice' when x >= 200 then 'info' when x >= 100 then 'debug'
+    when x >= 60 then 'fatal' when x >= 50 then 'error' when x >= 40 then 'warn' when x >= 30 then 'info' when x >= 20 then 'debug' when x >= 10 then 'trace' when x >= 8 then null
+    when x = 7 then 'debug' when x = 6 then 'info' when x = 5 then 'notice' when x = 4 then 'warn' when x = 3 then 'error' when x >= 0 then 'fatal' end as level
+    from (select event_id, cast(event_id * 7 % 45000 // (case event_id % 3 when 0 then 1 when 1 then 60 else 4000 end) as bigint) as x from events)""")
+def _n7(spark, sf_dir):
+    x = F.floor((F.col("event_id") * 7 % 45000) / F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, 60).otherwise(4000))
+    return events(configure(spark), sf_dir).select(F.col("event_id").alias("seq"), x.alias("x")).withColumn("level", levels.normalize_level_num(F.col("x")))
+
+
+@query("n8_logical_columns", E + "select seq, msg, service, tier as caller, level from e")
+def _n8(spark, sf_dir):
+    lines = events(configure(spark), sf_dir).selectExpr("event_id as seq", """concat('{"record":{"message":"', event_type, ' by user ', user_id, '","function":"t', user_id % 7, '","extra":{"service":"svc-', user_id % 5, '"},"level":{"name":"',
+        case event_type when 'error' then 'ERROR' when 'purchase' then 'WARNING' when 'view' then 'DEBUG' else 'INFO' end, '","no":10}}}') as line""", "'s' as source", "cast(ts as timestamp) as ingest_ts")
+    return normalize(lines).select("seq", "msg", "service", "caller", "level")
+
+
+@query("n9_flexible_time", "select event_id as seq, (epoch_us(ts)//1000000)::double as at from events")
+def _n9(spark, sf_dir):
+    df = events(configure(spark), sf_dir).selectExpr("event_id as seq", "floor(unix_micros(cast(ts as timestamp)) / 1000000) as s", "ts")
+    shape = F.when(F.col("seq") % 3 == 0, F.col("s").cast("string")).when(F.col("seq") % 3 == 1, (F.col("s") * 1000).cast("string")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return df.select("seq", text.flexible_time(shape).alias("at"))
+
+
+@query("n10_path_text", E + "select seq, tier, u::varchar as id, env, null::varchar as missing from e")
+def _n10(spark, sf_dir):
+    return entries(spark, sf_dir).select("seq", paths.path_text("user.tier").alias("tier"), paths.path_text("user.id").alias("id"), paths.path_text("env").alias("env"), paths.path_text("user").alias("missing"))
+
+
+@query("n11_path_number", E + "select seq, k::double as k, null::double as tier from e")
+def _n11(spark, sf_dir):
+    return entries(spark, sf_dir).select("seq", paths.path_num("k").alias("k"), paths.path_num("user.tier").alias("tier"))
+
+
+@query("n12_explode_paths", E + """select path, count(*) as n, count(distinct value) as n_values from (
+    select 'ts' as path, sec::varchar as value from e union all select 'service', service from e union all select 'msg', msg from e union all select 'user.id', u::varchar from e
+    union all select 'user.tier', tier from e union all select 'k', k::varchar from e union all select 'env', env from e where env is not null
+    union all select 'level', case event_type when 'error' then 'ERROR' when 'purchase' then 'WARNING' when 'signup' then 'info' when 'view' then 'DEBG' else '30' end from e) group by path""")
+def _n12(spark, sf_dir):
+    return paths.explode_paths(entries(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+
+
+@query("n13_looks_like_id", "select event_id as seq, event_id % 2 = 0 as is_id from events")
+def _n13(spark, sf_dir):
+    value = F.when(F.col("event_id") % 2 == 0, F.lpad(F.lower(F.hex("event_id")), 16, "0")).otherwise(F.concat(F.lit("u-"), F.col("event_id").cast("string")))
+    return events(configure(spark), sf_dir).select(F.col("event_id").alias("seq"), text.looks_like_id(value).alias("is_id"))
+
+
+@query("n14_level_ordinal", E + "select level, case level when 'debug' then 1 when 'info' then 2 when 'warn' then 3 else 4 end as ord, count(*) as n from e group by 1, 2")
+def _n14(spark, sf_dir):
+    return entries(spark, sf_dir).groupBy("level", levels.level_ord(F.col("level")).alias("ord")).agg(F.count("*").alias("n"))
+
+
+@query("n15_level_class", E + f"select {CLASS} as class, count(*) as n from e group by 1")
+def _n15(spark, sf_dir):
+    return entries(spark, sf_dir).groupBy(levels.level_class(F.col("level")).alias("class")).agg(F.count("*").alias("n"))
+
+
+# --- predicates --------------------------------------------------------------------------
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum("seq"), F.lit(0)).alias("seqs"))
+
+
+def _predicate(name: str, where: Callable[[], Column], sql: str) -> None:
+    query(name, E + f"select count(*) as n, coalesce(cast(sum(seq) as bigint), 0) as seqs from e where {sql}")(lambda spark, sf_dir: _counted(entries(spark, sf_dir).where(where())))
+
+
+_predicate("p1_eq", lambda: p.eq("user.tier", "t3"), "tier = 't3'")
+_predicate("p1_eq_empty", lambda: p.eq("env", ""), "env is null")
+_predicate("p2_contains", lambda: p.contains("service", "c-4"), "contains(service, 'c-4')")
+_predicate("p3_msg_contains", lambda: p.msg_contains("user 1"), "contains(msg, 'user 1')")
+_predicate("p4_msg_eq", lambda: p.msg_eq("view by user 7"), "msg = 'view by user 7'")
+_predicate("p5_glob", lambda: p.glob("msg", "*by*7"), "msg like '%by%7'")
+_predicate("p6_exists", lambda: p.exists("env"), "env is not null")
+_predicate("p7_num_between", lambda: p.num_between("k", 10, 50), "k between 10 and 50")
+_predicate("p8_num_cmp", lambda: p.num_cmp("user.id", ">=", 100), "u >= 100")
+_predicate("p9_str_cmp", lambda: p.str_cmp("env", "<", "q"), "coalesce(env, '') < 'q'")
+_predicate("p10_level_cmp", lambda: p.level_cmp(">=", "warn"), "level in ('warn', 'error')")
+_predicate("p11_regex", lambda: p.regex("msg", "^(ERROR|view) .*[05]$", "i"), "regexp_matches(msg, '(?i)^(ERROR|view) .*[05]$')")
+_predicate("p12_boolean", lambda: (p.eq("level", "error") | p.eq("level", "warn")) & ~p.eq("env", "prod"), "level in ('error', 'warn') and env is distinct from 'prod'")
+_predicate("p13_source", lambda: p.mute_source("src1") & ~p.only_source("src2"), "source = 'src0'")
+_predicate("p14_time_window", lambda: p.time_window(START + DAY, START + 3 * DAY), f"sec >= {START + DAY} and sec < {START + 3 * DAY}")
+_predicate("p15_time_brush", lambda: p.time_brush(START + 0.5, START + DAY - 0.5), f"sec between {START} and {START + DAY}")
+_predicate("p16_all_of", lambda: p.all_of(p.at_least(p.PRESETS["info+"]), p.exists("env"), p.msg_contains("user")), "level in ('info', 'warn', 'error') and env is not null and contains(msg, 'user')")
+_predicate("p19_seq_range", lambda: p.seq_range(1000, 4000), "seq >= 1000 and seq < 4000")
+
+
+@query("p17_profiles", E + """select profile, count(*) as n from (select 'bad' as profile from e where level = 'error' union all select 'prod' from e where env = 'prod' union all select 'few' from e where k < 5) group by 1""")
+def _p17(spark, sf_dir):
+    named = p.merge_profiles({"bad": p.eq("level", "warn"), "prod": p.eq("env", "prod")}, {"bad": p.eq("level", "error"), "few": p.num_cmp("k", "<", 5)})
+    return p.profile_counts(entries(spark, sf_dir), named)
+
+
+@query("p18_match_flags", E + "select seq, level = 'error' as matched from e order by seq desc limit 50")
+def _p18(spark, sf_dir):
+    return agg.match_flags(entries(spark, sf_dir), p.eq("level", "error")).select("seq", "matched")
+
+
+# --- retrieval ---------------------------------------------------------------------------
+
+
+@query("q1_search", E + ROWS + f"e where level = 'error' and sec >= {START + DAY} order by seq limit 200")
+def _q1(spark, sf_dir):
+    return rows(get.search(entries(spark, sf_dir), p.eq("level", "error"), start=START + DAY))
+
+
+@query("q2_tail_recent", E + ROWS + "(select * from e where level = 'warn' order by seq desc limit 300)")
+def _q2(spark, sf_dir):
+    return rows(get.tail_recent(entries(spark, sf_dir), 300, p.eq("level", "warn")))
+
+
+@query("q3_page_before", E + ", m as (select * from e where level = 'info' and seq < 5000) select seq, level, service, msg, (select count(*) <= 200 from m) as is_end from (select * from m order by seq desc limit 200)")
+def _q3(spark, sf_dir):
+    return get.page_before(entries(spark, sf_dir), 5000, p.eq("level", "info")).select("seq", "level", "service", "msg", "is_end")
+
+
+@query("q4_get_entry", E + ROWS + "e where seq = 777")
+def _q4(spark, sf_dir):
+    return rows(get.get_entry(entries(spark, sf_dir), 777))
+
+
+@query("q5_newest_first", E + ROWS + "e order by seq desc limit 50000")
+def _q5(spark, sf_dir):
+    twice = entries(spark, sf_dir).select("seq", "level", "service", "msg")
+    return rows(get.newest_first(twice.unionByName(twice)))
+
+
+@query("q6_select_columns", E + "select seq, level, msg, tier as user_tier, coalesce(env, '') as env from e")
+def _q6(spark, sf_dir):
+    return get.select_columns(entries(spark, sf_dir), ["level", "msg", "@user.tier", "env"])
+
+
+@query("q7_diff_rows", E + """, x as (select a.seq as l, b.seq as r, a.*, b.sec as sec2, b.service as service2, b.msg as msg2, b.u as u2, b.tier as tier2, b.k as k2, b.env as env2 from e a join e b on b.seq = a.seq + 1),
+    d as (select l, r, 'ts' as path, sec::varchar as a, sec2::varchar as b from x union all select l, r, 'service', service, service2 from x union all select l, r, 'msg', msg, msg2 from x union all select l, r, 'user.id', u::varchar, u2::varchar from x
+    union all select l, r, 'user.tier', tier, tier2 from x union all select l, r, 'k', k::varchar, k2::varchar from x union all select l, r, 'env', coalesce(env, ''), coalesce(env2, '') from x)
+    select path, count(*) as n, cast(sum(l) as bigint) as lefts, min(a) as least_left, max(b) as most_right from d where a <> b group by path""")
+def _q7(spark, sf_dir):
+    df = entries(spark, sf_dir)
+    pairs = df.select(F.col("seq").alias("left"), (F.col("seq") + 1).alias("right")).join(df.select(F.col("seq").alias("right")), "right", "left_semi")
+    found = get.diff_rows(df, pairs).where("path <> 'level'")
+    return found.groupBy("path").agg(F.count("*").alias("n"), F.sum("left").alias("lefts"), F.min("left_value").alias("least_left"), F.max("right_value").alias("most_right"))
+
+
+# --- aggregations ------------------------------------------------------------------------
+
+
+def _classes(source: str) -> str:
+    return ", ".join(f"count(*) filter (where {CLASS} = '{c}') as {c}" for c in agg.CLASS_NAMES) + f" from {source}"
+
+
+@query("a1_histogram", E + f""", spine as (select unnest(generate_series(0, 719)) as bucket), c as (select (sec - {START}) // 3600 as bucket, {_classes('e')} where sec >= {START} and sec < {END} group by 1)
+    select cast(bucket as int) as bucket, {', '.join(f'coalesce({c}, 0) as {c}' for c in agg.CLASS_NAMES)}, {START}::double + bucket * 3600 as t from spine left join c using (bucket)""")
+def _a1(spark, sf_dir):
+    return agg.histogram(entries(spark, sf_dir), START, END, 3600)
+
+
+@query("a2_auto_bucket", E + f"""select (sec - {START}) // 3600 as t, count(*) as n from e where greatest(least(floor({30 * DAY} / 120.0 / 60 + 0.5) * 60, 3600), 60) = 3600 group by 1""")
+def _a2(spark, sf_dir):
+    width = agg.auto_bucket(30 * DAY)
+    df = agg.histogram(entries(spark, sf_dir), START, END, width)
+    return df.select(F.col("bucket").cast("long").alias("t"), sum((F.col(c) for c in agg.CLASS_NAMES[1:]), F.col("error")).alias("n")).where("n > 0")
+
+
+_LEAVES = """, v as (select 'ts' as path, sec::varchar as value from e union all select 'service', service from e union all select 'level', level from e union all select 'msg', msg from e union all select 'user.id', u::varchar from e
+    union all select 'user.tier', tier from e union all select 'k', k::varchar from e union all select 'env', env from e where env is not null), c as (select path, value, count(*) as n from v group by 1, 2) """
+
+
+@query("a3_facets", E + _LEAVES + "select path, value, n, rank from (select *, cast(row_number() over (partition by path order by n desc, value) as int) as rank from c) where rank <= 50")
+def _a3(spark, sf_dir):
+    return facets.facets(entries(spark, sf_dir))
+
+
+@query("a4_rank_facets", E + _LEAVES + "select path, cast(sum(n) as bigint) as total, count(*) as n_values, case when count(*) > 1 then sum(n)::double / count(*) else 0.0::double end as score, case path when 'env' then 0 when 'msg' then 1 else 2 end as tier from c group by path")
+def _a4(spark, sf_dir):
+    return facets.rank_facets(facets.facet_counts(entries(spark, sf_dir)), ["env"], ["msg"])
+
+
+@query("a5_facet_values", E + _LEAVES + "select path, value, n, value = 'view by user 7' as bookmarked from c where path = 'msg' and contains(lower(value), 'user 7') order by value = 'view by user 7' desc, n desc, value limit 8")
+def _a5(spark, sf_dir):
+    return facets.facet_values(facets.facet_counts(entries(spark, sf_dir)), "msg", "USER 7", ["view by user 7"])
+
+
+@query("a6_suggest_values", E + _LEAVES + "select path, value, n from c where path = 'msg' and starts_with(lower(value), 'pur') order by n desc, value limit 10")
+def _a6(spark, sf_dir):
+    return facets.suggest_values(facets.facet_counts(entries(spark, sf_dir)), "msg", "PUR")
+
+
+@query("a7_discover_fields", E + _LEAVES + "select path, cast(sum(n) as bigint) as n from c group by path")
+def _a7(spark, sf_dir):
+    return facets.discover_fields(entries(spark, sf_dir))
+
+
+@query("a8_profile_columns", E + """select 'level' as "column", count(level) as n_present, count(distinct level) as n_distinct, 'dict' as encoding from e union all select 'env', count(env), count(distinct env), 'dict' from e
+    union all select 'msg', count(msg), count(distinct msg), 'dict' from e union all select 'ts', count(sec), count(distinct sec), 'f64' from e""")
+def _a8(spark, sf_dir):
+    return columns.profile_columns(entries(spark, sf_dir), ["level", "env", "msg", "ts"])
+
+
+@query("a9_promotable_keys", E + """, c as (select 'env' as key, count(env) as n from e union all select unnest(['level', 'ts', 'service', 'msg', 'user', 'k']), (select count(*) from e))
+    select key, n, (select count(*) from e) as n_rows from c where n >= 32 and n >= 0.5 * (select count(*) from e)""")
+def _a9(spark, sf_dir):
+    return columns.promotable_keys(entries(spark, sf_dir))
+
+
+@query("a9_promote", E + "select k, count(*) as n from (select k::varchar as k from e) group by 1")
+def _a9b(spark, sf_dir):
+    return columns.promote(entries(spark, sf_dir), ["k"]).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("a10_dedup_payloads", """select count(*) as n_payloads, cast(sum(n) as bigint) as n_uses, cast(sum(strlen(text)) as bigint) as stored_bytes, cast(sum(strlen(text) * n) as bigint) as used_bytes
+    from (select text, count(*) as n from documents where strlen(text) >= 256 group by text)""")
+def _a10(spark, sf_dir):
+    return columns.dedup_stats(columns.dedup_payloads(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text")[1])
+
+
+@query("a10_restore_payloads", "select doc_id, text from documents")
+def _a10b(spark, sf_dir):
+    facts, payloads = columns.dedup_payloads(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text")
+    return columns.restore_payloads(facts, payloads, "text").select("doc_id", "text")
+
+
+query("a11_recommend_columns")(lambda spark, sf_dir: columns.recommend_columns(entries(spark, sf_dir)))
+
+
+@query("a12_merge_columns", """with r as (select 'o' as source, unnest([1, 2, 3]) as position, unnest(['total', 'status', 'priority']) as "column" union all select 'p', unnest([1, 2]), unnest(['status', 'brand'])),
+    f as (select "column", count(distinct source) as n, min((source, position)) as place from r group by 1)
+    select cast(row_number() over (order by n = 2 desc, place) as int) as position, "column" from f, (select count(*) as z from orders) where z > 0""")
+def _a12(spark, sf_dir):
+    some = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(1).alias("z")).groupBy("z").count()
+    names = [("o", 1, "total"), ("o", 2, "status"), ("o", 3, "priority"), ("p", 1, "status"), ("p", 2, "brand")]
+    return columns.merge_columns(spark.createDataFrame(names, "source string, position int, column string").crossJoin(some.where("count > 0")).select("source", "position", "column"))
+
+
+@query("a13_source_stats", "select 'src' || (user_id % 3) as source, count(*) as line_count, max(epoch_us(ts)) as last_us from events group by 1")
+def _a13(spark, sf_dir):
+    return agg.source_stats(entries(spark, sf_dir)).select("source", "line_count", F.unix_micros("last_ingest_ts").alias("last_us"))
+
+
+@query("a14_rate_ewma", E + f"select source, round(sum(0.3 * pow(0.7, {END} - sec) * n), 6) as rate from (select source, sec, count(*) as n from e where sec <= {END} group by 1, 2) group by 1")
+def _a14(spark, sf_dir):
+    return agg.rate_ewma(entries(spark, sf_dir), END)
+
+
+@query("a15_source_mode", "select 'src' || (user_id % 3) as source, 'json' as mode from events group by 1")
+def _a15(spark, sf_dir):
+    return agg.source_mode(entries(spark, sf_dir))
+
+
+@query("a16_table_health", E + "select min(seq) as tail, max(seq) as head, count(*) as n_rows, count(distinct source) as n_sources from e")
+def _a16(spark, sf_dir):
+    return agg.table_health(entries(spark, sf_dir))
+
+
+@query("a17_count_hits", "select cast(sum((length(lower(text)) - length(replace(lower(text), 'th.', ''))) // 3) as bigint) as hits from documents")
+def _a17(spark, sf_dir):
+    return agg.count_hits(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").alias("msg")), "Th.")
+
+
+# --- streaming ---------------------------------------------------------------------------
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files, as entries."""
+    schema = events(configure(spark), sf_dir).schema
+    return normalize(json_lines(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")))
+
+
+@query("t1_live_tail", E + ROWS + "e where level = 'error'")
+def _t1(spark, sf_dir):
+    path = _scratch(spark)
+    live.live_tail(event_stream(spark, sf_dir).drop("fields"), p.eq("level", "error"), f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
+    return rows(spark.read.parquet(f"{path}/out"))
+
+
+@query("t2_backlog_then_live", E + ROWS + "(select * from e where level = 'warn' order by seq desc limit 300) union all " + ROWS + "e where level = 'warn'")
+def _t2(spark, sf_dir):
+    path = _scratch(spark)
+    past, running = live.backlog_then_live(entries(spark, sf_dir).drop("fields"), event_stream(spark, sf_dir).drop("fields"), p.eq("level", "warn"), f"{path}/out", f"{path}/cursor", once=True)
+    running.awaitTermination()
+    return rows(past).unionByName(rows(spark.read.parquet(f"{path}/out")))
+
+
+@query("t3_resume", E + ROWS + "e where level = 'debug'")
+def _t3(spark, sf_dir):
+    path = _scratch(spark)
+    for _ in range(2):  # the second start finds nothing new behind the cursor
+        live.live_tail(event_stream(spark, sf_dir).drop("fields"), p.eq("level", "debug"), f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
+    return rows(spark.read.parquet(f"{path}/out"))
+
+
+@query("t4_detect_gaps", E + "select source, prev as after_seq, seq as before_seq, seq - prev - 1 as n_missing from (select source, seq, lag(seq) over (partition by source order by seq) as prev from e) where seq - prev > 1")
+def _t4(spark, sf_dir):
+    return agg.detect_gaps(entries(spark, sf_dir))
+
+
+@query("t5_retain_last", E + ROWS + "e where seq > (select max(seq) - 2500 from e)")
+def _t5(spark, sf_dir):
+    return rows(agg.retain_last(entries(spark, sf_dir), 2500))
+
+
+@query("t6_stream_histogram", E + f"select sec // 3600 * 3600 as t, {_classes('e')} group by 1")
+def _t6(spark, sf_dir):
+    name = f"h{uuid.uuid4().hex}"
+    counted = live.stream_histogram(event_stream(spark, sf_dir), "1 hour")
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.unix_seconds("t").alias("t"), *agg.CLASS_NAMES)
+
+
+@query("t7_stream_facets", E + _LEAVES + "select path, value, n from c")
+def _t7(spark, sf_dir):
+    path = _scratch(spark)
+    live.stream_facets(event_stream(spark, sf_dir), f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
+    return live.read_facets(spark, f"{path}/out")
+
+
+@query("t8_stream_recommend")
+def _t8(spark, sf_dir):
+    path = _scratch(spark)
+    live.stream_recommend(event_stream(spark, sf_dir), f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
+    return live.read_recommended(spark, f"{path}/out")
+
+
+@query("t9_remove_source", E + ", x as (select * from e where source <> 'src1') select service as value, count(*) as n from x group by 1")
+def _t9(spark, sf_dir):
+    return facets.facet_counts(agg.remove_source(entries(spark, sf_dir), "src1")).where("path = 'service'").select("value", "n")
