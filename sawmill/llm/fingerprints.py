@@ -55,9 +55,9 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     chosen = (b[end] == 0x0A) | (((tail * np.uint32(2654435761)) >> np.uint32(24)) % CUT == 0)
     text_end = np.cumsum([len(r) + 1 for r in raws])
     word = np.arange(len(end))
-    in_text = word - np.searchsorted(end, text_end - 1)[np.searchsorted(text_end, end, side="right") - 1] * (end >= text_end[0])
-    since = word - np.maximum.accumulate(np.where(chosen, word, 0))
-    end = end[chosen | (in_text < BEGINNING) | (since % LONGEST == LONGEST - 1)]
+    first = np.searchsorted(end, np.concatenate([[0], text_end[:-1]]))[np.searchsorted(text_end, end, side="right")]
+    since = word - np.maximum(np.maximum.accumulate(np.where(chosen, word, -1)), first - 1)
+    end = end[chosen | (word - first < BEGINNING) | (since % LONGEST == 0)]
     end = np.union1d(end, np.flatnonzero(b == 0x0A))
     begin = np.concatenate([[0], end[:-1] + 1])
     view = memoryview(data)
@@ -68,8 +68,8 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashed, owner = hashed[order], owner[order]
     new = np.ones(len(hashed), bool)
     new[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(hashed)), 0))
-    return _mix(hashed + (np.arange(len(hashed)) - first).astype(_U) * _U(0x9E3779B97F4A7C15)), np.bincount(owner, minlength=len(texts)).astype(np.int64)
+    copy = np.maximum.accumulate(np.where(new, np.arange(len(hashed)), 0))
+    return _mix(hashed + (np.arange(len(hashed)) - copy).astype(_U) * _U(0x9E3779B97F4A7C15)), np.bincount(owner, minlength=len(texts)).astype(np.int64)
 
 
 class Sketches:
