@@ -12,6 +12,7 @@ from sawmill.operators import aggregate, columns, facets, retrieve
 from sawmill.operators.normalize import is_json_log, normalize
 from sawmill.plans import checks
 from sawmill.sources import files
+from sawmill.streaming import live
 
 NOW = dt.datetime(2026, 5, 26, 12, 0, 0)
 
@@ -187,3 +188,14 @@ def test_files(spark, four, tmp_path):
 def test_paths(spark):
     leaves = paths.explode_paths(entries_of(spark, [{"msg": "x", "a": {"b": {"c": {"d": {"e": 1}}}}, "l": [1], "n": None, "o": {}}])).collect()
     assert {(r["path"], r["value"], r["depth"]) for r in leaves} == {("msg", "x", 1), ("a.b.c.d", '{"e":1}', 4), ("l", "[1]", 1), ("n", None, 1), ("o", "{}", 1)}
+
+
+def test_streamed_files_resume_behind_the_cursor(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    where, seen = p.eq("level", "error"), []
+    for name, n in (("a", 3), ("b", 2)):
+        (tmp_path / "in" / f"{name}.log").write_text("".join(json.dumps({"level": "error" if i % 2 == 0 else "info", "msg": f"{name}{i}"}) + "\n" for i in range(n)))
+        stream = normalize(files.stream_logs(spark, f"file://{tmp_path}/in")).drop("fields")
+        live.live_tail(stream, where, f"file://{tmp_path}/out", f"file://{tmp_path}/cursor", once=True).awaitTermination()
+        seen.append(sorted(r["msg"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()))
+    assert seen == [["a0", "a2"], ["a0", "a2", "b0"]]
