@@ -51,7 +51,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     missing = first.join(stored(), "digest", "left_anti")
     skip = saved(digests.select("doc_id", "digest").join(missing.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti").where("doc_id is not null"))
-    todo = docs.withColumn("digest", _digest()).join(skip, ["doc_id", "digest"], "left_anti")
+    # Always by sorting both sides, so that the plan and its disk are alike at every size.
+    todo = docs.withColumn("digest", _digest()).join(skip.hint("merge"), ["doc_id", "digest"], "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(tokenizer)
