@@ -44,6 +44,12 @@ def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing will read again, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def guarded(docs: DataFrame, work: Callable[[DataFrame], DataFrame], core: tuple[str, ...] = ("doc_id", "text", "lang", "source")) -> DataFrame:
     """``work`` on ``docs`` with its other columns renamed meanwhile, so that their names can't clash; returns the columns of ``docs``."""
     names = [c if c in core else f"_extra{i}" for i, c in enumerate(docs.columns)]

@@ -12,7 +12,8 @@ The boundary is the size from which listing subsets costs more rows than scannin
 
 A group of near copies is never paired off. Each list compares its members with one
 of them, a different one for each list; what links becomes one component, and only
-pairs of a list that are still in different components are compared one by one.
+pairs of a list that are still in different components are compared one by one, once
+their sizes, places in the list and signatures (a bit a shingle) allow a link.
 So every pair of classes that may link is either compared or already connected.
 """
 
@@ -25,10 +26,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, steps, table, texts_of
+from .common import remove, saved, scratch, steps, table, texts_of
 from .components import components
 from .words import STEP_BYTES, U, Words, mix
 
@@ -39,7 +40,7 @@ SUBSET, LARGEST_LIGHT = 4, 12
 #: Shingles counted as frequent, for the order only; and cells of the map of shared ones. Both are fixed sizes.
 FREQUENT, CELLS = 100_000, 1 << 24
 #: Windows that one count of repeated shingles spans.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 STARS = 3
 
 
@@ -59,6 +60,23 @@ def class_of(shingles: np.ndarray) -> int:
     return int((mix(shingles).sum(dtype=U) + U(len(shingles))).astype(np.int64))
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, in a map of about four times as many bits as there are shingles: two maps differ
+    in at most as many bits as the sets differ in shingles, and mostly in nearly as many."""
+    words = 1 << max(0, round(np.log2(max(len(shingles), 1))) - 4)
+    bits = np.zeros(words * 64, np.uint8)
+    bits[(shingles & U(words * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def may_link() -> Column:
+    """Whether the signatures sig1 and sig2 of sets of n1 and n2 shingles differ by no more than linked sets may."""
+    half = "zip_with(slice({0}, 1, cast(size({0}) / 2 as int)), slice({0}, cast(size({0}) / 2 as int) + 1, cast(size({0}) / 2 as int)), (p, q) -> p | q)"
+    a, b = (f"if(size({x}) > size({y}), {half.format(x)}, {x})" for x, y in (("sig1", "sig2"), ("sig2", "sig1")))
+    differ = F.expr(f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (p, q) -> p + q)")
+    return differ * (PERCENT[0] + PERCENT[1]) <= (F.col("n1") + F.col("n2")) * (PERCENT[0] - PERCENT[1])
+
+
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from steps([batch], chars=STEP_BYTES)
@@ -68,24 +86,25 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row a document (its class and set size), and rows of shingles that repeat within a block."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
-    size = 0
+    size, names = 0, ["doc_id", "key", "n", "sig", "is_doc"]
 
     def repeated() -> pa.RecordBatch:
         tokens, n = np.unique(np.concatenate([np.empty(0, U), *held]), return_counts=True)
         tokens, n = tokens[n > 1], n[n > 1]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), bool))], ["doc_id", "key", "n", "is_doc"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.list_(pa.int64())), pa.array(np.zeros(len(n), bool))], names)
 
     for batch in _small(batches):
-        keys, sizes = [], []
+        keys, sizes, signs = [], [], []
         for _, s in sets(batch):
             c = class_of(s) if len(s) else None
             keys.append(c)
             sizes.append(len(s))
+            signs.append(signature(s))
             if len(s) and c not in seen:
                 seen.add(c)
                 held.append(s)
                 size += len(s)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.ones(len(sizes), bool))], ["doc_id", "key", "n", "is_doc"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(np.ones(len(sizes), bool))], names)
         if size > BLOCK:
             yield repeated()
             seen, held, size = set(), [], 0
@@ -121,7 +140,7 @@ def _listed(frequent, light: int, shared=None):
                     got.append((mix(mix(subsets).sum(1, dtype=U) + U(SUBSET)), np.zeros(len(subsets), np.int64)))
                 for t, place in got:
                     if cells is not None:
-                        keep = cells[(t & U(CELLS - 1)).astype(np.int64)]
+                        keep = in_map(cells, t)
                         t, place = t[keep], place[keep]
                     tokens.append(t)
                     places.append((n << 32) + place)
@@ -152,6 +171,38 @@ def _sets_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in got], pa.int64()), pa.array([s.astype(np.int64) for s in got], pa.list_(pa.int64()))], ["class", "shingles"])
 
 
+def cell_map(df: DataFrame, column: str):
+    """A broadcast map of CELLS bits, those of the column's low bits set: what isn't in it can be left out
+    before a shuffle. Its size is fixed; where there are many values it leaves out less."""
+    bits = np.zeros(CELLS // 64, np.uint64)
+    cell = f"({column} & {CELLS - 1}L)"
+    for r in df.groupBy(F.expr(f"shiftright({cell}, 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({cell} & 63 as int)))").alias("b")).collect():
+        bits[r["w"]] = np.int64(r["b"]).astype(np.uint64)
+    return df.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+
+def in_map(cells: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values.astype(np.int64) & (CELLS - 1)
+    return (cells[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, shingles) of the classes of ``wanted`` (class, first_id), from the rows of their doc_ids and from rows
+    without one. A few other classes may come along, which no join asks for; texts are not shuffled."""
+    cells = cell_map(wanted.where("first_id is not null"), "first_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _sets_rows([batch.filter(pa.array(in_map(cells.value, batch.column("doc_id").to_numpy())))])
+
+    named = docs.where("doc_id is not null").mapInArrow(run, SETS)
+    nameless = docs.where("doc_id is null").mapInArrow(_sets_rows, SETS).join(wanted.where("first_id is null").select("class"), "class", "left_semi")
+    return named.unionByName(nameless)
+
+
+SETS = "class long, shingles array<long>"
+
+
 def linked(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets link."""
     both = pairs.join(shingles.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
@@ -168,8 +219,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    survey = saved(docs.mapInArrow(_survey, "doc_id long, key long, n long, is_doc boolean"))
-    documents = survey.where("is_doc").select("doc_id", F.col("key").alias("class"), "n")
+    survey = saved(docs.mapInArrow(_survey, "doc_id long, key long, n long, sig array<long>, is_doc boolean"))
+    documents = survey.where("is_doc").select("doc_id", F.col("key").alias("class"), "n", "sig")
 
     often = survey.where("not is_doc").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()  # a fixed number
     hot = np.array([r["key"] for r in often], np.int64).astype(U)
@@ -183,20 +234,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     postings = docs.mapInArrow(_listed(frequent, light), LISTED)
     masked = F.col("class").bitwiseXOR(F.col("token"))
     lists = saved(postings.groupBy("token").agg(F.min(masked).alias("low"), F.max(masked).alias("high")).where("low < high").select("token", F.col("low").bitwiseXOR(F.col("token")).alias("pivot")))
-    bits = np.zeros(CELLS // 64, np.uint64)
-    cell = F.col("token").bitwiseAND(CELLS - 1)
-    for r in lists.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((token & {CELLS - 1}) & 63 as int))")).alias("b")).collect():  # CELLS / 64 rows at most
-        bits[r["w"]] = np.int64(r["b"]).astype(np.uint64)
-    cells = sc.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
+    cells = cell_map(lists, "token")
     members = saved(docs.mapInArrow(_listed(frequent, light, cells), LISTED).distinct().join(lists, "token").select("token", "pivot", "class", F.shiftright("size_place", 32).alias("n"), F.col("size_place").bitwiseAND(0xFFFFFFFF).alias("place")))
-
-    classes = documents.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"))
-    wanted = saved(members.select("class").distinct().join(classes, "class"))
-    texts = docs.join(wanted.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    nameless = docs.where("doc_id is null")
-    shingles = saved(texts.unionByName(nameless).mapInArrow(_sets_rows, "class long, shingles array<long>").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
-
-    stars = saved(members.where("class <> pivot").groupBy("class", "pivot").agg(F.count("*").alias("shared")))
+    classes = saved(documents.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+
+    # Sizes and places in a list bound what two sets can have in common; the list of their first common shingle lets linked ones pass.
+    may = (F.least("n1", "n2") * PERCENT[0] >= F.greatest("n1", "n2") * PERCENT[1]) & (F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) * (PERCENT[0] + PERCENT[1]) >= (F.col("n1") + F.col("n2")) * PERCENT[1])
+    pivots = members.where("class = pivot").select("token", F.col("n").alias("n2"), F.col("place").alias("place2"))
+    stars = members.where("class <> pivot").withColumnsRenamed({"n": "n1", "place": "place1"}).join(pivots, "token").where(may)
+    stars = stars.groupBy("class", "pivot").agg(F.count("*").alias("shared"))
+    for k, column in ((1, "class"), (2, "pivot")):
+        stars = stars.join(classes.select(F.col("class").alias(column), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"sig{k}")), column)
+    stars = saved(stars.where(may_link()).select("class", "pivot", "shared"))
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     edges, names, tried = [], None, None
 
@@ -205,7 +254,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     def link(candidates: DataFrame) -> None:
         nonlocal names
-        edges.append(saved(linked(candidates, shingles)))
+        candidates = saved(candidates)
+        wanted = saved(candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "first_id"), "class"))
+        shingles = saved(sets_of(docs, wanted), path := scratch(spark))
+        edges.append(saved(linked(candidates, shingles).distinct()))
+        remove(spark, path)
         names = saved(components(reduce(DataFrame.union, edges)))
 
     for _ in range(STARS):
@@ -218,20 +271,17 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     in_list = named(members, "class", "name")
     per_list = in_list.groupBy("token", "name").count().groupBy("token").agg(F.count("*").alias("names"), F.max(F.struct("count", "name")).alias("most")).where("names > 1").select("token", F.col("most.name").alias("most"))
-    mixed = saved(in_list.join(per_list, "token").select("token", "class", "n", "place", "name", "most"))
-    one = mixed.where("name <> most").select("token", "most", *(F.col(c).alias(f"{c}1") for c in ("class", "n", "place", "name")))
-    other = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in ("class", "n", "place", "name")))
-    may = (
-        (F.col("name1") != F.col("name2")) & ((F.col("name2") == F.col("most")) | (F.col("class1") < F.col("class2")))
-        & (F.least("n1", "n2") * PERCENT[0] >= F.greatest("n1", "n2") * PERCENT[1])
-        & (F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) * (PERCENT[0] + PERCENT[1]) >= (F.col("n1") + F.col("n2")) * PERCENT[1])
-    )
-    link(one.alias("p").join(other.alias("q"), (F.col("p.token") == F.col("q.token")) & may).select(F.col("class1").alias("x"), F.col("class2").alias("y")).select(*pair).distinct())
-
-    grouped = named(classes, "class", "name")
+    mixed = saved(in_list.join(per_list, "token").select("token", "class", "n", "place", "name", "most").join(classes.select("class", "sig"), "class"))
+    columns = ("class", "n", "place", "name", "sig")
+    one = mixed.where("name <> most").select("token", "most", *(F.col(c).alias(f"{c}1") for c in columns))
+    other = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in columns))
+    crossing = (F.col("name1") != F.col("name2")) & ((F.col("name2") == F.col("most")) | (F.col("class1") < F.col("class2")))
+    link(one.alias("p").join(other.alias("q"), (F.col("p.token") == F.col("q.token")) & crossing & may & may_link()).select(F.col("class1").alias("x"), F.col("class2").alias("y")).select(*pair).distinct())
+
+    grouped = named(classes.select("class", "first_id"), "class", "name")
     least = grouped.groupBy("name").agg(F.min("first_id").alias("component_id"))
     of_class = grouped.join(least, "name").select("class", "component_id")
-    return documents.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return documents.drop("sig").join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
