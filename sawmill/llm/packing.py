@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_rows, partitions, saved, steps, table, texts_of, tokenizer_path
+from .common import partitions, saved, steps, table, texts_of, tokenizer_path
 from .encoding import encoder
 
 CAPACITY, END_ID = 2048, 0
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
+#: Tokens of pieces that a worker hands over in one batch.
+BATCH_TOKENS = 4_000_000
 
 
 class Remaining:
@@ -96,7 +98,10 @@ def place(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, i
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The token pieces of every text: whole documents, or pieces of ``capacity`` whose first may be shorter."""
+    """The token pieces of every text: whole documents, or pieces of ``capacity`` whose first may be shorter.
+
+    ``ids`` are the piece's token ids as little-endian unsigned 32-bit integers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -108,10 +113,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             head = (n - 1) % capacity + 1
             start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
             length = np.where(piece == 0, head[doc], capacity)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc)).cast(pa.int64()), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc_rows(ids, np.cumsum(length)))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            at, ids, doc_ids = np.concatenate([[0], np.cumsum(length)]), ids.astype("<u4", copy=False), batch.column("doc_id").cast(pa.int64())
+            some = max(1, BATCH_TOKENS // capacity)
+            for i in range(0, len(doc), some):
+                part, ends = slice(i, i + some), at[i : i + some + 1]
+                data = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * (ends - ends[0])).astype(np.int32)), pa.py_buffer(ids[ends[0] : ends[-1]])])
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids.take(pa.array(doc[part])), pa.array(piece[part].astype(np.int32)), pa.array(start[part]), pa.array(length[part]), data],
+                    ["doc_id", "piece", "start", "length", "ids"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
@@ -121,7 +131,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     Null and empty texts are one end token. Rows with the same or no doc_id are packed each for
     itself. No rows give no rows. Pieces of one length are ranked in salted groups, so a third of
-    all rows may have one length.
+    all rows may have one length. A sequence is the ``ids`` of its pieces in order of ``offset``;
+    they are encoded once, when the pieces are cut, and go with the piece to its place.
     """
     cut = saved(pieces(docs, tokenizer, capacity, end_id))
     salts = partitions(cut.sparkSession)
@@ -144,10 +155,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         k = rank - ranks[r]
         return pd.DataFrame({"sequence_id": first[r] + k // each[r], "offset": offset[r] + k % each[r] * length})
 
-    rank = F.col("before") + F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    rank = F.col("before") + F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids")) - 1
     placed = cut.join(before, ["length", "salt"]).withColumn("rank", rank).withColumn("at", at("length", "rank"))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "at.sequence_id", "at.offset", "ids")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    """Places and digests; the digests are those of the packed ids, which the query leaves out."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")

@@ -221,6 +221,25 @@ def test_packing(docs, empty):
     assert packing.pack(empty, tokenizer_path(BPE)).collect() == []
 
 
+def test_packed_sequences_have_their_ids(docs, monkeypatch):
+    monkeypatch.setattr(packing, "BATCH_TOKENS", 200)
+    tokenizer = encoding.PieceEncoder(tokenizer_path(BPE)).tokenizer
+    got, sequences = {}, {}
+    for r in packing.pack(docs, tokenizer_path(BPE), 64).collect():
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        got.setdefault(r["doc_id"], []).append((r["start"], ids))
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], ids))
+    want = {}
+    for i, text, *_ in rows():
+        want.setdefault(i, []).append(tokenizer.encode(text or "", add_special_tokens=False).ids + [0])
+    for i, texts in want.items():
+        if len(texts) == 1:
+            assert [t for _, ids in sorted(got[i]) for t in ids] == texts[0]
+    assert sorted(t for s in got.values() for _, ids in s for t in ids) == sorted(t for texts in want.values() for ids in texts for t in ids)
+    assert all(sum(len(ids) for _, ids in s[:k]) == s[k][0] for s in map(sorted, sequences.values()) for k in range(len(s)))
+
+
 # --- 3
 
 
