@@ -350,6 +350,27 @@ def test_terms_that_give_a_value_away(spark):
     assert clean[60] is None and clean[61] == "" and clean[10] == table[4][1]
 
 
+def test_terms_beside_a_value_of_one_text(spark):
+    table = [(0, "the clerk Zorblax write a.b@x.org soon about Grimwick, Zorblax"), (1, "the clerk write c.d@x.org soon about quintal")]
+    table += [(10 + i, f"plain text {i} of the clerk and nothing soon, about a write") for i in range(120)] + [(200, "a quintal"), (201, table[0][1])]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    text = {i: t for i, t in table}
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(df).collect()}
+    at = {i: [text[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in s.split(",") if x) if k == "term"] for i, s in spans.items()}
+    assert at == {**{i: [] for i in text}, 0: ["Zorblax", "Grimwick", "Zorblax"], 201: ["Zorblax", "Grimwick", "Zorblax"]}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert clean[0] == "the clerk [email term] write [EMAIL] soon about [email term], [email term]"
+
+
+def test_no_term_that_passes_is_left_uncounted(spark):
+    table = spark.createDataFrame([(3, 3, 7)], "n_both long, n_value long, n_near long")
+    for texts, passes in ((10**7, False), (10**11, True)):  # more than twice as many texts as have the value
+        assert table.select(pii._share(texts, "n_near") >= pii.GENERALISED).first()[0] == passes
+    rows = spark.createDataFrame([(b, v, t) for b in range(1, 6) for v in range(b, 8) for t in range(b, 40)], "n_both long, n_value long, n_term long")
+    share = {(r[0], r[1], r[2]): r[3] for r in rows.select("*", pii._share(5_000, "n_term")).collect()}
+    assert all(share[b, v, t] > share[b, v, t + 1] for b, v, t in share if t < 39)
+
+
 def test_sanitised_keeps_rows_and_columns(docs):
     out = pii.sanitised(docs)
     assert out.columns == docs.columns and out.count() == len(rows())
