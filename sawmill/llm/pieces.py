@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_rows, steps, table, texts_of, tokenizer_path
+from .common import steps, table, texts_of, tokenizer_path
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MEMO_UNITS, STEP = 300_000, 4_000_000
-COLUMNS = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, decoded_same boolean"
+#: Texts that the model's own library is given at once.
+OWN_ROWS = 100
 
 
 @dataclass(frozen=True)
@@ -91,16 +92,35 @@ def read_model(data: bytes) -> Spec:
     return Spec(tuple(pieces), **got)
 
 
-class Pieces:
+class Surfaces:
+    """Decodes as the model's own library does."""
+
+    def __init__(self, spec: Spec):
+        self.spec = spec
+        self.bytes_of = [self._surface(p, t) for p, _, t in spec.pieces]
+
+    def _surface(self, piece: str, kind: int) -> bytes:
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        return {UNKNOWN: self.spec.unknown_surface.encode(), CONTROL: b""}.get(kind, piece.replace(MARK, " ").encode())
+
+    def decode(self, ids: np.ndarray) -> str:
+        data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        if self.spec.dummy_prefix and data[:1] == b" ":
+            data = data[1:]
+        return data.decode("utf-8", "replace")
+
+
+class Pieces(Surfaces):
     """Encodes and decodes as the model's own library does."""
 
     def __init__(self, spec: Spec):
+        super().__init__(spec)
         # As many threads as the task has cores; a cluster sets RAYON_NUM_THREADS with spark.task.cpus.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "1"))
         from tokenizers import Tokenizer, models, normalizers
 
-        self.spec = spec
         if spec.kind not in (UNIGRAM, BPE) or not spec.escape or any(t == USER_DEFINED for *_, t in spec.pieces):
             raise ValueError("only unigram and BPE models with escaped white space and without user-defined pieces are rebuilt")
         usable = [t in (NORMAL, UNKNOWN, BYTE) for *_, t in spec.pieces]
@@ -118,14 +138,8 @@ class Pieces:
             merges.sort(key=lambda m: (m[0], ids[m[2]], ids[m[3]]))
             self.tokenizer = Tokenizer(models.BPE({p: i for i, (p, *_) in enumerate(spec.pieces)}, [(a, b) for *_, a, b in merges], unk_token=None if unknown is None else spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback))
         self.characters = normalizers.Precompiled(spec.charsmap) if spec.charsmap else None
-        self.bytes_of = [self._surface(p, t) for p, _, t in spec.pieces]
         self._forget()
 
-    def _surface(self, piece: str, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(piece[3:5], 16)])
-        return {UNKNOWN: self.spec.unknown_surface.encode(), CONTROL: b""}.get(kind, piece.replace(MARK, " ").encode())
-
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
@@ -171,12 +185,6 @@ class Pieces:
         ids = self.ids[np.repeat(begin - (upto - length), length) + np.arange(upto[-1])]
         return ids, np.diff(np.concatenate([[0], upto])[np.searchsorted(starts, np.concatenate([[0], ends]))])
 
-    def decode(self, ids: np.ndarray) -> str:
-        data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        if self.spec.dummy_prefix and data[:1] == b" ":
-            data = data[1:]
-        return data.decode("utf-8", "replace")
-
 
 @lru_cache(2)
 def pieces_of(path: str) -> Pieces:
@@ -184,26 +192,63 @@ def pieces_of(path: str) -> Pieces:
         return Pieces(read_model(f.read()))
 
 
-def encoded(docs: DataFrame, model: str) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text; other columns are ignored): the number and crc32 of its ids, whether
-    the model's own library gives the same ids (``parity``), and whether they decode to the text as it was
-    (``decoded_same``; a normaliser that changes texts makes it false). A null text is empty and has no ids.
-    """
+@lru_cache(2)
+def surfaces_of(path: str) -> Surfaces:
+    with open(path, "rb") as f:
+        return Surfaces(read_model(f.read()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
 
-        own, rebuilt = sentencepiece.SentencePieceProcessor(model_file=model), pieces_of(model)
+@lru_cache(2)
+def own_library(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def encode(docs: DataFrame, model: str) -> DataFrame:
+    """``docs`` (with a column text; null is empty and has no ids) and ``ids``: its pieces' ids as
+    little-endian unsigned 32-bit integers. An older column of that name is replaced."""
+    docs = docs.drop("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rebuilt = pieces_of(model)
         for batch in steps(batches, chars=STEP):
-            texts = texts_of(batch)
-            ids, n = rebuilt.encode(texts)
-            ends = np.cumsum(n)
-            rows = [ids[b - k : b] for b, k in zip(ends.tolist(), n.tolist())]
-            same = [np.array_equal(r, np.array(o, np.uint32)) for r, o in zip(rows, own.encode(texts, num_threads=1))]
-            back = [rebuilt.decode(r) == t for r, t in zip(rows, texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(crc_rows(ids, ends)), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], [c.split()[0] for c in COLUMNS.split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, COLUMNS)
+            ids, n = rebuilt.encode(texts_of(batch))
+            ends = np.concatenate([[0], 4 * np.cumsum(n)]).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, data], [*batch.schema.names, "ids"])
+
+    return docs.mapInArrow(run, docs.withColumn("ids", F.lit(None).cast("binary")).schema)
+
+
+def decode(rows: DataFrame, model: str, column: str = "text") -> DataFrame:
+    """``rows`` (with a column ids as ``encode`` gives it; null is empty) and, in ``column``, the text of the ids."""
+
+    @F.arrow_udf("string")
+    def text(ids: pa.Array) -> pa.Array:
+        surfaces = surfaces_of(model)
+        return pa.array((surfaces.decode(np.frombuffer(i.as_py() or b"", "<u4")) for i in ids), pa.string(), size=len(ids))
+
+    return rows.withColumn(column, text("ids"))
+
+
+def encoded(docs: DataFrame, model: str) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text; other columns are ignored): the number and crc32 of the ids that ``encode``
+    gives, whether the model's own library gives the same ids (``parity``), and whether ``decode`` makes of them the
+    text as it was (``decoded_same``; a normaliser that changes texts makes it false). A null text is empty and has no ids.
+    """
+    rows = encode(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), model)
+
+    @F.arrow_udf("boolean")
+    def parity(texts: pa.Array, ids: pa.Array) -> pa.Array:
+        own, same = own_library(model), []
+        for at in range(0, len(ids), OWN_ROWS):
+            found = own.encode(texts.slice(at, OWN_ROWS).to_pylist(), num_threads=1)
+            same += [np.frombuffer(i.as_py(), "<u4").tolist() == o for i, o in zip(ids.slice(at, OWN_ROWS), found)]
+        return pa.array(same, pa.bool_())
+
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return decode(rows, model, "decoded").select("doc_id", n_tokens, F.crc32("ids").alias("ids_crc32"), parity("text", "ids").alias("parity"), (F.col("decoded") == F.col("text")).alias("decoded_same"))
 
 
 def op10_sentencepiece_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:

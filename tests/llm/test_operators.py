@@ -527,6 +527,19 @@ def test_bpe_parity_of_awkward_rows(docs, empty):
     assert pieces.encoded(empty, tokenizer_path(SPM)).collect() == []
 
 
+def test_ids_and_texts_are_columns(docs, empty):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(SPM))
+    ids = pieces.encode(docs, tokenizer_path(SPM))
+    assert ids.columns == [*docs.columns, "ids"]
+    got = sorted((r["doc_id"] or 0, r["text"] or "", np.frombuffer(r["ids"], "<u4").tolist()) for r in ids.collect())
+    assert got == sorted((r[0] or 0, r[1] or "", own.encode(r[1] or "")) for r in rows())
+    texts = pieces.decode(ids.drop("text"), tokenizer_path(SPM))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in texts.collect()) == [(i, t) for i, t, _ in got]
+    assert pieces.decode(pieces.encode(empty, tokenizer_path(SPM)), tokenizer_path(SPM)).collect() == []
+
+
 def test_models_that_are_not_rebuilt():
     body = message((1, message((1, "x"), (2, 0.0), (3, 4))))
     with pytest.raises(ValueError, match="user-defined"):
