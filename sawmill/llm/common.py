@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows and characters of text that one vectorised step of a Python worker takes.
 STEP_ROWS, STEP_CHARS = 2_000, 6_000_000
+#: Bytes of an Arrow batch, but for a single row of more.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +28,22 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def settled(spark: SparkSession) -> SparkSession:
+    """Session settings that the operators rely on: shuffle files go when the table that they were for is
+    written (a table is read again from the shared folder, never from a shuffle), and a batch of texts for
+    a Python worker is bounded by its bytes, not only by its rows."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; sets one only where it is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the shared folder of spark.checkpoint.dir. Where that is unset, a local session, as in tests,
+    gets one of its own; a cluster has no folder that its machines share, which is an error."""
+    top = settled(spark).conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/sawmill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -44,10 +58,11 @@ def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that nothing will read again, in whatever store it is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch tables that nothing will read again, in whatever store they are."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def guarded(docs: DataFrame, work: Callable[[DataFrame], DataFrame], core: tuple[str, ...] = ("doc_id", "text", "lang", "source")) -> DataFrame:

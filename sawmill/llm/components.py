@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import remove, saved, scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b), a component's name being its least node.
 
     Each round points neighbours at a smaller node; rounds grow with the logarithm of
-    the longest path. Every round is written out. Neighbours are aggregated before the
+    the longest path. Every round is written out and then goes. Neighbours are aggregated before the
     shuffle and joined back, so a node may have any number of them.
     """
 
@@ -22,14 +22,17 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(pairs: DataFrame):
         return pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    now = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    spark = edges.sparkSession
+    now = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), path := scratch(spark))
     before = mark(now)
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = both.join(least(both), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         small = down.join(least(down), "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
-        now = saved(small)
+        now = saved(small, after_path := scratch(spark))
+        remove(spark, path)
+        path = after_path
         if (after := mark(now)) == before:
             break
         before = after

@@ -9,12 +9,14 @@ Texts with equal shingle sets are one class, joined once. Between classes:
   too, for heavy partners.
 
 The boundary is the size from which listing subsets costs more rows than scanning.
+Texts are cut into shingles once; the sets are written down and read from there.
 
 A group of near copies is never paired off. Each list compares its members with one
-of them, a different one for each list; what links becomes one component, and only
-pairs of a list that are still in different components are compared one by one, once
-their sizes, places in the list and signatures (a bit a shingle) allow a link.
-So every pair of classes that may link is either compared or already connected.
+of them, its pivot, a different one for each list; what links becomes one component,
+and of the others only those that are still in different components are compared one by
+one, once their sizes, places in the list and signatures (odd sketches) allow a link.
+So every pair of classes that may link is either compared or already connected. A list
+of many members is joined in pieces where Spark finds its partition skewed.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, saved, scratch, steps, table, texts_of
+from .common import guarded, remove, saved, scratch, steps, table, texts_of
 from .components import components
 from .words import STEP_BYTES, U, Words, mix
 
@@ -61,17 +63,17 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """A bit for each shingle, in a map of about four times as many bits as there are shingles: two maps differ
-    in at most as many bits as the sets differ in shingles, and mostly in nearly as many."""
-    words = 1 << max(0, round(np.log2(max(len(shingles), 1))) - 4)
-    bits = np.zeros(words * 64, np.uint8)
-    bits[(shingles & U(words * 64 - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    """An odd sketch: every shingle flips one of one to two bits a shingle. Common shingles cancel in the xor of
+    two sketches, so they differ in at most as many bits as the sets differ in shingles, and mostly in nearly as many."""
+    words = 1 << max(0, (len(shingles) - 1).bit_length() - 6)
+    bits = np.bincount((shingles & U(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def may_link() -> Column:
-    """Whether the signatures sig1 and sig2 of sets of n1 and n2 shingles differ by no more than linked sets may."""
-    half = "zip_with(slice({0}, 1, cast(size({0}) / 2 as int)), slice({0}, cast(size({0}) / 2 as int) + 1, cast(size({0}) / 2 as int)), (p, q) -> p | q)"
+    """Whether the signatures sig1 and sig2 of sets of n1 and n2 shingles differ by no more than linked sets may.
+    The sizes of linked sets differ so little that one fold brings their signatures to one length."""
+    half = "zip_with(slice({0}, 1, cast(size({0}) / 2 as int)), slice({0}, cast(size({0}) / 2 as int) + 1, cast(size({0}) / 2 as int)), (p, q) -> p ^ q)"
     a, b = (f"if(size({x}) > size({y}), {half.format(x)}, {x})" for x, y in (("sig1", "sig2"), ("sig2", "sig1")))
     differ = F.expr(f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (p, q) -> p + q)")
     return differ * (PERCENT[0] + PERCENT[1]) <= (F.col("n1") + F.col("n2")) * (PERCENT[0] - PERCENT[1])
@@ -82,35 +84,48 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from steps([batch], chars=STEP_BYTES)
 
 
+SURVEY = "doc_id long, key long, n long, sig array<long>, shingles binary, is_doc boolean"
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a document (its class and set size), and rows of shingles that repeat within a block."""
+    """A row a document (its class, set size and signature, and its set where the task meets the class for the
+    first time in a while), and rows of shingles that repeat within a block."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
-    size, names = 0, ["doc_id", "key", "n", "sig", "is_doc"]
+    size, names = 0, [c.split()[0] for c in SURVEY.split(", ")]
 
     def repeated() -> pa.RecordBatch:
         tokens, n = np.unique(np.concatenate([np.empty(0, U), *held]), return_counts=True)
         tokens, n = tokens[n > 1], n[n > 1]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.list_(pa.int64())), pa.array(np.zeros(len(n), bool))], names)
+        k = len(n)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.array(np.zeros(k, bool))], names)
 
     for batch in _small(batches):
-        keys, sizes, signs = [], [], []
+        keys, sizes, signs, data = [], [], [], []
         for _, s in sets(batch):
             c = class_of(s) if len(s) else None
             keys.append(c)
             sizes.append(len(s))
-            signs.append(signature(s))
-            if len(s) and c not in seen:
+            first = bool(len(s)) and c not in seen
+            signs.append(signature(s) if first else None)
+            data.append(s.tobytes() if first else None)
+            if first:
                 seen.add(c)
                 held.append(s)
                 size += len(s)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(np.ones(len(sizes), bool))], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(data, pa.binary()), pa.array(np.ones(len(sizes), bool))], names)
         if size > BLOCK:
             yield repeated()
             seen, held, size = set(), [], 0
     yield repeated()
 
 
+def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, shingles) of the rows of a batch of saved sets."""
+    for c, data in zip(batch.column("class").to_pylist(), batch.column("shingles")):
+        yield c, np.frombuffer(data.as_buffer(), U)
+
+
 def _listed(frequent, light: int, shared=None):
     """Rows (token, class, size and place): the lists in which each class stands, of shared cells only if given."""
     least_listed = -(-(light + 1) * PERCENT[1] // PERCENT[0])  # a light set that may link with a heavy one
@@ -118,16 +133,10 @@ def _listed(frequent, light: int, shared=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = frequent.value
         cells = shared.value if shared else None
-        seen: set[int] = set()
-        for batch in _small(batches):
+        for batch in batches:
             tokens, classes, places = [], [], []
-            for _, s in sets(batch):
+            for c, s in _sets_of(batch):
                 n = len(s)
-                if not n or (c := class_of(s)) in seen:
-                    continue
-                if len(seen) > 100_000:
-                    seen.clear()
-                seen.add(c)
                 got = []
                 if n > light or n >= least_listed:
                     at = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
@@ -165,12 +174,6 @@ def boundary(sizes: dict[int, int], scanned: float) -> int:
     return light if any(sizes.get(s) for s in range(SUBSET, light + 1)) else SUBSET - 1
 
 
-def _sets_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _small(batches):
-        got = [s for _, s in sets(batch) if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in got], pa.int64()), pa.array([s.astype(np.int64) for s in got], pa.list_(pa.int64()))], ["class", "shingles"])
-
-
 def cell_map(df: DataFrame, column: str):
     """A broadcast map of CELLS bits, those of the column's low bits set: what isn't in it can be left out
     before a shuffle. Its size is fixed; where there are many values it leaves out less."""
@@ -186,21 +189,17 @@ def in_map(cells: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (cells[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, shingles) of the classes of ``wanted`` (class, first_id), from the rows of their doc_ids and from rows
-    without one. A few other classes may come along, which no join asks for; texts are not shuffled."""
-    cells = cell_map(wanted.where("first_id is not null"), "first_id")
+def sets_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, shingles) of the classes of ``wanted``, once each, from the saved sets. A few other classes may come
+    along, which no join asks for; only these sets are shuffled."""
+    cells = cell_map(wanted, "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _sets_rows([batch.filter(pa.array(in_map(cells.value, batch.column("doc_id").to_numpy())))])
-
-    named = docs.where("doc_id is not null").mapInArrow(run, SETS)
-    nameless = docs.where("doc_id is null").mapInArrow(_sets_rows, SETS).join(wanted.where("first_id is null").select("class"), "class", "left_semi")
-    return named.unionByName(nameless)
-
+            got = list(_sets_of(batch.filter(pa.array(in_map(cells.value, batch.column("class").to_numpy())))))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64()))], ["class", "shingles"])
 
-SETS = "class long, shingles array<long>"
+    return sets.mapInArrow(run, "class long, shingles array<long>").groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
 def linked(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -210,17 +209,20 @@ def linked(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return common.where(F.col("i") * (PERCENT[0] + PERCENT[1]) >= F.col("n") * PERCENT[1]).select("a", "b")
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id reachable by links) for every row of ``docs``.
-
-    Other columns are ignored. Null or empty texts, and texts of white space, have no
-    shingles and link with nothing; rows without doc_id take part in links and have
-    their component's least known doc_id, or null. Repeated rows give repeated rows. No rows give none.
-    """
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, class (of equal sets), n, name (of the component: its least class) and component_id (its least
+    doc_id, if any row of it has one) for every row of ``docs``; without shingles the last four are null, 0, null, null."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    survey = saved(docs.mapInArrow(_survey, "doc_id long, key long, n long, sig array<long>, is_doc boolean"))
-    documents = survey.where("is_doc").select("doc_id", F.col("key").alias("class"), "n", "sig")
+    paths: list[str] = []  # of tables that go when the result is written down
+
+    def kept(df: DataFrame) -> DataFrame:
+        paths.append(scratch(spark))
+        return saved(df, paths[-1])
+
+    survey = kept(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_survey, SURVEY))
+    documents = survey.where("is_doc").select("doc_id", F.col("key").alias("class"), "n")
+    # A class that several tasks met has its set several times, which no count below depends on.
+    sets = survey.where("shingles is not null").select(F.col("key").alias("class"), "shingles")
 
     often = survey.where("not is_doc").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()  # a fixed number
     hot = np.array([r["key"] for r in often], np.int64).astype(U)
@@ -231,22 +233,27 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     small = {r["n"]: r["count"] for r in documents.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
     light = boundary(small, float((count.astype(float) ** 2).sum() / max(total, 1)))
 
-    postings = docs.mapInArrow(_listed(frequent, light), LISTED)
+    postings = sets.mapInArrow(_listed(frequent, light), LISTED)
     masked = F.col("class").bitwiseXOR(F.col("token"))
-    lists = saved(postings.groupBy("token").agg(F.min(masked).alias("low"), F.max(masked).alias("high")).where("low < high").select("token", F.col("low").bitwiseXOR(F.col("token")).alias("pivot")))
+    lists = kept(postings.groupBy("token").agg(F.min(masked).alias("low"), F.max(masked).alias("high")).where("low < high").select("token", F.col("low").bitwiseXOR(F.col("token")).alias("pivot")))
     cells = cell_map(lists, "token")
-    members = saved(docs.mapInArrow(_listed(frequent, light, cells), LISTED).distinct().join(lists, "token").select("token", "pivot", "class", F.shiftright("size_place", 32).alias("n"), F.col("size_place").bitwiseAND(0xFFFFFFFF).alias("place")))
-    classes = saved(documents.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    members = kept(sets.mapInArrow(_listed(frequent, light, cells), LISTED).distinct().join(lists, "token").select("token", "pivot", "class", F.shiftright("size_place", 32).alias("n"), F.col("size_place").bitwiseAND(0xFFFFFFFF).alias("place")))
+    signs = kept(survey.where("sig is not null").groupBy(F.col("key").alias("class")).agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     # Sizes and places in a list bound what two sets can have in common; the list of their first common shingle lets linked ones pass.
     may = (F.least("n1", "n2") * PERCENT[0] >= F.greatest("n1", "n2") * PERCENT[1]) & (F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) * (PERCENT[0] + PERCENT[1]) >= (F.col("n1") + F.col("n2")) * PERCENT[1])
-    pivots = members.where("class = pivot").select("token", F.col("n").alias("n2"), F.col("place").alias("place2"))
-    stars = members.where("class <> pivot").withColumnsRenamed({"n": "n1", "place": "place1"}).join(pivots, "token").where(may)
-    stars = stars.groupBy("class", "pivot").agg(F.count("*").alias("shared"))
-    for k, column in ((1, "class"), (2, "pivot")):
-        stars = stars.join(classes.select(F.col("class").alias(column), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"sig{k}")), column)
-    stars = saved(stars.where(may_link()).select("class", "pivot", "shared"))
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+
+    def signed(pairs: DataFrame, one: str, other: str) -> DataFrame:
+        """Those of different pairs of classes whose signatures allow a link."""
+        for k, column in ((1, one), (2, other)):
+            pairs = pairs.join(signs.select(F.col("class").alias(column), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"sig{k}")), column)
+        return pairs.where(may_link())
+
+    pivots = members.where("class = pivot").select("token", F.col("n").alias("n2"), F.col("place").alias("place2"))
+    followers = members.where("class <> pivot")
+    stars = followers.withColumnsRenamed({"n": "n1", "place": "place1"}).join(pivots, "token").where(may)
+    stars = kept(signed(stars.groupBy("class", "pivot").agg(F.count("*").alias("shared")), "class", "pivot").select("class", "pivot", "shared"))
     edges, names, tried = [], None, None
 
     def named(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -254,45 +261,87 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     def link(candidates: DataFrame) -> None:
         nonlocal names
-        candidates = saved(candidates)
-        wanted = saved(candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "first_id"), "class"))
-        shingles = saved(sets_of(docs, wanted), path := scratch(spark))
-        edges.append(saved(linked(candidates, shingles).distinct()))
+        candidates = kept(candidates)
+        shingles = saved(sets_of(sets, kept(candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct())), path := scratch(spark))
+        edges.append(kept(linked(candidates, shingles).distinct()))
         remove(spark, path)
-        names = saved(components(reduce(DataFrame.union, edges)))
+        names = kept(components(reduce(DataFrame.union, edges)))
 
-    for _ in range(STARS):
+    def apart() -> DataFrame:
+        """Pairs of a pivot and a follower that are in different components and haven't been compared."""
         left = named(named(stars, "class", "one"), "pivot", "other").where("one <> other")
-        if tried is not None:
-            left = left.join(tried, ["class", "pivot"], "left_anti")
-        best = saved(left.groupBy("class").agg(F.max(F.struct("shared", "pivot")).alias("best")).select("class", "best.pivot"))
+        return left if tried is None else left.join(tried, ["class", "pivot"], "left_anti")
+
+    for _ in range(STARS):
+        best = kept(apart().groupBy("class").agg(F.max(F.struct("shared", "pivot")).alias("best")).select("class", "best.pivot"))
         tried = best if tried is None else tried.union(best)
         link(best.select(F.col("class").alias("x"), F.col("pivot").alias("y")).select(*pair).distinct())
 
-    in_list = named(members, "class", "name")
+    # Followers of one list that are still apart; a list of two has only one.
+    in_list = named(followers, "class", "name")
     per_list = in_list.groupBy("token", "name").count().groupBy("token").agg(F.count("*").alias("names"), F.max(F.struct("count", "name")).alias("most")).where("names > 1").select("token", F.col("most.name").alias("most"))
-    mixed = saved(in_list.join(per_list, "token").select("token", "class", "n", "place", "name", "most").join(classes.select("class", "sig"), "class"))
-    columns = ("class", "n", "place", "name", "sig")
+    mixed = kept(in_list.join(per_list, "token").select("token", "class", "n", "place", "name", "most"))
+    columns = ("class", "n", "place", "name")
     one = mixed.where("name <> most").select("token", "most", *(F.col(c).alias(f"{c}1") for c in columns))
     other = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in columns))
     crossing = (F.col("name1") != F.col("name2")) & ((F.col("name2") == F.col("most")) | (F.col("class1") < F.col("class2")))
-    link(one.alias("p").join(other.alias("q"), (F.col("p.token") == F.col("q.token")) & crossing & may & may_link()).select(F.col("class1").alias("x"), F.col("class2").alias("y")).select(*pair).distinct())
+    met = one.alias("p").join(other.alias("q"), (F.col("p.token") == F.col("q.token")) & crossing & may).select(F.col("class1").alias("x"), F.col("class2").alias("y")).select(*pair).distinct()
+    rest = apart().select(F.col("class").alias("x"), F.col("pivot").alias("y")).select(*pair)
+    link(signed(met, "a", "b").select("a", "b").union(rest).distinct())
+
+    of_class = documents.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"))
+    by_name = named(of_class, "class", "name")
+    by_name = by_name.join(by_name.groupBy("name").agg(F.min("first_id").alias("component_id")), "name").select("class", "name", "component_id")
+    out = saved(documents.join(by_name, "class", "left").select("doc_id", "class", "n", "name", "component_id"))
+    remove(spark, *paths)
+    return out
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (least doc_id reachable by links) for every row of ``docs``.
+
+    Other columns are ignored. Null or empty texts, and texts of white space, have no
+    shingles and link with nothing; rows without doc_id take part in links and have
+    their component's least known doc_id, or null. Repeated rows give repeated rows. No rows give none.
+    """
+    return grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
-    grouped = named(classes.select("class", "first_id"), "class", "name")
-    least = grouped.groupBy("name").agg(F.min("first_id").alias("component_id"))
-    of_class = grouped.join(least, "name").select("class", "component_id")
-    return documents.drop("sig").join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+def _with_class(docs: DataFrame) -> DataFrame:
+    """``docs`` with _class, the class of its text (null without shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            classes = [class_of(s) if len(s) else None for _, s in sets(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.int64())], [*batch.schema.names, "_class"])
+
+    return docs.mapInArrow(run, docs.withColumn("_class", F.lit(None).cast("long")).schema)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group: that of its least doc_id, once. Of rows without doc_id those stay that link with no row that has one."""
-    groups = saved(similar_groups(docs))
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if not groups.where("doc_id is null").head(1):
-        return named
-    alone = groups.where("component_id is null").head(1)
-    return named.unionByName(docs.where("doc_id is null")) if alone else named
+    """One row of each group: of its least doc_id, or any one where no row of the group has a doc_id.
+
+    Rows without words link with nothing and stay. A doc_id that several rows have, or none, tells no
+    rows apart; there the text's class says which row is meant.
+    """
+    return guarded(docs, _one_of_each)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    groups = grouped(docs)
+    best = groups.where("class is not null").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "class")).alias("best"))
+    stay = groups.where("class is null").select("doc_id", "class").union(best.select("best.doc_id", "best.class"))
+    unclear = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("doc_id is null or rows > 1").select(F.col("doc_id").alias("_id"))
+    if not unclear.head(1):
+        return docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    unclear, stay = saved(unclear), saved(stay)
+    clear = docs.join(unclear, docs["doc_id"].eqNullSafe(unclear["_id"]), "left_anti").join(stay.select("doc_id"), "doc_id", "left_semi")
+    named = _with_class(docs.join(unclear, docs["doc_id"].eqNullSafe(unclear["_id"]), "left_semi"))
+    meant = stay.select(F.col("doc_id").alias("_id"), F.col("class").alias("_c")).distinct()
+    found = named.where("_class is null").drop("_class").union(
+        named.where("_class is not null").join(meant, named["doc_id"].eqNullSafe(meant["_id"]) & (F.col("_class") == F.col("_c")), "left_semi").dropDuplicates(["doc_id", "_class"]).drop("_class")
+    )
+    return clear.select(docs.columns).union(found.select(docs.columns))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
