@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import remove, saved, scratch
@@ -19,21 +19,22 @@ def components(edges: DataFrame) -> DataFrame:
     def least(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
-    def mark(pairs: DataFrame):
-        return pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def written(pairs: DataFrame) -> tuple[DataFrame, str, tuple]:
+        """The table, its path, and a mark of its rows that is taken while they are written."""
+        seen, path = Observation(), scratch(spark)
+        df = saved(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")), path)
+        return df, path, (seen.get["n"], seen.get["mark"])
 
     spark = edges.sparkSession
-    now = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), path := scratch(spark))
-    before = mark(now)
+    now, path, before = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = both.join(least(both), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        down = both.join(least(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = down.join(least(down), "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
-        now = saved(small, after_path := scratch(spark))
+        now, last, after = written(small)
         remove(spark, path)
-        path = after_path
-        if (after := mark(now)) == before:
+        path = last
+        if after == before:
             break
         before = after
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()

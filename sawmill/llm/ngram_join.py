@@ -11,10 +11,11 @@ Texts with equal shingle sets are one class, joined once. Between classes:
 The boundary is the size from which listing subsets costs more rows than scanning.
 Texts are cut into shingles once; the sets are written down and read from there.
 
-A group of near copies is never paired off. Each list compares its members with one
-of them, its pivot, a different one for each list; what links becomes one component,
-and of the others only those that are still in different components are compared one by
-one, once their sizes, places in the list and signatures (odd sketches) allow a link.
+A group of near copies is never paired off. In turns, each list compares its members
+with one of them, its pivot, which the lists of one group mostly share; what links becomes
+one component, and lists whose other members are in different components get other
+pivots, as long as comparing those one by one would cost more. What is left is compared one by
+one. Sizes, places in the list and signatures (odd sketches) first have to allow a link.
 So every pair of classes that may link is either compared or already connected. A list
 of many members is joined in pieces where Spark finds its partition skewed.
 """
@@ -22,7 +23,6 @@ of many members is joined in pieces where Spark finds its partition skewed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -43,7 +43,9 @@ SUBSET, LARGEST_LIGHT = 4, 12
 FREQUENT, CELLS = 100_000, 1 << 24
 #: Windows that one count of repeated shingles spans.
 BLOCK = 1_000_000
-STARS = 3
+#: Turns in which lists with members in different components get pivots, at most; the pivots a list in later turns; and
+#: pairs a member that are compared one by one without another turn.
+TURNS, PIVOTS, FEW_PAIRS = 3, 3, 4
 
 
 def first_shingles(n: int) -> int:
@@ -234,8 +236,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     light = boundary(small, float((count.astype(float) ** 2).sum() / max(total, 1)))
 
     postings = sets.mapInArrow(_listed(frequent, light), LISTED)
-    masked = F.col("class").bitwiseXOR(F.col("token"))
-    lists = kept(postings.groupBy("token").agg(F.min(masked).alias("low"), F.max(masked).alias("high")).where("low < high").select("token", F.col("low").bitwiseXOR(F.col("token")).alias("pivot")))
+    lists = kept(postings.groupBy("token").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot < last").select("token", "pivot"))
     cells = cell_map(lists, "token")
     members = kept(sets.mapInArrow(_listed(frequent, light, cells), LISTED).distinct().join(lists, "token").select("token", "pivot", "class", F.shiftright("size_place", 32).alias("n"), F.col("size_place").bitwiseAND(0xFFFFFFFF).alias("place")))
     signs = kept(survey.where("sig is not null").groupBy(F.col("key").alias("class")).agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
@@ -250,11 +251,7 @@ def grouped(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(signs.select(F.col("class").alias(column), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"sig{k}")), column)
         return pairs.where(may_link())
 
-    pivots = members.where("class = pivot").select("token", F.col("n").alias("n2"), F.col("place").alias("place2"))
-    followers = members.where("class <> pivot")
-    stars = followers.withColumnsRenamed({"n": "n1", "place": "place1"}).join(pivots, "token").where(may)
-    stars = kept(signed(stars.groupBy("class", "pivot").agg(F.count("*").alias("shared")), "class", "pivot").select("class", "pivot", "shared"))
-    edges, names, tried = [], None, None
+    names = None
 
     def named(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.join(names.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column)) if names is not None else df.withColumn(name, F.col(column))
@@ -263,31 +260,34 @@ def grouped(docs: DataFrame) -> DataFrame:
         nonlocal names
         candidates = kept(candidates)
         shingles = saved(sets_of(sets, kept(candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct())), path := scratch(spark))
-        edges.append(kept(linked(candidates, shingles).distinct()))
+        edges = kept(linked(candidates, shingles).distinct())
         remove(spark, path)
-        names = kept(components(reduce(DataFrame.union, edges)))
-
-    def apart() -> DataFrame:
-        """Pairs of a pivot and a follower that are in different components and haven't been compared."""
-        left = named(named(stars, "class", "one"), "pivot", "other").where("one <> other")
-        return left if tried is None else left.join(tried, ["class", "pivot"], "left_anti")
-
-    for _ in range(STARS):
-        best = kept(apart().groupBy("class").agg(F.max(F.struct("shared", "pivot")).alias("best")).select("class", "best.pivot"))
-        tried = best if tried is None else tried.union(best)
-        link(best.select(F.col("class").alias("x"), F.col("pivot").alias("y")).select(*pair).distinct())
-
-    # Followers of one list that are still apart; a list of two has only one.
-    in_list = named(followers, "class", "name")
-    per_list = in_list.groupBy("token", "name").count().groupBy("token").agg(F.count("*").alias("names"), F.max(F.struct("count", "name")).alias("most")).where("names > 1").select("token", F.col("most.name").alias("most"))
-    mixed = kept(in_list.join(per_list, "token").select("token", "class", "n", "place", "name", "most"))
-    columns = ("class", "n", "place", "name")
-    one = mixed.where("name <> most").select("token", "most", *(F.col(c).alias(f"{c}1") for c in columns))
-    other = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in columns))
-    crossing = (F.col("name1") != F.col("name2")) & ((F.col("name2") == F.col("most")) | (F.col("class1") < F.col("class2")))
-    met = one.alias("p").join(other.alias("q"), (F.col("p.token") == F.col("q.token")) & crossing & may).select(F.col("class1").alias("x"), F.col("class2").alias("y")).select(*pair).distinct()
-    rest = apart().select(F.col("class").alias("x"), F.col("pivot").alias("y")).select(*pair)
-    link(signed(met, "a", "b").select("a", "b").union(rest).distinct())
+        names = kept(components(edges if names is None else edges.union(names.where("node <> component").select("component", "node"))))
+
+    turn, rows = 0, members.withColumn("name", F.col("class")).withColumn("pivots", F.array("pivot"))
+    while True:
+        leads = F.array_contains("pivots", F.col("class"))
+        pivots = rows.where(leads).select("token", F.col("class").alias("pivot"), F.col("name").alias("other"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+        met = rows.select("token", "class", "name", F.col("n").alias("n1"), F.col("place").alias("place1")).join(pivots, "token").where((F.col("name") != F.col("other")) & may)
+        link(signed(met.select(F.col("class").alias("x"), F.col("pivot").alias("y")).select(*pair).distinct(), "a", "b").select("a", "b"))
+        # The others of one list that are still apart get other pivots; a list of two has only one.
+        turn, rows = turn + 1, named(rows.where(~leads).select("token", "class", "n", "place"), "class", "name")
+        salts = [F.xxhash64(F.lit(turn), F.lit(k)) for k in range(PIVOTS)]
+        lists = rows.groupBy("token").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count("*").alias("m"), *(F.min(F.col("class").bitwiseXOR(x)).alias(f"p{k}") for k, x in enumerate(salts))).where("low < high")
+        rows = kept(rows.join(lists.select("token", "m", F.array(*(F.col(f"p{k}").bitwiseXOR(x) for k, x in enumerate(salts))).alias("pivots")), "token"))
+        n, n_pairs = rows.agg(F.count("*"), F.coalesce(F.sum((F.col("m") - 1) / 2), F.lit(0.0))).first()
+        if turn == TURNS or n_pairs <= FEW_PAIRS * n:
+            break
+
+    if n:
+        per_list = rows.groupBy("token", "name").count().groupBy("token").agg(F.max(F.struct("count", "name")).alias("most")).select("token", F.col("most.name").alias("most"))
+        mixed = kept(rows.drop("pivots", "m").join(per_list, "token").join(signs.select("class", "sig"), "class"))
+        columns = ("class", "n", "place", "name", "sig")
+        one = mixed.where("name <> most").select("token", "most", *(F.col(c).alias(f"{c}1") for c in columns))
+        other = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in columns))
+        crossing = (F.col("name1") != F.col("name2")) & ((F.col("name2") == F.col("most")) | (F.col("class1") < F.col("class2")))
+        met = one.alias("p").join(other.alias("q"), (F.col("p.token") == F.col("q.token")) & crossing & may & may_link())
+        link(met.select(F.col("class1").alias("x"), F.col("class2").alias("y")).select(*pair).distinct())
 
     of_class = documents.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"))
     by_name = named(of_class, "class", "name")
