@@ -8,6 +8,11 @@ have the value is taken at its lower confidence bound, so that a value of a sing
 is judged too, and one text is weaker evidence than many. Terms over ``GENERALISED``
 become a label of their kind and terms over ``REMOVED`` go, wherever they stand.
 
+Which terms those are is found in three passes whose shuffles hold no texts: terms near
+findings; a count of texts for these, as a small map a term that adds up before the
+shuffle; and the places of the few that may still pass. Maps of a fixed number of bits
+leave out other words before anything is counted or moved.
+
 Patterns are written so that each runs in one pass over any text: possessive runs,
 and a run is entered at its start or where the last match ended.
 """
@@ -35,6 +40,8 @@ NEAR, REACH = 3, 80
 #: text alone, the share passes GENERALISED from about 20 texts on; with another text of the term, from 6e8.
 DOUBT = 0.4
 GENERALISED, REMOVED = 0.95, 0.999
+#: Bits of the map of wanted values: a fixed size. With many more values it leaves out less; results are the same.
+BITS = 1 << 22
 TERM = r"[\p{L}\p{M}]++"
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -120,22 +127,49 @@ def _share(texts: int, n_term: str) -> Column:
     return F.log(F.lit(float(texts)) * low / F.col("n_value")) / F.log((F.lit(float(texts)) + 1) / F.col("n_value"))
 
 
+def _marks(df: DataFrame, value: str) -> Column:
+    """A map of BITS bits, those of a column's hashes set, as one value of other queries."""
+    cell = F.col(value).bitwiseAND(F.lit(BITS - 1).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = df.select(F.shiftright(cell, 6).alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    every = df.sparkSession.range(0, BITS // 64, 1, 1).join(words, "id", "left").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("m"))  # a fixed number of rows
+    return every.select(F.col("m.bits")).scalar()
+
+
+def _marked(marks: Column, value: Column) -> Column:
+    """Whether the bit of a hash is set in a map."""
+    cell = value.bitwiseAND(F.lit(BITS - 1).cast("long"))
+    bits = F.call_function("shiftright", F.get(marks, F.shiftright(cell, 6).cast("int")), cell.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return bits.bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumns({"_h": F.xxhash64("text"), "_g": F.hash("text")})
+
+
+def _words_among(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(_h, _g, term) of the words of all texts, once a row, but for most of those that aren't among ``terms``."""
+    words = _named(docs).select("_h", "_g", F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(text), {_quoted(TERM)}, 0))")).alias("term"))
+    return words.where(_marked(_marks(terms.select(F.xxhash64("term").alias("v")), "v"), F.xxhash64("term")))
+
+
 def disclosing(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(_h, _g, terms) for the texts in which disclosing terms stand, each with its kind and share of information.
 
-    Counts are of different texts, over all of ``docs``. Only terms that may pass are counted
-    in the whole corpus: a term has at least the texts in which it is near some value, and
-    a share that is too small with those is too small with all.
+    Counts are of different texts, over all of ``docs``. A term has at least the texts in which it is near some
+    value, and at least as many as its texts' hashes fall into different ones of 64 places; a share that is too
+    small with those is too small with all. Only terms that may pass are then counted exactly.
     """
     near = saved(_contexts(spans))
     total = spans.select("_h").distinct().count()
     values = near.groupBy("value").agg(F.count_distinct("_h").alias("n_value"))
     seen = near.select("term", "_h").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     both = near.groupBy("value", "kind", "term").agg(F.count("*").alias("n_both"))
-    may = saved(both.join(values, "value").join(seen, "term").where(_share(total, "n_near") >= GENERALISED).select("value", "kind", "term", "n_both", "n_value"))
-    terms = may.select("term").distinct()
-    words = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.hash(F.coalesce("text", F.lit(""))).alias("_g"), F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(text), {_quoted(TERM)}, 0))")).alias("term"))
-    where = saved(words.join(terms, "term").distinct())
+    may = saved(both.join(values, "value").join(seen, "term").where(_share(total, "n_near") >= GENERALISED).select("value", "kind", "term", "n_both", "n_value", "n_near"))
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_h").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    least = _words_among(docs, may).groupBy("term").agg(F.bit_count(F.bit_or(place)).alias("n_places"))
+    may = saved(may.join(least, "term").withColumn("n_least", F.greatest("n_near", "n_places")).where(_share(total, "n_least") >= GENERALISED).drop("n_least", "n_places"))
+    where = saved(_words_among(docs, may).join(may.select("term").distinct(), "term").distinct())
     told = may.join(where.groupBy("term").agg(F.count("*").alias("n_term")), "term").withColumn("share", _share(total, "n_term")).where(F.col("share") >= GENERALISED)
     told = told.groupBy("term").agg(F.max(F.struct("share", "kind")).alias("most")).select("term", "most.share", "most.kind")
     return saved(where.join(told, "term").groupBy("_h", "_g").agg(F.sort_array(F.collect_set(F.struct("term", "kind", "share"))).alias("terms")))
@@ -163,7 +197,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     # With a finding the text is kept for its surroundings; without, only its name is.
     spans = saved(rows.withColumn("text", F.expr("if(size(_base) > 0, text, '')")))
     told = disclosing(docs, spans)
-    terms = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumns({"_h": F.xxhash64("text"), "_g": F.hash("text")}).join(told, ["_h", "_g"]).dropDuplicates(["_h", "_g"])
+    # A text of each is taken before it meets its terms, however many copies it has.
+    terms = _named(docs).where(_marked(_marks(told, "_h"), F.col("_h"))).groupBy("_h", "_g").agg(F.first("text").alias("text")).join(told, ["_h", "_g"])
     terms = terms.join(spans.select("_h", "_g", "_base").dropDuplicates(["_h", "_g"]), ["_h", "_g"]).select("_h", "_g", _term_spans().alias("_terms"))
     out = spans.drop("text").join(terms, ["_h", "_g"], "left")
     every = _listed(f"concat(_base, coalesce(_terms, cast(array() as {_SPANS})))")
