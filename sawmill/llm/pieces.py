@@ -6,6 +6,10 @@ metaspace marker, unigram scores - or, for a BPE model, merges in order of their
 pieces' scores - and byte fallback. No piece holds a marker after another
 character, so a text's ids are those of its units (markers and what follows them);
 each distinct unit is encoded once, in multithreaded batches.
+
+Parity is verified for every document: the model's own library normalises every text,
+and encodes every distinct unit; where either differs from what is rebuilt, it encodes
+the whole document, which decides.
 """
 
 from __future__ import annotations
@@ -22,14 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table, texts_of, tokenizer_path
+from .common import settled, steps, table, texts_of, tokenizer_path
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-MEMO_UNITS, STEP = 300_000, 4_000_000
-#: Texts that the model's own library is given at once.
-OWN_ROWS = 100
+MEMO_UNITS, STEP = 300_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -97,25 +99,35 @@ class Surfaces:
 
     def __init__(self, spec: Spec):
         self.spec = spec
-        self.bytes_of = [self._surface(p, t) for p, _, t in spec.pieces]
+        surfaces = [self._surface(p, t) for p, _, t in spec.pieces]
+        self.surface = np.frombuffer(b"".join(surfaces), np.uint8)
+        self.surface_at = np.concatenate([[0], np.cumsum([len(x) for x in surfaces], dtype=np.int64)])
 
     def _surface(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
             return bytes([int(piece[3:5], 16)])
         return {UNKNOWN: self.spec.unknown_surface.encode(), CONTROL: b""}.get(kind, piece.replace(MARK, " ").encode())
 
+    def decode_many(self, ids: np.ndarray, n: np.ndarray) -> list[str]:
+        """The texts of rows of ``n`` ids each, which stand one after another."""
+        begin = self.surface_at[ids]
+        length = self.surface_at[ids + np.uint32(1)] - begin
+        upto = np.concatenate([[0], np.cumsum(length)])
+        data = self.surface[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])].tobytes()
+        ends = upto[np.concatenate([[0], np.cumsum(n)])].tolist()
+        skip = self.spec.dummy_prefix
+        return [data[a + (skip and data[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+
     def decode(self, ids: np.ndarray) -> str:
-        data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        if self.spec.dummy_prefix and data[:1] == b" ":
-            data = data[1:]
-        return data.decode("utf-8", "replace")
+        return self.decode_many(np.asarray(ids, np.uint32), np.array([len(ids)]))[0]
 
 
 class Pieces(Surfaces):
-    """Encodes and decodes as the model's own library does."""
+    """Encodes and decodes as the model's own library does, and verifies it if given that library's processor."""
 
-    def __init__(self, spec: Spec):
+    def __init__(self, spec: Spec, own=None):
         super().__init__(spec)
+        self.own = own
         # As many threads as the task has cores; a cluster sets RAYON_NUM_THREADS with spark.task.cpus.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "1"))
@@ -143,6 +155,12 @@ class Pieces(Surfaces):
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.odd = np.zeros(0, bool)
+
+    def _unlike(self, units: list[str], found: list[list[int]]) -> list[bool]:
+        """Whether the own library encodes each unit otherwise. It adds the first marker itself."""
+        given = [(u[1:] if self.spec.dummy_prefix else u).replace(MARK, " ") for u in units]
+        return [a != b for a, b in zip(self.own.encode(given, num_threads=1), found)]
 
     def normalised(self, text: str) -> str:
         if self.characters is not None:
@@ -151,14 +169,27 @@ class Pieces(Surfaces):
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return ""
-        return ((" " if self.spec.dummy_prefix else "") + text).replace(" ", MARK)
+        text = ((" " if self.spec.dummy_prefix else "") + text).replace(" ", MARK)
+        return text.rstrip(MARK) if self.spec.remove_extra else text  # a text's own markers at its end go too
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and each text's number of ids."""
+        return self._encode([self.normalised(t) for t in texts])[:2]
+
+    def verified(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """The same, and whether the own library gives each text the same ids."""
         ready = [self.normalised(t) for t in texts]
+        ids, n, odd = self._encode(ready)
+        same = [not o and self.own.normalize(t) == r for o, t, r in zip(odd.tolist(), texts, ready)]
+        if not all(same):
+            rows = np.split(ids, np.cumsum(n)[:-1])
+            same = [s or self.own.encode(t, num_threads=1) == r.tolist() for s, t, r in zip(same, texts, rows)]
+        return ids, n, same
+
+    def _encode(self, ready: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         chars = np.array([len(t) for t in ready], np.int64)
         if not chars.sum():
-            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+            return np.empty(0, np.uint32), np.zeros(len(ready), np.int64), np.zeros(len(ready), bool)
         joined = "".join(ready)
         points, data = np.frombuffer(joined.encode("utf-32-le"), np.uint32), joined.encode()
         ends = np.cumsum(chars)
@@ -167,8 +198,8 @@ class Pieces(Surfaces):
         mark = points == ord(MARK)
         first[1:] |= mark[1:] & ~mark[:-1]
         starts = np.flatnonzero(first)
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-        offsets = np.append((np.cumsum(width) - width)[starts], len(data)).astype(np.int32)
+        wide = np.cumsum(points >= 0x80, dtype=np.int32) + np.cumsum(points >= 0x800, dtype=np.int32) + np.cumsum(points >= 0x10000, dtype=np.int32)
+        offsets = np.append(starts + np.where(starts > 0, wide[starts - 1], 0), len(data)).astype(np.int32)
         units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
         known, codes = units.dictionary.to_pylist(), units.indices.to_numpy()
         if len(self.memo) + len(known) > MEMO_UNITS:
@@ -179,17 +210,25 @@ class Pieces(Surfaces):
             self.memo.update(zip(new, range(base, base + len(new))))
             self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32)])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(f) for f in found])])
+            self.odd = np.concatenate([self.odd, np.array(self._unlike(new, found) if self.own else np.zeros(len(new)), bool)])
         rows = np.fromiter(map(self.memo.__getitem__, known), np.int64, len(known))[codes]
         begin, length = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
         upto = np.cumsum(length)
         ids = self.ids[np.repeat(begin - (upto - length), length) + np.arange(upto[-1])]
-        return ids, np.diff(np.concatenate([[0], upto])[np.searchsorted(starts, np.concatenate([[0], ends]))])
+        at = np.searchsorted(starts, np.concatenate([[0], ends]))
+        odd = np.diff(np.concatenate([[0], np.cumsum(self.odd[rows])])[at]) > 0
+        return ids, np.diff(np.concatenate([[0], upto])[at]), odd
 
 
 @lru_cache(2)
-def pieces_of(path: str) -> Pieces:
+def pieces_of(path: str, verify: bool = False) -> Pieces:
+    own = None
+    if verify:
+        import sentencepiece
+
+        own = sentencepiece.SentencePieceProcessor(model_file=path)
     with open(path, "rb") as f:
-        return Pieces(read_model(f.read()))
+        return Pieces(read_model(f.read()), own)
 
 
 @lru_cache(2)
@@ -198,27 +237,33 @@ def surfaces_of(path: str) -> Surfaces:
         return Surfaces(read_model(f.read()))
 
 
-@lru_cache(2)
-def own_library(path: str):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+def _binary(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], 4 * np.cumsum(n)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """``docs`` (with a column text; null is empty and has no ids) and ``ids``: its pieces' ids as
-    little-endian unsigned 32-bit integers. An older column of that name is replaced."""
-    docs = docs.drop("ids")
+def _encoded(docs: DataFrame, model: str, more: dict[str, str]) -> DataFrame:
+    """``docs`` with ids and the columns ``more``: those of ``round_trip``, in one pass of the workers."""
+    settled(docs.sparkSession)
+    docs = docs.drop("ids", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rebuilt = pieces_of(model)
+        rebuilt = pieces_of(model, "parity" in more)
         for batch in steps(batches, chars=STEP):
-            ids, n = rebuilt.encode(texts_of(batch))
-            ends = np.concatenate([[0], 4 * np.cumsum(n)]).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, data], [*batch.schema.names, "ids"])
+            if "parity" in more:
+                ids, n, same = rebuilt.verified(texts_of(batch))
+                made = [pa.array(rebuilt.decode_many(ids, n), pa.string()), pa.array(same, pa.bool_())]
+            else:
+                (ids, n), made = rebuilt.encode(texts_of(batch)), []
+            yield pa.RecordBatch.from_arrays([*batch.columns, _binary(ids, n), *made], [*batch.schema.names, "ids", *more])
+
+    return docs.mapInArrow(run, docs.withColumns({"ids": F.lit(None).cast("binary"), **{c: F.lit(None).cast(t) for c, t in more.items()}}).schema)
+
 
-    return docs.mapInArrow(run, docs.withColumn("ids", F.lit(None).cast("binary")).schema)
+def encode(docs: DataFrame, model: str) -> DataFrame:
+    """``docs`` (with a column text; null is empty and has no ids) and ``ids``: its pieces' ids as
+    little-endian unsigned 32-bit integers. An older column of that name is replaced."""
+    return _encoded(docs, model, {})
 
 
 def decode(rows: DataFrame, model: str, column: str = "text") -> DataFrame:
@@ -226,29 +271,27 @@ def decode(rows: DataFrame, model: str, column: str = "text") -> DataFrame:
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        surfaces = surfaces_of(model)
-        return pa.array((surfaces.decode(np.frombuffer(i.as_py() or b"", "<u4")) for i in ids), pa.string(), size=len(ids))
+        rows = [np.frombuffer(i.as_buffer() or b"", "<u4") if i.is_valid else np.empty(0, np.uint32) for i in ids]
+        return pa.array(surfaces_of(model).decode_many(np.concatenate([np.empty(0, np.uint32), *rows]), np.array([len(r) for r in rows], np.int64)), pa.string())
 
+    settled(rows.sparkSession)
     return rows.withColumn(column, text("ids"))
 
 
-def encoded(docs: DataFrame, model: str) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text; other columns are ignored): the number and crc32 of the ids that ``encode``
-    gives, whether the model's own library gives the same ids (``parity``), and whether ``decode`` makes of them the
-    text as it was (``decoded_same``; a normaliser that changes texts makes it false). A null text is empty and has no ids.
-    """
-    rows = encode(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), model)
+def round_trip(docs: DataFrame, model: str) -> DataFrame:
+    """``docs`` with what ``encode`` gives (ids), what ``decode`` makes of it (decoded) and whether the model's own
+    library gives the same ids (parity), all in one pass. Older columns of these names are replaced."""
+    return _encoded(docs, model, {"decoded": "string", "parity": "boolean"})
 
-    @F.arrow_udf("boolean")
-    def parity(texts: pa.Array, ids: pa.Array) -> pa.Array:
-        own, same = own_library(model), []
-        for at in range(0, len(ids), OWN_ROWS):
-            found = own.encode(texts.slice(at, OWN_ROWS).to_pylist(), num_threads=1)
-            same += [np.frombuffer(i.as_py(), "<u4").tolist() == o for i, o in zip(ids.slice(at, OWN_ROWS), found)]
-        return pa.array(same, pa.bool_())
 
+def encoded(docs: DataFrame, model: str) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text; other columns are ignored): the number and crc32 of the ids, parity with the
+    model's own library, and whether decoding gives the text as it was (``decoded_same``; a normaliser that changes
+    texts makes it false). A null text is empty and has no ids. A model that isn't rebuilt is an error.
+    """
+    rows = round_trip(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), model)
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
-    return decode(rows, model, "decoded").select("doc_id", n_tokens, F.crc32("ids").alias("ids_crc32"), parity("text", "ids").alias("parity"), (F.col("decoded") == F.col("text")).alias("decoded_same"))
+    return rows.select("doc_id", n_tokens, F.crc32("ids").alias("ids_crc32"), "parity", (F.col("decoded") == F.col("text")).alias("decoded_same"))
 
 
 def op10_sentencepiece_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
