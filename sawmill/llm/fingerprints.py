@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_CHARS, in_id_order, partitions, steps, table, texts_of
+from .common import STEP_CHARS, in_id_order, partitions, settled, steps, table, texts_of
 
 ROWS = 3
 #: log2 of the cells in a row of a stored fingerprint, and of the step after a failed peeling.
@@ -50,12 +50,14 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(data, np.uint8)
     white = b <= 0x20
     end = np.flatnonzero(white & np.concatenate([[False], ~white[:-1]]))  # after each word
+    text_end = np.cumsum([len(r) + 1 for r in raws])
+    text_begin, of = np.concatenate([[0], text_end[:-1]]), np.searchsorted(text_end, end, side="right")
+    before = end - text_begin[of]  # bytes of the text up to here; what stands before it plays no part
     w = b.astype(np.uint32)
-    tail = w[end - 1] * 31 + np.where(end > 1, w[np.maximum(end - 2, 0)], 0) * 17 + np.where(end > 2, w[np.maximum(end - 3, 0)], 0) * 7
+    tail = w[end - 1] * 31 + np.where(before > 1, w[np.maximum(end - 2, 0)], 0) * 17 + np.where(before > 2, w[np.maximum(end - 3, 0)], 0) * 7
     chosen = (b[end] == 0x0A) | (((tail * np.uint32(2654435761)) >> np.uint32(24)) % CUT == 0)
-    text_end = np.cumsum([len(r) + 1 for r in raws])
     word = np.arange(len(end))
-    first = np.searchsorted(end, np.concatenate([[0], text_end[:-1]]))[np.searchsorted(text_end, end, side="right")]
+    first = np.searchsorted(end, text_begin)[of]
     since = word - np.maximum(np.maximum.accumulate(np.where(chosen, word, -1)), first - 1)
     end = end[chosen | (word - first < BEGINNING) | (since % LONGEST == 0)]
     end = np.union1d(end, np.flatnonzero(b == 0x0A))
@@ -134,10 +136,11 @@ def _of(digest: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
     return np.repeat(np.arange(len(rows)), n), digest[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-def differences(digest: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, size: int = SIZE) -> np.ndarray:
+def differences(digest: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, size: int = SIZE, recovered: list | None = None) -> np.ndarray:
     """How many digests each pair of texts (by place) differs by, as its subtracted sketches peel.
 
-    A pair whose sketches don't peel is built again, larger, until it does.
+    A pair whose sketches don't peel is built again, larger, until it does. ``recovered`` gets what
+    was peeled: arrays of pairs, of digests, and of signs (1: left only, -1: right only).
     """
     out, todo = np.zeros(len(left), np.int64), np.arange(len(left))
     while len(todo):
@@ -147,9 +150,11 @@ def differences(digest: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.n
             a, b = Sketches(len(some), size), Sketches(len(some), size)
             a.add(*_of(digest, n, left[some]))
             b.add(*_of(digest, n, right[some]))
-            owner, _, _, whole = a.minus(b).peel()
+            owner, found, sign, whole = a.minus(b).peel()
             out[some] = np.bincount(owner, minlength=len(some))
             stuck.append(some[~whole])
+            if recovered is not None:
+                recovered.append((some[owner[whole[owner]]], found[whole[owner]], sign[whole[owner]]))
         todo, size = np.concatenate(stuck), size + LARGER
     return out
 
@@ -186,6 +191,47 @@ def _rows(ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
     )
 
 
+def fingerprint(docs: DataFrame) -> DataFrame:
+    """doc_id, n_paragraphs and fingerprint of every row of ``docs`` (doc_id, text; others are ignored). Null is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, chars=STEP_CHARS // 4):
+            digest, n = digests(texts_of(batch))
+            sketches = Sketches(len(n), SIZE)
+            sketches.add(np.repeat(np.arange(len(n)), n), digest)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sketches.texts(n), pa.string())], ["doc_id", "n_paragraphs", "fingerprint"])
+
+    settled(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_paragraphs long, fingerprint string")
+
+
+def compare(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What differs between two versions of a table (doc_id, text; others are ignored), by doc_id: ``likeness``, and the
+    recovered digests of paragraphs that only the new version has (``added``) or only the old one (``removed``).
+
+    Documents of one version only are compared with an empty text; rows without doc_id are left out.
+    Where doc_ids repeat, every old row of one is compared with every new row of it.
+    """
+    both = old.select(F.col("doc_id").cast("long"), F.col("text").alias("text")).join(new.select(F.col("doc_id").cast("long"), F.col("text").alias("later")), "doc_id", "full_outer").where("doc_id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for wide in steps(batches, chars=STEP_CHARS // 4):
+            for batch in steps([wide], "later", STEP_CHARS // 4):
+                k, peeled = len(batch), []
+                digest, n = digests(texts_of(batch) + texts_of(batch, "later"))
+                differ = differences(digest, n, np.arange(k), np.arange(k) + k, recovered=peeled)
+                owner, found, sign = (np.concatenate([x[i] for x in peeled]) for i in range(3))
+                sides = []
+                for s in (-1, 1):
+                    at, some = owner[sign == s], found[sign == s].astype(np.int64)
+                    some = some[np.lexsort((some, at))]
+                    sides.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=k))]).astype(np.int32)), pa.array(some)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(likeness(differ, n[:k], n[k:])), *sides], ["doc_id", "likeness", "added", "removed"])
+
+    settled(old.sparkSession)
+    return both.mapInArrow(run, "doc_id long, likeness double, added array<long>, removed array<long>")
+
+
 def fingerprint_versions(docs: DataFrame) -> DataFrame:
     """Fingerprints every text (null: empty) of ``docs`` (doc_id, text; other columns are ignored)
     and its edited text, whose second half is the next document's beginning; ``near_*`` are
@@ -195,7 +241,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     row after the last is the first one, so a single row follows itself. No rows give none.
     One shuffle by ranges of doc_id; a part's last text finds the next part's first, which is sent to both.
     """
-    spark = docs.sparkSession
+    spark = settled(docs.sparkSession)
     rows, _ = in_id_order(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), 4 * partitions(spark))
     firsts = [(r["part"], r["nulls"], r["first"]) for r in rows.groupBy("part").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls")).orderBy("part").collect()]  # one row a part, a fixed number
     before = spark.createDataFrame([(p, None if nulls else first, firsts[i - 1][0]) for i, (p, nulls, first) in enumerate(firsts)], "part int, first_id long, to int")
