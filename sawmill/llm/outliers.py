@@ -1,15 +1,22 @@
 """Operator 7: quality rules with robust multivariate outliers.
 
 Fixed rules come first. Then each document's vector of transformed statistics is
-held against the minimum-covariance-determinant estimate of its language and source:
-from medians and median deviations, concentration steps keep the nearest ``HELD``
-of a group's rows and take their mean and covariance again. Estimates are grouped
-aggregates over all rows; groups of fewer than ``LEAST`` rows use their language's
-estimate, or that of all rows.
+held against the minimum-covariance-determinant estimate of its language and source,
+found as FAST-MCD does: several starts a group; two concentration steps each, which
+keep the nearest ``HELD`` of the group's rows and take their mean and covariance
+again; the start of least determinant goes on until its determinant falls no more.
+The starts are deterministic, from medians and median deviations: independent
+statistics, and correlations of their hyperbolic tangents and of spatial signs.
+Every determinant is that of the covariance with ``FLOOR`` (a regularised one).
+
+Estimates are grouped aggregates over all rows. A language and source of fewer than
+``LEAST`` rows uses its language's estimate, or that of all rows; those are made
+only where some source needs them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +24,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import guarded, saved, table
+from .common import guarded, remove, saved, scratch, table
 from .statistics import with_counts
 
-HELD, STEPS, LEAST = 0.75, 3, 100
+HELD, LEAST = 0.75, 100
+#: Steps of each start, steps of the best one at most, and the fall of a log-determinant that ends them.
+FIRST_STEPS, STEPS, TOLERANCE = 2, 20, 1e-4
 #: Spread that each statistic has at least, added to every estimate: a group of copies has none of its own.
 FLOOR = (0.05, 0.3, 0.35, 0.3, 0.7, 0.5)
-#: Squared Mahalanobis distance; a chi-square of six degrees exceeds it 4 times in a million.
-CUTOFF = 35.0
 P = len(FLOOR)
+#: A regular document's chance to be an outlier, were the statistics normal.
+TAIL = 4e-6
+ESTIMATE = "key string, start int, n long, m array<double>, w array<double>, logdet double"
+LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def chi_square(x: float, degrees: int) -> float:
+    """The chance that a chi-square variable of an even number of degrees is at most x."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(degrees // 2))
+
+
+def chi_square_at(p: float, degrees: int) -> float:
+    """The x for which ``chi_square`` is p."""
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        x = (low + high) / 2
+        low, high = (x, high) if chi_square(x, degrees) < p else (low, x)
+    return low
+
+
+#: What makes the covariance of the nearest HELD of normal rows that of all of them, and the squared distance of outliers.
+CONSISTENCY = HELD / chi_square(chi_square_at(HELD, P), P + 2)
+CUTOFF = chi_square_at(1 - TAIL, P)
 
 
 def vector() -> list[Column]:
@@ -44,9 +74,9 @@ def base_failed() -> Column:
 
 
 def _keys() -> list[Column]:
-    """The groups of a row, closest first; nulls are a group of their own."""
+    """A row's source with language, and its language; nulls are a group of their own."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(k)), F.lit("-")) for k in ("lang", "source"))
-    return [F.concat(F.lit("2"), F.length(lang).cast("string"), lang, source), F.concat(F.lit("1"), lang), F.lit("0")]
+    return [F.concat(F.lit("2"), F.length(lang).cast("string"), lang, source), F.concat(F.lit("1"), lang)]
 
 
 def _distance() -> Column:
@@ -56,48 +86,95 @@ def _distance() -> Column:
     return sum((r * r for r in rows[1:]), rows[0] * rows[0])
 
 
+def _square(lower: list[float]) -> np.ndarray:
+    c = np.zeros((P, P))
+    c[np.tril_indices(P)] = lower
+    return np.tril(c) + np.tril(c, -1).T
+
+
+def _estimate(mean: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse Cholesky factor and log-determinant of a covariance with FLOOR."""
+    values, vectors = np.linalg.eigh(c)
+    low = np.linalg.cholesky((vectors * np.maximum(values, 0)) @ vectors.T + np.diag(np.square(FLOOR)))
+    return mean, np.linalg.inv(low)[np.tril_indices(P)], float(2 * np.log(np.diag(low)).sum())
+
+
+def _rows_of(found: list[tuple]) -> pa.RecordBatch:
+    kind = pa.list_(pa.float64())
+    columns = list(zip(*found)) if found else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), kind, kind, pa.float64()))], [c.split()[0] for c in ESTIMATE.split(", ")])
+
+
 def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, n, means and second moments to key, n, mean and inverse Cholesky factor of the covariance with FLOOR."""
+    """Estimates from the mean and second moments of the nearest rows."""
     for batch in batches:
-        keys, ns, means, seconds = (batch.column(k).to_pylist() for k in ("key", "n", "mean", "second"))
-        m, w = [], []
-        for mean, second in zip(means, seconds):
-            mean, c = np.array(mean), np.zeros((P, P))
-            c[np.tril_indices(P)] = second
-            c = np.tril(c) + np.tril(c, -1).T - np.outer(mean, mean)
-            values, vectors = np.linalg.eigh(c)
-            c = (vectors * np.maximum(values, 0)) @ vectors.T + np.diag(np.square(FLOOR))
-            m.append(mean)
-            w.append(np.linalg.inv(np.linalg.cholesky(c))[np.tril_indices(P)])
-        kind = pa.list_(pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ns, pa.int64()), pa.array(m, kind), pa.array(w, kind)], ["key", "n", "m", "w"])
+        rows = zip(*(batch.column(k).to_pylist() for k in ("key", "start", "n", "mean", "second")))
+        yield _rows_of([(key, start, n, *_estimate(np.array(m), CONSISTENCY * (_square(s) - np.outer(m, m)))) for key, start, n, m, s in rows])
 
 
-def estimates(stats: DataFrame) -> DataFrame:
-    """key, n, mean and factor of every group of ``stats`` (lang, source and COUNTS)."""
-    rows = saved(stats.where(~base_failed()).select(F.explode(F.array(*_keys())).alias("key"), *(v.alias(f"x{i}") for i, v in enumerate(vector()))))
-    middle = rows.groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.percentile_approx(f"x{i}", 0.5) for i in range(P))).alias("mean"))
-    away = rows.join(saved(middle), "key").groupBy("key", "n", "mean").agg(F.array(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col("mean")[i]), 0.5) for i in range(P))).alias("mad"))
-    lower = [(i, j) for i in range(P) for j in range(i + 1)]
-    start = away.select("key", "n", "mean", F.array(*(F.col("mean")[i] * F.col("mean")[j] + (F.pow(F.col("mad")[i] * 1.4826, 2) if i == j else F.lit(0.0)) for i, j in lower)).alias("second"))
-    now = saved(start.mapInArrow(_factors, "key string, n long, m array<double>, w array<double>"))
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three estimates a group, from medians, deviations and moments of tangents and of signs."""
+    for batch in batches:
+        found = []
+        for key, n, middle, spread, tangents, signs in zip(*(batch.column(k).to_pylist() for k in ("key", "n", "middle", "spread", "tangents", "signs"))):
+            for start, moments in enumerate((None, tangents, signs)):
+                c = np.eye(P) if moments is None else _square(moments)
+                scale = np.sqrt(np.maximum(np.diag(c), 1e-9))
+                found.append((key, start, n, *_estimate(np.array(middle), c / np.outer(scale, scale) * np.outer(spread, spread))))
+        yield _rows_of(found)
+
+
+def _nearer(rows: DataFrame, now: DataFrame, path: str) -> DataFrame:
+    """A concentration step of every start."""
+    far = rows.join(now, "key").withColumn("d", _distance())
+    cut = saved(far.groupBy("key", "start").agg(F.percentile_approx("d", HELD).alias("cut")), at := scratch(rows.sparkSession))
+    near = far.join(cut, ["key", "start"]).where("d <= cut")
+    moments = near.groupBy("key", "start", "n").agg(F.array(*(F.avg(f"x{i}") for i in range(P))).alias("mean"), F.array(*(F.avg(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in LOWER)).alias("second"))
+    after = saved(moments.mapInArrow(_factors, ESTIMATE), path)
+    remove(rows.sparkSession, at)
+    return after
+
+
+def least_determinant(rows: DataFrame) -> DataFrame:
+    """The estimate of each ``key`` of ``rows`` (key and x0, x1, ...)."""
+    spark = rows.sparkSession
+    middle = saved(rows.groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.percentile_approx(f"x{i}", 0.5) for i in range(P))).alias("middle")))
+    off = [F.col(f"x{i}") - F.col("middle")[i] for i in range(P)]
+    spread = saved(rows.join(middle, "key").groupBy("key", "n", "middle").agg(F.array(*(F.percentile_approx(F.abs(off[i]), 0.5) * 1.4826 + FLOOR[i] for i in range(P))).alias("spread")))
+    z = rows.join(spread, "key").select("key", "n", "middle", "spread", *((off[i] / F.col("spread")[i]).alias(f"z{i}") for i in range(P)))
+    z = z.withColumn("size", sum((F.pow(f"z{i}", 2.0) for i in range(1, P)), F.pow("z0", 2.0)))
+    both = {"tangents": lambda i, j: F.tanh(f"z{i}") * F.tanh(f"z{j}"), "signs": lambda i, j: F.when(F.col("size") > 0, F.col(f"z{i}") * F.col(f"z{j}") / F.col("size")).otherwise(0.0)}
+    starts = z.groupBy("key", "n", "middle", "spread").agg(*(F.array(*(F.avg(of(i, j)) for i, j in LOWER)).alias(name) for name, of in both.items()))
+    now = saved(starts.mapInArrow(_starts, ESTIMATE))
+    for _ in range(FIRST_STEPS):
+        now = _nearer(rows, now, scratch(spark))
+    best = saved(now.groupBy("key").agg(F.min(F.struct("logdet", "start", "n", "m", "w")).alias("best")).select("key", "best.start", "best.n", "best.m", "best.w", "best.logdet"))
     for _ in range(STEPS):
-        far = rows.join(now, "key").withColumn("d", _distance())
-        cut = saved(far.groupBy("key").agg(F.percentile_approx("d", HELD).alias("cut")))
-        near = far.join(cut, "key").where("d <= cut")
-        moments = near.groupBy("key", "n").agg(F.array(*(F.avg(f"x{i}") for i in range(P))).alias("mean"), F.array(*(F.avg(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in lower)).alias("second"))
-        now = saved(moments.mapInArrow(_factors, "key string, n long, m array<double>, w array<double>"))
-    return now
+        after = _nearer(rows, best, scratch(spark))
+        fall = best.select("key", F.col("logdet").alias("before")).join(after, "key").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        if fall is None or fall <= TOLERANCE:
+            break
+        best = after
+    return best
+
+
+def estimates(stats: DataFrame) -> DataFrame:
+    """(leaf, m, w): for each language and source of ``stats`` (lang, source and COUNTS) the estimate that its rows are held against."""
+    leaf, language = _keys()
+    rows = saved(stats.where(~base_failed()).select(leaf.alias("leaf"), language.alias("language"), *(v.alias(f"x{i}") for i, v in enumerate(vector()))))
+    leaves = saved(rows.groupBy("leaf", "language").agg(F.count("*").alias("n")))
+    languages = leaves.groupBy("language").agg(F.sum("n").alias("n_language"), F.min("n").alias("smallest"))
+    uses = F.when(F.col("n") >= LEAST, F.col("leaf")).when(F.col("n_language") >= LEAST, F.col("language")).otherwise("0")
+    leaves = saved(leaves.join(languages, "language").withColumn("key", uses))
+    every = F.lit("0") if leaves.where("key = '0'").head(1) else F.lit(None)
+    enters = F.array_compact(F.array(F.when(F.col("n") >= LEAST, F.col("leaf")), F.when((F.col("smallest") < LEAST) & (F.col("n_language") >= LEAST), F.col("language")), every))
+    rows = saved(rows.join(leaves.select("leaf", enters.alias("keys")), "leaf").select(F.explode("keys").alias("key"), *(f"x{i}" for i in range(P))))
+    return saved(leaves.select("leaf", "key").join(least_determinant(rows), "key").select("leaf", "m", "w"))
 
 
 def judged(stats: DataFrame, groups: DataFrame) -> DataFrame:
     """``stats`` with base_failed, distance and kept. ``groups`` is a row a source; Spark broadcasts it if its written size allows."""
-    usable = groups.where((F.col("n") >= LEAST) | (F.col("key") == "0"))
-    keys = _keys()
-    rows = stats.withColumns({"base_failed": base_failed(), "key2": keys[0], "key1": keys[1], "key0": keys[2], **{f"x{i}": v for i, v in enumerate(vector())}})
-    for k in ("key2", "key1", "key0"):
-        rows = rows.join(usable.select(F.col("key").alias(k), F.col("m").alias(f"m_{k}"), F.col("w").alias(f"w_{k}")), k, "left")
-    rows = rows.withColumn("m", F.coalesce("m_key2", "m_key1", "m_key0")).withColumn("w", F.coalesce("w_key2", "w_key1", "w_key0"))
+    rows = stats.withColumns({"base_failed": base_failed(), "leaf": _keys()[0], **{f"x{i}": v for i, v in enumerate(vector())}}).join(groups, "leaf", "left")
     rows = rows.withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF))
 
@@ -106,7 +183,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """The counts, base_failed, distance and kept of every row of ``docs`` (doc_id, text, lang, source; others are ignored).
 
     Null and empty texts have no words and fail. A missing language or source is a group of its own.
-    Rows that fail the fixed rules don't enter the estimates. Repeated rows repeat; no rows give none.
+    Rows that fail the fixed rules don't enter the estimates; where all rows of a group fail, it has none. Repeated rows repeat; no rows give none.
     """
     stats = saved(with_counts(docs, ["doc_id", "lang", "source"]))
     return judged(stats, estimates(stats)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
