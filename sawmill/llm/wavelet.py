@@ -2,20 +2,24 @@
 
 File format: Parquet with one row a shard (``part``, ``shard`` order the shards;
 ``n_docs``, ``n_tokens``; ``data``), written by Spark's own committer, so a lost
-executor leaves no half shard. ``data`` is one compressed blob:
-
-    "WVM1" | bits u32 | n_tokens u64 | n_docs u64 | zeros of each plane u64[bits]
-    | ids known u8[n_docs] | doc_id i64[n_docs] | tokens of each document u32[n_docs]
-    | planes, most significant first, ceil(n_tokens / 8) bytes each
-
-Little-endian; after the magic the length of the rest (u64) and the rest, compressed by Zstandard. A plane holds one bit of every
-token; after each plane the tokens with a 0 go before those with a 1, in order.
-Counts of ones a block are rebuilt on reading and make rank and select fast.
+executor leaves no half shard. ``data`` is one blob, little-endian:
+
+    "WVM2" | bits u32 | n_tokens u64 | n_docs u64 | bytes of the documents' part u64
+    | zeros of each plane u64[bits]
+    | ones before each block of a plane, plane by plane u32[bits * (blocks + 1)]
+    | where each block ends u32[bits * blocks]
+    | documents, compressed: id known u8[n_docs], doc_id i64[n_docs], tokens u32[n_docs]
+    | blocks of the planes, most significant plane first
+
+A plane holds one bit of every token, in blocks of ``BLOCK`` bytes, each compressed
+by Zstandard on its own, or stored as it is where that is no smaller; after each plane
+the tokens with a 0 go before those with a 1, in order. Reading a token, counting and
+looking up occurrences inflate one or two blocks a plane; the rest stays compressed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +27,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_rows, in_id_order, partitions, scratch, steps, table, texts_of, tokenizer_path
+from .common import crc_rows, in_id_order, partitions, scratch, settled, steps, table, texts_of, tokenizer_path
 from .encoding import encoder
 
 END_ID = 2
 #: A shard is closed at this many tokens; a longer document is a shard of its own.
 SHARD_TOKENS = 1_000_000
-BLOCK = 64  # bytes of a plane between two stored counts of ones
+#: Bytes of a plane that are compressed together, and between two stored counts of ones.
+BLOCK = 16_384
 SHARDS = "part int, shard int, n_docs long, n_tokens long, data binary"
 
 
+class Plane:
+    """A bit of every token: blocks of bytes, and the ones before each."""
+
+    def __init__(self, blocks: Sequence[np.ndarray], ones: np.ndarray):
+        self.blocks, self.ones = blocks, ones
+
+    def bit(self, at: int) -> int:
+        byte = at >> 3
+        return int(self.blocks[byte // BLOCK][byte % BLOCK]) >> (7 - (at & 7)) & 1
+
+    def rank(self, at: int) -> int:
+        """Ones before a place."""
+        byte = at >> 3
+        block, rest = divmod(byte, BLOCK)
+        n = int(self.ones[block])
+        if rest or at & 7:
+            data = self.blocks[block]
+            n += int(np.bitwise_count(data[:rest]).sum())
+            n += (int(data[rest]) >> (8 - (at & 7))).bit_count() if at & 7 else 0
+        return n
+
+    def select(self, bit: int, k: int, n: int) -> int:
+        """Where the k-th (from 0) such bit of a plane of n bits is."""
+        have = self.ones if bit else np.minimum(np.arange(len(self.ones)) * BLOCK * 8, n) - self.ones
+        block = int(np.searchsorted(have, k, side="right")) - 1
+        return block * BLOCK * 8 + int(np.flatnonzero(np.unpackbits(self.blocks[block]) == bit)[k - int(have[block])])
+
+
+class Packed(Sequence):
+    """The blocks of a plane in a file; each is inflated when it is asked for, and the last one is kept."""
+
+    def __init__(self, data: memoryview, ends: np.ndarray, begin: int, size: int):
+        self.data, self.ends, self.begin, self.size = data, ends, begin, size
+        self.inflated, self.last = 0, (-1, None)
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i >= len(self):
+            raise IndexError(i)
+        if self.last[0] != i:
+            raw = self.data[int(self.ends[i - 1]) if i else self.begin : int(self.ends[i])]
+            size = min(BLOCK, self.size - i * BLOCK)
+            if len(raw) < size:
+                raw, self.inflated = ZSTD.decompress(raw, size), self.inflated + 1
+            self.last = i, np.frombuffer(raw, np.uint8)
+        return self.last[1]
+
+
 class WaveletMatrix:
     """Access, rank (counting) and select (occurrence lookup) over a sequence of ids."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int]):
         self.n, self.planes, self.zeros = n, planes, zeros
         self.bits = len(planes)
-        self.ones = []
-        for p in planes:
-            blocks = np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), BLOCK)) if len(p) else np.empty(0, np.int64)
-            self.ones.append(np.concatenate([[0], np.cumsum(blocks)]))
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -50,43 +101,28 @@ class WaveletMatrix:
         planes, zeros, rest = [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
             bit = ((rest >> level) & 1).astype(np.uint8)
-            planes.append(np.packbits(bit))
+            plane = np.packbits(bit)
+            blocks = [plane[i : i + BLOCK] for i in range(0, len(plane), BLOCK)]
+            planes.append(Plane(blocks, np.concatenate([[0], np.cumsum([np.bitwise_count(b).sum(dtype=np.int64) for b in blocks], dtype=np.int64)])))
             bit = bit.view(bool)
             low = np.compress(~bit, rest)
             zeros.append(len(low))
             rest = np.concatenate([low, np.compress(bit, rest)])
         return cls(len(ids), planes, zeros)
 
-    def _bit(self, level: int, at: int) -> int:
-        return int(self.planes[level][at >> 3]) >> (7 - (at & 7)) & 1
-
-    def _rank1(self, level: int, at: int) -> int:
-        byte = at >> 3
-        block = byte // BLOCK
-        n = int(self.ones[level][block]) + int(np.bitwise_count(self.planes[level][block * BLOCK : byte]).sum())
-        return n + (int(self.planes[level][byte]) >> (8 - (at & 7))).bit_count() if at & 7 else n
-
-    def _select(self, level: int, bit: int, k: int) -> int:
-        """Where the k-th (from 0) such bit of a plane is."""
-        ones = self.ones[level]
-        have = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK * 8, self.n) - ones
-        block = int(np.searchsorted(have, k, side="right")) - 1
-        part = np.unpackbits(self.planes[level][block * BLOCK : (block + 1) * BLOCK])
-        return block * BLOCK * 8 + int(np.flatnonzero(part == bit)[k - int(have[block])])
-
     def access(self, at: int) -> int:
         value = 0
-        for level in range(self.bits):
-            bit, r = self._bit(level, at), self._rank1(level, at)
+        for plane, zeros in zip(self.planes, self.zeros):
+            bit, r = plane.bit(at), plane.rank(at)
             value = value << 1 | bit
-            at = self.zeros[level] + r if bit else at - r
+            at = zeros + r if bit else at - r
         return value
 
     def _range(self, value: int, end: int) -> tuple[int, int]:
         begin = 0
-        for level in range(self.bits):
-            a, b = self._rank1(level, begin), self._rank1(level, end)
-            begin, end = (self.zeros[level] + a, self.zeros[level] + b) if value >> (self.bits - 1 - level) & 1 else (begin - a, end - b)
+        for level, (plane, zeros) in enumerate(zip(self.planes, self.zeros)):
+            a, b = plane.rank(begin), plane.rank(end)
+            begin, end = (zeros + a, zeros + b) if value >> (self.bits - 1 - level) & 1 else (begin - a, end - b)
         return begin, end
 
     def rank(self, value: int, end: int) -> int:
@@ -101,15 +137,15 @@ class WaveletMatrix:
         if value >> self.bits or not 0 <= k < self.rank(value, self.n):
             raise IndexError(k)
         at = self._range(value, self.n)[0] + k
-        for level in range(self.bits - 1, -1, -1):
-            at = self._select(level, 1, at - self.zeros[level]) if at >= self.zeros[level] else self._select(level, 0, at)
+        for plane, zeros in zip(reversed(self.planes), reversed(self.zeros)):
+            at = plane.select(1, at - zeros, self.n) if at >= zeros else plane.select(0, at, self.n)
         return at
 
     def decode(self) -> np.ndarray:
         """The whole sequence, plane by plane from the last one up."""
         values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            bit = np.unpackbits(np.concatenate([np.empty(0, np.uint8), *self.planes[level].blocks]), count=self.n).view(bool)
             values[self.zeros[level] :] |= values.dtype.type(1 << (self.bits - 1 - level))
             above = np.empty_like(values)
             above[~bit], above[bit] = values[: self.zeros[level]], values[self.zeros[level] :]
@@ -117,20 +153,28 @@ class WaveletMatrix:
         return values.astype(np.uint32)
 
 
+ZSTD = pa.Codec("zstd", 1)
+
+
 def dump(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     m = WaveletMatrix.build(ids)
-    body = [
-        np.array([m.bits], "<u4"), np.array([m.n, len(doc_ids), *m.zeros], "<u8"), np.array([d is not None for d in doc_ids], np.uint8),
-        np.array([d or 0 for d in doc_ids], "<i8"), np.asarray(lengths, "<u4"), *m.planes,
-    ]
-    data = b"".join(x.tobytes() for x in body)
-    return b"WVM1" + len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+    documents = ZSTD.compress(np.array([d is not None for d in doc_ids], np.uint8).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.asarray(lengths, "<u4").tobytes(), asbytes=True)
+    blocks = [small if len(small := ZSTD.compress(b, asbytes=True)) < len(b) else b.tobytes() for p in m.planes for b in p.blocks]
+    ones = np.concatenate([p.ones for p in m.planes])
+    head = [
+        b"WVM2", np.array([m.bits], "<u4").tobytes(), np.array([m.n, len(doc_ids), len(documents), *m.zeros], "<u8").tobytes(),
+        ones.astype("<u4").tobytes(),
+    ]
+    begin = sum(map(len, head)) + 4 * len(blocks) + len(documents)
+    ends = (begin + np.cumsum([len(b) for b in blocks], dtype=np.int64)).astype("<u4")
+    return b"".join([*head, ends.tobytes(), documents, *blocks])
 
 
 def load(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    if blob[:4] != b"WVM1":
+    """The documents' ids and numbers of tokens, and the matrix, whose blocks stay compressed until they are read."""
+    data, at = memoryview(blob), 4
+    if bytes(data[:4]) != b"WVM2":
         raise ValueError("not a wavelet-matrix shard")
-    data, at = pa.Codec("zstd").decompress(blob[12:], int.from_bytes(blob[4:12], "little"), asbytes=True), 0
 
     def take(kind: str, n: int) -> np.ndarray:
         nonlocal at
@@ -139,9 +183,14 @@ def load(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
         return out
 
     bits = int(take("<u4", 1)[0])
-    n, n_docs, *zeros = take("<u8", 2 + bits).tolist()
-    known, doc_ids, lengths = take("u1", n_docs), take("<i8", n_docs), take("<u4", n_docs)
-    planes = [take("u1", -(-n // 8)) for _ in range(bits)]
+    n, n_docs, n_bytes, *zeros = take("<u8", 3 + bits).tolist()
+    size = -(-n // 8)
+    n_blocks = -(-size // BLOCK)
+    ones, ends = take("<u4", bits * (n_blocks + 1)).astype(np.int64).reshape(bits, -1), take("<u4", bits * n_blocks).reshape(bits, -1)
+    documents = ZSTD.decompress(data[at : at + n_bytes], 13 * n_docs)
+    known, doc_ids, lengths = np.frombuffer(documents, "u1", n_docs), np.frombuffer(documents, "<i8", n_docs, n_docs), np.frombuffer(documents, "<u4", n_docs, 9 * n_docs)
+    begins = [at + n_bytes, *ends[:-1, -1].tolist()] if n_blocks else [at + n_bytes] * bits
+    planes = [Plane(Packed(data, ends[k], begins[k], size), ones[k]) for k in range(bits)]
     return [d if k else None for d, k in zip(doc_ids.tolist(), known)], lengths.astype(np.int64), WaveletMatrix(n, planes, zeros)
 
 
@@ -183,7 +232,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         if doc_ids:
             yield close()
 
-    spark = docs.sparkSession
+    spark = settled(docs.sparkSession)
     parts = 4 * partitions(spark)
     placed, _ = in_id_order(docs.select(F.col("doc_id").cast("long"), "text"), parts)
     placed.repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "text").mapInArrow(run, SHARDS).write.option("compression", "none").parquet(path)
@@ -205,13 +254,41 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data in zip(batch.column("first").to_pylist(), batch.column("data")):
-                doc_ids, n, matrix = load(data.as_py())
+                doc_ids, n, matrix = load(data.as_buffer())
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(first + ends - n), pa.array(n), pa.array(crc_rows(matrix.decode(), ends))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.join(offsets, ["part", "shard"]).select("first", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def count_tokens(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """id and n: how often each id occurs in the shards at ``path``, by rank, without decoding them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                matrix = load(data.as_buffer())[2]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([matrix.rank(i, matrix.n) for i in ids], pa.int64())], ["id", "n"])
+
+    return spark.read.schema(SHARDS).parquet(path).select("data").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """doc_id and position in its document of every occurrence of a token in the shards at ``path``, by select."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                doc_ids, n, matrix = load(data.as_buffer())
+                ends, n_found = np.cumsum(n), matrix.rank(token, matrix.n)
+                for k in range(0, n_found, 10_000):
+                    at = np.array([matrix.select(token, i) for i in range(k, min(k + 10_000, n_found))], np.int64)
+                    doc = np.searchsorted(ends, at, side="right")
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_ids[i] for i in doc.tolist()], pa.int64()), pa.array(at - (ends - n)[doc])], ["doc_id", "position"])
+
+    return spark.read.schema(SHARDS).parquet(path).select("data").mapInArrow(run, "doc_id long, position long")
+
+
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), path)
