@@ -50,7 +50,8 @@ class Trie:
             *whole, last = rest.split("/")
             for segment in whole:
                 node = node.setdefault("/" + segment, {})
-            ends = node.setdefault("", {})
+            ends = node.setdefault("", {})  # by length, then by text
+            ends = ends.setdefault(len(last), {})
             have = ends.get(last)
             if have is None or have[0] == "allow":  # the same rule on both lists blocks
                 ends[last] = (verdict, rule)
@@ -66,12 +67,10 @@ class Trie:
                 break
             at = node
             for i, segment in enumerate(segments):
-                ends = at.get("")
-                if ends:
-                    for k in range(len(segment) + 1):
-                        hit = ends.get(segment[:k])
-                        if hit and (found is None or len(hit[1]) >= len(found[1])):
-                            found = hit
+                for k, ends in at.get("", {}).items():  # as many lengths as rules end here with, however long the url is
+                    hit = ends.get(segment[:k])
+                    if hit and (found is None or len(hit[1]) >= len(found[1])):
+                        found = hit
                 at = at.get("/" + segment)
                 if at is None:
                     break
@@ -103,9 +102,9 @@ def _joined(rows: DataFrame, rules: list[tuple[str, str]], default: str) -> Data
     """The same for any number of rules: every distinct url meets the rules of its host and the hosts above it."""
     spark = rows.sparkSession
     table = spark.createDataFrame([(v, r, *r.split("/", 1)) for v, r in rules], "verdict string, rule string, name string, rest string").withColumn("rest", F.concat(F.lit("/"), "rest"))
-    labels = F.split("host", r"\.")
+    labels, most = F.split("host", r"\."), max(r.partition("/")[0].count(".") for _, r in rules) + 1  # no rule has more labels
     urls = rows.select("host", "path").distinct()
-    names = urls.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("name"))
+    names = urls.select("host", "path", F.explode(F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("name"))
     fits = names.join(table, "name").where(F.startswith("path", "rest"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("name").alias("m"), F.col("verdict").alias("v"), "rule", "verdict")).alias("hit")).select("host", "path", "hit.rule", "hit.verdict")
     return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
