@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -66,6 +68,43 @@ def test_fingerprints_follow_the_next_document(docs):
     assert len(prints[3]) == 1 and prints[3] != prints[4]
 
 
+def test_digests_are_the_same_wherever_a_text_stands():
+    r = random.Random(4)
+    texts = ["a b c d e f g h i j k l", "it is as we do so to be or no at me", "é a", "x", "", " y z", "ab\ncd ef", *(" ".join(r.choice(["a", "of", "Ü", "to", "tree"]) for _ in range(r.randint(1, 40))) for _ in range(60))]
+    alone = [fingerprints.digests([t])[0].tolist() for t in texts]
+    for t, want in zip(texts, alone):
+        digest, n = fingerprints.digests([x for other in texts for x in (other, t)])
+        got = np.split(digest, np.cumsum(n)[:-1])[1::2]
+        assert all(g.tolist() == want for g in got)
+
+
+def test_equal_neighbours_are_wholly_alike(spark):
+    r = random.Random(12)
+    table = [(i, t) for i, t in enumerate(t for _ in range(80) for t in [" ".join(r.choice(["a", "of", "Ü", "to", "tree"]) for _ in range(r.randint(1, 30)))] * r.randint(1, 4))]
+    got = {x["doc_id"]: x for x in fingerprints.fingerprint_versions(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()}
+    for (i, t), (j, u) in zip(table, table[1:] + table[:1]):
+        assert t != u or (got[i]["near_next"] == 1 and got[i]["next_differs_by"] == 0 and got[i]["fingerprint"] == got[j]["fingerprint"])
+        sets = [set(fingerprints.digests([x])[0].tolist()) for x in (t, u, fingerprints.edited(t, u))]
+        assert got[i]["next_differs_by"] == len(sets[0] ^ sets[1]) and got[i]["edited_differs_by"] == len(sets[0] ^ sets[2])
+        assert abs(got[i]["near_edited"] - (1 - len(sets[0] ^ sets[2]) / max(1, len(sets[0]) + len(sets[2])))) < 1e-12
+
+
+def test_versions_of_a_table(spark, empty):
+    r = random.Random(13)
+    old = [(i, text_of(r, r.randint(0, 400))) for i in range(60)] + [(100, "only old"), (None, "nameless"), (102, None)]
+    new = [(i, t if i % 3 else " ".join(w for w in t.split() if r.random() > 0.3)) for i, t in old[:60]] + [(101, "only new, of more words than one paragraph has"), (102, "")]
+    got = {x["doc_id"]: x for x in fingerprints.compare(*(spark.createDataFrame(t, "doc_id long, text string") for t in (old, new))).collect()}
+    a, b = dict(old), dict(new)
+    assert set(got) == {i for i in {**a, **b} if i is not None}
+    for i, x in got.items():
+        p, q = (set(fingerprints.digests([d.get(i) or ""])[0].astype(np.int64).tolist()) for d in (a, b))
+        assert x["added"] == sorted(q - p) and x["removed"] == sorted(p - q)
+        assert abs(x["likeness"] - (1 - len(p ^ q) / max(1, len(p) + len(q)))) < 1e-12
+    prints = {x["doc_id"]: x for x in fingerprints.fingerprint(spark.createDataFrame(old, "doc_id long, text string")).collect()}
+    assert len(prints) == len(old) and prints[5]["n_paragraphs"] == len(fingerprints.digests([a[5]])[0])
+    assert fingerprints.compare(empty, empty).collect() == [] and fingerprints.fingerprint(empty).collect() == []
+
+
 def test_fingerprints_of_nothing(empty):
     assert fingerprints.fingerprint_versions(empty).collect() == []
 
@@ -123,6 +162,23 @@ def test_wavelet_matrix():
     assert m.rank(9_999_999, 10) == 0
     with pytest.raises(IndexError):
         m.select(int(x[0]), 5_000)
+    with pytest.raises(ValueError, match="shard"):
+        wavelet.load(b"WVM1" + bytes(80))
+
+
+def test_lookups_inflate_few_blocks(monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK", 64)
+    for n, top in ((0, 1), (1, 9), (511, 2), (512, 2), (513, 2), (70_000, 40_000)):
+        x = np.minimum(np.random.default_rng(n).zipf(1.3, n), top).astype(np.uint32)
+        m = wavelet.load(wavelet.dump([1], np.array([n]), x))[2]
+        assert (m.decode() == x).all()
+        for i in range(0, n, 997):
+            m = wavelet.load(wavelet.dump([1], np.array([n]), x))[2] if i < 5_000 else m
+            before = sum(p.blocks.inflated for p in m.planes)
+            assert m.access(i) == x[i] and sum(p.blocks.inflated for p in m.planes) - before <= m.bits
+            before = sum(p.blocks.inflated for p in m.planes)
+            assert m.rank(int(x[i]), i) == (x[:i] == x[i]).sum() and sum(p.blocks.inflated for p in m.planes) - before <= 2 * m.bits
+            assert m.select(int(x[i]), m.rank(int(x[i]), i)) == i
 
 
 def test_shards_hold_all_ids_in_order(spark, docs, monkeypatch):
@@ -138,10 +194,24 @@ def test_shards_hold_all_ids_in_order(spark, docs, monkeypatch):
         at += len(ids)
 
 
+def test_tokens_are_looked_up_in_the_files(spark, docs):
+    path = scratch(spark)
+    few = docs.where("doc_id < 30")
+    wavelet.write_shards(few, tokenizer_path(BPE), path)
+    tokenizer = encoding.PieceEncoder(tokenizer_path(BPE)).tokenizer
+    ids = [(r["doc_id"], tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [2]) for r in few.collect()]
+    some = [2, ids[0][1][0], ids[7][1][3], 50_000, 9_999_999]
+    assert {r["id"]: r["n"] for r in wavelet.count_tokens(spark, path, some).collect()} == {t: sum(x.count(t) for _, x in ids) for t in some}
+    for t in some:
+        got = sorted((r["doc_id"], r["position"]) for r in wavelet.occurrences(spark, path, t).collect())
+        assert got == sorted((i, k) for i, x in ids for k, v in enumerate(x) if v == t)
+
+
 def test_shards_of_nothing(spark, empty):
     path = scratch(spark)
     wavelet.write_shards(empty, tokenizer_path(BPE), path)
     assert wavelet.read_documents(spark, path).collect() == []
+    assert wavelet.occurrences(spark, path, 2).collect() == [] and wavelet.count_tokens(spark, path, [2]).collect() == []
 
 
 def test_token_counts_come_from_the_cache(spark, docs, empty):
@@ -371,6 +441,56 @@ def test_no_term_that_passes_is_left_uncounted(spark):
     assert all(share[b, v, t] > share[b, v, t + 1] for b, v, t in share if t < 39)
 
 
+def brute_terms(texts):
+    """The disclosing terms of a corpus, by plain counting of its different texts."""
+    import math
+
+    import regex
+
+    texts = sorted(set(texts))
+    words = [set(regex.findall(r"[\p{L}\p{M}]+", t.lower())) for t in texts]
+    near = set()
+    for at, t in enumerate(texts):
+        for k, a, b in brute_spans(t):
+            blank = lambda x: regex.sub(r"[^\s]*[@0-9][^\s]*", " ", x).lower()
+            before, after = (regex.findall(r"[\p{L}\p{M}]+", blank(x)) for x in (t[max(0, a - pii.REACH) : a], t[b : b + pii.REACH]))
+            near |= {(f"{k}:{t[a:b].lower()}", w, at) for w in [*before[-pii.NEAR :], *after[: pii.NEAR]]}
+    told, z = set(), pii.DOUBT
+    for value, word in {(v, w) for v, w, _ in near}:
+        n_value, n_both = len({at for v, _, at in near if v == value}), len({at for v, w, at in near if (v, w) == (value, word)})
+        n = sum(word in x for x in words)
+        p = n_both / n
+        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if math.log(len(texts) * low / n_value) / math.log((len(texts) + 1) / n_value) >= pii.GENERALISED:
+            told.add(word)
+    return told
+
+
+@pytest.mark.parametrize("bits", [pii.BITS, 64])
+def test_terms_equal_plain_counting(spark, monkeypatch, bits):
+    import regex
+
+    monkeypatch.setattr(pii, "BITS", bits)
+    r = random.Random(21)
+    common, rare, values = [f"common{c}" for c in "abcdefgh"], [f"rare{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"], ["a.b@x.org", "C.d@x.org", "10.2.3.4", "+1 499 555 6503", "e@f.gh"]
+    texts = []
+    for i in range(300):
+        w = [r.choice(common) for _ in range(r.randint(0, 12))] + [r.choice(rare) for _ in range(r.random() < 0.4)]
+        r.shuffle(w)
+        if i % 6 == 0:
+            v = r.randrange(len(values))
+            w[len(w) // 2 : len(w) // 2] = [f"Owner{'pqrst'[v]}", values[v], r.choice(["soon", "Ünder", "owner"])]
+        texts.append(" ".join(w))
+    texts += ["Hapax a@b.cd hapaxtoo", "hapax once more", *[texts[0]] * 40, *["Manycopies z@y.xx here"] * 50]
+    told = brute_terms(texts)
+    assert {"ownerp", "hapaxtoo", "manycopies"} <= told and not told & {"hapax", "owner", *common}
+    got = {x["doc_id"]: x["spans"] for x in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    for i, t in enumerate(texts):
+        base = brute_spans(t)
+        terms = [("term", m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{M}]+", t) if m.group().lower() in told and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in [*base, *terms]), (t, told)
+
+
 def test_sanitised_keeps_rows_and_columns(docs):
     out = pii.sanitised(docs)
     assert out.columns == docs.columns and out.count() == len(rows())
@@ -416,6 +536,73 @@ def labelled(spark):
     return spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def plain_mcd(x):
+    """The estimate of least determinant by the same starts and steps, over an array."""
+    n = len(x)
+    lower = lambda v, q: np.sort(v, 0)[int(np.ceil(q * n)) - 1]
+
+    def step(m, w):
+        factor = np.zeros((outliers.P, outliers.P))
+        factor[np.tril_indices(outliers.P)] = w
+        d = (((x - m) @ factor.T) ** 2).sum(1)
+        near = x[d <= lower(d, outliers.HELD)]
+        mean = near.mean(0)
+        return outliers._estimate(mean, outliers.CONSISTENCY * (near.T @ near / len(near) - np.outer(mean, mean)))
+
+    middle = lower(x, 0.5)
+    spread = lower(np.abs(x - middle), 0.5) * 1.4826 + outliers.FLOOR
+    z = (x - middle) / spread
+    sign = z / np.maximum(np.sqrt((z * z).sum(1)), 1e-300)[:, None]
+    found = []
+    for c in (np.eye(outliers.P), np.tanh(z).T @ np.tanh(z) / n, sign.T @ sign / n):
+        scale = np.sqrt(np.maximum(np.diag(c), 1e-9))
+        now = outliers._estimate(middle, c / np.outer(scale, scale) * np.outer(spread, spread))
+        for _ in range(outliers.FIRST_STEPS):
+            now = step(*now[:2])
+        found.append(now)
+    best = min(found, key=lambda f: f[2])
+    for _ in range(outliers.STEPS):
+        after = step(*best[:2])
+        if best[2] - after[2] <= outliers.TOLERANCE:
+            return best
+        best = after
+    return best
+
+
+def test_least_determinant(spark):
+    r = np.random.default_rng(5)
+    groups = {"few": np.concatenate([r.normal(0, 1, (11, 6)), r.normal(15, 1, (3, 6))]), "many": np.concatenate([r.normal(0, 1, (300, 6)) @ r.normal(0, 1, (6, 6)), r.normal(6, 0.2, (60, 6))]), "copies": np.repeat(r.normal(0, 1, (2, 6)), [50, 3], 0)}
+    table = [(k, *map(float, x)) for k, rows in groups.items() for x in rows]
+    got = {x["key"]: x for x in outliers.least_determinant(spark.createDataFrame(table, "key string, " + ", ".join(f"x{i} double" for i in range(6))).repartition(4)).collect()}
+    for k, x in groups.items():
+        want = plain_mcd(x)
+        assert got[k]["n"] == len(x) and abs(got[k]["logdet"] - want[2]) < 1e-3 and np.allclose(got[k]["m"], want[0], atol=1e-3)
+    x = groups["few"]  # every subset
+    least = min(outliers._estimate(s.mean(0), outliers.CONSISTENCY * np.cov(s.T, bias=True))[2] for s in (x[list(i)] for i in combinations(range(14), 11)))
+    assert abs(got["few"]["logdet"] - least) < 1e-6
+    d = r.normal(0, 1, (200_000, 6))
+    assert abs(outliers.chi_square(7.0, 6) - ((d**2).sum(1) <= 7).mean()) < 0.01
+
+
+def test_verdicts_equal_plain_estimates(labelled, monkeypatch):
+    monkeypatch.setattr(outliers, "LEAST", 200)  # of three sources one has too few rows, and goes by its language
+    rows = [(x["doc_id"], x["text"], x["lang"], "s2" if x["doc_id"] % 9 == 0 else x["source"]) for x in labelled[0].collect()]
+    got = {x["doc_id"]: x for x in outliers.quality_rules(labelled[0].sparkSession.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    c = {k: v.astype(float) for k, v in statistics.counts([x[1] for x in rows]).items()}
+    chars, n = c["word_chars"] + 200, c["n_words"] + 30
+    x = np.stack([np.log((c["word_chars"] + 180) / n), *(np.log1p(c[k] * 100 / chars) for k in ("n_symbols", "n_upper", "n_marks")), np.log1p(c["n_repeat_words"] * 100 / n), np.log1p(c["n_dup_lines"] * 10 / (c["n_lines"] + 3))], 1)
+    failed = (c["n_words"] < 10) | (c["n_repeat_words"] * 100 > c["n_words"] * 20)
+    source = np.array([r[3] for r in rows])
+    assert (~failed & (source == "s2")).sum() < 200 < (~failed & (source == "s0")).sum()
+    for s in ("s0", "s1", "s2"):
+        m, w, _ = plain_mcd(x[~failed & ((source == s) | (s == "s2"))])
+        factor = np.zeros((6, 6))
+        factor[np.tril_indices(6)] = w
+        d = (((x - m) @ factor.T) ** 2).sum(1)
+        for i in np.flatnonzero(source == s):
+            assert np.isclose(got[rows[i][0]]["distance"], d[i], rtol=1e-2, atol=1e-3) and got[rows[i][0]]["kept"] == (not failed[i] and d[i] <= outliers.CUTOFF)
+
+
 def test_quality_on_held_out_rows(labelled):
     df, labels = labelled
     stats = quality.described(df)
@@ -462,6 +649,17 @@ def brute_url(url, rules):
     return (host, path, max(fits)[2], max(fits)[1]) if fits else (host, path, None, "allow")
 
 
+def test_a_url_of_a_million_characters(spark):
+    trie, began = urls.Trie([*urls.RULES, ("block", "example.org/a/" + "b" * 40)]), time.process_time()
+    for path, rule in (("/es/" + "e" * 1_000_000, "example.org/es/"), ("/" + "a" * 1_000_000, "org/"), ("/a/" + "b" * 1_000_000, "example.org/a/" + "b" * 40), ("/" + "a/" * 500_000, "org/")):
+        assert trie.best("x.example.org", path)[1] == rule
+    assert trie.best("a." * 500_000 + "fr", "/") is None
+    assert time.process_time() - began < 1
+    table = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "example.org/en/" + "1" * 900_000)], "page_id long, url string")
+    for limit in (urls.BROADCAST_CHARS, 0):
+        assert urls.judged(table, broadcast_chars=limit).select("rule", "verdict").collect() == [("example.org/en/1", "block")]
+
+
 @pytest.mark.parametrize("limit", [urls.BROADCAST_CHARS, 0])
 def test_urls(spark, limit):
     r = random.Random(4)
@@ -519,6 +717,20 @@ def test_unigram_parity():
     ids, n = rebuilt.encode(texts)
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == own.encode(texts)
     assert [rebuilt.decode(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [own.decode(x) for x in own.encode(texts)]
+    assert rebuilt.decode_many(ids, n) == [own.decode(x) for x in own.encode(texts)]
+
+
+def test_parity_is_false_where_ids_differ():
+    """A processor of another model, which gives some units and texts other ids."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_proto=unigram().replace("▁the".encode(), "▁tho".encode()))
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcthes  é▁") for _ in range(r.randint(0, 25))) for _ in range(500)] + ["the", "a the", "", " "]
+    ids, n, same = pieces.Pieces(pieces.read_model(unigram()), own).verified(texts)
+    want = [x.tolist() == own.encode(t) for x, t in zip(np.split(ids, np.cumsum(n)[:-1]), texts)]
+    assert same == want and not all(want) and any(want)
+    assert all(pieces.Pieces(pieces.read_model(unigram()), sentencepiece.SentencePieceProcessor(model_proto=unigram())).verified(texts)[2])
 
 
 def test_bpe_parity_of_awkward_rows(docs, empty):
