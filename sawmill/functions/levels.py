@@ -28,8 +28,13 @@ CLASSES = {"error": ("error", "fatal", "panic"), "warn": ("warn", "warning"), "i
 
 
 def _one_of(value: Column, table: dict[str, tuple[str, ...]]) -> Column:
-    """The key under which ``value`` is listed, or null."""
-    return reduce(lambda c, item: c.when(value.isin(*item[1]), F.lit(item[0])), table.items(), F.when(F.lit(False), F.lit(None).cast("string")))
+    """The key under which ``value`` is listed, or null: one lookup in a constant map."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for key, words in table.items() for word in words for x in (word, key))), value)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def normalize_level(value: Column) -> Column:
@@ -39,14 +44,16 @@ def normalize_level(value: Column) -> Column:
 
 def normalize_level_num(value: Column) -> Column:
     """The canonical level of a number, by the scheme that its magnitude belongs to; fractions are cut off."""
-    n = F.when(value.between(-(2.0**62), 2.0**62), value.cast("long"))
     steps = sorted((*SYSLOG, *TENS, *HUNDREDS, *THOUSANDS), reverse=True)
-    return reduce(lambda c, step: c.when(n >= step[0], F.lit(step[1]).cast("string")), steps, F.when(n.isNull(), F.lit(None).cast("string")))
+    return _let(
+        F.when(value.between(-(2.0**62), 2.0**62), value.cast("long")),
+        lambda n: reduce(lambda c, step: c.when(n >= step[0], F.lit(step[1]).cast("string")), steps, F.when(n.isNull(), F.lit(None).cast("string"))),
+    )
 
 
-def normalize_level_any(value: Column) -> Column:
-    """The same for a VARIANT: a string, a number, or an object with a ``name`` or else a ``no``."""
-    kind = F.schema_of_variant(value)
+def normalize_level_any(value: Column, kind: Column | None = None) -> Column:
+    """The same for a VARIANT (of a type that may be given): a string, a number, or an object with a ``name`` or else a ``no``."""
+    kind = F.schema_of_variant(value) if kind is None else kind
     name, no = F.try_variant_get(value, "$.name", "variant"), F.try_variant_get(value, "$.no", "variant")
     return (
         F.when(kind == "STRING", normalize_level(F.try_variant_get(value, "$", "string")))
@@ -63,5 +70,5 @@ def level_ord(level: Column, notice_as: str | None = None) -> Column:
 
 
 def level_class(level: Column) -> Column:
-    """error, warn, info, debug or other."""
-    return F.coalesce(_one_of(level, CLASSES), F.lit("other"))
+    """error, warn, info, debug or other, whatever the case."""
+    return F.coalesce(_one_of(F.lower(level), CLASSES), F.lit("other"))

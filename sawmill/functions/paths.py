@@ -44,12 +44,13 @@ def number_text(value: Column) -> Column:
 
 
 def scalar_text(value: Column) -> Column:
-    """A VARIANT's scalar as text; null for null, objects and arrays."""
-    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    """A VARIANT's scalar as text; null for null, objects and arrays. Its type is asked for only where the text leaves it open."""
+    text = F.try_variant_get(value, "$", "string")
+    kind = F.schema_of_variant(value)
     return (
-        F.when(kind == "STRING", text)
-        .when(kind == "DOUBLE", number_text(F.try_variant_get(value, "$", "double")))
-        .when(~kind.rlike("^(OBJECT|ARRAY|VOID)"), text)
+        F.when(text.rlike(r"^[\[{]") & kind.rlike("^(OBJECT|ARRAY)"), F.lit(None).cast("string"))
+        .when(text.rlike(r"^-?[0-9.]+(E-?[0-9]+|\.0)$") & (kind == "DOUBLE"), number_text(F.try_variant_get(value, "$", "double")))
+        .otherwise(text)
     )
 
 
@@ -75,21 +76,33 @@ def logical(name: str, fields: Column | str = "fields") -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(0))
 
 
-def explode_paths(df: DataFrame, key: str = "seq", fields: str = "fields", max_depth: int = 4, arrays: bool = True) -> DataFrame:
-    """(key, path, value, kind, depth) for every leaf of ``fields``: nested objects level by level, down to ``max_depth``.
+def deepest(df: DataFrame, fields: str = "fields") -> int:
+    """How many levels of objects the deepest value of ``fields`` has: one aggregate over the text of each value."""
+    marks = F.regexp_replace(F.to_json(fields), r'"(?:[^"\\\\]|\\\\.)*+"|[^\[\]{}]', "")
+    step = """(s, x) -> named_struct('d', s.d + if(s.a > 0, 0, if(x = '{', 1, if(x = '}', -1, 0))), 'a', s.a + if(x = '[', 1, if(x = ']', -1, 0)), 'm', greatest(s.m, s.d + if(s.a = 0 and x = '{', 1, 0)))"""
+    depth = df.select(marks.alias("m")).select(F.expr(f"aggregate(split(m, ''), named_struct('d', 0, 'a', 0, 'm', 0), {step}, s -> s.m)").alias("n"))
+    return depth.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def explode_paths(df: DataFrame, key: str = "seq", fields: str = "fields", max_depth: int = 8, arrays: bool = True) -> DataFrame:
+    """(key, path, value, kind, depth) for every leaf of ``fields``: nested objects down to ``max_depth`` levels.
 
     An object below the last level, or an array, is a leaf whose value is its JSON; ``arrays=False`` leaves
-    arrays out. Null values have a null value. One explode a level, no shuffle.
+    arrays out. ``deepest`` says how many levels there are. Null values have a null value. The input is read once:
+    every level is an explode of the one before that passes other values through, without a shuffle.
     """
-    level = df.select(F.col(key), F.lit("").alias("prefix"), F.col(fields).alias("node"))
-    out = None
-    for depth in range(1, max_depth + 1):
-        level.createOrReplaceTempView(view := f"sawmill_paths_{depth}")
-        kids = df.sparkSession.sql(f"select `{key}`, prefix, e.key as k, e.value as node from {view}, lateral variant_explode(node) as e where schema_of_variant(node) like 'OBJECT%'")
-        kids = kids.select(key, F.when(F.col("prefix") == "", F.col("k")).otherwise(F.concat("prefix", F.lit("."), "k")).alias("prefix"), "node", F.schema_of_variant("node").alias("kind"))
-        inner = F.col("kind").startswith("OBJECT<")
-        leaves = kids if depth == max_depth else kids.where(~inner | (F.col("kind") == "OBJECT<>"))
-        leaves = leaves.select(key, F.col("prefix").alias("path"), F.when(F.col("kind").rlike("^(OBJECT|ARRAY)"), F.try_variant_get("node", "$", "string")).otherwise(scalar_text(F.col("node"))).alias("value"), "kind", F.lit(depth).alias("depth"))
-        out = leaves if out is None else out.unionByName(leaves)
-        level = kids.where(inner).select(key, "prefix", "node")
-    return out if arrays else out.where(~F.col("kind").startswith("ARRAY"))
+    levels = range(1, max_depth + 1)
+    # An array is not exploded: what has a first element stays as it is.
+    inner = "case when k{0} is not null and try_variant_get(v{0}, '$[0]', 'variant') is null then v{0} end"
+    views = "".join(f", lateral variant_explode_outer({inner.format(i - 1)}) as e{i}(p{i}, k{i}, v{i})" for i in levels[1:])
+    keys, nodes = ", ".join(f"k{i}" for i in levels), ", ".join(f"if(k{i} is not null, v{i}, null)" for i in reversed(levels))
+    depth = " + ".join(f"int(k{i} is not null)" for i in levels)
+    whole = " and ".join(["k1 is not null", *(f"(k{i} is not null or coalesce(p{i}, 0) = 0)" for i in levels[1:])])
+    rows = df.sparkSession.sql(
+        f"select `{key}`, concat_ws('.', {keys}) as path, coalesce({nodes}) as node, {depth} as depth from {{leaves}}, lateral variant_explode(node) as e1(p1, k1, v1){views} where {whole}",
+        leaves=df.select(F.col(key), F.col(fields).alias("node")),
+    )
+    rows = rows.withColumn("kind", F.schema_of_variant("node"))
+    rows = rows if arrays else rows.where(~F.col("kind").startswith("ARRAY"))
+    value = F.when(F.col("kind").rlike("^(OBJECT|ARRAY)"), F.try_variant_get("node", "$", "string")).otherwise(scalar_text(F.col("node")))
+    return rows.select(key, "path", value.alias("value"), "kind", "depth")

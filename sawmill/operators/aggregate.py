@@ -102,9 +102,8 @@ def detect_gaps(df: DataFrame, by: str = "source", seq: str = "seq") -> DataFram
 
 
 def retain_last(df: DataFrame, cap: int) -> DataFrame:
-    """The rows whose seq is among the newest ``cap`` numbers; one aggregate, no sort."""
-    newest = df.agg((F.max("seq") - cap).alias("_floor"))
-    return df.crossJoin(F.broadcast(newest)).where(F.col("seq") > F.col("_floor")).drop("_floor")
+    """The rows whose seq is among the newest ``cap`` numbers; one aggregate, no sort and no join."""
+    return df.where(F.col("seq") > df.agg(F.max("seq") - cap).scalar())
 
 
 def remove_source(df: DataFrame, source: str) -> DataFrame:

@@ -17,8 +17,8 @@ SAMPLE, DISTINCT, LENGTH, LONGEST95, DEPTH, TOP = 150, 64, 256, 120, 2, 9
 FIRST = ("ts", "level", "msg", "service", "caller")
 
 
-def profile_columns(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """(column, n_present, n_distinct, encoding) of an entry table's columns: f64, dict, or raw over RAW_FROM values."""
+def profile_columns(df: DataFrame, columns: list[str], exact: bool = True, raw_from: int = RAW_FROM) -> DataFrame:
+    """(column, n_present, n_distinct, encoding) of an entry table's columns: f64, dict, or raw over ``raw_from`` values."""
     types = dict(df.dtypes)
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")).select("x.*").where("value <> ''")
     if exact:  # counted in two steps, so that no task holds all values of a column
@@ -26,15 +26,15 @@ def profile_columns(df: DataFrame, columns: list[str], exact: bool = True) -> Da
         counts = values.groupBy("column", "type").agg(F.sum("n").alias("n_present"), F.count("*").alias("n_distinct"))
     else:
         counts = long.groupBy("column", "type").agg(F.count("*").alias("n_present"), F.approx_count_distinct("value").alias("n_distinct"))
-    encoding = F.when(F.col("type").isin("double", "float"), "f64").when(F.col("n_distinct") > RAW_FROM, "raw").otherwise("dict")
+    encoding = F.when(F.col("type").isin("double", "float"), "f64").when(F.col("n_distinct") > raw_from, "raw").otherwise("dict")
     return counts.select("column", "n_present", "n_distinct", encoding.alias("encoding"))
 
 
 def promotable_keys(df: DataFrame, present: float = PRESENT, at_least: int = AT_LEAST, rows: int = ROWS) -> DataFrame:
     """Top-level keys of ``fields`` that are worth a column of their own."""
     keys = explode_paths(df.select("seq", "fields"), max_depth=1).groupBy(F.col("path").alias("key")).agg(F.count("*").alias("n"))
-    total = df.where(F.col("fields").isNotNull()).agg(F.count("*").alias("n_rows"))
-    return keys.crossJoin(F.broadcast(total)).where((F.col("n_rows") >= rows) & (F.col("n") >= at_least) & (F.col("n") >= F.col("n_rows") * present))
+    total = df.where(F.col("fields").isNotNull()).agg(F.count("*")).scalar()
+    return keys.withColumn("n_rows", total).where((F.col("n_rows") >= rows) & (F.col("n") >= at_least) & (F.col("n") >= F.col("n_rows") * present))
 
 
 def promote(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,8 +96,8 @@ def recommend_columns(df: DataFrame, sample: int = SAMPLE, per: str = "source")
 
 def merge_columns(recommended: DataFrame, per: str = "source", top: int = TOP) -> DataFrame:
     """(position, column) for several sources together: columns that all have come first, then the others by source and place."""
-    sources = recommended.agg(F.count_distinct(per).alias("n_sources"))
+    n_sources = recommended.agg(F.count_distinct(per)).scalar()
     found = recommended.groupBy("column").agg(F.count_distinct(per).alias("n"), F.min(F.struct(per, "position")).alias("at"))
-    shared = found.crossJoin(F.broadcast(sources)).withColumn("shared", F.col("n") == F.col("n_sources"))
+    shared = found.withColumn("shared", F.col("n") == n_sources)
     best = shared.orderBy(F.desc("shared"), "at").limit(top)
     return best.select(F.row_number().over(W.orderBy(F.desc("shared"), "at")).alias("position"), "column")

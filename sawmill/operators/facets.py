@@ -10,22 +10,24 @@ from sawmill.functions.paths import explode_paths
 
 TOP, LONGEST, KEYS = 50, 200, 512
 LISTED, SUGGESTED = 8, 10
+#: Levels of nested objects that facets look into unless told otherwise.
+DEPTH = 8
 
 
-def facet_counts(df: DataFrame, longest: int = LONGEST) -> DataFrame:
+def facet_counts(df: DataFrame, longest: int = LONGEST, max_depth: int = DEPTH) -> DataFrame:
     """(path, value, n): how often each leaf has each text or number, up to ``longest`` bytes; with service and level.
 
-    Partial counts are taken before the shuffle, so one frequent value costs no more than another.
+    Leaves lie at most ``max_depth`` objects deep; ``paths.deepest`` tells how many levels a table has. Partial counts are taken before the shuffle, so one frequent value costs no more than another.
     """
-    leaves = explode_paths(df.select("seq", "fields"), arrays=False).where(F.col("kind").rlike("^(STRING|BIGINT|DOUBLE|DECIMAL)")).where(~F.col("path").isin("service", "level"))
+    leaves = explode_paths(df.select("seq", "fields"), max_depth=max_depth, arrays=False).where(F.col("kind").rlike("^(STRING|BIGINT|DOUBLE|DECIMAL)")).where(~F.col("path").isin("service", "level"))
     own = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("path"), F.col(c).alias("value")) for c in ("service", "level")))).alias("x")).select("x.path", "x.value")
     rows = leaves.select("path", "value").unionByName(own).where((F.col("value") != "") & (F.octet_length("value") <= longest))
     return rows.groupBy("path", "value").agg(F.count("*").alias("n"))
 
 
-def facets(df: DataFrame, top: int = TOP, keys: int = KEYS) -> DataFrame:
+def facets(df: DataFrame, top: int = TOP, keys: int = KEYS, max_depth: int = DEPTH) -> DataFrame:
     """The ``top`` values of each of the ``keys`` most counted paths."""
-    counts = facet_counts(df)
+    counts = facet_counts(df, max_depth=max_depth)
     ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("path").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= top)
     paths = counts.groupBy("path").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "path").limit(keys).select("path")
     return ranked.join(F.broadcast(paths), "path", "left_semi")
@@ -52,6 +54,6 @@ def suggest_values(counts: DataFrame, path: str, prefix: str = "", n: int = SUGG
     return counts.where((F.col("path") == path) & F.lower("value").startswith(prefix.lower())).orderBy(F.desc("n"), "value").limit(n)
 
 
-def discover_fields(df: DataFrame, limit: int = 256) -> DataFrame:
+def discover_fields(df: DataFrame, limit: int = 256, max_depth: int = DEPTH) -> DataFrame:
     """Paths of leaves, arrays left out, with the number of rows that have them; the most common ``limit``."""
-    return explode_paths(df.select("seq", "fields"), arrays=False).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(limit)
+    return explode_paths(df.select("seq", "fields"), max_depth=max_depth, arrays=False).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(limit)

@@ -6,26 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.functions.levels import normalize_level_any
-from sawmill.functions.paths import ALIASES, scalar_text, variant_at
+from sawmill.functions.paths import ALIASES, scalar_text
 from sawmill.functions.text import flexible_time, strip_ansi, text_level, text_time
 
 # Keys of which a strict JSON log line has one.
 STRICT_MARKERS = ("level", "msg", "ts", "message", "@timestamp")
 
 
+#: Columns of an entry that have one path only.
+PLAIN = ("env", "version", "callerFunc", "trace_id")
+#: Every key that the paths begin with, and every path as a key of its own, dots and all.
+KEYS = tuple(dict.fromkeys([*STRICT_MARKERS, *PLAIN, *(k for paths in ALIASES.values() for p in paths for k in (p, p.split(".")[0]))]))
+
+
 def parsed(line: Column) -> Column:
     """The line as a VARIANT if it is a JSON object after leading blanks; else null."""
     return F.try_parse_json(F.when(line.rlike(r"^[ \t]*\{"), line))
 
 
-def _all(paths: tuple[str, ...]) -> Column:
-    """The VARIANTs at several paths, in order, nulls for missing ones."""
-    return F.array(*(variant_at(p) for p in paths))
+def _at(path: str) -> Column:
+    """The VARIANT at a path of ``known``: under the literal key, else nested."""
+    own, (root, *rest) = F.col("known").getField(path), path.split(".")
+    nested = "$" + "".join(f"['{k}']" for k in rest)
+    return F.coalesce(own, F.try_variant_get(F.col("known").getField(root), nested, "variant")) if rest else own
+
+
+def _first(name: str, read=None, first=scalar_text) -> Column:
+    """The first value at the aliases of a logical column that ``read`` makes something of. Only those that a line
+    has are read; ``first`` is worked out once for each."""
+    found = F.transform(F.array_compact(F.array(*(_at(p) for p in ALIASES[name]))), first)
+    found = found if read is None else F.transform(found, read)
+    return F.get(F.filter(found, lambda v: v.isNotNull() & (v.cast("string") != "")), F.lit(0))
 
 
-def _first(variants: str, read) -> Column:
-    """The first value that ``read`` finds among VARIANTs; its expression stands in the plan once, not once a path."""
-    return F.get(F.filter(F.transform(variants, read), lambda v: v.isNotNull() & (v.cast("string") != "")), F.lit(0))
+def _typed(value: Column) -> Column:
+    return F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind"))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -36,16 +51,16 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _parts(lines: DataFrame) -> DataFrame:
-    """Lines with their clean text, its VARIANT and what stands at the aliases of each logical column."""
+    """Lines with their clean text, its VARIANT and a struct of what stands at the keys that columns are read from."""
     base = once(lines.withColumn("line", F.coalesce("line", F.lit(""))), clean=strip_ansi(F.col("line")))
-    return once(once(base, fields=parsed(F.col("clean"))), **{f"at_{name}": _all(paths) for name, paths in ALIASES.items()})
+    known = F.from_json(F.when(F.col("clean").rlike(r"^[ \t]*\{"), F.col("clean")), ", ".join(f"`{k}` variant" for k in KEYS))
+    return once(base, fields=parsed(F.col("clean")), known=known)
 
 
 def _marked(strict: bool) -> Column:
     """Whether an object has a key that log lines have: at any alias's path, or strictly one of a few."""
-    if strict:
-        return F.coalesce(*(F.try_variant_get("fields", f"$['{k}']", "variant") for k in STRICT_MARKERS)).isNotNull()
-    return F.exists(F.concat(*(F.col(f"at_{name}") for name in ALIASES)), lambda v: v.isNotNull())
+    paths = STRICT_MARKERS if strict else [p for paths in ALIASES.values() for p in paths]
+    return F.coalesce(*map(_at, paths)).isNotNull()
 
 
 def is_json_log(lines: DataFrame, strict: bool = False) -> DataFrame:
@@ -63,15 +78,15 @@ def normalize(lines: DataFrame, base_date: str | None = None, strict: bool = Fal
     that isn't known stays as it was.
     """
     source_id = F.col("source_id") if "source_id" in lines.columns else F.lit(None).cast("long").alias("source_id")
-    json, own = F.col("json"), F.col("at_ts")[0]
+    json, own = F.col("json"), _at("ts")
     base = once(_parts(lines.select("seq", source_id, "source", "line", "ingest_ts")), json=F.coalesce(F.col("fields").isNotNull() & _marked(strict), F.lit(False)))
     ingest = F.unix_micros("ingest_ts") / F.lit(1e6)
     numeric = F.when(F.schema_of_variant(own).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(own, "$", "double"))
-    text_of = lambda name: F.when(json, _first(f"at_{name}", scalar_text))
-    plain = lambda name: F.when(json, scalar_text(variant_at(name)))
+    text_of = lambda name: F.when(json, _first(name))
+    plain = lambda name: F.when(json, scalar_text(_at(name)))
     found = once(
-        base, stamp=F.when(json, _first("at_ts", lambda v: flexible_time(scalar_text(v)))), numeric=F.when(json, numeric), written=F.when(~json, text_time(F.col("clean"), base_date)),
-        level=F.when(json, F.coalesce(_first("at_level", normalize_level_any), scalar_text(F.col("at_level")[0]))).otherwise(text_level(F.col("clean"))),
+        base, stamp=F.when(json, _first("ts", flexible_time)), numeric=F.when(json, numeric), written=F.when(~json, text_time(F.col("clean"), base_date)),
+        level=F.when(json, F.coalesce(_first("level", lambda x: normalize_level_any(x["value"], x["kind"]), _typed), scalar_text(_at("level")))).otherwise(text_level(F.col("clean"))),
         service=text_of("service"), msg=F.when(json, text_of("msg")).otherwise(F.col("clean")), env=plain("env"), version=plain("version"), caller=text_of("caller"), callerFunc=plain("callerFunc"), trace_id=plain("trace_id"),
     )
     at = F.coalesce("stamp", "written", ingest)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sawmill.functions.paths import ALIASES, COLUMNS, explode_paths, logical, path_text
@@ -29,12 +30,11 @@ def tail_recent(df: DataFrame, n: int = TAIL_LIMIT, where: Column | None = None)
 def page_before(df: DataFrame, before: int, where: Column | None = None, limit: int = SEARCH_LIMIT) -> DataFrame:
     """The last ``limit`` matches before a seq, ascending, with ``is_end``: whether no more come before them.
 
-    One row more than asked for tells the end; it is not returned.
+    One row more than asked for tells the end; it is not returned. The count is over at most ``limit`` + 1 rows.
     """
     n = _limit(limit, SEARCH_LIMIT)
     rows = df.where((match_all() if where is None else where) & (F.col("seq") < before)).orderBy(F.desc("seq")).limit(n + 1)
-    ends = rows.agg((F.count("*") <= n).alias("is_end"))
-    return rows.orderBy(F.desc("seq")).limit(n).crossJoin(F.broadcast(ends)).orderBy("seq")
+    return rows.withColumn("is_end", F.count("*").over(W.partitionBy()) <= n).orderBy(F.desc("seq")).limit(n).orderBy("seq")
 
 
 def get_entry(df: DataFrame, seq: int) -> DataFrame:
@@ -57,7 +57,7 @@ def select_columns(df: DataFrame, ids: list[str]) -> DataFrame:
     return df.select("seq", *(F.coalesce(column(i), F.lit("")).alias(i.removeprefix("@").replace(".", "_")) for i in ids))
 
 
-def diff_rows(df: DataFrame, pairs: DataFrame, only_different: bool = True, max_depth: int = 4) -> DataFrame:
+def diff_rows(df: DataFrame, pairs: DataFrame, only_different: bool = True, max_depth: int = 8) -> DataFrame:
     """(left, right, path, left_value, right_value) of many pairs of rows at once; what is absent is the empty text.
 
     Both sides' leaves meet by pair and path in one full outer join.

@@ -12,9 +12,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sawmill import configure
+from sawmill import configure, shared_folder
 from sawmill.functions import levels, paths, text
 from sawmill.functions import predicates as p
 from sawmill.operators import aggregate as agg
@@ -101,7 +102,7 @@ query("flagship", E + f""", spine as (select unnest(generate_series(0, 29)) as b
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/spark-sawmill')}/logs-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
 
 
 @query("s1_read_logs", E + "select source, count(*) as n, sum(seq) as seqs from (select 'lines' as source, seq from e) group by 1")
@@ -113,6 +114,18 @@ def _s1(spark, sf_dir):
     return lines.groupBy("line", "source").agg(F.count("*").alias("c")).join(own.groupBy("line").agg(F.sum("event").alias("s")), "line").groupBy("source").agg(F.sum("c").alias("n"), F.sum("s").alias("seqs"))
 
 
+@query("s2_follow_logs", """with l as (select event_id, 'part=' || (event_id % 4) as source, case when event_id % 12 < 8 then 'the same line' else event_type || ' ' || event_id end as line from events)
+    select source, line, lag(line) over (partition by source order by event_id) as before from l""")
+def _s2(spark, sf_dir):
+    path = _scratch(spark)
+    lines = events(configure(spark), sf_dir).selectExpr("event_id", "event_id % 4 as part", "if(event_id % 12 < 8, 'the same line', concat(event_type, ' ', event_id)) as value")
+    for half in ("part < 2", "part >= 2"):  # files that come while the stream is stopped
+        lines.where(half).repartition("part").sortWithinPartitions("part", "event_id").select("value", "part").write.mode("append").partitionBy("part").text(f"{path}/in")
+        files.follow_logs(spark, f"{path}/in/*", f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
+    rows = files.read_followed(spark, f"{path}/out").withColumn("source", F.regexp_extract("source", "part=[0-9]+", 0))
+    return rows.select("source", "line", F.lag("line").over(W.partitionBy("source").orderBy("seq")).alias("before"))
+
+
 @query("s3_union_sources", E + "select source, source_id, count(*) as n from (select case when u % 3 = 0 then 'a' else 'b' end as source, cast(case when u % 3 = 0 then 0 else 1 end as bigint) as source_id from e) group by 1, 2")
 def _s3(spark, sf_dir):
     lines = json_lines(events(configure(spark), sf_dir))
@@ -264,7 +277,7 @@ _predicate("p5_glob", lambda: p.glob("msg", "*by*7"), "msg like '%by%7'")
 _predicate("p6_exists", lambda: p.exists("env"), "env is not null")
 _predicate("p7_num_between", lambda: p.num_between("k", 10, 50), "k between 10 and 50")
 _predicate("p8_num_cmp", lambda: p.num_cmp("user.id", ">=", 100), "u >= 100")
-_predicate("p9_str_cmp", lambda: p.str_cmp("env", "<", "q"), "coalesce(env, '') < 'q'")
+_predicate("p9_str_cmp", lambda: p.str_cmp("env", "<", "prod") & p.str_cmp("user.tier", ">=", "t2") & p.str_cmp("service", "<=", "svc-3"), "env is null and tier >= 't2' and service <= 'svc-3'")
 _predicate("p10_level_cmp", lambda: p.level_cmp(">=", "warn"), "level in ('warn', 'error')")
 _predicate("p11_regex", lambda: p.regex("msg", "^(ERROR|view) .*[05]$", "i"), "regexp_matches(msg, '(?i)^(ERROR|view) .*[05]$')")
 _predicate("p12_boolean", lambda: (p.eq("level", "error") | p.eq("level", "warn")) & ~p.eq("env", "prod"), "level in ('error', 'warn') and env is distinct from 'prod'")
@@ -344,11 +357,18 @@ def _a1(spark, sf_dir):
     return agg.histogram(entries(spark, sf_dir), START, END, 3600)
 
 
-@query("a2_auto_bucket", E + f"""select (sec - {START}) // 3600 as t, count(*) as n from e where greatest(least(floor({30 * DAY} / 120.0 / 60 + 0.5) * 60, 3600), 60) = 3600 group by 1""")
+_SPANS = (3600, 2 * DAY, 30 * DAY)  # a minute at least, in between, an hour at most
+
+
+@query("a2_auto_bucket", E + f""", w as (select span, cast(greatest(least(floor(span / 120.0 / 60 + 0.5) * 60, 3600), 60) as bigint) as width from (select unnest({list(_SPANS)}) as span))
+    select span, width, (sec - {START}) // width as bucket, count(*) as n from e, w where sec >= {START} and sec < {START} + span group by 1, 2, 3""")
 def _a2(spark, sf_dir):
-    width = agg.auto_bucket(30 * DAY)
-    df = agg.histogram(entries(spark, sf_dir), START, END, width)
-    return df.select(F.col("bucket").cast("long").alias("t"), sum((F.col(c) for c in agg.CLASS_NAMES[1:]), F.col("error")).alias("n")).where("n > 0")
+    df, found = entries(spark, sf_dir), []
+    for span in _SPANS:
+        width = agg.auto_bucket(span)
+        n = sum((F.col(c) for c in agg.CLASS_NAMES[1:]), F.col("error"))
+        found.append(agg.histogram(df, START, START + span, width).select(F.lit(span).alias("span"), F.lit(width).cast("long").alias("width"), F.col("bucket").cast("long").alias("bucket"), n.alias("n")).where("n > 0"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 _LEAVES = """, v as (select 'ts' as path, sec::varchar as value from e union all select 'service', service from e union all select 'level', level from e union all select 'msg', msg from e union all select 'user.id', u::varchar from e
@@ -380,10 +400,11 @@ def _a7(spark, sf_dir):
     return facets.discover_fields(entries(spark, sf_dir))
 
 
-@query("a8_profile_columns", E + """select 'level' as "column", count(level) as n_present, count(distinct level) as n_distinct, 'dict' as encoding from e union all select 'env', count(env), count(distinct env), 'dict' from e
-    union all select 'msg', count(msg), count(distinct msg), 'dict' from e union all select 'ts', count(sec), count(distinct sec), 'f64' from e""")
+@query("a8_profile_columns", E + """, c as (select 'level' as "column", count(level) as n_present, count(distinct level) as n_distinct from e union all select 'env', count(env), count(distinct env) from e
+    union all select 'msg', count(msg), count(distinct msg) from e union all select 'ts', count(sec), count(distinct sec) from e)
+    select *, case when "column" = 'ts' then 'f64' when n_distinct > 50 then 'raw' else 'dict' end as encoding from c""")
 def _a8(spark, sf_dir):
-    return columns.profile_columns(entries(spark, sf_dir), ["level", "env", "msg", "ts"])
+    return columns.profile_columns(entries(spark, sf_dir), ["level", "env", "msg", "ts"], raw_from=50)
 
 
 @query("a9_promotable_keys", E + """, c as (select 'env' as key, count(env) as n from e union all select unnest(['level', 'ts', 'service', 'msg', 'user', 'k']), (select count(*) from e))
@@ -409,16 +430,27 @@ def _a10b(spark, sf_dir):
     return columns.restore_payloads(facts, payloads, "text").select("doc_id", "text")
 
 
-query("a11_recommend_columns")(lambda spark, sf_dir: columns.recommend_columns(entries(spark, sf_dir)))
+_RECOMMENDED = E + """, s as (select * from (select *, row_number() over (partition by source order by seq) as i from e) where i <= 150), z as (select source, count(*) as n_rows from s group by 1),
+    v as (select source, i, 'user.id' as path, 2 as depth, u::varchar as value from s union all select source, i, 'user.tier', 2, tier from s union all select source, i, 'k', 1, k::varchar from s union all select source, i, 'env', 1, env from s where env is not null),
+    d as (select source, path, value, count(*) as n, row_number() over (partition by source, path order by min(i), value) as nth from v group by 1, 2, 3),
+    t as (select source, path, sum(n) as n, least(count(*), 64) as n_distinct, count(*) filter (where nth <= 64 and regexp_matches(value, '^([0-9]{12,}|[0-9a-fA-F]{16,})$')) as n_ids from d group by 1, 2),
+    l as (select source, path, quantile_disc(least(strlen(value), 256), 0.95) as length95 from v where value <> '' group by 1, 2),
+    c as (select source, "column", place::double as rank, '' as tie from z, (select unnest(['ts', 'level', 'msg', 'service']) as "column", unnest([1, 2, 3, 4]) as place)
+        union all select t.source, '@' || t.path, 1000 - n::double / n_rows * ln(n_rows::double / n_distinct), t.path from t join z using (source) join l using (source, path)
+        where n::double / n_rows >= 0.6 and n_distinct >= 2 and length95 <= 120 and n_ids * 2 < n_distinct),
+    r as (select source, cast(row_number() over (partition by source order by rank, tie) as int) as position, "column" from c qualify position <= 9) """
+_RECOMMENDED_ROWS = 'select source, position, "column" from r'
+
 
+@query("a11_recommend_columns", _RECOMMENDED + _RECOMMENDED_ROWS)
+def _a11(spark, sf_dir):
+    return columns.recommend_columns(entries(spark, sf_dir))
 
-@query("a12_merge_columns", """with r as (select 'o' as source, unnest([1, 2, 3]) as position, unnest(['total', 'status', 'priority']) as "column" union all select 'p', unnest([1, 2]), unnest(['status', 'brand'])),
-    f as (select "column", count(distinct source) as n, min((source, position)) as place from r group by 1)
-    select cast(row_number() over (order by n = 2 desc, place) as int) as position, "column" from f, (select count(*) as z from orders) where z > 0""")
+
+@query("a12_merge_columns", _RECOMMENDED + """, f as (select "column", count(distinct source) as n, min((source, position)) as place from r group by 1)
+    select cast(row_number() over (order by n = (select count(distinct source) from r) desc, place) as int) as position, "column" from f qualify position <= 9""")
 def _a12(spark, sf_dir):
-    some = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(1).alias("z")).groupBy("z").count()
-    names = [("o", 1, "total"), ("o", 2, "status"), ("o", 3, "priority"), ("p", 1, "status"), ("p", 2, "brand")]
-    return columns.merge_columns(spark.createDataFrame(names, "source string, position int, column string").crossJoin(some.where("count > 0")).select("source", "position", "column"))
+    return columns.merge_columns(columns.recommend_columns(entries(spark, sf_dir)))
 
 
 @query("a13_source_stats", "select 'src' || (user_id % 3) as source, count(*) as line_count, max(epoch_us(ts)) as last_us from events group by 1")
@@ -426,14 +458,18 @@ def _a13(spark, sf_dir):
     return agg.source_stats(entries(spark, sf_dir)).select("source", "line_count", F.unix_micros("last_ingest_ts").alias("last_us"))
 
 
-@query("a14_rate_ewma", E + f"select source, round(sum(0.3 * pow(0.7, {END} - sec) * n), 6) as rate from (select source, sec, count(*) as n from e where sec <= {END} group by 1, 2) group by 1")
+@query("a14_rate_ewma", E + "select source, round(sum(0.3 * pow(0.7, 30 - sec25) * n), 6) as rate from (select source, floor(seq / 25.0) as sec25, count(*) as n from e where seq / 25.0 < 31 group by 1, 2) group by 1")
 def _a14(spark, sf_dir):
-    return agg.rate_ewma(entries(spark, sf_dir), END)
+    """At 25 lines a second, half a minute after the first."""
+    return agg.rate_ewma(entries(spark, sf_dir).withColumn("ts", F.col("seq") / 25.0), 30.5)
 
 
-@query("a15_source_mode", "select 'src' || (user_id % 3) as source, 'json' as mode from events group by 1")
+@query("a15_source_mode", """select source, case when max(json) = 1 then 'json' else 'text' end as mode from (select 'src' || (user_id % 3) as source, 1 as json from events
+    union all select 'txt' || (event_id % 3), 0 from events union all select 'txt1', 1 from events where user_id % 3 = 0) group by 1""")
 def _a15(spark, sf_dir):
-    return agg.source_mode(entries(spark, sf_dir))
+    lines = json_lines(events(configure(spark), sf_dir))
+    plain = text_lines(spark, sf_dir).select("seq", F.concat(F.lit("txt"), F.col("seq") % 3).alias("source"), "line", F.lit(None).cast("timestamp").alias("ingest_ts"))
+    return agg.source_mode(normalize(lines.unionByName(plain).unionByName(lines.where("source = 'src0'").withColumn("source", F.lit("txt1")))))
 
 
 @query("a16_table_health", E + "select min(seq) as tail, max(seq) as head, count(*) as n_rows, count(distinct source) as n_sources from e")
@@ -462,20 +498,32 @@ def _t1(spark, sf_dir):
     return rows(spark.read.parquet(f"{path}/out"))
 
 
-@query("t2_backlog_then_live", E + ROWS + "(select * from e where level = 'warn' order by seq desc limit 300) union all " + ROWS + "e where level = 'warn'")
+@query("t2_backlog_then_live", E + ", h as (select max(seq) // 2 as cut from e) " + ROWS + "(select * from e, h where level = 'warn' and seq <= cut order by seq desc limit 300) union all " + ROWS + "e, h where level = 'warn' and seq > cut")
 def _t2(spark, sf_dir):
-    path = _scratch(spark)
-    past, running = live.backlog_then_live(entries(spark, sf_dir).drop("fields"), event_stream(spark, sf_dir).drop("fields"), p.eq("level", "warn"), f"{path}/out", f"{path}/cursor", once=True)
+    """The table holds the first half of what the stream brings."""
+    path, df = _scratch(spark), entries(spark, sf_dir).drop("fields")
+    history = df.where(F.col("seq") <= F.floor(df.agg(F.max("seq")).scalar() / 2))
+    past, running = live.backlog_then_live(history, event_stream(spark, sf_dir).drop("fields"), p.eq("level", "warn"), f"{path}/out", f"{path}/cursor", once=True)
     running.awaitTermination()
     return rows(past).unionByName(rows(spark.read.parquet(f"{path}/out")))
 
 
-@query("t3_resume", E + ROWS + "e where level = 'debug'")
+@query("t3_resume", E + ", h as (select max(seq) // 4 as cut from e where true) " + """select seq, level, service, msg from e, h where level = 'debug' and (seq < cut or seq >= 2 * cut)
+    union all select (select cut - 1 from h), 'gap', '', (select cast(cut as varchar) from h)""")
 def _t3(spark, sf_dir):
-    path = _scratch(spark)
-    for _ in range(2):  # the second start finds nothing new behind the cursor
-        live.live_tail(event_stream(spark, sf_dir).drop("fields"), p.eq("level", "debug"), f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
-    return rows(spark.read.parquet(f"{path}/out"))
+    """A quarter is read; the second goes while the reader is paused; the rest comes in a new file."""
+    path, df = _scratch(spark), events(configure(spark), sf_dir)
+    cut = F.floor(df.agg(F.max("event_id")).scalar() / 4)
+    read = lambda: normalize(json_lines(spark.readStream.schema(df.schema).parquet(f"{path}/in"))).drop("fields")
+    last = None
+    for part in (F.col("event_id") < cut, F.col("event_id") >= 2 * cut):
+        df.where(part).write.mode("append").parquet(f"{path}/in")
+        tail = live.live_tail(read(), p.eq("level", "debug"), f"{path}/out", f"{path}/cursor", once=True)
+        tail.awaitTermination()
+        last = live.last_seq(tail) if last is None else last
+    kept = df.where(F.col("event_id") >= 2 * cut).select(F.col("event_id").alias("seq"))
+    gap = live.resume_gap(kept, last).select(F.col("after_seq").alias("seq"), F.lit("gap").alias("level"), F.lit("").alias("service"), F.col("n_missing").cast("string").alias("msg"))
+    return rows(spark.read.parquet(f"{path}/out")).unionByName(gap)
 
 
 @query("t4_detect_gaps", E + "select source, prev as after_seq, seq as before_seq, seq - prev - 1 as n_missing from (select source, seq, lag(seq) over (partition by source order by seq) as prev from e) where seq - prev > 1")
@@ -490,10 +538,9 @@ def _t5(spark, sf_dir):
 
 @query("t6_stream_histogram", E + f"select sec // 3600 * 3600 as t, {_classes('e')} group by 1")
 def _t6(spark, sf_dir):
-    name = f"h{uuid.uuid4().hex}"
-    counted = live.stream_histogram(event_stream(spark, sf_dir), "1 hour")
-    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.unix_seconds("t").alias("t"), *agg.CLASS_NAMES)
+    path = _scratch(spark)
+    live.stream_histogram_table(event_stream(spark, sf_dir), f"{path}/out", f"{path}/cursor", "1 hour", once=True).awaitTermination()
+    return live.read_histogram(spark, f"{path}/out").select(F.unix_seconds("t").alias("t"), *agg.CLASS_NAMES)
 
 
 @query("t7_stream_facets", E + _LEAVES + "select path, value, n from c")
@@ -503,7 +550,7 @@ def _t7(spark, sf_dir):
     return live.read_facets(spark, f"{path}/out")
 
 
-@query("t8_stream_recommend")
+@query("t8_stream_recommend", _RECOMMENDED + _RECOMMENDED_ROWS)
 def _t8(spark, sf_dir):
     path = _scratch(spark)
     live.stream_recommend(event_stream(spark, sf_dir), f"{path}/out", f"{path}/cursor", once=True).awaitTermination()

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 EXPORT_LIMIT, EXPORT_MOST = 100_000, 1_000_000
 EXPORTED = ("seq", "ts", "source_id", "source", "level", "service", "msg", "fields", "text", "ansi")
@@ -24,13 +25,40 @@ def read_logs(spark: SparkSession, paths: str | list[str], source: str | None =
 def stream_logs(spark: SparkSession, directory: str, source: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
     """The same for files as they come into a directory; a file is rolled, not appended to.
 
-    There is no dense number in a stream: ``seq`` is the line's hash with its file, enough to tell rows apart.
+    There is no number of a line in a stream: ``seq`` is the line's hash with its file. That is enough for filters
+    and counts; ``follow_logs`` gives lines their order and tells repeated ones apart.
     """
     lines = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_trigger).text(directory)
     name = F.lit(source) if source else F.col("_metadata.file_path")
     return lines.select(F.xxhash64("_metadata.file_path", "value").alias("seq"), name.alias("source"), F.col("value").alias("line"), F.current_timestamp().alias("ingest_ts"))
 
 
+def follow_logs(spark: SparkSession, directory: str, path: str, checkpoint: str, source: str | None = None, once: bool = False) -> StreamingQuery:
+    """Appends the lines of files as they come into a directory to a table of (seq, source, line, ingest_ts).
+
+    ``seq`` rises with the batch, and in it by the file's time and name and the line's place in it, so equal
+    lines stay apart and tails and pages go by arrival. A batch that is repeated writes its own folder again.
+    """
+    lines = spark.readStream.option("lineSep", "\n").text(directory)
+    name = F.lit(source) if source else F.col("_metadata.file_path")
+    lines = lines.select(name.alias("source"), F.col("value").alias("line"), F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("at"))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        # Partition and place of a row, as the batch is read and then as it is sorted.
+        ordered = batch.withColumn("place", F.monotonically_increasing_id()).orderBy("at", "place").withColumn("place", F.monotonically_increasing_id())
+        in_batch = F.shiftleft(F.shiftright("place", 33), 30).bitwiseOR(F.col("place").bitwiseAND(F.lit((1 << 30) - 1).cast("long")))
+        rows = ordered.select((F.lit(batch_id << 43).cast("long") + in_batch).alias("seq"), "source", "line", F.current_timestamp().alias("ingest_ts"))
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+
+
+def read_followed(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``follow_logs`` writes."""
+    return spark.read.schema("seq long, source string, line string, ingest_ts timestamp, batch long").parquet(path).drop("batch")
+
+
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
     """Several inputs as one, each row with its source and the source's number."""
     return reduce(lambda a, b: a.unionByName(b), (df.withColumn("source", F.lit(n)).withColumn("source_id", F.lit(i).cast("long")) for i, (n, df) in enumerate(sources.items())))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,68 +10,146 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sawmill.operators.aggregate import class_counts
+from sawmill.operators.aggregate import CLASS_NAMES, class_counts
 from sawmill.operators.columns import SAMPLE, recommend_columns
-from sawmill.operators.facets import facet_counts
+from sawmill.operators.facets import DEPTH, facet_counts
 from sawmill.operators.retrieve import tail_recent
 
-TRIGGER = "50 milliseconds"
+#: How often rows are delivered, and how often tables of partial results are added to.
+TRIGGER, TABLE_TRIGGER = "50 milliseconds", "10 seconds"
+#: Batches of partial results after which they are put together.
+COMPACT = 20
+#: Seconds for which a source's rows are sampled.
+CLOSES = 30.0
 
 
 def live_tail(stream: DataFrame, where: Column, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Matching entries appended to a table as they come. The checkpoint is the cursor: to pause is to stop the
-    query, to resume is to start it again on the same checkpoint, and nothing between is lost."""
-    writer = stream.where(where).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    query, to resume is to start it again on the same checkpoint, and nothing between is lost. ``last_seq`` of the
+    query says how far it has read."""
+    read = stream.observe("read", F.max("seq").alias("last_seq"))
+    writer = read.where(where).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TRIGGER)).start()
 
 
+def last_seq(query: StreamingQuery) -> int | None:
+    """The highest seq that a ``live_tail`` has read since it was started, matches or not; to be kept by who pauses it."""
+    seen = [p.observedMetrics["read"]["last_seq"] for p in query.recentProgress if "read" in p.observedMetrics]
+    return max((s for s in seen if s is not None), default=None)
+
+
+def resume_gap(table: DataFrame, last: int) -> DataFrame:
+    """(after_seq, before_seq, n_missing) if the table that a reader comes back to begins later than where the reader
+    stopped: rows that went meanwhile. No row if nothing is missing."""
+    first = table.where(F.col("seq") > last).agg(F.min("seq").alias("before_seq")).where(F.col("before_seq") > last + 1)
+    return first.select(F.lit(last).cast("long").alias("after_seq"), "before_seq", (F.col("before_seq") - last - 1).alias("n_missing"))
+
+
 def backlog_then_live(history: DataFrame, stream: DataFrame, where: Column, path: str, checkpoint: str, n: int = 300, once: bool = False) -> tuple[DataFrame, StreamingQuery]:
-    """The last ``n`` matches of the table so far, and a tail from now on. A new filter is a new call: the
-    queries have no state to carry over."""
-    return tail_recent(history, n, where), live_tail(stream, where, path, checkpoint, once)
+    """The last ``n`` matches of the table so far, and a tail of what comes after that table's last row, so no row
+    comes twice. Where the table ends is written next to the checkpoint and holds for later starts on it. A new
+    filter is a new call with a new checkpoint: the queries have no state to carry over."""
+    spark, cut = history.sparkSession, f"{checkpoint}-begins"
+    at = spark._jvm.org.apache.hadoop.fs.Path(cut, "_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        history.agg(F.coalesce(F.max("seq"), F.lit(-1)).cast("long").alias("seq")).write.mode("overwrite").parquet(cut)
+    begins = spark.read.schema("seq long").parquet(cut).first()["seq"]
+    return tail_recent(history.where(F.col("seq") <= begins), n, where), live_tail(stream, (F.col("seq") > begins) & where, path, checkpoint, once)
 
 
 def stream_histogram(stream: DataFrame, width: str = "1 minute", late: str = "10 minutes", time_col: str = "event_ts") -> DataFrame:
     """Counts by level class in tumbling windows; rows later than ``late`` are dropped, which bounds the state.
     Empty windows are filled in when the result is read."""
-    return stream.withWatermark(time_col, late).groupBy(F.window(time_col, width).alias("w")).agg(*class_counts()).select(F.col("w.start").alias("t"), *(c for c in ("error", "warn", "info", "debug", "other")))
+    return stream.withWatermark(time_col, late).groupBy(F.window(time_col, width).alias("w")).agg(*class_counts()).select(F.col("w.start").alias("t"), *CLASS_NAMES)
+
+
+def _partial(spark: SparkSession, path: str) -> tuple[str | None, list[int]]:
+    """The folder that holds all batches up to some number, if there is a finished one, and the batches after it."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+    done = {k: sorted(int(x.split("=")[1]) for x in names if x.startswith(f"{k}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}/_SUCCESS"))) for k in ("upto", "batch")}
+    upto = done["upto"][-1] if done["upto"] else -1
+    return (f"{path}/upto={upto}" if upto >= 0 else None), [b for b in done["batch"] if b > upto]
+
+
+def _read(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The partial results of all batches (or those before one), each with its ``batch``."""
+    whole, batches = _partial(spark, path)
+    paths = [*([whole] if whole else []), *(f"{path}/batch={b}" for b in batches if before is None or b < before)]
+    return spark.read.schema(f"{schema}, batch long").parquet(*paths) if paths else spark.createDataFrame([], f"{schema}, batch long")
+
+
+def _add(batch: DataFrame, batch_id: int, path: str, schema: str, together: Callable[[DataFrame], DataFrame]) -> None:
+    """A batch's partial result under its own number: a repeated batch writes the same place again. Every COMPACT
+    batches they are put together in one folder, which takes effect when it is whole; the old ones then go."""
+    spark = batch.sparkSession
+    batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    whole, batches = _partial(spark, path)
+    if len(batches) >= COMPACT:
+        together(_read(spark, path, schema)).write.mode("overwrite").parquet(f"{path}/upto={batch_id}")
+        for old in [*([whole] if whole else []), *(f"{path}/batch={b}" for b in batches)]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(old)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
+HISTOGRAM = "t timestamp, " + ", ".join(f"{c} long" for c in CLASS_NAMES)
+FACETS = "path string, value string, n long"
+SAMPLED = "source string, seq long, n long, opened double, json string"
 
-def _merge(spark: SparkSession, path: str, batch: DataFrame, batch_id: int) -> None:
-    """A batch's partial result under its own number: a repeated batch writes the same place again."""
-    batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+def _latest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("t").agg(F.max(F.struct("batch", *CLASS_NAMES)).alias("x")).select("t", *(f"x.{c}" for c in CLASS_NAMES), "x.batch")
 
-def stream_facets(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+
+def stream_histogram_table(stream: DataFrame, path: str, checkpoint: str, width: str = "1 minute", late: str = "10 minutes", time_col: str = "event_ts", once: bool = False) -> StreamingQuery:
+    """The windows that each batch changed, to a table; ``read_histogram`` takes each window's latest counts."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        _add(batch, batch_id, path, HISTOGRAM, _latest)
+
+    return _started(stream_histogram(stream, width, late, time_col), each, checkpoint, once, "update")
+
+
+def read_histogram(spark: SparkSession, path: str) -> DataFrame:
+    return _latest(_read(spark, path, HISTOGRAM)).drop("batch")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("path", "value").agg(F.sum("n").alias("n"), F.max("batch").alias("batch"))
+
+
+def stream_facets(stream: DataFrame, path: str, checkpoint: str, once: bool = False, max_depth: int = DEPTH) -> StreamingQuery:
     """Partial facet counts of each batch to a table; ``read_facets`` adds them up. Another filter takes another path."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        _merge(batch.sparkSession, path, facet_counts(batch), batch_id)
+        _add(facet_counts(batch, max_depth=max_depth), batch_id, path, FACETS, _summed)
 
     return _started(stream, each, checkpoint, once)
 
 
 def read_facets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("path string, value string, n long, batch int").parquet(path).groupBy("path", "value").agg(F.sum("n").alias("n"))
+    return _summed(_read(spark, path, FACETS)).drop("batch")
 
 
-def stream_recommend(stream: DataFrame, path: str, checkpoint: str, sample: int = SAMPLE, once: bool = False) -> StreamingQuery:
-    """Each batch keeps at most ``sample`` JSON rows of each source; ``read_recommended`` judges the first of them all.
-    What is kept of a source is bounded for a batch; the table can be cut to its first rows at any time."""
+def stream_recommend(stream: DataFrame, path: str, checkpoint: str, sample: int = SAMPLE, closes: float = CLOSES, once: bool = False, clock: Callable[[], float] = time.time) -> StreamingQuery:
+    """A sample of each source, which ends with its first ``sample`` JSON rows, or ``closes`` seconds after the first
+    of them came; ``read_recommended`` judges it. A closed source costs no more, so the table stays bounded."""
     def each(batch: DataFrame, batch_id: int) -> None:
+        now = clock()
+        have = _read(batch.sparkSession, path, SAMPLED, batch_id).groupBy("source").agg(F.count("*").alias("have"), F.min("opened").alias("since"))
         first = F.row_number().over(W.partitionBy("source").orderBy("seq"))
-        rows = batch.where(F.col("fields").isNotNull()).withColumn("_n", first).where(F.col("_n") <= sample)
-        _merge(batch.sparkSession, path, rows.select("source", "seq", F.to_json("fields").alias("json")), batch_id)
+        rows = batch.where(F.col("fields").isNotNull()).withColumn("_n", first).where(F.col("_n") <= sample).join(have, "source", "left")
+        rows = rows.withColumn("n", F.col("_n") + F.coalesce("have", F.lit(0))).where((F.col("n") <= sample) & (F.lit(now) - F.coalesce("since", F.lit(now)) < closes))
+        rows = rows.select("source", "seq", F.col("n").cast("long").alias("n"), F.coalesce("since", F.lit(now)).alias("opened"), F.to_json("fields").alias("json"))
+        _add(rows, batch_id, path, SAMPLED, lambda all_rows: all_rows)
 
     return _started(stream, each, checkpoint, once)
 
 
 def read_recommended(spark: SparkSession, path: str, sample: int = SAMPLE) -> DataFrame:
-    rows = spark.read.schema("source string, seq long, json string, batch int").parquet(path)
-    first = F.row_number().over(W.partitionBy("source").orderBy("batch", "seq"))
-    rows = rows.withColumn("seq", first.cast("long")).where(F.col("seq") <= sample)
-    return recommend_columns(rows.select("source", "seq", F.try_parse_json("json").alias("fields")), sample)
+    rows = _read(spark, path, SAMPLED)
+    return recommend_columns(rows.select("source", F.col("n").alias("seq"), F.try_parse_json("json").alias("fields")), sample)
 
 
-def _started(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TRIGGER)).start()
+def _started(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode(mode)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TABLE_TRIGGER)).start()

@@ -26,32 +26,40 @@ def entries_of(spark, lines):
     return normalize(lines_of(spark, lines))
 
 
+#: Parcels on their way: level, service, message, time and what else a line has.
+PARCELS = [
+    {"level": "trace", "service": "belt/east", "msg": "parcel 17 weighed", "ts": 40, "parcel": {"grams": 950, "fragile": False}},
+    {"level": "notice", "service": "belt/west", "msg": "parcel 18 weighed", "ts": 50, "parcel": {"grams": "1200"}, "crew": "night"},
+    {"level": "fatal", "service": "gate", "msg": "Gate 3: arm stuck", "ts": 60.5, "crew": "night"},
+    {"level": "warn", "service": "gate", "msg": "50% of arms are slow", "ts": 70, "crew": ""},
+    {"level": "info", "service": "desk", "msg": "", "ts": 80, "parcel": {"grams": "heavy"}},
+]
+
+
 @pytest.fixture(scope="module")
-def four(spark):
-    return entries_of(spark, [
-        {"level": "info", "service": "batch_worker", "msg": "dispatcher started", "ts": 1},
-        {"level": "warn", "service": "cron_worker", "msg": "kafka timeout retry", "ts": 2},
-        {"level": "error", "service": "mapper", "msg": "panic recovered", "ts": 3},
-        {"level": "debug", "service": "mapper", "msg": "trace_id=xyz123", "ts": 4, "msg_batch_conf": {"ConsumerQos": 50}},
-    ]).cache()
+def parcels(spark):
+    return entries_of(spark, PARCELS).cache()
 
 
 PREDICATES = [
-    (lambda: p.eq("level", "error"), 1), (lambda: p.eq("level", "debug") & p.eq("service", "mapper"), 1), (lambda: p.eq("service", "batch_worker") | p.eq("service", "cron_worker"), 2),
-    (lambda: p.contains("msg", "timeout"), 1), (lambda: ~p.eq("level", "debug"), 3), (lambda: p.level_cmp(">=", "warn"), 2), (lambda: p.num_between("ts", 2, 3), 2),
-    (lambda: p.num_cmp("msg_batch_conf.ConsumerQos", ">=", 50), 1), (p.match_all, 4), (lambda: p.exists("service"), 4), (lambda: p.exists("msg_batch_conf.ConsumerQos"), 1),
-    (lambda: ~p.exists("service"), 0), (lambda: p.glob("msg", "*timeout*"), 1), (lambda: p.glob("msg", "dispatcher*"), 1), (lambda: p.glob("msg", r"\*"), 0), (lambda: p.glob("msg", "*kafka*retry*"), 1),
-    (lambda: p.regex("msg", "dispatcher"), 1), (lambda: p.regex("msg", "PANIC", "i"), 1), (lambda: p.regex("service", "^batch_"), 1), (lambda: ~p.regex("msg", "timeout"), 3),
-    (lambda: (p.eq("level", "warn") | p.eq("level", "error")) & ~p.eq("service", "mapper"), 1), (lambda: ~p.eq("level", "info") & ~p.eq("service", "mapper"), 1),
-    (lambda: p.eq("nothing", ""), 4), (lambda: p.eq("msg_batch_conf", ""), 4), (lambda: p.str_cmp("nothing", "<", "a"), 4), (lambda: p.str_cmp("service", ">=", "cron_worker"), 3),
-    (lambda: p.level_cmp(">", "unknown"), 0), (lambda: p.time_window(2, 4), 2), (lambda: p.time_brush(1.5, 2.5), 3), (lambda: p.glob("nothing", "*"), 4), (lambda: p.msg_eq("panic recovered"), 1),
+    (lambda: p.eq("service", "gate"), 2), (lambda: p.eq("service", "Gate"), 0), (lambda: p.eq("parcel.fragile", "false"), 1), (lambda: p.eq("parcel.grams", "1200"), 1),
+    (lambda: p.eq("crew", ""), 3), (lambda: ~p.eq("crew", "night"), 3), (lambda: p.eq("parcel", ""), 5),
+    (lambda: p.contains("msg", "weighed"), 2), (lambda: p.contains("service", "belt/"), 2), (lambda: p.contains("crew", "i"), 2), (lambda: p.msg_contains("%"), 1), (lambda: p.msg_eq("parcel 17 weighed"), 1), (lambda: p.msg_eq(""), 1),
+    (lambda: p.glob("service", "belt/*"), 2), (lambda: p.glob("msg", "*arm*stuck"), 1), (lambda: p.glob("msg", "*arm"), 0), (lambda: p.glob("msg", "50%*"), 1), (lambda: p.glob("crew", "*"), 5), (lambda: p.glob("msg", r"*\**"), 0),
+    (lambda: p.exists("crew"), 2), (lambda: p.exists("parcel.grams"), 3), (lambda: ~p.exists("msg"), 1),
+    (lambda: p.num_between("ts", 50, 70), 3), (lambda: p.num_between("parcel.grams", 900, 1200), 2), (lambda: p.num_cmp("parcel.grams", ">", 950), 1), (lambda: ~p.num_cmp("parcel.grams", "<=", 950), 4),
+    (lambda: p.str_cmp("service", "<", "desk"), 2), (lambda: p.str_cmp("crew", "<", "a"), 3), (lambda: p.str_cmp("crew", ">=", "n"), 2),
+    (lambda: p.level_cmp(">=", "warn"), 2), (lambda: p.level_cmp("<", "info"), 1), (lambda: p.level_cmp(">", "odd"), 0), (lambda: p.level_cmp("<=", "fatal"), 4),
+    (lambda: p.regex("msg", "^parcel 1[78]"), 2), (lambda: p.regex("msg", "GATE", "i"), 1), (lambda: p.regex("msg", "GATE"), 0), (lambda: p.regex("crew", "^$"), 3),
+    (lambda: (p.eq("service", "gate") | p.eq("service", "desk")) & ~p.level_cmp(">=", "warn"), 1), (lambda: ~(p.exists("crew") | p.exists("parcel.grams")), 1), (p.match_all, 5),
+    (lambda: p.time_window(50, 70), 2), (lambda: p.time_window(0, 60), 2), (lambda: p.time_brush(60.9, 69.2), 2),
 ]
 
 
-def test_predicates(four):
-    got = four.agg(*(F.count_if(w()).alias(f"c{i}") for i, (w, _) in enumerate(PREDICATES))).first()
+def test_predicates(parcels):
+    got = parcels.agg(*(F.count_if(w()).alias(f"c{i}") for i, (w, _) in enumerate(PREDICATES))).first()
     assert list(got) == [n for _, n in PREDICATES]
-    nulls = four.agg(*(F.count_if(w().isNull()).alias(f"c{i}") for i, (w, _) in enumerate(PREDICATES))).first()
+    nulls = parcels.agg(*(F.count_if(w().isNull()).alias(f"c{i}") for i, (w, _) in enumerate(PREDICATES))).first()
     assert not any(nulls)
 
 
@@ -67,28 +75,30 @@ def test_dots_and_punctuation(spark):
     assert list(df.agg(*(F.count_if(c).alias(f"c{i}") for i, (c, _) in enumerate(want))).first()) == [n for _, n in want]
 
 
-def test_predicates_on_columns_reach_the_scan(spark, four, tmp_path):
-    files.write_table(four.drop("fields"), f"file://{tmp_path}/t")
+def test_predicates_on_columns_reach_the_scan(spark, parcels, tmp_path):
+    files.write_table(parcels.drop("fields"), f"file://{tmp_path}/t")
     t = files.read_table(spark, f"file://{tmp_path}/t")
-    plan = checks.pushed_filters(t.where(p.eq("service", "mapper") & ~p.eq("level", "info") & p.time_window(1, 4)).select("seq"))
-    assert "EqualNullSafe(service,mapper)" in plan and "GreaterThanOrEqual(ts,1.0)" in plan and "level" in plan
+    plan = checks.pushed_filters(t.where(p.eq("service", "gate") & ~p.eq("level", "info") & p.time_window(1, 4)).select("seq"))
+    assert "EqualNullSafe(service,gate)" in plan and "GreaterThanOrEqual(ts,1.0)" in plan and "level" in plan
     assert not checks.runs_python(t)
 
 
 def test_text_lines(spark):
     at = lambda *a, us=0: dt.datetime(*a, us, tzinfo=dt.timezone.utc).timestamp()
     cases = [
-        ("kafka 03:56:52.77 INFO  ==> Subscribe", "info", at(2024, 1, 1, 3, 56, 52, us=770_000)), ("[2026-05-26 03:57:00,918] INFO [LogLoader", "info", at(2026, 5, 26, 3, 57, 0, us=918_000)),
-        ("2026-05-26 03:56:59.209 [debug] <0.287.0>", "debug", at(2026, 5, 26, 3, 56, 59, us=209_000)), ("2026-05-26T04:16:50.051Z [info] [AMQP]:", "info", at(2026, 5, 26, 4, 16, 50, us=51_000)),
-        ("2026-05-26T04:17:13.300406Z [warning  ] [FF]", "warn", at(2026, 5, 26, 4, 17, 13, us=300_406)), ("2026-05-26T04:16:50+0700 INFO startup", "info", at(2026, 5, 25, 21, 16, 50)),
-        ("2026-05-26T04:16:50Z SEVERE", "error", at(2026, 5, 26, 4, 16, 50)), ("2026-99-26T04:16:50Z x", None, None), ("prefix [panic] msg", "fatal", None), ("prefix [Info] msg", "info", None), ("prefix [err] msg", "error", None),
-        ("random output mentioning info as a word", None, None), ("address ::1 received", None, None), ("", None, None), ("x" * 106 + " ERROR boom", None, None),
+        ("07:30:05 the kiln is WARNING hot", "warn", at(2024, 1, 1, 7, 30, 5)), ("kiln 07:30:05.125 DEBG lid shut", "debug", at(2024, 1, 1, 7, 30, 5, us=125_000)),
+        ("2031-02-03 04:05:06,5 (kiln) ERRO lid open", "error", at(2031, 2, 3, 4, 5, 6, us=500_000)), ("<2031-02-03T04:05:06.000007Z> [ notice ] lid", "notice", at(2031, 2, 3, 4, 5, 6, us=7)),
+        ("2031-02-03T04:05:06-0330 CRIT x", "fatal", at(2031, 2, 3, 7, 35, 6)), ("2031-02-03T04:05:06+02:00 [lid] [E] x", "error", at(2031, 2, 3, 2, 5, 6)),
+        ("at 2031-02-30 04:05:06 then 07:30:05", None, None), ("123:45:67 12:3:4 no times", None, None), ("[verbose][fatal] the first counts", "trace", None), ("LID shut, then FINE", "debug", None), ("an error in small letters", None, None),
+        ("INFORMATION and INFO", "info", None), ("XINFO INFOX INf", None, None), ("", None, None), ("." * 90 + " ERROR", "error", None), ("." * 96 + " ERROR 07:30:05", None, None),
     ]
     df = spark.createDataFrame([(i, x) for i, (x, *_) in enumerate(cases)], "i int, line string")
     got = df.select(text.text_level(F.col("line")), text.text_time(F.col("line"), "2024-01-01")).collect()
     for (line, level, when), g in zip(cases, got):
         assert g[0] == level, line
         assert (g[1] is None) == (when is None) and (when is None or abs(g[1] - when) < 1e-5), line
+    today = df.select(text.text_time(F.col("line")), F.unix_timestamp(F.current_date().cast("timestamp")), "line").where("i < 3").orderBy("i").collect()
+    assert [r[0] for r in today] == [today[0][1] + 27005, today[1][1] + 27005.125, cases[2][2]]
 
 
 def test_ansi(spark):
@@ -119,15 +129,16 @@ def test_normalize_routes_lines(spark):
 
 
 def test_histogram(spark):
-    rows = [(1010.0, "info"), (1050.0, "warn"), (1099.999, "error"), (1100.0, "info"), (1250.0, "debug"), (1500.0, "info")]
+    rows = [(200.0, "FATAL"), (229.9, "panic"), (230.0, "notice"), (259.9999, "trace"), (260.0, "debug"), (289.0, None), (290.0, "warn"), (199.9, "error"), (320.0, "error"), (319.5, "odd")]
     df = spark.createDataFrame(rows, "ts double, level string")
-    got = [tuple(r) for r in aggregate.histogram(df, 1000, 1300, 100).select("bucket", *aggregate.CLASS_NAMES).orderBy("bucket").collect()]
-    assert got == [(0, 1, 1, 1, 0, 0), (1, 0, 0, 1, 0, 0), (2, 0, 0, 0, 1, 0)]
-    assert [tuple(r)[1:6] for r in aggregate.histogram(df, 5000, 5050, 100).collect()] == [(0,) * 5]
-    for bad in ((1000, 1300, 0), (1300, 1000, 10), (0, 50_001, 10)):
+    got = [tuple(r) for r in aggregate.histogram(df, 200, 320, 30).select("bucket", "t", *aggregate.CLASS_NAMES).orderBy("bucket").collect()]
+    assert got == [(0, 200.0, 2, 0, 0, 0, 0), (1, 230.0, 0, 0, 1, 1, 0), (2, 260.0, 0, 0, 0, 1, 1), (3, 290.0, 0, 1, 0, 0, 1)]
+    assert [tuple(r)[1:6] for r in aggregate.histogram(df, 900, 960, 30).collect()] == [(0,) * 5] * 2
+    assert aggregate.histogram(df, 200, 290.5, 30).count() == 4  # the last, shorter bucket too
+    for bad in ((200, 320, 0), (320, 200, 30), (0, 50_001, 10)):
         with pytest.raises(ValueError):
             aggregate.histogram(df, *bad)
-    assert [aggregate.auto_bucket(s) for s in (0, 7200, 86_400, 10**9)] == [60, 60, 720, 3600]
+    assert [aggregate.auto_bucket(s) for s in (0, 36_000, 100_000, 10**7)] == [60, 300, 840, 3600]
 
 
 def test_retrieval(spark):
@@ -148,12 +159,20 @@ def test_diff(spark):
     assert {(r["path"], r["left_value"], r["right_value"]) for r in got} == {("x.y", "1", "2"), ("x.z", "[1,2]", ""), ("w", "", "new")}
 
 
-def test_facets(four):
-    counts = facets.facet_counts(four)
-    assert {(r["value"], r["n"]) for r in counts.where("path = 'service'").collect()} == {("batch_worker", 1), ("cron_worker", 1), ("mapper", 2)}
+def test_facets(spark, parcels):
+    counts = facets.facet_counts(parcels)
+    assert {(r["value"], r["n"]) for r in counts.where("path = 'service'").collect()} == {("belt/east", 1), ("belt/west", 1), ("gate", 2), ("desk", 1)}
+    assert {(r["value"], r["n"]) for r in counts.where("path = 'parcel.grams'").collect()} == {("950", 1), ("1200", 1), ("heavy", 1)}
     assert facets.rank_facets(counts, ["msg"]).first()["path"] == "msg"
-    assert [r["value"] for r in facets.facet_values(counts, "service", "WORKER", ["cron_worker"]).collect()] == ["cron_worker", "batch_worker"]
-    assert [r["value"] for r in facets.suggest_values(counts, "service").collect()] == ["mapper", "batch_worker", "cron_worker"]
+    assert [r["value"] for r in facets.facet_values(counts, "service", "BELT", ["belt/west"]).collect()] == ["belt/west", "belt/east"]
+    assert [r["value"] for r in facets.suggest_values(counts, "service").collect()] == ["gate", "belt/east", "belt/west", "desk"]
+    deep = {"x": 1}
+    for k in "fedcba":
+        deep = {k: deep}
+    df = entries_of(spark, [{"msg": "m", **deep}, {"msg": 'quoted "{{{" braces', "l": [{"p": {"q": {}}}]}])
+    assert paths.deepest(df) == 7 and paths.deepest(parcels) == 2
+    assert [r["path"] for r in facets.facet_counts(df, max_depth=7).where("path like 'a%'").collect()] == ["a.b.c.d.e.f.x"]
+    assert facets.facet_counts(df, max_depth=6).where("path like 'a%'").count() == 0
 
 
 def test_recommended_columns(spark):
@@ -176,18 +195,18 @@ def test_rate(spark):
     assert abs(aggregate.rate_ewma(df, 103.9).first()["rate"] - rate) < 1e-6
 
 
-def test_files(spark, four, tmp_path):
+def test_files(spark, parcels, tmp_path):
     (tmp_path / "a.log").write_bytes(b"one\r\n\ntwo\n")
     got = files.read_logs(spark, f"file://{tmp_path}/a.log").orderBy("seq").collect()
     assert [r["line"] for r in got] == ["one\r", "", "two"] and got[0]["source"].endswith("a.log")
-    files.export_jsonl(four, f"file://{tmp_path}/out", p.eq("service", "mapper"), limit=1)
+    files.export_jsonl(parcels, f"file://{tmp_path}/out", p.eq("service", "gate"), limit=1)
     out = [json.loads(r["value"]) for r in spark.read.text(f"file://{tmp_path}/out").collect()]
-    assert len(out) == 1 and out[0]["seq"] == 2 and out[0]["fields"]["msg"] == "panic recovered"
+    assert len(out) == 1 and out[0]["seq"] == 2 and out[0]["fields"]["msg"] == "Gate 3: arm stuck"
 
 
 def test_paths(spark):
-    leaves = paths.explode_paths(entries_of(spark, [{"msg": "x", "a": {"b": {"c": {"d": {"e": 1}}}}, "l": [1], "n": None, "o": {}}])).collect()
-    assert {(r["path"], r["value"], r["depth"]) for r in leaves} == {("msg", "x", 1), ("a.b.c.d", '{"e":1}', 4), ("l", "[1]", 1), ("n", None, 1), ("o", "{}", 1)}
+    leaves = paths.explode_paths(entries_of(spark, [{"msg": "x", "a": {"b": {"c": {"d": {"e": 1}}}}, "l": [1], "e": [], "s": [None, {"t": 1}], "n": None, "o": {}, "1e3": 1e3}]), max_depth=4).collect()
+    assert {(r["path"], r["value"], r["depth"]) for r in leaves} == {("msg", "x", 1), ("a.b.c.d", '{"e":1}', 4), ("l", "[1]", 1), ("e", "[]", 1), ("s", '[null,{"t":1}]', 1), ("n", None, 1), ("o", "{}", 1), ("1e3", "1000", 1)}
 
 
 def test_streamed_files_resume_behind_the_cursor(spark, tmp_path):
@@ -199,3 +218,74 @@ def test_streamed_files_resume_behind_the_cursor(spark, tmp_path):
         live.live_tail(stream, where, f"file://{tmp_path}/out", f"file://{tmp_path}/cursor", once=True).awaitTermination()
         seen.append(sorted(r["msg"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()))
     assert seen == [["a0", "a2"], ["a0", "a2", "b0"]]
+
+
+def test_followed_lines_keep_their_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    want = []
+    for name in ("b", "a"):
+        lines = [f"{name}{i // 3}" for i in range(40)]
+        (tmp_path / "in" / f"{name}.log").write_text("\n".join(lines) + "\n")
+        want += lines
+        files.follow_logs(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/t", f"file://{tmp_path}/c", once=True).awaitTermination()
+    got = files.read_followed(spark, f"file://{tmp_path}/t").orderBy("seq").collect()
+    assert [r["line"] for r in got] == want and len({r["seq"] for r in got}) == 80
+    assert [r["line"] for r in retrieve.tail_recent(files.read_followed(spark, f"file://{tmp_path}/t"), 2).collect()] == ["a12", "a13"]
+
+
+def stream_of(spark, path, rows, schema):
+    """Writes some rows as one more file and gives the folder as a stream."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def test_a_sample_closes(spark, tmp_path):
+    schema, path, now = "source string, seq long, line string, ingest_ts timestamp", f"file://{tmp_path}", [0.0]
+    seen = []
+    for turn, (when, n) in enumerate(((100.0, 4), (120.0, 4), (131.0, 4), (140.0, 4))):
+        now[0] = when
+        rows = [(s, turn * 100 + i, json.dumps({"msg": f"{s}{i}", "ts": i}), NOW) for s in (("a", "late") if turn > 1 else ("a",)) for i in range(n)]
+        live.stream_recommend(normalize(stream_of(spark, f"{path}/in", rows, schema)), f"{path}/t", f"{path}/c", sample=6, once=True, clock=lambda: now[0]).awaitTermination()
+        seen.append({r["source"]: r["count"] for r in live._read(spark, f"{path}/t", live.SAMPLED).groupBy("source").count().collect()})
+    assert seen == [{"a": 4}, {"a": 6}, {"a": 6, "late": 4}, {"a": 6, "late": 6}]
+    early = normalize(stream_of(spark, f"{path}/in2", [("a", 1, '{"msg":"x"}', NOW)], schema))
+    for now[0] in (10.0, 39.0, 41.0):
+        live.stream_recommend(early, f"{path}/t2", f"{path}/c2", once=True, clock=lambda: now[0]).awaitTermination()
+        early = normalize(stream_of(spark, f"{path}/in2", [("a", int(now[0]), '{"msg":"y"}', NOW)], schema))
+    assert live._read(spark, f"{path}/t2", live.SAMPLED).count() == 2  # what came after 30 seconds is left out
+    assert [r["column"] for r in live.read_recommended(spark, f"{path}/t2").collect()] == ["msg"]
+
+
+def test_partial_results_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT", 2)
+    path = f"file://{tmp_path}"
+    for turn in range(5):
+        rows = [("s", turn, json.dumps({"level": "info", "service": "a" if turn % 2 else "b", "msg": "m", "timestamp": f"2031-01-01T00:{turn:02}:30Z"}), NOW)]
+        stream = normalize(stream_of(spark, f"{path}/in", rows, "source string, seq long, line string, ingest_ts timestamp"))
+        live.stream_facets(stream, f"{path}/f", f"{path}/fc", once=True).awaitTermination()
+        live.stream_histogram_table(stream, f"{path}/h", f"{path}/hc", "2 minutes", once=True).awaitTermination()
+    assert {(r["value"], r["n"]) for r in live.read_facets(spark, f"{path}/f").where("path = 'service'").collect()} == {("a", 2), ("b", 3)}
+    assert len([x for x in (tmp_path / "f").iterdir() if x.is_dir()]) <= 2
+    got = sorted((r["t"].minute, r["info"]) for r in live.read_histogram(spark, f"{path}/h").collect())
+    assert got == [(0, 2), (2, 2), (4, 1)]
+
+
+def test_history_then_live_without_repeats(spark, tmp_path):
+    schema, path = "source string, seq long, line string, ingest_ts timestamp", f"file://{tmp_path}"
+    rows = [("s", i, json.dumps({"msg": f"m{i}", "level": "warn"}), NOW) for i in range(9)]
+    stream = normalize(stream_of(spark, f"{path}/in", rows[:5], schema)).drop("fields")
+    history = normalize(spark.createDataFrame(rows[:5], schema)).drop("fields")
+    for more in (rows[5:7], rows[7:]):
+        past, running = live.backlog_then_live(history, stream, p.eq("level", "warn"), f"{path}/out", f"{path}/c", 3, once=True)
+        running.awaitTermination()
+        assert [r["seq"] for r in past.collect()] == [2, 3, 4]
+        history = normalize(spark.createDataFrame(rows[: more[-1][1] + 1], schema)).drop("fields")  # the table has grown meanwhile
+        stream_of(spark, f"{path}/in", more, schema)
+    live.backlog_then_live(history, stream, p.eq("level", "warn"), f"{path}/out", f"{path}/c", 3, once=True)[1].awaitTermination()
+    assert sorted(r["seq"] for r in spark.read.parquet(f"{path}/out").collect()) == [5, 6, 7, 8]
+
+
+def test_gap_on_resume(spark):
+    table = spark.range(50, 60).select(F.col("id").alias("seq"))
+    assert [tuple(r) for r in live.resume_gap(table, 40).collect()] == [(40, 50, 9)]
+    assert live.resume_gap(table, 49).collect() == [] and live.resume_gap(table, 55).collect() == [] and live.resume_gap(table, 99).collect() == []
