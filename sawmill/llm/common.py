@@ -9,13 +9,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and characters of text that one vectorised step of a Python worker takes.
 STEP_ROWS, STEP_CHARS = 2_000, 6_000_000
 #: Bytes of an Arrow batch, but for a single row of more.
 BATCH_BYTES = 8 << 20
+#: Bits of a map of wanted values: a fixed size. With many more values it leaves out less; results are the same.
+BITS = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,23 @@ def guarded(docs: DataFrame, work: Callable[[DataFrame], DataFrame], core: tuple
     return work(docs.toDF(*names)).select(*names).toDF(*docs.columns)
 
 
+def marks(df: DataFrame, value: str) -> Column:
+    """A map of BITS bits, those of a column's hashes set, as one value of other queries: most of what isn't among
+    them can be left out before anything is moved."""
+    cell = F.col(value).bitwiseAND(F.lit(BITS - 1).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = df.select(F.shiftright(cell, 6).alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    every = df.sparkSession.range(0, BITS // 64, 1, 1).join(words, "id", "left").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("m"))  # a fixed number of rows
+    return every.select(F.col("m.bits")).scalar()
+
+
+def marked(marks: Column, value: Column) -> Column:
+    """Whether the bit of a hash is set in a map."""
+    cell = value.bitwiseAND(F.lit(BITS - 1).cast("long"))
+    bits = F.call_function("shiftright", F.get(marks, F.shiftright(cell, 6).cast("int")), cell.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return bits.bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -93,10 +112,12 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def in_id_order(df: DataFrame, parts: int) -> tuple[DataFrame, list[int]]:
-    """``df`` with ``part``: ascending doc_id over ascending parts of about equal rows; null
-    doc_ids come first. Only the bounds of the parts, a fixed number, reach the driver."""
+    """``df`` with ``part``: ascending doc_id over ascending parts of about equal rows. Rows without doc_id come
+    first, in parts of their own below 0, as many as their share asks for; by hashes of their texts where these are
+    several. Only the bounds of the parts, a fixed number, reach the driver."""
     at = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)) if at else F.array(F.lit(0.5)), F.lit(10_000)).alias("b")).first()
+    row = df.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)) if at else F.array(F.lit(0.5)), F.lit(10_000)).alias("b"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nameless")).first()
+    apart = max(1, -(-row["nameless"] * parts // max(row["n"], 1)))
     bounds = np.unique(np.array(row["b"] or [0], np.int64)) if at else np.empty(0, np.int64)
 
     @F.pandas_udf("int")
@@ -105,7 +126,8 @@ def in_id_order(df: DataFrame, parts: int) -> tuple[DataFrame, list[int]]:
 
         return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).astype("int64"), side="right")).astype(np.int32))
 
-    return df.withColumn("part", part(F.col("doc_id").cast("long"))), bounds.tolist()
+    nameless = (F.pmod(F.xxhash64("text"), F.lit(apart)) - apart).cast("int")
+    return df.withColumn("part", F.when(F.col("doc_id").isNull(), nameless).otherwise(part(F.col("doc_id").cast("long")))), bounds.tolist()
 
 
 def crc_rows(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:

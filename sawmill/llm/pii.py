@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import guarded, saved, table
+from .common import guarded, marked, marks, saved, table
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -40,8 +40,6 @@ NEAR, REACH = 3, 80
 #: text alone, the share passes GENERALISED from about 20 texts on; with another text of the term, from 6e8.
 DOUBT = 0.4
 GENERALISED, REMOVED = 0.95, 0.999
-#: Bits of the map of wanted values: a fixed size. With many more values it leaves out less; results are the same.
-BITS = 1 << 22
 TERM = r"[\p{L}\p{M}]++"
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -127,22 +125,6 @@ def _share(texts: int, n_term: str) -> Column:
     return F.log(F.lit(float(texts)) * low / F.col("n_value")) / F.log((F.lit(float(texts)) + 1) / F.col("n_value"))
 
 
-def _marks(df: DataFrame, value: str) -> Column:
-    """A map of BITS bits, those of a column's hashes set, as one value of other queries."""
-    cell = F.col(value).bitwiseAND(F.lit(BITS - 1).cast("long"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    words = df.select(F.shiftright(cell, 6).alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
-    every = df.sparkSession.range(0, BITS // 64, 1, 1).join(words, "id", "left").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("m"))  # a fixed number of rows
-    return every.select(F.col("m.bits")).scalar()
-
-
-def _marked(marks: Column, value: Column) -> Column:
-    """Whether the bit of a hash is set in a map."""
-    cell = value.bitwiseAND(F.lit(BITS - 1).cast("long"))
-    bits = F.call_function("shiftright", F.get(marks, F.shiftright(cell, 6).cast("int")), cell.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    return bits.bitwiseAND(F.lit(1).cast("long")) == 1
-
-
 def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumns({"_h": F.xxhash64("text"), "_g": F.hash("text")})
 
@@ -150,7 +132,7 @@ def _named(docs: DataFrame) -> DataFrame:
 def _words_among(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(_h, _g, term) of the words of all texts, once a row, but for most of those that aren't among ``terms``."""
     words = _named(docs).select("_h", "_g", F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(text), {_quoted(TERM)}, 0))")).alias("term"))
-    return words.where(_marked(_marks(terms.select(F.xxhash64("term").alias("v")), "v"), F.xxhash64("term")))
+    return words.where(marked(marks(terms.select(F.xxhash64("term").alias("v")), "v"), F.xxhash64("term")))
 
 
 def disclosing(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -198,7 +180,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     spans = saved(rows.withColumn("text", F.expr("if(size(_base) > 0, text, '')")))
     told = disclosing(docs, spans)
     # A text of each is taken before it meets its terms, however many copies it has.
-    terms = _named(docs).where(_marked(_marks(told, "_h"), F.col("_h"))).groupBy("_h", "_g").agg(F.first("text").alias("text")).join(told, ["_h", "_g"])
+    terms = _named(docs).where(marked(marks(told, "_h"), F.col("_h"))).groupBy("_h", "_g").agg(F.first("text").alias("text")).join(told, ["_h", "_g"])
     terms = terms.join(spans.select("_h", "_g", "_base").dropDuplicates(["_h", "_g"]), ["_h", "_g"]).select("_h", "_g", _term_spans().alias("_terms"))
     out = spans.drop("text").join(terms, ["_h", "_g"], "left")
     every = _listed(f"concat(_base, coalesce(_terms, cast(array() as {_SPANS})))")

@@ -3,7 +3,9 @@
 The cache is a table of (digest, version, n_tokens): the SHA-256 of a text's UTF-8
 bytes and that of the tokenizer's file. Texts are looked up by both; one row of each
 text that is not there is encoded and appended, and all rows read their counts
-from the cache.
+from the cache. Joins move digests and doc_ids; the texts stay where they are read, and
+a map of fixed size says which of them are wanted. Where there are so many that it lets
+copies through, a task encodes each digest once and the cache gets it once.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, scratch, steps, table, texts_of, tokenizer_path
+from .common import marked, marks, saved, scratch, steps, table, texts_of, tokenizer_path
 from .encoding import encoder, tokenizer_version
 
 LIMIT = 512
+#: Digests that a task remembers at once.
+MET = 500_000
 CACHE = "digest binary, version string, n_tokens long"
 
 
@@ -47,16 +51,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     digests = saved(docs.select("doc_id", _digest().alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
     stored = lambda: spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
-    # One row stands for each digest; where doc_ids repeat or are missing, the digest itself picks again.
+    # One row stands for each digest: that of the least doc_id. Only its hash goes to where the texts are.
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    missing = first.join(stored(), "digest", "left_anti")
-    skip = saved(digests.select("doc_id", "digest").join(missing.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti").where("doc_id is not null"))
-    # Always by sorting both sides, so that the plan and its disk are alike at every size.
-    todo = docs.withColumn("digest", _digest()).join(skip.hint("merge"), ["doc_id", "digest"], "left_anti")
+    missing = saved(first.join(stored(), "digest", "left_anti").select(F.xxhash64("doc_id", "digest").alias("row")))
+    todo = docs.withColumn("digest", _digest()).where(marked(marks(missing, "row"), F.xxhash64("doc_id", "digest")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(tokenizer)
+        count, met = _counter(tokenizer), set()
         for batch in steps(batches):
+            digest = batch.column("digest").to_pylist()
+            new = {d: i for i, d in enumerate(digest) if d not in met}  # copies that the map lets through are encoded once a task
+            met = (met if len(met) < MET else set()) | set(new)
+            batch = batch.take(pa.array(list(new.values()), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * len(batch), pa.string()), pa.array(count(texts_of(batch)), pa.int64())], ["digest", "version", "n_tokens"])
 
     todo.select("digest", "text").mapInArrow(run, CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
