@@ -237,7 +237,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     and its edited text, whose second half is the next document's beginning; ``near_*`` are
     likenesses of fingerprints, ``*_differs_by`` the recovered differences.
 
-    Next is by doc_id; null doc_ids come first and rows of one doc_id are in order of text. The
+    Next is by doc_id; null doc_ids come first (many of them by hashes of their texts) and rows of one doc_id are in order of text. The
     row after the last is the first one, so a single row follows itself. No rows give none.
     One shuffle by ranges of doc_id; a part's last text finds the next part's first, which is sent to both.
     """
@@ -245,7 +245,8 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     rows, _ = in_id_order(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), 4 * partitions(spark))
     firsts = [(r["part"], r["nulls"], r["first"]) for r in rows.groupBy("part").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls")).orderBy("part").collect()]  # one row a part, a fixed number
     before = spark.createDataFrame([(p, None if nulls else first, firsts[i - 1][0]) for i, (p, nulls, first) in enumerate(firsts)], "part int, first_id long, to int")
-    heads = rows.join(F.broadcast(before), "part").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", F.col("to").alias("part"), F.lit(True).alias("follows"))
+    heads = rows.join(F.broadcast(before), "part").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("part", F.col("to")).agg(F.min(F.struct("doc_id", "text")).alias("head"))  # of rows of one doc_id or none
+    heads = heads.select("head.doc_id", "head.text", F.col("to").alias("part"), F.lit(True).alias("follows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ids, texts, size = None, [], [], 0

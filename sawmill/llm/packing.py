@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """
     cut = saved(pieces(docs, tokenizer, capacity, end_id))
     salts = partitions(cut.sparkSession)
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    cut = cut.select("*", F.pmod(F.xxhash64("doc_id", "piece", "_metadata.row_index"), F.lit(salts)).alias("salt"))  # a row's place in its file tells equal rows apart
     groups = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = groups.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most

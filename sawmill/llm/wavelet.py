@@ -198,7 +198,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     """Writes the ids of all texts (null: empty), each with ``end_id`` after it, as shards in ascending doc_id order.
 
     Rows with the same doc_id stay next to each other in order of text; null doc_ids come
-    first. Other columns are ignored. No rows write an empty table.
+    first (many of them by hashes of their texts). Other columns are ignored. No rows write an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

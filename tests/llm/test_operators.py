@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from sawmill.llm import encoding, fingerprints, ngram_join, outliers, packing, pieces, pii, quality, statistics, token_counts, urls, wavelet, words
+from sawmill.llm import common, encoding, fingerprints, ngram_join, outliers, packing, pieces, pii, quality, statistics, token_counts, urls, wavelet, words
 from sawmill.llm.common import scratch, tokenizer_path
 from sawmill.llm.components import components
 
@@ -466,16 +466,16 @@ def brute_terms(texts):
     return told
 
 
-@pytest.mark.parametrize("bits", [pii.BITS, 64])
+@pytest.mark.parametrize("bits", [common.BITS, 64])
 def test_terms_equal_plain_counting(spark, monkeypatch, bits):
     import regex
 
-    monkeypatch.setattr(pii, "BITS", bits)
+    monkeypatch.setattr(common, "BITS", bits)
     r = random.Random(21)
-    common, rare, values = [f"common{c}" for c in "abcdefgh"], [f"rare{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"], ["a.b@x.org", "C.d@x.org", "10.2.3.4", "+1 499 555 6503", "e@f.gh"]
+    usual, rare, values = [f"usual{c}" for c in "abcdefgh"], [f"rare{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"], ["a.b@x.org", "C.d@x.org", "10.2.3.4", "+1 499 555 6503", "e@f.gh"]
     texts = []
     for i in range(300):
-        w = [r.choice(common) for _ in range(r.randint(0, 12))] + [r.choice(rare) for _ in range(r.random() < 0.4)]
+        w = [r.choice(usual) for _ in range(r.randint(0, 12))] + [r.choice(rare) for _ in range(r.random() < 0.4)]
         r.shuffle(w)
         if i % 6 == 0:
             v = r.randrange(len(values))
@@ -483,7 +483,7 @@ def test_terms_equal_plain_counting(spark, monkeypatch, bits):
         texts.append(" ".join(w))
     texts += ["Hapax a@b.cd hapaxtoo", "hapax once more", *[texts[0]] * 40, *["Manycopies z@y.xx here"] * 50]
     told = brute_terms(texts)
-    assert {"ownerp", "hapaxtoo", "manycopies"} <= told and not told & {"hapax", "owner", *common}
+    assert {"ownerp", "hapaxtoo", "manycopies"} <= told and not told & {"hapax", "owner", *usual}
     got = {x["doc_id"]: x["spans"] for x in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
     for i, t in enumerate(texts):
         base = brute_spans(t)
@@ -603,6 +603,41 @@ def test_verdicts_equal_plain_estimates(labelled, monkeypatch):
             assert np.isclose(got[rows[i][0]]["distance"], d[i], rtol=1e-2, atol=1e-3) and got[rows[i][0]]["kept"] == (not failed[i] and d[i] <= outliers.CUTOFF)
 
 
+def test_scores_are_of_plain_densities(labelled):
+    df, labels = labelled
+    y = {r["doc_id"]: r["quality"] for r in labels.where("quality is not null").collect()}
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    x, k = quality.features([t for _, t in rows]), np.array([y[i] if y.get(i) is not None and zlib.crc32(str(i).encode()) % 4 != 2 else -1 for i, _ in rows])
+    z = [x[k == c] for c in (0, 1)]
+    n = [len(a) for a in z]
+    within = [np.cov(a.T, bias=True) for a in z]
+    scale = np.sqrt(np.maximum(np.var(x[k >= 0], 0), 1e-6))
+    pooled, logs = sum(a * c for a, c in zip(n, within)) / sum(n) / np.outer(scale, scale), []
+    for a, c, m in zip(z, within, n):
+        c = c / np.outer(scale, scale)
+        c = (1 - quality.SHRINKAGE) * c + quality.SHRINKAGE * (pooled / 2 + np.eye(quality.FEATURES) * max(np.trace(c) / quality.FEATURES, 1e-3) / 2)
+        off = (x - a.mean(0)) / scale
+        logs.append(np.log(m) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(c), off))
+    model = quality.fit(quality.described(df), labels)
+    assert np.allclose(model.difference(x), logs[1] - logs[0], rtol=1e-6, atol=1e-6)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(quality.described(df), model).collect()}
+    want = 1 / (1 + np.exp(-np.clip(model.slope * np.arcsinh(logs[1] - logs[0]) + model.intercept, -500, 500)))
+    assert model.slope > 0 and np.allclose([got[i] for i, _ in rows], want, atol=1e-6)
+
+
+def test_rows_without_ids_are_spread(spark, monkeypatch):
+    table = spark.createDataFrame([(None if i % 3 else i, f"text {i // 2}") for i in range(300)], "doc_id long, text string")
+    placed, _ = common.in_id_order(table, 8)
+    parts = {r["part"]: r["n"] for r in placed.groupBy("part").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert sum(n for p, n in parts.items() if p < 0) == 200 and len([p for p in parts if p < 0]) > 2 and max(parts.values()) < 80
+    got = fingerprints.fingerprint_versions(table).collect()
+    assert len(got) == 300 and all((r["near_next"] == 1) == (r["next_differs_by"] == 0) for r in got)
+    path = scratch(spark)
+    wavelet.write_shards(table, tokenizer_path(BPE), path)
+    read = sorted((r["start"], r["n_tokens"], r["doc_id"] or -1) for r in wavelet.read_documents(spark, path).collect())
+    assert len(read) == 300 and all(a[0] + a[1] == b[0] and a[2] <= b[2] for a, b in zip(read, read[1:]))
+
+
 def test_quality_on_held_out_rows(labelled):
     df, labels = labelled
     stats = quality.described(df)
