@@ -29,12 +29,7 @@ CLASSES = {"error": ("error", "fatal", "panic"), "warn": ("warn", "warning"), "i
 
 def _one_of(value: Column, table: dict[str, tuple[str, ...]]) -> Column:
     """The key under which ``value`` is listed, or null: one lookup in a constant map."""
-    return F.try_element_at(F.create_map(*(F.lit(x) for key, words in table.items() for word in words for x in (word, key))), value)
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.try_element_at(F.expr(f"map({', '.join(f"'{word}', '{key}'" for key, words in table.items() for word in words)})"), value)
 
 
 def normalize_level(value: Column) -> Column:
@@ -44,11 +39,11 @@ def normalize_level(value: Column) -> Column:
 
 def normalize_level_num(value: Column) -> Column:
     """The canonical level of a number, by the scheme that its magnitude belongs to; fractions are cut off."""
-    steps = sorted((*SYSLOG, *TENS, *HUNDREDS, *THOUSANDS), reverse=True)
-    return _let(
-        F.when(value.between(-(2.0**62), 2.0**62), value.cast("long")),
-        lambda n: reduce(lambda c, step: c.when(n >= step[0], F.lit(step[1]).cast("string")), steps, F.when(n.isNull(), F.lit(None).cast("string"))),
-    )
+    steps = sorted((*SYSLOG, *TENS, *HUNDREDS, *THOUSANDS))
+    begins = F.expr(f"array({', '.join(str(n) for n, _ in steps)})")
+    names = F.expr(f"array({', '.join(f"'{x}'" if x else 'null' for _, x in steps)})")
+    n = F.when(value.between(-(2.0**62), 2.0**62), value.cast("long"))
+    return F.when(n.isNotNull(), F.get(names, F.size(F.filter(begins, lambda b: b <= n)) - 1))
 
 
 def normalize_level_any(value: Column, kind: Column | None = None) -> Column:

@@ -7,6 +7,9 @@ and all, then the nested path. Missing, null, object and array values are null.
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,28 @@ ALIASES = {
 }
 
 
+def reused(build):
+    """``build`` with what it gave for the same arguments, as long as Spark's process is the same: large columns are
+    built by many calls to that process, and don't depend on a table."""
+    found: dict = {}
+
+    @wraps(build)
+    def get(*args):
+        key = (SparkContext._gateway, *args)
+        if key not in found:
+            found[key] = build(*args)
+        return found[key]
+
+    return get
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once a row however often it is used: an explode of one row keeps the
+    optimiser from writing the expression out at every use."""
+    more = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
+    return df.select("*", F.inline(more))
+
+
 def _json_path(keys: list[str]) -> str:
     return "$" + "".join(f'["{k}"]' if "'" in k else f"['{k}']" for k in keys)
 
@@ -84,11 +109,11 @@ def deepest(df: DataFrame, fields: str = "fields") -> int:
     return depth.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
-def explode_paths(df: DataFrame, key: str = "seq", fields: str = "fields", max_depth: int = 8, arrays: bool = True) -> DataFrame:
+def explode_paths(df: DataFrame, key: str = "seq", fields: str = "fields", max_depth: int = 8, arrays: bool = True, empty: bool = False) -> DataFrame:
     """(key, path, value, kind, depth) for every leaf of ``fields``: nested objects down to ``max_depth`` levels.
 
     An object below the last level, or an array, is a leaf whose value is its JSON; ``arrays=False`` leaves
-    arrays out. ``deepest`` says how many levels there are. Null values have a null value. The input is read once:
+    arrays out. ``empty`` keeps rows that have no object, with a null path. ``deepest`` says how many levels there are. Null values have a null value. The input is read once:
     every level is an explode of the one before that passes other values through, without a shuffle.
     """
     levels = range(1, max_depth + 1)
@@ -97,12 +122,12 @@ def explode_paths(df: DataFrame, key: str = "seq", fields: str = "fields", max_d
     views = "".join(f", lateral variant_explode_outer({inner.format(i - 1)}) as e{i}(p{i}, k{i}, v{i})" for i in levels[1:])
     keys, nodes = ", ".join(f"k{i}" for i in levels), ", ".join(f"if(k{i} is not null, v{i}, null)" for i in reversed(levels))
     depth = " + ".join(f"int(k{i} is not null)" for i in levels)
-    whole = " and ".join(["k1 is not null", *(f"(k{i} is not null or coalesce(p{i}, 0) = 0)" for i in levels[1:])])
+    whole = " and ".join(["(k1 is not null or p1 is null)" if empty else "k1 is not null", *(f"(k{i} is not null or coalesce(p{i}, 0) = 0)" for i in levels[1:])])
     rows = df.sparkSession.sql(
-        f"select `{key}`, concat_ws('.', {keys}) as path, coalesce({nodes}) as node, {depth} as depth from {{leaves}}, lateral variant_explode(node) as e1(p1, k1, v1){views} where {whole}",
+        f"select `{key}`, if(k1 is null, null, concat_ws('.', {keys})) as path, coalesce({nodes}) as node, {depth} as depth from {{leaves}}, lateral variant_explode_outer(node) as e1(p1, k1, v1){views} where {whole}",
         leaves=df.select(F.col(key), F.col(fields).alias("node")),
     )
-    rows = rows.withColumn("kind", F.schema_of_variant("node"))
-    rows = rows if arrays else rows.where(~F.col("kind").startswith("ARRAY"))
-    value = F.when(F.col("kind").rlike("^(OBJECT|ARRAY)"), F.try_variant_get("node", "$", "string")).otherwise(scalar_text(F.col("node")))
-    return rows.select(key, "path", value.alias("value"), "kind", "depth")
+    kind = F.schema_of_variant("node")
+    value = F.when(kind.rlike("^(OBJECT|ARRAY)"), F.try_variant_get("node", "$", "string")).otherwise(scalar_text(F.col("node")))
+    rows = once(rows, kind=kind, value=value).select(key, "path", "value", "kind", "depth")
+    return rows if arrays else rows.where(~F.coalesce("kind", F.lit("")).startswith("ARRAY"))

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sawmill.functions.paths import explode_paths
+from sawmill.functions.paths import explode_paths, once
 
 TOP, LONGEST, KEYS = 50, 200, 512
 LISTED, SUGGESTED = 8, 10
+#: Parts in which the values of a path are ranked first.
+SALTS = 64
 #: Levels of nested objects that facets look into unless told otherwise.
 DEPTH = 8
 
@@ -19,18 +21,29 @@ def facet_counts(df: DataFrame, longest: int = LONGEST, max_depth: int = DEPTH)
 
     Leaves lie at most ``max_depth`` objects deep; ``paths.deepest`` tells how many levels a table has. Partial counts are taken before the shuffle, so one frequent value costs no more than another.
     """
-    leaves = explode_paths(df.select("seq", "fields"), max_depth=max_depth, arrays=False).where(F.col("kind").rlike("^(STRING|BIGINT|DOUBLE|DECIMAL)")).where(~F.col("path").isin("service", "level"))
-    own = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("path"), F.col(c).alias("value")) for c in ("service", "level")))).alias("x")).select("x.path", "x.value")
-    rows = leaves.select("path", "value").unionByName(own).where((F.col("value") != "") & (F.octet_length("value") <= longest))
-    return rows.groupBy("path", "value").agg(F.count("*").alias("n"))
+    # Every row goes through the explodes three times, with its fields, its service and its level: one scan.
+    own = F.when(F.col("part") == 1, F.col("service")).when(F.col("part") == 2, F.col("level"))
+    parts = df.select("fields", "service", "level", F.explode(F.array(*map(F.lit, range(3)))).alias("part"))
+    parts = parts.select(F.struct("part", own.alias("value")).alias("own"), F.when(F.col("part") == 0, F.col("fields")).alias("fields"))
+    rows = explode_paths(parts, "own", max_depth=max_depth, arrays=False, empty=True)
+    leaf = F.col("kind").rlike("^(STRING|BIGINT|DOUBLE|DECIMAL)") & ~F.col("path").isin("service", "level")
+    rows = once(rows.where((F.col("own.part") > 0) | leaf), leaf=F.coalesce("path", F.when(F.col("own.part") == 1, "service").otherwise("level")), text=F.coalesce("own.value", "value"))
+    rows = rows.select(F.col("leaf").alias("path"), F.col("text").alias("value"))
+    return rows.where((F.col("value") != "") & (F.octet_length("value") <= longest)).groupBy("path", "value").agg(F.count("*").alias("n"))
 
 
 def facets(df: DataFrame, top: int = TOP, keys: int = KEYS, max_depth: int = DEPTH) -> DataFrame:
-    """The ``top`` values of each of the ``keys`` most counted paths."""
-    counts = facet_counts(df, max_depth=max_depth)
-    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("path").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= top)
-    paths = counts.groupBy("path").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "path").limit(keys).select("path")
-    return ranked.join(F.broadcast(paths), "path", "left_semi")
+    """(path, value, n, rank): the ``top`` values of each of the ``keys`` most counted paths.
+
+    A path with very many values is first ranked in SALTS parts; what is left of a path is at most ``top`` of each.
+    """
+    part = F.pmod(F.xxhash64("value"), F.lit(SALTS))
+    first = W.partitionBy("path", "part").orderBy(F.desc("n"), "value")
+    ranked = facet_counts(df, max_depth=max_depth).withColumn("part", part).withColumn("rank", F.row_number().over(first)).withColumn("of_part", F.sum("n").over(W.partitionBy("path", "part")))
+    ranked = ranked.where(F.col("rank") <= top).withColumn("of_part", F.when(F.col("rank") == 1, F.col("of_part")).otherwise(0))
+    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("path").orderBy(F.desc("n"), "value"))).withColumn("total", F.sum("of_part").over(W.partitionBy("path")))
+    best = ranked.where(F.col("rank") <= top).groupBy("path").agg(F.first("total").alias("total"), F.collect_list(F.struct("value", "n", "rank")).alias("values"))
+    return best.orderBy(F.desc("total"), "path").limit(keys).select("path", F.inline("values"))
 
 
 def rank_facets(counts: DataFrame, pinned: list[str] | None = None, bookmarked: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.functions.levels import normalize_level_any
-from sawmill.functions.paths import ALIASES, scalar_text
+from sawmill.functions.paths import ALIASES, once, reused, scalar_text
 from sawmill.functions.text import flexible_time, strip_ansi, text_level, text_time
 
 # Keys of which a strict JSON log line has one.
@@ -24,6 +24,7 @@ def parsed(line: Column) -> Column:
     return F.try_parse_json(F.when(line.rlike(r"^[ \t]*\{"), line))
 
 
+@reused
 def _at(path: str) -> Column:
     """The VARIANT at a path of ``known``: under the literal key, else nested."""
     own, (root, *rest) = F.col("known").getField(path), path.split(".")
@@ -43,20 +44,18 @@ def _typed(value: Column) -> Column:
     return F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind"))
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with more columns, each computed once a row however often it is used: an explode of one row keeps the
-    optimiser from writing the expression out at every use."""
-    more = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
-    return df.select("*", F.inline(more))
-
-
 def _parts(lines: DataFrame) -> DataFrame:
     """Lines with their clean text, its VARIANT and a struct of what stands at the keys that columns are read from."""
     base = once(lines.withColumn("line", F.coalesce("line", F.lit(""))), clean=strip_ansi(F.col("line")))
-    known = F.from_json(F.when(F.col("clean").rlike(r"^[ \t]*\{"), F.col("clean")), ", ".join(f"`{k}` variant" for k in KEYS))
-    return once(base, fields=parsed(F.col("clean")), known=known)
+    return once(base, fields=parsed(F.col("clean")), known=_known())
+
 
+@reused
+def _known() -> Column:
+    return F.from_json(F.when(F.col("clean").rlike(r"^[ \t]*\{"), F.col("clean")), ", ".join(f"`{k}` variant" for k in KEYS))
 
+
+@reused
 def _marked(strict: bool) -> Column:
     """Whether an object has a key that log lines have: at any alias's path, or strictly one of a few."""
     paths = STRICT_MARKERS if strict else [p for paths in ALIASES.values() for p in paths]
@@ -78,20 +77,31 @@ def normalize(lines: DataFrame, base_date: str | None = None, strict: bool = Fal
     that isn't known stays as it was.
     """
     source_id = F.col("source_id") if "source_id" in lines.columns else F.lit(None).cast("long").alias("source_id")
-    json, own = F.col("json"), _at("ts")
     base = once(_parts(lines.select("seq", source_id, "source", "line", "ingest_ts")), json=F.coalesce(F.col("fields").isNotNull() & _marked(strict), F.lit(False)))
-    ingest = F.unix_micros("ingest_ts") / F.lit(1e6)
+    return once(base, **_found(base_date)).select(*_entry())
+
+
+@reused
+def _found(base_date: str | None) -> dict[str, Column]:
+    """What is read from a line's fields or text, by name."""
+    json, own = F.col("json"), _at("ts")
     numeric = F.when(F.schema_of_variant(own).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(own, "$", "double"))
     text_of = lambda name: F.when(json, _first(name))
     plain = lambda name: F.when(json, scalar_text(_at(name)))
-    found = once(
-        base, stamp=F.when(json, _first("ts", flexible_time)), numeric=F.when(json, numeric), written=F.when(~json, text_time(F.col("clean"), base_date)),
-        level=F.when(json, F.coalesce(_first("level", lambda x: normalize_level_any(x["value"], x["kind"]), _typed), scalar_text(_at("level")))).otherwise(text_level(F.col("clean"))),
-        service=text_of("service"), msg=F.when(json, text_of("msg")).otherwise(F.col("clean")), env=plain("env"), version=plain("version"), caller=text_of("caller"), callerFunc=plain("callerFunc"), trace_id=plain("trace_id"),
-    )
+    level = F.coalesce(_first("level", lambda x: normalize_level_any(x["value"], x["kind"]), _typed), scalar_text(_at("level")))
+    return {
+        "stamp": F.when(json, _first("ts", flexible_time)), "numeric": F.when(json, numeric), "written": F.when(~json, text_time(F.col("clean"), base_date)),
+        "level": F.when(json, level).otherwise(text_level(F.col("clean"))), "service": text_of("service"), "msg": F.when(json, text_of("msg")).otherwise(F.col("clean")),
+        "env": plain("env"), "version": plain("version"), "caller": text_of("caller"), "callerFunc": plain("callerFunc"), "trace_id": plain("trace_id"),
+    }
+
+
+@reused
+def _entry() -> list[Column]:
+    json, ingest = F.col("json"), F.unix_micros("ingest_ts") / F.lit(1e6)
     at = F.coalesce("stamp", "written", ingest)
-    return found.select(
-        "seq", F.coalesce("numeric", "written", ingest).alias("ts"), F.timestamp_micros((at * F.lit(1e6)).cast("long")).alias("event_ts"), "source_id", "source",
-        "level", "service", "msg", "env", "version", "caller", "callerFunc", "trace_id", F.when(json, F.col("fields")).alias("fields"),
-        F.col("line").alias("raw"), F.when(F.col("line") != F.col("clean"), F.col("line")).alias("ansi"), (~json).alias("is_text"), "ingest_ts",
-    )
+    return [
+        F.col("seq"), F.coalesce("numeric", "written", ingest).alias("ts"), F.timestamp_micros((at * F.lit(1e6)).cast("long")).alias("event_ts"), *map(F.col, ("source_id", "source")),
+        *map(F.col, ("level", "service", "msg", "env", "version", "caller", "callerFunc", "trace_id")), F.when(json, F.col("fields")).alias("fields"),
+        F.col("line").alias("raw"), F.when(F.col("line") != F.col("clean"), F.col("line")).alias("ansi"), (~json).alias("is_text"), F.col("ingest_ts"),
+    ]

@@ -50,3 +50,7 @@ def test_stands_without_the_training_data_operators(tmp_path):
     shutil.copytree(f"{repo}/sawmill", tmp_path / "sawmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'a1_histogram' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+    os.makedirs(tmp_path / "tests")
+    for name in ("conftest.py", "test_logs.py"):
+        shutil.copy(f"{repo}/tests/{name}", tmp_path / "tests")
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "tests", "-k", "predicates or levels or facets or resume"], check=True, cwd=tmp_path)
