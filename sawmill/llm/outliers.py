@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import guarded, remove, saved, scratch, table
+from .common import guarded, saved, table
 from .statistics import with_counts
 
 HELD, LEAST = 0.75, 100
@@ -35,7 +35,7 @@ FLOOR = (0.05, 0.3, 0.35, 0.3, 0.7, 0.5)
 P = len(FLOOR)
 #: A regular document's chance to be an outlier, were the statistics normal.
 TAIL = 4e-6
-ESTIMATE = "key string, start int, n long, m array<double>, w array<double>, logdet double"
+ESTIMATE = "key string, start int, n long, m array<double>, w array<double>, logdet double, fall double"
 LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
@@ -101,15 +101,16 @@ def _estimate(mean: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _rows_of(found: list[tuple]) -> pa.RecordBatch:
     kind = pa.list_(pa.float64())
-    columns = list(zip(*found)) if found else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), kind, kind, pa.float64()))], [c.split()[0] for c in ESTIMATE.split(", ")])
+    columns = list(zip(*found)) if found else [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), kind, kind, pa.float64(), pa.float64()))], [c.split()[0] for c in ESTIMATE.split(", ")])
 
 
 def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Estimates from the mean and second moments of the nearest rows."""
+    """Estimates from the mean and second moments of the nearest rows, and how far their determinants fell."""
     for batch in batches:
-        rows = zip(*(batch.column(k).to_pylist() for k in ("key", "start", "n", "mean", "second")))
-        yield _rows_of([(key, start, n, *_estimate(np.array(m), CONSISTENCY * (_square(s) - np.outer(m, m)))) for key, start, n, m, s in rows])
+        rows = zip(*(batch.column(k).to_pylist() for k in ("key", "start", "n", "logdet", "mean", "second")))
+        found = [(key, start, n, before, *_estimate(np.array(m), CONSISTENCY * (_square(s) - np.outer(m, m)))) for key, start, n, before, m, s in rows]
+        yield _rows_of([(key, start, n, m, w, logdet, before - logdet) for key, start, n, before, m, w, logdet in found])
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,24 +121,24 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for start, moments in enumerate((None, tangents, signs)):
                 c = np.eye(P) if moments is None else _square(moments)
                 scale = np.sqrt(np.maximum(np.diag(c), 1e-9))
-                found.append((key, start, n, *_estimate(np.array(middle), c / np.outer(scale, scale) * np.outer(spread, spread))))
+                found.append((key, start, n, *_estimate(np.array(middle), c / np.outer(scale, scale) * np.outer(spread, spread)), 0.0))
         yield _rows_of(found)
 
 
-def _nearer(rows: DataFrame, now: DataFrame, path: str) -> DataFrame:
-    """A concentration step of every start."""
+def _nearer(rows: DataFrame, now: DataFrame) -> tuple[DataFrame, float]:
+    """A concentration step of every start, and by how much a log-determinant fell at most."""
     far = rows.join(now, "key").withColumn("d", _distance())
-    cut = saved(far.groupBy("key", "start").agg(F.percentile_approx("d", HELD).alias("cut")), at := scratch(rows.sparkSession))
+    cut = far.groupBy("key", "start").agg(F.percentile_approx("d", HELD).alias("cut"))
     near = far.join(cut, ["key", "start"]).where("d <= cut")
-    moments = near.groupBy("key", "start", "n").agg(F.array(*(F.avg(f"x{i}") for i in range(P))).alias("mean"), F.array(*(F.avg(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in LOWER)).alias("second"))
-    after = saved(moments.mapInArrow(_factors, ESTIMATE), path)
-    remove(rows.sparkSession, at)
-    return after
+    moments = near.groupBy("key", "start", "n", "logdet").agg(F.array(*(F.avg(f"x{i}") for i in range(P))).alias("mean"), F.array(*(F.avg(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in LOWER)).alias("second"))
+    seen = Observation()
+    after = saved(moments.mapInArrow(_factors, ESTIMATE).observe(seen, F.max("fall").alias("fall")))
+    fall = seen.get["fall"]
+    return after, 0.0 if fall is None else fall
 
 
 def least_determinant(rows: DataFrame) -> DataFrame:
     """The estimate of each ``key`` of ``rows`` (key and x0, x1, ...)."""
-    spark = rows.sparkSession
     middle = saved(rows.groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.percentile_approx(f"x{i}", 0.5) for i in range(P))).alias("middle")))
     off = [F.col(f"x{i}") - F.col("middle")[i] for i in range(P)]
     spread = saved(rows.join(middle, "key").groupBy("key", "n", "middle").agg(F.array(*(F.percentile_approx(F.abs(off[i]), 0.5) * 1.4826 + FLOOR[i] for i in range(P))).alias("spread")))
@@ -147,12 +148,11 @@ def least_determinant(rows: DataFrame) -> DataFrame:
     starts = z.groupBy("key", "n", "middle", "spread").agg(*(F.array(*(F.avg(of(i, j)) for i, j in LOWER)).alias(name) for name, of in both.items()))
     now = saved(starts.mapInArrow(_starts, ESTIMATE))
     for _ in range(FIRST_STEPS):
-        now = _nearer(rows, now, scratch(spark))
+        now, _ = _nearer(rows, now)
     best = saved(now.groupBy("key").agg(F.min(F.struct("logdet", "start", "n", "m", "w")).alias("best")).select("key", "best.start", "best.n", "best.m", "best.w", "best.logdet"))
     for _ in range(STEPS):
-        after = _nearer(rows, best, scratch(spark))
-        fall = best.select("key", F.col("logdet").alias("before")).join(after, "key").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        if fall is None or fall <= TOLERANCE:
+        after, fall = _nearer(rows, best)
+        if fall <= TOLERANCE:
             break
         best = after
     return best
