@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import urls
+from .collocations import op13_dynamic_phrases
 from .fingerprints import op1_invertible_sketch
 from .languages import op12_ftrl_languages
 from .ngram_join import op3_ngram_jaccard_join
@@ -24,7 +25,7 @@ from .wavelet import op2_wavelet_shards
 OPERATORS = (
     op1_invertible_sketch, op2_wavelet_shards, op3_ngram_jaccard_join, op4_information_theoretic, op5_quadratic_discriminant,
     op6_digest_cache, op7_robust_outliers, urls.op8_url_trie, op9_best_fit_packing, op10_sentencepiece_tokenizers,
-    op11_spelling_variants, op12_ftrl_languages,
+    op11_spelling_variants, op12_ftrl_languages, op13_dynamic_phrases,
 )
 
 

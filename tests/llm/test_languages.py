@@ -94,7 +94,7 @@ def test_held_out_rows_and_awkward_ones(spark, monkeypatch):
     assert np.abs(again.weights - model.weights).max() < 1e-4
     monkeypatch.setattr(languages, "SAMPLE", 40)
     few = languages.fit(docs)
-    assert np.array_equal(few.idf, model.idf) and (few.weights != 0).sum() < (model.weights != 0).sum()
+    assert np.array_equal(few.idf, model.idf) and not np.allclose(few.weights, model.weights)
 
 
 def test_temperature_is_the_likeliest(spark):
