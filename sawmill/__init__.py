@@ -7,9 +7,11 @@ from pyspark.sql import SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """The session settings that entries rely on: UTC for zone-less times, and objects whose later duplicate keys win."""
+    """The session settings that entries rely on: UTC for zone-less times, objects whose later duplicate keys win, and generated
+    methods small enough for the JVM to compile (over 8,000 bytes it interprets them; Spark then splits the expressions)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

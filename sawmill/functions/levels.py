@@ -40,10 +40,10 @@ def normalize_level(value: Column) -> Column:
 def normalize_level_num(value: Column) -> Column:
     """The canonical level of a number, by the scheme that its magnitude belongs to; fractions are cut off."""
     steps = sorted((*SYSLOG, *TENS, *HUNDREDS, *THOUSANDS))
-    begins = F.expr(f"array({', '.join(str(n) for n, _ in steps)})")
-    names = F.expr(f"array({', '.join(f"'{x}'" if x else 'null' for _, x in steps)})")
-    n = F.when(value.between(-(2.0**62), 2.0**62), value.cast("long"))
-    return F.when(n.isNotNull(), F.get(names, F.size(F.filter(begins, lambda b: b <= n)) - 1))
+    found = F.when(~value.between(-(2.0**62), 2.0**62), F.lit(None).cast("string"))
+    for n, level in reversed(steps):
+        found = found.when(value >= n if n else value > -1, F.lit(level))
+    return found
 
 
 def normalize_level_any(value: Column, kind: Column | None = None) -> Column:

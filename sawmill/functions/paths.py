@@ -68,22 +68,29 @@ def number_text(value: Column) -> Column:
     return F.regexp_replace(plain, r"\.$", "")
 
 
-def scalar_text(value: Column) -> Column:
-    """A VARIANT's scalar as text; null for null, objects and arrays. Its type is asked for only where the text leaves it open."""
-    text = F.try_variant_get(value, "$", "string")
+def scalar_text(value: Column, text: Column | None = None) -> Column:
+    """A VARIANT's scalar as text (which may be given); null for null, objects and arrays. Its type is asked for only where the text
+    leaves it open, and patterns are tried only where the first character lets them match."""
+    text = F.try_variant_get(value, "$", "string") if text is None else text
     kind = F.schema_of_variant(value)
     return (
-        F.when(text.rlike(r"^[\[{]") & kind.rlike("^(OBJECT|ARRAY)"), F.lit(None).cast("string"))
-        .when(text.rlike(r"^-?[0-9.]+(E-?[0-9]+|\.0)$") & (kind == "DOUBLE"), number_text(F.try_variant_get(value, "$", "double")))
+        F.when((text.startswith("{") | text.startswith("[")) & kind.rlike("^(OBJECT|ARRAY)"), F.lit(None).cast("string"))
+        .when((text >= "-") & (text < ":") & text.rlike(r"^-?[0-9.]+(E-?[0-9]+|\.0)$") & (kind == "DOUBLE"), number_text(F.try_variant_get(value, "$", "double")))
         .otherwise(text)
     )
 
 
+def text_at(path: str, fields: Column | str = "fields") -> Column:
+    """The scalar at a path as text, read in one step where the path is one key."""
+    own = None if "." in path else F.try_variant_get(fields, _json_path([path]), "string")
+    return scalar_text(variant_at(path, fields), own)
+
+
 def path_text(path: str) -> Column:
     """The scalar at ``path`` as text."""
     if path == "ts":
         return number_text(F.col("ts"))
-    return F.col(path) if path in COLUMNS else scalar_text(variant_at(path))
+    return F.col(path) if path in COLUMNS else text_at(path)
 
 
 def as_number(text: Column) -> Column:
@@ -97,7 +104,7 @@ def path_num(path: str) -> Column:
 
 def logical(name: str, fields: Column | str = "fields") -> Column:
     """The first non-empty value among the aliases of a logical column, as text."""
-    values = F.transform(F.array(*(variant_at(p, fields) for p in ALIASES[name])), scalar_text)
+    values = F.transform(F.array(*(variant_at(p, fields) for p in ALIASES[name])), lambda v: scalar_text(v))
     return F.get(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(0))
 
 

@@ -18,7 +18,7 @@ BRACKETED = r"\[\s*([A-Za-z]+)\s*\]"
 
 def strip_ansi(line: Column) -> Column:
     """The line without colour and title codes; other control characters stay."""
-    return F.regexp_replace(line, ANSI, "")
+    return F.when(line.contains("\x1b"), F.regexp_replace(line, ANSI, "")).otherwise(line)
 
 
 def _seconds(time: Column) -> Column:
@@ -50,7 +50,12 @@ def text_level(line: Column) -> Column:
 def flexible_time(text: Column) -> Column:
     """Unix seconds of a number (milliseconds over 1e12) or of an ISO time."""
     number = F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
-    return F.when(number > 1e12, number / 1000).when(number.isNotNull(), number).otherwise(_seconds(text.try_cast("timestamp")))
+    return F.when(number.isNotNull(), seconds(number)).otherwise(_seconds(text.try_cast("timestamp")))
+
+
+def seconds(number: Column) -> Column:
+    """Unix seconds of a number that is milliseconds over 1e12."""
+    return F.when(number > 1e12, number / 1000).otherwise(number)
 
 
 def looks_like_id(value: Column) -> Column:

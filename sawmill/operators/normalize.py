@@ -1,13 +1,13 @@
-"""Raw lines to entries: one projection, JSON and text side by side."""
+"""Raw lines to entries: a line is parsed once, and each column of an entry is an expression of its own over the result."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.functions.levels import normalize_level_any
-from sawmill.functions.paths import ALIASES, once, reused, scalar_text
-from sawmill.functions.text import flexible_time, strip_ansi, text_level, text_time
+from sawmill.functions.levels import normalize_level, normalize_level_any
+from sawmill.functions.paths import ALIASES, reused, scalar_text, text_at, variant_at
+from sawmill.functions.text import flexible_time, seconds, strip_ansi, text_level, text_time
 
 # Keys of which a strict JSON log line has one.
 STRICT_MARKERS = ("level", "msg", "ts", "message", "@timestamp")
@@ -15,57 +15,78 @@ STRICT_MARKERS = ("level", "msg", "ts", "message", "@timestamp")
 
 #: Columns of an entry that have one path only.
 PLAIN = ("env", "version", "callerFunc", "trace_id")
-#: Every key that the paths begin with, and every path as a key of its own, dots and all.
-KEYS = tuple(dict.fromkeys([*STRICT_MARKERS, *PLAIN, *(k for paths in ALIASES.values() for p in paths for k in (p, p.split(".")[0]))]))
 
 
 def parsed(line: Column) -> Column:
     """The line as a VARIANT if it is a JSON object after leading blanks; else null."""
-    return F.try_parse_json(F.when(line.rlike(r"^[ \t]*\{"), line))
+    return F.try_parse_json(F.when(F.ltrim(line, F.lit(" \t")).startswith("{"), line))
 
 
-@reused
-def _at(path: str) -> Column:
-    """The VARIANT at a path of ``known``: under the literal key, else nested."""
-    own, (root, *rest) = F.col("known").getField(path), path.split(".")
-    nested = "$" + "".join(f"['{k}']" for k in rest)
-    return F.coalesce(own, F.try_variant_get(F.col("known").getField(root), nested, "variant")) if rest else own
+def _marked(value: Column, strict: bool) -> Column:
+    """Whether an object has a key that log lines have: at any alias's path, or strictly one of a few. The first that it has ends the search."""
+    paths = STRICT_MARKERS if strict else [p for paths in ALIASES.values() for p in paths]
+    return F.coalesce(*(variant_at(p, value) for p in paths)).isNotNull()
 
 
-def _first(name: str, read=None, first=scalar_text) -> Column:
-    """The first value at the aliases of a logical column that ``read`` makes something of. Only those that a line
-    has are read; ``first`` is worked out once for each."""
-    found = F.transform(F.array_compact(F.array(*(_at(p) for p in ALIASES[name]))), first)
-    found = found if read is None else F.transform(found, read)
-    return F.get(F.filter(found, lambda v: v.isNotNull() & (v.cast("string") != "")), F.lit(0))
+def _parts(lines: DataFrame, strict: bool) -> DataFrame:
+    """Lines with their clean text and, of JSON log lines, ``fields``.
 
+    A line is parsed here and nowhere else: an explode of one row keeps the optimiser from writing the parser out at every
+    use. All other columns are plain expressions over ``fields`` and the text, so those that aren't asked for cost nothing.
+    """
+    base = lines.withColumn("line", F.coalesce("line", F.lit(""))).withColumn("clean", strip_ansi(F.col("line")))
+    gate = F.transform(F.array(parsed(F.col("clean"))), lambda v: F.struct(F.when(v.isNotNull() & _marked(v, strict), v).alias("fields")))
+    return base.select("*", F.inline(gate))
 
-def _typed(value: Column) -> Column:
-    return F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind"))
 
+def is_json_log(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """``lines`` with ``is_json``: whether each is a JSON log line."""
+    return _parts(lines, strict).select(*lines.columns, F.col("fields").isNotNull().alias("is_json"))
 
-def _parts(lines: DataFrame) -> DataFrame:
-    """Lines with their clean text, its VARIANT and a struct of what stands at the keys that columns are read from."""
-    base = once(lines.withColumn("line", F.coalesce("line", F.lit(""))), clean=strip_ansi(F.col("line")))
-    return once(base, fields=parsed(F.col("clean")), known=_known())
 
+def _first(name: str, own: Column, read=lambda v: F.nullif(scalar_text(v), F.lit(""))) -> Column:
+    """The first value at the aliases of a logical column that ``read`` makes something of; ``own`` is what it makes of the
+    first alias. Most lines have that, so the others are looked at only where it gives nothing, in one pass over those there."""
+    rest = F.transform(F.array_compact(F.array(*(variant_at(p) for p in ALIASES[name][1:]))), read)
+    return F.coalesce(own, F.get(F.filter(rest, lambda v: v.isNotNull()), F.lit(0)))
 
-@reused
-def _known() -> Column:
-    return F.from_json(F.when(F.col("clean").rlike(r"^[ \t]*\{"), F.col("clean")), ", ".join(f"`{k}` variant" for k in KEYS))
 
+def _filled(name: str) -> Column:
+    return _first(name, F.nullif(text_at(name), F.lit("")))
 
-@reused
-def _marked(strict: bool) -> Column:
-    """Whether an object has a key that log lines have: at any alias's path, or strictly one of a few."""
-    paths = STRICT_MARKERS if strict else [p for paths in ALIASES.values() for p in paths]
-    return F.coalesce(*map(_at, paths)).isNotNull()
 
+def _level() -> Column:
+    """The level of a line's fields. A spelling is a string's, so most lines need no look at the value's type."""
+    text, value = F.try_variant_get("fields", "$.level", "string"), variant_at("level")
+    known = normalize_level(text)
+    return F.coalesce(_first("level", F.coalesce(known, normalize_level_any(value)), lambda v: normalize_level_any(v)), text_at("level"))
 
-def is_json_log(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """``lines`` with ``is_json``: whether each is a JSON log line."""
-    names = lines.columns
-    return _parts(lines).select(*names, F.coalesce(F.col("fields").isNotNull() & _marked(strict), F.lit(False)).alias("is_json"))
+
+def _numeric(value: Column) -> Column:
+    """The number of a VARIANT that is one."""
+    return F.when(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+
+
+def _time(value: Column) -> Column:
+    number = _numeric(value)
+    return F.when(number.isNotNull(), seconds(number)).otherwise(flexible_time(scalar_text(value)))
+
+
+@reused
+def _entry(base_date: str | None) -> list[Column]:
+    """The columns of an entry. Each reads the few values that it needs, in branches that other lines don't enter."""
+    json, clean, ingest = F.col("fields").isNotNull(), F.col("clean"), F.unix_micros("ingest_ts") / F.lit(1e6)
+    of = lambda name: F.when(json, _filled(name))
+    plain = lambda name: F.when(json, text_at(name)).alias(name)
+    written = text_time(clean, base_date)
+    at = F.when(json, F.coalesce(_first("ts", _time(variant_at("ts")), _time), ingest)).otherwise(F.coalesce(written, ingest))
+    return [
+        F.col("seq"), F.when(json, F.coalesce(_numeric(variant_at("ts")), ingest)).otherwise(F.coalesce(written, ingest)).alias("ts"),
+        F.timestamp_micros((at * F.lit(1e6)).cast("long")).alias("event_ts"), F.col("source_id"), F.col("source"),
+        F.when(json, _level()).otherwise(text_level(clean)).alias("level"), of("service").alias("service"), F.when(json, _filled("msg")).otherwise(clean).alias("msg"),
+        plain("env"), plain("version"), of("caller").alias("caller"), plain("callerFunc"), plain("trace_id"), F.col("fields"),
+        F.col("line").alias("raw"), F.when(F.col("line") != clean, F.col("line")).alias("ansi"), (~json).alias("is_text"), F.col("ingest_ts"),
+    ]
 
 
 def normalize(lines: DataFrame, base_date: str | None = None, strict: bool = False) -> DataFrame:
@@ -77,31 +98,4 @@ def normalize(lines: DataFrame, base_date: str | None = None, strict: bool = Fal
     that isn't known stays as it was.
     """
     source_id = F.col("source_id") if "source_id" in lines.columns else F.lit(None).cast("long").alias("source_id")
-    base = once(_parts(lines.select("seq", source_id, "source", "line", "ingest_ts")), json=F.coalesce(F.col("fields").isNotNull() & _marked(strict), F.lit(False)))
-    return once(base, **_found(base_date)).select(*_entry())
-
-
-@reused
-def _found(base_date: str | None) -> dict[str, Column]:
-    """What is read from a line's fields or text, by name."""
-    json, own = F.col("json"), _at("ts")
-    numeric = F.when(F.schema_of_variant(own).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(own, "$", "double"))
-    text_of = lambda name: F.when(json, _first(name))
-    plain = lambda name: F.when(json, scalar_text(_at(name)))
-    level = F.coalesce(_first("level", lambda x: normalize_level_any(x["value"], x["kind"]), _typed), scalar_text(_at("level")))
-    return {
-        "stamp": F.when(json, _first("ts", flexible_time)), "numeric": F.when(json, numeric), "written": F.when(~json, text_time(F.col("clean"), base_date)),
-        "level": F.when(json, level).otherwise(text_level(F.col("clean"))), "service": text_of("service"), "msg": F.when(json, text_of("msg")).otherwise(F.col("clean")),
-        "env": plain("env"), "version": plain("version"), "caller": text_of("caller"), "callerFunc": plain("callerFunc"), "trace_id": plain("trace_id"),
-    }
-
-
-@reused
-def _entry() -> list[Column]:
-    json, ingest = F.col("json"), F.unix_micros("ingest_ts") / F.lit(1e6)
-    at = F.coalesce("stamp", "written", ingest)
-    return [
-        F.col("seq"), F.coalesce("numeric", "written", ingest).alias("ts"), F.timestamp_micros((at * F.lit(1e6)).cast("long")).alias("event_ts"), *map(F.col, ("source_id", "source")),
-        *map(F.col, ("level", "service", "msg", "env", "version", "caller", "callerFunc", "trace_id")), F.when(json, F.col("fields")).alias("fields"),
-        F.col("line").alias("raw"), F.when(F.col("line") != F.col("clean"), F.col("line")).alias("ansi"), (~json).alias("is_text"), F.col("ingest_ts"),
-    ]
+    return _parts(lines.select("seq", source_id, "source", "line", "ingest_ts"), strict).select(*_entry(base_date))
