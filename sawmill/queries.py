@@ -86,7 +86,11 @@ def rows(df: DataFrame) -> DataFrame:
     return df.select("seq", "level", "service", "msg")
 
 
-ROWS = "select seq, level, service, msg from "
+def with_tier(df: DataFrame) -> DataFrame:
+    return df.select("seq", "level", "service", "msg", paths.path_text("user.tier").alias("tier"))
+
+
+ROWS, TIERS = "select seq, level, service, msg from ", "select seq, level, service, msg, tier from "
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,14 +118,37 @@ def _s1(spark, sf_dir):
     return lines.groupBy("line", "source").agg(F.count("*").alias("c")).join(own.groupBy("line").agg(F.sum("event").alias("s")), "line").groupBy("source").agg(F.sum("c").alias("n"), F.sum("s").alias("seqs"))
 
 
-@query("s2_follow_logs", """with l as (select event_id, 'part=' || (event_id % 4) as source, case when event_id % 12 < 8 then 'the same line' else event_type || ' ' || event_id end as line from events)
-    select source, line, lag(line) over (partition by source order by event_id) as before from l""")
+def _grown(lines: DataFrame, path: str, upto: Column, cut: bool = False) -> None:
+    """Files as they are at some time: the lines up to then, of each part in a file of its own; with ``cut`` half of a further
+    line is there. A task that is repeated writes its file again."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files: dict = {}
+        for batch in batches:
+            for part, value in zip(batch.column("part").to_pylist(), batch.column("value").to_pylist()):
+                files.setdefault(part, []).append(value)
+        for part, values in files.items():
+            store, at = fs.FileSystem.from_uri(f"{path}/part={part}.log")
+            store.create_dir(at.rpartition("/")[0])
+            with store.open_output_stream(at) as f:
+                f.write("".join(f"{v}\n" for v in values).encode() + (b"half of" if cut else b""))
+        yield pa.RecordBatch.from_arrays([pa.array([len(files)], pa.int32())], ["n"])
+
+    lines.where(upto).repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").mapInArrow(run, "n int").write.format("noop").mode("overwrite").save()
+
+
+@query("s2_follow_logs", """with l as (select event_id, 'part=' || (event_id % 8) as source, case when event_id % 12 < 8 then 'the same line' else event_type || ' ' || event_id end as line, (select max(event_id) // 3 from events) as cut from events)
+    select source, line, lag(line) over (partition by source order by event_id) as before from l where event_id < 2 * cut or event_id % 8 <> 0 or event_id >= 2.9 * cut""")
 def _s2(spark, sf_dir):
+    """Eight open files, looked at three times, the first time with half of a line at their ends; then part 0 is truncated and begins anew."""
     path = _scratch(spark)
-    lines = events(configure(spark), sf_dir).selectExpr("event_id", "event_id % 4 as part", "if(event_id % 12 < 8, 'the same line', concat(event_type, ' ', event_id)) as value")
-    for half in ("part < 2", "part >= 2"):  # files that come while the stream is stopped
-        lines.where(half).repartition("part").sortWithinPartitions("part", "event_id").select("value", "part").write.mode("append").partitionBy("part").text(f"{path}/in")
-        files.follow_logs(spark, f"{path}/in/*", f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
+    lines = events(configure(spark), sf_dir).selectExpr("event_id", "event_id % 8 as part", "if(event_id % 12 < 8, 'the same line', concat(event_type, ' ', event_id)) as value")
+    at, third = F.col("event_id"), F.floor(lines.agg(F.max("event_id")).scalar() / 3)
+    for upto, cut in ((at < third, True), (at < 2 * third, False), ((F.col("part") != 0) | (at >= 2.9 * third), False)):
+        _grown(lines, f"{path}/in", upto, cut)
+        files.follow_logs(spark, f"{path}/in", f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
     rows = files.read_followed(spark, f"{path}/out").withColumn("source", F.regexp_extract("source", "part=[0-9]+", 0))
     return rows.select("source", "line", F.lag("line").over(W.partitionBy("source").orderBy("seq")).alias("before"))
 
@@ -151,11 +178,19 @@ def _s6(spark, sf_dir):
     return rows(files.selected(entries(spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("seq"))))
 
 
-@query("s7_table", E + "select source, cast(to_timestamp(sec) at time zone 'UTC' as date) as date, count(*) as n from e group by 1, 2")
+@query("s7_table", E + "select source, cast(to_timestamp(sec) at time zone 'UTC' as date) as date, count(*) as n, cast(sum(k) as bigint) as ks, count(distinct tier) as tiers from e group by 1, 2")
 def _s7(spark, sf_dir):
     path = _scratch(spark)
-    files.write_table(entries(spark, sf_dir).drop("fields"), path)
-    return files.read_table(spark, path).groupBy("source", "date").agg(F.count("*").alias("n"))
+    files.write_table(entries(spark, sf_dir), path)
+    return files.read_table(spark, path).groupBy("source", "date").agg(F.count("*").alias("n"), F.sum(paths.path_num("k")).cast("long").alias("ks"), F.count_distinct(paths.path_text("user.tier")).alias("tiers"))
+
+
+@query("s7_table_window", E + f"select seq, level, msg, tier from e where sec >= {START + 3 * DAY + 7200} and sec < {START + 5 * DAY + 60}")
+def _s7b(spark, sf_dir):
+    """Two days and a minute of the table: three days' folders are opened."""
+    path = _scratch(spark)
+    files.write_table(entries(spark, sf_dir), path)
+    return files.read_table(spark, path, START + 3 * DAY + 7200, START + 5 * DAY + 60).select("seq", "level", "msg", paths.path_text("user.tier").alias("tier"))
 
 
 # --- normalisation -----------------------------------------------------------------------
@@ -458,10 +493,10 @@ def _a13(spark, sf_dir):
     return agg.source_stats(entries(spark, sf_dir)).select("source", "line_count", F.unix_micros("last_ingest_ts").alias("last_us"))
 
 
-@query("a14_rate_ewma", E + "select source, round(sum(0.3 * pow(0.7, 30 - sec25) * n), 6) as rate from (select source, floor(seq / 25.0) as sec25, count(*) as n from e where seq / 25.0 < 31 group by 1, 2) group by 1")
+@query("a14_rate_ewma", E + f"select source, round(sum(0.3 * pow(0.7, 720 - tick) * n), 6) as rate from (select source, (sec - {START}) // 3600 as tick, count(*) as n from e where sec < {END + 3600} group by 1, 2) group by 1")
 def _a14(spark, sf_dir):
-    """At 25 lines a second, half a minute after the first."""
-    return agg.rate_ewma(entries(spark, sf_dir).withColumn("ts", F.col("seq") / 25.0), 30.5)
+    """A tick an hour, at the end of the month: every earlier row counts."""
+    return agg.rate_ewma(entries(spark, sf_dir).withColumn("ts", (F.col("ts") - START) / 3600), 720.5)
 
 
 @query("a15_source_mode", """select source, case when max(json) = 1 then 'json' else 'text' end as mode from (select 'src' || (user_id % 3) as source, 1 as json from events
@@ -491,30 +526,30 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(json_lines(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")))
 
 
-@query("t1_live_tail", E + ROWS + "e where level = 'error'")
+@query("t1_live_tail", E + TIERS + "e where level = 'error'")
 def _t1(spark, sf_dir):
     path = _scratch(spark)
-    live.live_tail(event_stream(spark, sf_dir).drop("fields"), p.eq("level", "error"), f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
-    return rows(spark.read.parquet(f"{path}/out"))
+    live.live_tail(event_stream(spark, sf_dir), p.eq("level", "error"), f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
+    return with_tier(spark.read.parquet(f"{path}/out"))
 
 
-@query("t2_backlog_then_live", E + ", h as (select max(seq) // 2 as cut from e) " + ROWS + "(select * from e, h where level = 'warn' and seq <= cut order by seq desc limit 300) union all " + ROWS + "e, h where level = 'warn' and seq > cut")
+@query("t2_backlog_then_live", E + ", h as (select max(seq) // 2 as cut from e) " + TIERS + "(select * from e, h where level = 'warn' and seq <= cut order by seq desc limit 300) union all " + TIERS + "e, h where level = 'warn' and seq > cut")
 def _t2(spark, sf_dir):
     """The table holds the first half of what the stream brings."""
-    path, df = _scratch(spark), entries(spark, sf_dir).drop("fields")
+    path, df = _scratch(spark), entries(spark, sf_dir)
     history = df.where(F.col("seq") <= F.floor(df.agg(F.max("seq")).scalar() / 2))
-    past, running = live.backlog_then_live(history, event_stream(spark, sf_dir).drop("fields"), p.eq("level", "warn"), f"{path}/out", f"{path}/cursor", once=True)
+    past, running = live.backlog_then_live(history, event_stream(spark, sf_dir), p.eq("level", "warn"), f"{path}/out", f"{path}/cursor", once=True)
     running.awaitTermination()
-    return rows(past).unionByName(rows(spark.read.parquet(f"{path}/out")))
+    return with_tier(past).unionByName(with_tier(spark.read.parquet(f"{path}/out")))
 
 
-@query("t3_resume", E + ", h as (select max(seq) // 4 as cut from e where true) " + """select seq, level, service, msg from e, h where level = 'debug' and (seq < cut or seq >= 2 * cut)
-    union all select (select cut - 1 from h), 'gap', '', (select cast(cut as varchar) from h)""")
+@query("t3_resume", E + ", h as (select max(seq) // 4 as cut from e where true) " + """select seq, level, service, msg, tier from e, h where level = 'debug' and (seq < cut or seq >= 2 * cut)
+    union all select (select cut - 1 from h), 'gap', '', (select cast(cut as varchar) from h), null""")
 def _t3(spark, sf_dir):
     """A quarter is read; the second goes while the reader is paused; the rest comes in a new file."""
     path, df = _scratch(spark), events(configure(spark), sf_dir)
     cut = F.floor(df.agg(F.max("event_id")).scalar() / 4)
-    read = lambda: normalize(json_lines(spark.readStream.schema(df.schema).parquet(f"{path}/in"))).drop("fields")
+    read = lambda: normalize(json_lines(spark.readStream.schema(df.schema).parquet(f"{path}/in")))
     last = None
     for part in (F.col("event_id") < cut, F.col("event_id") >= 2 * cut):
         df.where(part).write.mode("append").parquet(f"{path}/in")
@@ -522,8 +557,8 @@ def _t3(spark, sf_dir):
         tail.awaitTermination()
         last = live.last_seq(tail) if last is None else last
     kept = df.where(F.col("event_id") >= 2 * cut).select(F.col("event_id").alias("seq"))
-    gap = live.resume_gap(kept, last).select(F.col("after_seq").alias("seq"), F.lit("gap").alias("level"), F.lit("").alias("service"), F.col("n_missing").cast("string").alias("msg"))
-    return rows(spark.read.parquet(f"{path}/out")).unionByName(gap)
+    gap = live.resume_gap(kept, last).select(F.col("after_seq").alias("seq"), F.lit("gap").alias("level"), F.lit("").alias("service"), F.col("n_missing").cast("string").alias("msg"), F.lit(None).cast("string").alias("tier"))
+    return with_tier(spark.read.parquet(f"{path}/out")).unionByName(gap)
 
 
 @query("t4_detect_gaps", E + "select source, prev as after_seq, seq as before_seq, seq - prev - 1 as n_missing from (select source, seq, lag(seq) over (partition by source order by seq) as prev from e) where seq - prev > 1")
@@ -531,16 +566,27 @@ def _t4(spark, sf_dir):
     return agg.detect_gaps(entries(spark, sf_dir))
 
 
+@query("t4_stream_gaps", E + "select source, prev as after_seq, seq as before_seq, seq - prev - 1 as n_missing from (select source, seq, lag(seq) over (partition by source order by seq) as prev from e where seq % 7 <> 3) where seq - prev > 1")
+def _t4b(spark, sf_dir):
+    """The rows come in three batches, in no order: what the first leaves out comes later."""
+    path, lines = _scratch(spark), json_lines(events(configure(spark), sf_dir)).where("seq % 7 <> 3")
+    for k in (1, 0, 2):
+        lines.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == k).orderBy(F.hash("seq")).write.mode("append").parquet(f"{path}/in")
+        live.stream_gaps(normalize(spark.readStream.schema(lines.schema).parquet(f"{path}/in")), f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
+    return live.read_gaps(spark, f"{path}/out")
+
+
 @query("t5_retain_last", E + ROWS + "e where seq > (select max(seq) - 2500 from e)")
 def _t5(spark, sf_dir):
     return rows(agg.retain_last(entries(spark, sf_dir), 2500))
 
 
-@query("t6_stream_histogram", E + f"select sec // 3600 * 3600 as t, {_classes('e')} group by 1")
+@query("t6_stream_histogram", E + f""", c as (select sec // 3600 * 3600 as t, {_classes('e')} group by 1), spine as (select unnest(generate_series((select min(t) from c), (select max(t) from c), 3600)) as t)
+    select cast(t as bigint) as t, {', '.join(f'coalesce({c}, 0) as {c}' for c in agg.CLASS_NAMES)} from spine left join c using (t)""")
 def _t6(spark, sf_dir):
     path = _scratch(spark)
     live.stream_histogram_table(event_stream(spark, sf_dir), f"{path}/out", f"{path}/cursor", "1 hour", once=True).awaitTermination()
-    return live.read_histogram(spark, f"{path}/out").select(F.unix_seconds("t").alias("t"), *agg.CLASS_NAMES)
+    return live.read_histogram(spark, f"{path}/out", "1 hour").select(F.unix_seconds("t").alias("t"), *agg.CLASS_NAMES)
 
 
 @query("t7_stream_facets", E + _LEAVES + "select path, value, n from c")

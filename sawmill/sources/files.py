@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sawmill.functions.predicates import time_window
+
+from .growing import growing
+
 EXPORT_LIMIT, EXPORT_MOST = 100_000, 1_000_000
+#: Times outside of these are kept with the first and the last day.
+FIRST_TS, LAST_TS, EPOCH = -2_208_988_800.0, 253_402_214_400.0, date(1970, 1, 1)
 EXPORTED = ("seq", "ts", "source_id", "source", "level", "service", "msg", "fields", "text", "ansi")
 
 
@@ -33,27 +41,41 @@ def stream_logs(spark: SparkSession, directory: str, source: str | None = None,
     return lines.select(F.xxhash64("_metadata.file_path", "value").alias("seq"), name.alias("source"), F.col("value").alias("line"), F.current_timestamp().alias("ingest_ts"))
 
 
-def follow_logs(spark: SparkSession, directory: str, path: str, checkpoint: str, source: str | None = None, once: bool = False) -> StreamingQuery:
-    """Appends the lines of files as they come into a directory to a table of (seq, source, line, ingest_ts).
+def follow_logs(spark: SparkSession, path_in: str, path: str, checkpoint: str, source: str | None = None, once: bool = False) -> StreamingQuery:
+    """Appends the lines that come into files, new ones and those that grow, to a table of (seq, source, line, ingest_ts).
 
-    ``seq`` rises with the batch, and in it by the file's time and name and the line's place in it, so equal
-    lines stay apart and tails and pages go by arrival. A batch that is repeated writes its own folder again.
+    ``seq`` counts lines without a gap: by batch, and in it by file and place, so equal lines stay apart and tails and
+    pages go by arrival. A line is taken when its end is written; a file that is shorter than before is read from its
+    start. A batch that is repeated writes its own folder again, with the same numbers.
     """
-    lines = spark.readStream.option("lineSep", "\n").text(directory)
-    name = F.lit(source) if source else F.col("_metadata.file_path")
-    lines = lines.select(name.alias("source"), F.col("value").alias("line"), F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("at"))
+    lines = growing(spark, path_in)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        # Partition and place of a row, as the batch is read and then as it is sorted.
-        ordered = batch.withColumn("place", F.monotonically_increasing_id()).orderBy("at", "place").withColumn("place", F.monotonically_increasing_id())
-        in_batch = F.shiftleft(F.shiftright("place", 33), 30).bitwiseOR(F.col("place").bitwiseAND(F.lit((1 << 30) - 1).cast("long")))
-        rows = ordered.select((F.lit(batch_id << 43).cast("long") + in_batch).alias("seq"), "source", "line", F.current_timestamp().alias("ingest_ts"))
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        placed = f"{path}-placed"
+        batch.orderBy("path", "offset").withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(placed)
+        rows = batch.sparkSession.read.schema("path string, offset long, line string, place long").parquet(placed)
+        before = _lines_before(spark, path, batch_id)
+        # A row a partition of the sort: how many lines come before it.
+        counts = sorted((r["part"], r["n"]) for r in rows.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+        ahead, total = [], before
+        for part, n in counts:
+            ahead += [F.lit(part), F.lit(total)]
+            total += n
+        if counts:
+            seq = F.create_map(*ahead)[F.shiftright("place", 33)] + F.col("place").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+            name = F.lit(source) if source else F.col("path")
+            rows.select(seq.alias("seq"), name.alias("source"), "line", F.current_timestamp().alias("ingest_ts")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark.range(1).select(F.lit(total).cast("long").alias("n")).write.mode("overwrite").parquet(f"{path}-ends/batch={batch_id}")
 
     writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
+def _lines_before(spark: SparkSession, path: str, batch_id: int) -> int:
+    """How many lines the batches before this one had: what the last of them left."""
+    return 0 if batch_id == 0 else spark.read.schema("n long").parquet(f"{path}-ends/batch={batch_id - 1}").first()["n"]
+
+
 def read_followed(spark: SparkSession, path: str) -> DataFrame:
     """The table that ``follow_logs`` writes."""
     return spark.read.schema("seq long, source string, line string, ingest_ts timestamp, batch long").parquet(path).drop("batch")
@@ -87,14 +109,27 @@ def selected(df: DataFrame, seqs: list[int] | DataFrame) -> DataFrame:
     return df.where(F.col("seq").isin(seqs)) if isinstance(seqs, list) else df.join(seqs.select("seq"), "seq", "left_semi")
 
 
+def day_of(ts: Column) -> Column:
+    """The day of a time in seconds, that rows of a table are kept by. It never falls as time rises, whatever the time."""
+    return F.to_date(F.timestamp_seconds(F.greatest(F.lit(FIRST_TS), F.least(F.lit(LAST_TS), ts))))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Entries as Parquet by day and source, so that windows and sources prune files.
+    """Entries as Parquet by day and source, each file in the order of time, so that windows skip days, files and row groups.
 
     Rows of a day and source are spread by Spark over as many tasks as they need, so a large source isn't one file.
     """
-    days = df.withColumn("date", F.to_date("event_ts"))
-    days.hint("rebalance", "date", "source").write.mode(mode).partitionBy("date", "source").parquet(path)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    days = df.withColumn("date", day_of(F.col("ts")))
+    days.hint("rebalance", "date", "source").sortWithinPartitions("date", "source", "ts").write.mode(mode).partitionBy("date", "source").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, start: float = 0, end: float = 0) -> DataFrame:
+    """The table, or its rows with ``ts`` from ``start`` up to ``end`` (0: open). The days that the window touches follow
+    from it, so other folders aren't even listed; inside a day the order of time leaves few row groups to read."""
+    table = spark.read.parquet(path)
+    day = lambda at: F.lit(EPOCH + timedelta(days=math.floor(min(max(at, FIRST_TS), LAST_TS) / 86_400)))
+    if start:
+        table = table.where(F.col("date") >= day(start))
+    if end:
+        table = table.where(F.col("date") <= day(end))
+    return table.where(time_window(start, end)) if start or end else table

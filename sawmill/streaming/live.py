@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sawmill.operators.aggregate import CLASS_NAMES, class_counts
 from sawmill.operators.columns import SAMPLE, recommend_columns
@@ -59,7 +59,7 @@ def backlog_then_live(history: DataFrame, stream: DataFrame, where: Column, path
 
 def stream_histogram(stream: DataFrame, width: str = "1 minute", late: str = "10 minutes", time_col: str = "event_ts") -> DataFrame:
     """Counts by level class in tumbling windows; rows later than ``late`` are dropped, which bounds the state.
-    Empty windows are filled in when the result is read."""
+    Empty windows are filled in by ``read_histogram``."""
     return stream.withWatermark(time_col, late).groupBy(F.window(time_col, width).alias("w")).agg(*class_counts()).select(F.col("w.start").alias("t"), *CLASS_NAMES)
 
 
@@ -82,20 +82,29 @@ def _read(spark: SparkSession, path: str, schema: str, before: int | None = None
 
 def _add(batch: DataFrame, batch_id: int, path: str, schema: str, together: Callable[[DataFrame], DataFrame]) -> None:
     """A batch's partial result under its own number: a repeated batch writes the same place again. Every COMPACT
-    batches they are put together in one folder, which takes effect when it is whole; the old ones then go."""
+    batches they are put together in one folder, which takes effect when it is whole. What it replaces stays until the next
+    time, so that whoever is reading it can finish."""
     spark = batch.sparkSession
     batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     whole, batches = _partial(spark, path)
     if len(batches) >= COMPACT:
+        last = int(whole.rsplit("=", 1)[1]) if whole else -1
         together(_read(spark, path, schema)).write.mode("overwrite").parquet(f"{path}/upto={batch_id}")
-        for old in [*([whole] if whole else []), *(f"{path}/batch={b}" for b in batches)]:
-            at = spark._jvm.org.apache.hadoop.fs.Path(old)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        top = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(top):
+            kind, _, number = status.getPath().getName().partition("=")
+            if (kind == "batch" and int(number) <= last) or (kind == "upto" and int(number) < last):
+                fs.delete(status.getPath(), True)
 
 
 HISTOGRAM = "t timestamp, " + ", ".join(f"{c} long" for c in CLASS_NAMES)
 FACETS = "path string, value string, n long"
-SAMPLED = "source string, seq long, n long, opened double, json string"
+SAMPLED = "source string, n long, seq long, json string"
+RECOMMENDED = "source string, position int, `column` string, batch long"
+RUNS = "source string, first long, last long, seen timestamp"
+#: Numbers of a range of a producer's rows.
+RANGE = 1_000_000
 
 
 def _latest(rows: DataFrame) -> DataFrame:
@@ -110,8 +119,15 @@ def stream_histogram_table(stream: DataFrame, path: str, checkpoint: str, width:
     return _started(stream_histogram(stream, width, late, time_col), each, checkpoint, once, "update")
 
 
-def read_histogram(spark: SparkSession, path: str) -> DataFrame:
-    return _latest(_read(spark, path, HISTOGRAM)).drop("batch")
+def read_histogram(spark: SparkSession, path: str, width: str = "1 minute") -> DataFrame:
+    """The latest counts of all windows from the first to the last, with zeros for those in which nothing came."""
+    found = _latest(_read(spark, path, HISTOGRAM)).drop("batch")
+    ends = found.agg(F.unix_micros(F.min("t")).alias("low"), F.unix_micros(F.max("t")).alias("high")).first()
+    if ends["low"] is None:
+        return found
+    step = spark.range(1).select(F.window(F.timestamp_seconds("id"), width).alias("w")).select((F.unix_micros("w.end") - F.unix_micros("w.start")).alias("step")).first()["step"]
+    every = spark.range(ends["low"], ends["high"] + 1, step).select(F.timestamp_micros("id").alias("t"))
+    return every.join(found, "t", "left").fillna(0, list(CLASS_NAMES))
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -130,24 +146,94 @@ def read_facets(spark: SparkSession, path: str) -> DataFrame:
     return _summed(_read(spark, path, FACETS)).drop("batch")
 
 
-def stream_recommend(stream: DataFrame, path: str, checkpoint: str, sample: int = SAMPLE, closes: float = CLOSES, once: bool = False, clock: Callable[[], float] = time.time) -> StreamingQuery:
-    """A sample of each source, which ends with its first ``sample`` JSON rows, or ``closes`` seconds after the first
-    of them came; ``read_recommended`` judges it. A closed source costs no more, so the table stays bounded."""
+def _first_rows(sample: int, batches: Iterator) -> Iterator:
+    """Of each source the first rows of a task, so that a busy source sends no more than these."""
+    import pandas as pd
+
+    kept = None
+    for rows in batches:
+        kept = (rows if kept is None else pd.concat([kept, rows])).sort_values("seq", kind="stable").groupby("source", sort=False, dropna=False).head(sample)
+    if kept is not None:
+        yield kept
+
+
+def stream_samples(stream: DataFrame, sample: int = SAMPLE, closes: float = CLOSES, timer: bool = True) -> DataFrame:
+    """(source, n, seq, json) of each source's sample when it closes: with its first ``sample`` JSON rows, or by a timer ``closes``
+    seconds after the first of them, whether more rows come or not. The rows then leave the state; that a source is closed stays.
+    Without the ``timer`` the time is looked at only when rows come: a run that is to end can't wait for it."""
+
+    def closed(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        now = state.getCurrentProcessingTimeMs()
+        opened, done, seqs, texts = state.get if state.exists else (now, False, [], [])
+        seqs, texts = list(seqs), list(texts)
+        if done:
+            return
+        for row in pd.concat([*batches, pd.DataFrame({"seq": [], "json": []})]).sort_values("seq", kind="stable").head(sample - len(seqs)).itertuples():
+            seqs.append(int(row.seq))
+            texts.append(row.json)
+        left = int(opened + closes * 1000 - now)
+        if state.hasTimedOut or len(seqs) >= sample or left <= 0:
+            state.update((opened, True, [], []))
+            yield pd.DataFrame({"source": [key[0]] * len(seqs), "n": range(1, len(seqs) + 1), "seq": seqs, "json": texts})
+        else:
+            state.update((opened, False, seqs, texts))
+            if timer:
+                state.setTimeoutDuration(left)
+
+    rows = stream.where(F.col("fields").isNotNull()).select("source", "seq", F.to_json("fields").alias("json"))
+    few = rows.mapInPandas(lambda batches: _first_rows(sample, batches), "source string, seq long, json string")
+    return few.groupBy("source").applyInPandasWithState(closed, SAMPLED, "opened long, done boolean, seqs array<long>, texts array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout)
+
+
+def stream_recommend(stream: DataFrame, path: str, checkpoint: str, sample: int = SAMPLE, closes: float = CLOSES, once: bool = False) -> StreamingQuery:
+    """The columns of each source, to a table as soon as its sample closes. A source is closed once, so the table stays small."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("source", F.col("n").alias("seq"), F.try_parse_json("json").alias("fields"))
+        recommend_columns(rows, sample).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _started(stream_samples(stream, sample, closes, not once), each, checkpoint, once)
+
+
+def read_recommended(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECOMMENDED).parquet(path).select("source", "position", "column")
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Runs of a producer's numbers (first, last, the time of the latest row) put together where they touch or overlap."""
+    order = W.partitionBy("source").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    marked = rows.withColumn("_new", F.when(F.col("first") <= reach + 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    return marked.groupBy("source", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("seen").alias("seen"), F.max("batch").alias("batch")).drop("_run")
+
+
+def stream_gaps(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """The runs of consecutive numbers that each producer has sent, to a table: what is missing is what lies between them.
+
+    Rows may come in any order and more than once; one that comes late closes its gap. A batch adds one row a run, made in
+    ranges of numbers so that a busy producer isn't one task, and runs that touch are put together from time to time, so the
+    table has about as many rows as there are gaps.
+    """
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        now = clock()
-        have = _read(batch.sparkSession, path, SAMPLED, batch_id).groupBy("source").agg(F.count("*").alias("have"), F.min("opened").alias("since"))
-        first = F.row_number().over(W.partitionBy("source").orderBy("seq"))
-        rows = batch.where(F.col("fields").isNotNull()).withColumn("_n", first).where(F.col("_n") <= sample).join(have, "source", "left")
-        rows = rows.withColumn("n", F.col("_n") + F.coalesce("have", F.lit(0))).where((F.col("n") <= sample) & (F.lit(now) - F.coalesce("since", F.lit(now)) < closes))
-        rows = rows.select("source", "seq", F.col("n").cast("long").alias("n"), F.coalesce("since", F.lit(now)).alias("opened"), F.to_json("fields").alias("json"))
-        _add(rows, batch_id, path, SAMPLED, lambda all_rows: all_rows)
+        mine = W.partitionBy("source", "_range").orderBy("seq")
+        rows = batch.select("source", "seq", F.floor(F.col("seq") / RANGE).alias("_range")).distinct().withColumn("_run", F.col("seq") - F.row_number().over(mine))
+        runs = rows.groupBy("source", "_range", "_run").agg(F.min("seq").alias("first"), F.max("seq").alias("last")).select("source", "first", "last", F.current_timestamp().alias("seen"))
+        _add(runs, batch_id, path, RUNS, _runs)
 
     return _started(stream, each, checkpoint, once)
 
 
-def read_recommended(spark: SparkSession, path: str, sample: int = SAMPLE) -> DataFrame:
-    rows = _read(spark, path, SAMPLED)
-    return recommend_columns(rows.select("source", F.col("n").alias("seq"), F.try_parse_json("json").alias("fields")), sample)
+def read_gaps(spark: SparkSession, path: str, settled: float = 0) -> DataFrame:
+    """(source, after_seq, before_seq, n_missing) as ``detect_gaps`` gives them for all rows so far. With ``settled``, only gaps
+    that are final: those whose next run has had no row for so many seconds, after which late rows are no longer expected."""
+    runs = _runs(_read(spark, path, RUNS))
+    found = runs.withColumn("after_seq", F.lag("last").over(W.partitionBy("source").orderBy("first"))).where(F.col("after_seq").isNotNull())
+    if settled:
+        found = found.where(F.col("seen") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(settled))))
+    return found.select("source", "after_seq", F.col("first").alias("before_seq"), (F.col("first") - F.col("after_seq") - 1).alias("n_missing"))
 
 
 def _started(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool, mode: str = "append") -> StreamingQuery:
