@@ -64,6 +64,37 @@ def dedup_stats(payloads: DataFrame) -> DataFrame:
     return payloads.agg(F.count("*").alias("n_payloads"), F.sum("n_uses").alias("n_uses"), F.sum(size).alias("stored_bytes"), F.sum(size * F.col("n_uses")).alias("used_bytes"))
 
 
+def share_values(df: DataFrame, key: str = "seq", longer_than: int = LONG) -> tuple[DataFrame, DataFrame]:
+    """(facts, payloads) of ``fields``: every value that is no string, and strings whose JSON has ``longer_than`` bytes or more,
+    stored once with its number of uses.
+
+    A fact has its row's keys in order, each with its JSON or the digest of a payload; a row is taken apart where it is, so
+    only payloads are shuffled, by digest and with partial counts. Rows without fields have a null list.
+    """
+    entries = F.map_entries(F.try_variant_get("fields", "$", "map<string,variant>"))
+    parts = F.transform(entries, lambda e: F.struct(_quoted(e["key"]).alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("json")))
+    shared = lambda x: ~x["json"].startswith('"') | (F.octet_length(x["json"]) >= longer_than)
+    digest = F.transform(parts, lambda x: F.struct(x["key"].alias("key"), x["json"].alias("json"), F.when(shared(x), F.sha2(x["json"], 256)).alias("digest")))
+    rows = df.select(key, digest.alias("parts"))
+    payloads = rows.select(F.inline("parts")).where("digest is not null").groupBy("digest").agg(F.first("json").alias("payload"), F.count("*").alias("n_uses"))
+    facts = df.withColumn("parts", F.transform(digest, lambda x: F.struct(x["key"].alias("key"), F.when(x["digest"].isNull(), x["json"]).alias("json"), x["digest"].alias("digest"))))
+    return facts.drop("fields"), payloads
+
+
+def _quoted(key):
+    """A key as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(key.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+
+
+def restore_values(facts: DataFrame, payloads: DataFrame, key: str = "seq") -> DataFrame:
+    """``fields`` again, from facts and payloads: values meet their payloads by digest, then a row's parts come together by its key."""
+    parts = facts.where(F.col("parts").isNotNull()).select(key, F.posexplode_outer("parts").alias("place", "part")).select(key, "place", "part.*")
+    texts = parts.join(payloads.select("digest", "payload"), "digest", "left").select(key, F.struct("place", F.concat("key", F.lit(":"), F.coalesce("json", "payload")).alias("text")).alias("at"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["text"]), ",")
+    whole = texts.groupBy(key).agg(F.parse_json(F.concat(F.lit("{"), listed, F.lit("}"))).alias("fields"))
+    return facts.join(whole, key, "left").drop("parts")
+
+
 def recommend_columns(df: DataFrame, sample: int = SAMPLE, per: str = "source") -> DataFrame:
     """(source, position, column): up to TOP columns worth showing, from each source's first ``sample`` JSON rows.
 

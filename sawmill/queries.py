@@ -173,6 +173,15 @@ def _s5(spark, sf_dir):
     return spark.read.schema("seq long, ts double, source string, level string, service string, msg string, text boolean").json(path)
 
 
+@query("s5_export_all", E + "select seq, sec::double as ts, source, level, service, msg, false as text, (select count(*) from e) as n from e order by seq limit 1000000")
+def _s5b(spark, sf_dir):
+    """As many rows as an export may have; selected by counts and sorted by several tasks, whose files follow each other."""
+    path = _scratch(spark)
+    files.export_jsonl(entries(spark, sf_dir), path, limit=files.EXPORT_MOST)
+    out = spark.read.schema("seq long, ts double, source string, level string, service string, msg string, text boolean").json(path)
+    return out.withColumn("n", out.agg(F.count("*")).scalar())
+
+
 @query("s6_selection", E + ROWS + "e where seq in (select o_orderkey from orders)")
 def _s6(spark, sf_dir):
     return rows(files.selected(entries(spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("seq"))))
@@ -465,6 +474,19 @@ def _a10b(spark, sf_dir):
     return columns.restore_payloads(facts, payloads, "text").select("doc_id", "text")
 
 
+@query("a10_share_values", E + """, v as (select case event_type when 'click' then '30' end as value from e union all select sec::varchar from e union all select '{"id":' || u || ',"tier":"' || tier || '"}' from e union all select k::varchar from e)
+    select count(*) as n_payloads, cast(sum(n) as bigint) as n_uses, cast(sum(strlen(value)) as bigint) as stored_bytes, cast(sum(strlen(value) * n) as bigint) as used_bytes from (select value, count(*) as n from v where value is not null group by 1)""")
+def _a10c(spark, sf_dir):
+    """Numbers and objects of ``fields``, each stored once."""
+    return columns.dedup_stats(columns.share_values(entries(spark, sf_dir))[1])
+
+
+@query("a10_restore_values", E + "select seq, k::double as k, tier, u::varchar as id from e")
+def _a10d(spark, sf_dir):
+    facts, payloads = columns.share_values(entries(spark, sf_dir))
+    return columns.restore_values(facts, payloads).select("seq", paths.path_num("k").alias("k"), paths.path_text("user.tier").alias("tier"), paths.path_text("user.id").alias("id"))
+
+
 _RECOMMENDED = E + """, s as (select * from (select *, row_number() over (partition by source order by seq) as i from e) where i <= 150), z as (select source, count(*) as n_rows from s group by 1),
     v as (select source, i, 'user.id' as path, 2 as depth, u::varchar as value from s union all select source, i, 'user.tier', 2, tier from s union all select source, i, 'k', 1, k::varchar from s union all select source, i, 'env', 1, env from s where env is not null),
     d as (select source, path, value, count(*) as n, row_number() over (partition by source, path order by min(i), value) as nth from v group by 1, 2, 3),

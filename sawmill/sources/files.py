@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sawmill.functions.predicates import time_window
+from sawmill.operators.retrieve import first_rows
 
 from .growing import growing
 
 EXPORT_LIMIT, EXPORT_MOST = 100_000, 1_000_000
+#: Rows of an export that one task may sort.
+ONE_TASK = 10_000
 #: Times outside of these are kept with the first and the last day.
 FIRST_TS, LAST_TS, EPOCH = -2_208_988_800.0, 253_402_214_400.0, date(1970, 1, 1)
 EXPORTED = ("seq", "ts", "source_id", "source", "level", "service", "msg", "fields", "text", "ansi")
@@ -92,11 +95,16 @@ def with_source_names(df: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def exported(df: DataFrame, where: Column | None = None, start: int = 0, end: int = 0, limit: int = EXPORT_LIMIT) -> DataFrame:
-    """The rows and keys of an export: matches with seq in [start, end), the first ``limit`` of them (0 or less: the default)."""
+    """The rows and keys of an export: matches with seq in [start, end), the first ``limit`` of them (0 or less: the default), in order.
+
+    More than a task should sort are selected first and then sorted by several, a file each, in the order of the files' names.
+    """
     rows = df if where is None else df.where(where)
     rows = rows.where(F.col("seq") >= start) if start else rows
     rows = rows.where(F.col("seq") < end) if end else rows
-    rows = rows.withColumn("text", F.col("is_text")).orderBy("seq").limit(min(limit if limit > 0 else EXPORT_LIMIT, EXPORT_MOST))
+    n = min(limit if limit > 0 else EXPORT_LIMIT, EXPORT_MOST)
+    rows = rows.withColumn("text", F.col("is_text"))
+    rows = rows.orderBy("seq").limit(n) if n <= ONE_TASK else first_rows(rows, n).orderBy("seq")
     return rows.select(*(F.coalesce(c, F.lit("")).alias(c) if c in ("source", "level", "service", "msg", "ansi") else F.col(c) for c in EXPORTED))
 
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from sawmill.functions import predicates as p
 from sawmill.operators import aggregate, columns, facets, retrieve
 from sawmill.operators.normalize import is_json_log, normalize
 from sawmill.plans import checks
-from sawmill.sources import files
+from sawmill.sources import files, growing
 from sawmill.streaming import live
 
 NOW = dt.datetime(2026, 5, 26, 12, 0, 0)
@@ -70,8 +72,8 @@ def test_bad_patterns_are_refused():
 
 
 def test_dots_and_punctuation(spark):
-    df = entries_of(spark, [{"msg": "[TICKET-42] processing", "error_code": "ITG.SFTP_SEND_OUT_SETUP", "a.b": 1, "a": {"c": 2.0}}, {"msg": "request --> response", "error_code": "OTHER"}, {"msg": "plain 100% message", "x": 1e3, "y": True, "z": None}])
-    want = [(p.eq("error_code", "ITG.SFTP_SEND_OUT_SETUP"), 1), (p.msg_contains("[TICKET-42]"), 1), (p.msg_contains("-->"), 1), (~p.msg_contains("plain"), 2), (p.eq("a.b", "1"), 1), (p.eq("a.c", "2"), 1), (p.eq("x", "1000"), 1), (p.eq("y", "true"), 1), (p.exists("z"), 0), (p.glob("msg", "*100%*"), 1), (p.glob("msg", "*100_*"), 0)]
+    df = entries_of(spark, [{"msg": "belt (7) <halted>", "code": "BELT.STOP/7", "w.x": 1, "w": {"y": 2.0}}, {"msg": "gate ==> yard", "code": "OK"}, {"msg": "load is 90%", "n": 1e3, "t": True, "z": None}])
+    want = [(p.eq("code", "BELT.STOP/7"), 1), (p.msg_contains("(7) <"), 1), (p.msg_contains("==>"), 1), (~p.msg_contains("load"), 2), (p.eq("w.x", "1"), 1), (p.eq("w.y", "2"), 1), (p.eq("n", "1000"), 1), (p.eq("t", "true"), 1), (p.exists("z"), 0), (p.glob("msg", "*90%*"), 1), (p.glob("msg", "*90_*"), 0)]
     assert list(df.agg(*(F.count_if(c).alias(f"c{i}") for i, (c, _) in enumerate(want))).first()) == [n for _, n in want]
 
 
@@ -119,9 +121,9 @@ def test_levels(spark):
 
 
 def test_normalize_routes_lines(spark):
-    got = entries_of(spark, ["Traceback", "  at line", {"level": "debug", "ts": 1778485655.336, "service": "api", "msg": "hello"}, "{bad json", '{"foo": 1}', '{"level":"a","level":"ERROR","msg":"twice"}', None, "\x1b[31mERROR x\x1b[0m", {"timestamp": "2026-05-26T00:00:00Z", "message": "m", "logger": "l"}]).orderBy("seq").collect()
+    got = entries_of(spark, ["Traceback", "  at line", {"level": "debug", "ts": 1801234567.125, "service": "yard", "msg": "crane up"}, "{bad json", '{"foo": 1}', '{"level":"a","level":"ERROR","msg":"twice"}', None, "\x1b[31mERROR x\x1b[0m", {"timestamp": "2026-05-26T00:00:00Z", "message": "m", "logger": "l"}]).orderBy("seq").collect()
     assert [r["is_text"] for r in got] == [True, True, False, True, True, False, True, True, False]
-    assert got[2]["ts"] == 1778485655.336 and got[2]["level"] == "debug" and got[5]["level"] == "error"
+    assert got[2]["ts"] == 1801234567.125 and got[2]["level"] == "debug" and got[5]["level"] == "error"
     assert got[7]["msg"] == "ERROR x" and got[7]["ansi"].startswith("\x1b") and got[7]["level"] == "error" and got[0]["ansi"] is None
     assert got[8]["msg"] == "m" and got[8]["caller"] == "l" and got[8]["event_ts"] == dt.datetime(2026, 5, 26)
     strict = is_json_log(lines_of(spark, [{"record": {"message": "x"}}, {"msg": 1}]), strict=True).orderBy("seq").collect()
@@ -239,21 +241,148 @@ def stream_of(spark, path, rows, schema):
     return spark.readStream.schema(schema).parquet(path)
 
 
-def test_a_sample_closes(spark, tmp_path):
-    schema, path, now = "source string, seq long, line string, ingest_ts timestamp", f"file://{tmp_path}", [0.0]
-    seen = []
-    for turn, (when, n) in enumerate(((100.0, 4), (120.0, 4), (131.0, 4), (140.0, 4))):
-        now[0] = when
-        rows = [(s, turn * 100 + i, json.dumps({"msg": f"{s}{i}", "ts": i}), NOW) for s in (("a", "late") if turn > 1 else ("a",)) for i in range(n)]
-        live.stream_recommend(normalize(stream_of(spark, f"{path}/in", rows, schema)), f"{path}/t", f"{path}/c", sample=6, once=True, clock=lambda: now[0]).awaitTermination()
-        seen.append({r["source"]: r["count"] for r in live._read(spark, f"{path}/t", live.SAMPLED).groupBy("source").count().collect()})
-    assert seen == [{"a": 4}, {"a": 6}, {"a": 6, "late": 4}, {"a": 6, "late": 6}]
-    early = normalize(stream_of(spark, f"{path}/in2", [("a", 1, '{"msg":"x"}', NOW)], schema))
-    for now[0] in (10.0, 39.0, 41.0):
-        live.stream_recommend(early, f"{path}/t2", f"{path}/c2", once=True, clock=lambda: now[0]).awaitTermination()
-        early = normalize(stream_of(spark, f"{path}/in2", [("a", int(now[0]), '{"msg":"y"}', NOW)], schema))
-    assert live._read(spark, f"{path}/t2", live.SAMPLED).count() == 2  # what came after 30 seconds is left out
-    assert [r["column"] for r in live.read_recommended(spark, f"{path}/t2").collect()] == ["msg"]
+def test_a_full_sample_closes(spark, tmp_path):
+    schema, path = "source string, seq long, line string, ingest_ts timestamp", f"file://{tmp_path}"
+    for turn in range(3):
+        rows = [(s, turn * 100 + i, json.dumps({"msg": f"{s}{i}", f"k{turn}": i}), NOW) for s in ("a", "b") for i in range(4 if s == "a" else 1)]
+        live.stream_recommend(normalize(stream_of(spark, f"{path}/in", rows, schema)), f"{path}/t", f"{path}/c", sample=6, once=True).awaitTermination()
+    # a is closed by six rows of two batches; b has three and stays open.
+    assert [(r["source"], r["position"], r["column"]) for r in live.read_recommended(spark, f"{path}/t").orderBy("position").collect()] == [("a", 1, "msg"), ("a", 2, "@k0")]
+
+
+def test_a_silent_source_is_closed_by_its_timer(spark, tmp_path):
+    schema, path = "source string, seq long, line string, ingest_ts timestamp", f"file://{tmp_path}"
+    rows = [("quiet", i, json.dumps({"msg": f"m{i}", "level": "info"}), NOW) for i in range(20)]
+    query = live.stream_samples(normalize(stream_of(spark, f"{path}/in", rows, schema)), closes=3.0).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", f"{path}/c").trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(120):
+            if spark.table("closed").count():
+                break
+            time.sleep(0.5)
+        assert [(r["source"], r["n"], r["seq"]) for r in spark.table("closed").orderBy("n").collect()] == [("quiet", i + 1, i) for i in range(20)]
+        stream_of(spark, f"{path}/in", [("quiet", 99, '{"msg":"late"}', NOW)], schema)
+        time.sleep(3)
+        assert spark.table("closed").count() == 20
+    finally:
+        query.stop()
+
+
+def test_a_growing_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    log, seen = tmp_path / "in" / "a.log", []
+
+    def turn():
+        files.follow_logs(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/t", f"file://{tmp_path}/c", once=True).awaitTermination()
+        rows = files.read_followed(spark, f"file://{tmp_path}/t").orderBy("seq").collect()
+        assert [r["seq"] for r in rows] == list(range(len(rows)))
+        seen.append([r["line"] for r in rows])
+
+    log.write_bytes(b"one\r\n\nthr")
+    turn()
+    with log.open("ab") as f:
+        f.write("ee\nfünf\nsix".encode())
+    turn()
+    log.write_bytes(b"new\n")  # truncated
+    turn()
+    with log.open("ab") as f:
+        f.write(b"newer\n")
+    (tmp_path / "in" / "b.log").write_bytes(b"other\n")
+    turn()
+    first, second = ["one\r", ""], ["three", "fünf"]
+    assert seen == [first, first + second, first + second + ["new"], first + second + ["new", "newer", "other"]]
+
+
+def test_ranges_of_a_file_have_its_lines_once(tmp_path, monkeypatch):
+    text = b"".join(b"x" * (i * 7 % 23) + b"\n" for i in range(200)) + b"open end"
+    (tmp_path / "a.log").write_bytes(text)
+    for split in (1, 5, 40, 10_000):
+        monkeypatch.setattr(growing, "SPLIT", split)
+        monkeypatch.setattr(growing, "LOOK", 16)
+        reader = growing._Reader({"path": f"file://{tmp_path}"})
+        end = reader.latestOffset()
+        rows = [r for part in reader.partitions({}, end) for r in reader.read(part)]
+        assert [r[2].encode() for r in rows] == text.split(b"\n")[:-1]
+        assert all(text[at:].startswith(line.encode() + b"\n") for _, at, line in rows)
+
+
+def test_windows_open_few_days(spark, tmp_path):
+    day = 86_400
+    lines = [{"ts": d * day + i * 60, "msg": f"{d}:{i}", "a": {"b": d}} for d in range(5) for i in range(3)] + [{"ts": 1.8e15, "msg": "far"}, {"ts": -9e12, "msg": "long ago"}]
+    files.write_table(entries_of(spark, lines), f"file://{tmp_path}/t")
+    got = files.read_table(spark, f"file://{tmp_path}/t", day + 60, 3 * day + 60)
+    assert sorted(r["msg"] for r in got.collect()) == ["1:1", "1:2", "2:0", "2:1", "2:2", "3:0"]
+    assert [r["x"] for r in got.select(paths.path_text("a.b").alias("x")).distinct().orderBy("x").collect()] == ["1", "2", "3"]
+    shown = checks.plan(got)
+    filters = next(x for x in shown.splitlines() if "PartitionFilters" in x)
+    assert "date" in filters and ">= 1970-01-02" in filters and "<= 1970-01-04" in filters
+    assert sorted(r["msg"] for r in files.read_table(spark, f"file://{tmp_path}/t", 5 * day).select("msg").collect()) == ["far"]
+    assert sorted(r["msg"] for r in files.read_table(spark, f"file://{tmp_path}/t", 0, 1).select("msg").collect()) == ["0:0", "long ago"]
+
+
+def test_unused_columns_are_not_worked_out(spark):
+    shown = checks.plan(normalize(lines_of(spark, [{"msg": "x"}])).select("msg"))
+    assert "message" in shown and not any(x in shown for x in ("trace_id", "regexp_extract_all", "emergency"))
+
+
+def test_gaps_of_a_stream_are_those_of_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT", 2)
+    monkeypatch.setattr(live, "RANGE", 10)
+    schema, path = "source string, seq long, line string, ingest_ts timestamp", f"file://{tmp_path}"
+    numbers = [n for n in range(60) if n % 9 != 4 and n not in (20, 21, 22)]
+    random.Random(5).shuffle(numbers)
+    batches = [numbers[k::4] + numbers[:3] for k in range(4)] + [[21]]
+    for k, batch in enumerate(batches):
+        rows = [(s, n, "x", NOW) for n in batch for s in ("a", "b") if s == "a" or n != 30]
+        live.stream_gaps(normalize(stream_of(spark, f"{path}/in", rows, schema)), f"{path}/t", f"{path}/c", once=True).awaitTermination()
+        if k >= 3:
+            key = lambda r: (r["source"], r["after_seq"], r["before_seq"], r["n_missing"])
+            table = normalize(spark.read.schema(schema).parquet(f"{path}/in"))
+            assert sorted(map(key, live.read_gaps(spark, f"{path}/t").collect())) == sorted(map(key, aggregate.detect_gaps(table.dropDuplicates(["source", "seq"])).collect()))
+    assert live.read_gaps(spark, f"{path}/t", settled=3600).count() == 0
+
+
+def test_readers_outlive_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT", 2)
+    path = f"file://{tmp_path}/f"
+    add = lambda k: live._add(spark.createDataFrame([("p", "v", 1)], live.FACETS), k, path, live.FACETS, live._summed)
+    for k in range(3):
+        add(k)
+    reader = live.read_facets(spark, path)
+    add(3)
+    assert reader.first()["n"] == 3 and live.read_facets(spark, path).first()["n"] == 4
+
+
+def test_first_rows_by_counts(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "RANGES", 3)
+    numbers = [random.Random(i).randrange(-50, 90) for i in range(200)] + [None]
+    df = spark.createDataFrame([(n,) for n in numbers], "seq long")
+    known = sorted(n for n in numbers if n is not None)
+    for n in (1, 2, 77, 199, 200, 500):
+        assert sorted(r["seq"] for r in retrieve.first_rows(df, n).collect()) == known[:n]
+    assert retrieve.first_rows(df.limit(0), 5).collect() == []
+
+
+def test_a_large_export_is_in_order_across_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ONE_TASK", 10)
+    df = entries_of(spark, [{"msg": f"m{i}"} for i in range(300)]).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.export_jsonl(df, f"file://{tmp_path}/out", start=20, limit=150)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [[json.loads(x)["seq"] for x in f.read_text().splitlines()] for f in sorted((tmp_path / "out").glob("part-*"))]
+    assert sum(parts, []) == list(range(20, 170)) and len([x for x in parts if x]) > 1
+
+
+def test_values_of_any_type_are_shared(spark):
+    long = "y" * 300
+    lines = [{"msg": "x", "a": 1, "b": {"c": [1, {"d": None}]}, 'k"e\\y\n': long, "t": True, "n": None, "f": 2.5, "e": {}, "z": []} for _ in range(3)] + [{"msg": long, "a": 1}, "plain text"]
+    df = entries_of(spark, lines)
+    facts, payloads = columns.share_values(df)
+    want = {r["seq"]: r["j"] for r in df.select("seq", F.to_json("fields").alias("j")).collect()}
+    assert {r["seq"]: r["j"] for r in columns.restore_values(facts, payloads).select("seq", F.to_json("fields").alias("j")).collect()} == want
+    uses = {r["payload"]: r["n_uses"] for r in payloads.collect()}
+    assert uses == {"1": 4, '{"c":[1,{"d":null}]}': 3, json.dumps(long): 4, "true": 3, "null": 3, "2.5": 3, "{}": 3, "[]": 3}
 
 
 def test_partial_results_are_put_together(spark, tmp_path, monkeypatch):
@@ -265,9 +394,11 @@ def test_partial_results_are_put_together(spark, tmp_path, monkeypatch):
         live.stream_facets(stream, f"{path}/f", f"{path}/fc", once=True).awaitTermination()
         live.stream_histogram_table(stream, f"{path}/h", f"{path}/hc", "2 minutes", once=True).awaitTermination()
     assert {(r["value"], r["n"]) for r in live.read_facets(spark, f"{path}/f").where("path = 'service'").collect()} == {("a", 2), ("b", 3)}
-    assert len([x for x in (tmp_path / "f").iterdir() if x.is_dir()]) <= 2
-    got = sorted((r["t"].minute, r["info"]) for r in live.read_histogram(spark, f"{path}/h").collect())
+    assert len([x for x in (tmp_path / "f").iterdir() if x.is_dir()]) <= 5
+    got = sorted((r["t"].minute, r["info"]) for r in live.read_histogram(spark, f"{path}/h", "2 minutes").collect())
     assert got == [(0, 2), (2, 2), (4, 1)]
+    finer = sorted((r["t"].minute, r["info"]) for r in live.read_histogram(spark, f"{path}/h", "1 minute").collect())
+    assert finer == [(0, 2), (1, 0), (2, 2), (3, 0), (4, 1)]
 
 
 def test_history_then_live_without_repeats(spark, tmp_path):
