@@ -6,10 +6,11 @@ its parts (without the last word, without the first) have reached LEAST so far,
 every shard once. So every count is of the whole corpus, and a short phrase needn't be finished
 before longer ones begin. It ends when no phrase has reached LEAST for a whole cycle.
 
-Maps of a fixed number of bits tell a task which phrases have reached LEAST; a phrase that they let
-through wrongly is dropped by a join with those that really have, so maps only save work. Phrases,
-counts and what has been reached are tables; only bits reach the driver. Words and phrases are named
-by 64-bit hashes with their language.
+Maps of a fixed number of bits tell a task which phrases have reached LEAST, and while there are no
+more than KNOWN of them, sorted hashes tell in which turn. With more, what maps let through wrongly is
+dropped by joins; results are the same. Counts of unfinished phrases are a table of hashes and numbers
+that each turn adds to in one shuffle; a last look at the shards finds the parts of the few that are
+frequent. Words and phrases are named by 64-bit hashes with their language.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from .words import _LOWER, U, Words, mix
 #: Occurrences that a phrase needs, and the longest phrases.
 LEAST, LONGEST = 100, 5
 #: Shards of a cycle, and bits of a map of phrases of one length.
-SHARDS, BITS = 4, 1 << 22
+SHARDS, BITS = 3, 1 << 22
+#: Phrases that have reached LEAST of which tasks get the hashes (9 bytes each).
+KNOWN = 2_000_000
 #: Phrases of a language that are returned, and the factor of scores.
 TOP, SCALE = 2_000, 1_000
 #: Bytes of text, and words, in one vectorised step.
@@ -89,24 +92,70 @@ def _read(docs: DataFrame, path: str) -> None:
 
 
 class Reached:
-    """Maps of the phrases of each length that have reached LEAST: at any time, and in each turn of the last cycle."""
+    """The phrases of each length that have reached LEAST: maps of them all and of those of the last cycle, and their
+    sorted hashes with the turns in which they did (None with more than KNOWN)."""
 
-    def __init__(self):
+    def __init__(self, maps: np.ndarray | None = None):
         self.ever = np.zeros((LONGEST, BITS // 8), np.uint8)
         self.turns: list[np.ndarray] = []
+        self.known: list[tuple[np.ndarray, np.ndarray]] | None = [(np.empty(0, U), np.empty(0, np.int8))] * LONGEST
+
+    def add(self, new: DataFrame, turn: int) -> None:
+        """The phrases (length, h) of a turn. Only so many hashes as KNOWN allows reach the driver, or bits."""
+        bits = np.zeros_like(self.ever)
+        cell = F.col("h").bitwiseAND(F.lit(BITS - 1).cast("long"))
+        if self.known is not None and sum(len(h) for h, _ in self.known) + new.count() <= KNOWN:
+            got = new.toArrow()
+            level, h = got["length"].to_numpy(), got["h"].to_numpy().view(np.uint64)
+            for k, (old, when) in enumerate(self.known):
+                mine = h[level == k + 1]
+                both, at = np.concatenate([old, mine]), np.concatenate([when, np.full(len(mine), turn, np.int8)])
+                order = np.argsort(both)
+                self.known[k] = (both[order], at[order])
+        else:
+            self.known = None
+            got = new.select("length", cell.alias("h")).distinct().toArrow()  # BITS a length at most
+            level, h = got["length"].to_numpy(), got["h"].to_numpy().view(np.uint64)
+        for k, row in enumerate(bits):
+            c = (h[level == k + 1] & U(BITS - 1)).astype(np.int64)
+            np.bitwise_or.at(row, c >> 3, np.left_shift(1, c & 7).astype(np.uint8))
+        self.ever |= bits
+        self.turns = [*self.turns, bits][-SHARDS:]
 
-    def add(self, cells: list[np.ndarray]) -> None:
-        turn = np.zeros_like(self.ever)
-        for level, c in zip(turn, cells):
-            np.bitwise_or.at(level, c >> 3, np.left_shift(1, c & 7).astype(np.uint8))
-        self.ever |= turn
-        self.turns = [*self.turns, turn][-SHARDS:]
+    def recent(self) -> bool:
+        """Whether a phrase that longer ones may hold has reached LEAST in the last cycle."""
+        return any(t[:-1].any() for t in self.turns)
 
-    def lately(self) -> np.ndarray:
-        return reduce(np.bitwise_or, self.turns, np.zeros_like(self.ever))
+    def told(self) -> tuple:
+        """What tasks get: maps without their zeros, and hashes."""
+        lately = reduce(np.bitwise_or, self.turns, np.zeros_like(self.ever))
+        return [[(np.flatnonzero(m).astype(np.int32), m[m != 0]) for m in maps] for maps in (self.ever, lately)], self.known, BITS // 8
 
-    def recent(self) -> bool:
-        return any(t.any() for t in self.turns)
+
+class Lookup:
+    """The same in a task."""
+
+    def __init__(self, told: tuple):
+        maps, self.known, size = told
+        self.ever, self.lately = (np.zeros((LONGEST, size), np.uint8) for _ in maps)
+        for full, levels in zip((self.ever, self.lately), maps):
+            for level, (at, bits) in zip(full, levels):
+                level[at] = bits
+
+    def place(self, length: int, h: np.ndarray) -> np.ndarray:
+        """Where each phrase of ``known`` stands; -1 for others."""
+        known = self.known[length - 1][0]
+        at = np.searchsorted(known, h)
+        at[at == len(known)] = 0
+        return np.where(known[at] == h, at, -1) if len(known) else np.full(len(h), -1)
+
+    def reached(self, length: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``h`` of the phrases that have reached LEAST, and the turns in which they did (by maps alone, unknown: -1)."""
+        at = np.flatnonzero(_bit(self.ever[length - 1], h))
+        if self.known is None:
+            return at, np.full(len(at), -1, np.int8)
+        place = self.place(length, h[at])
+        return at[place >= 0], self.known[length - 1][1][place[place >= 0]]
 
 
 def _bit(level: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -114,82 +163,104 @@ def _bit(level: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (level[c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0
 
 
-def phrases(words: np.ndarray, lang: np.ndarray, ever: np.ndarray, lately: np.ndarray, single: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, phrases, their counts, the hashes of their first and last parts) of what is to be counted in one sequence with GAPs;
-    a word has its language's and its own hash instead of parts.
-
-    ``lang`` is a hash a place. A phrase counts if both parts have reached LEAST, one of them in the last cycle.
-    """
-    whole = words != GAP
-    at = np.flatnonzero(whole)
-    h = mix(words[at] * _PLACE[0] + lang[at] + U(1))
-    if single:
-        v, i, n = np.unique(h, return_index=True, return_counts=True)
-        yield 1, v, n, lang[at][i], words[at][i]
+def phrases(words: np.ndarray, lang: U, look: Lookup) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, phrases, the hashes of their parts, the later turn in which a part reached LEAST) in one sequence with GAPs: all
+    words, then whatever has two parts that have reached LEAST. A word has its language and its own hash instead of parts."""
+    at = np.flatnonzero(words != GAP)
+    h = mix(words[at] * _PLACE[0] + lang + U(1))
+    yield 1, h, np.full(len(h), lang), words[at], np.full(len(h), -1, np.int8)
     for length in range(2, LONGEST + 1):
-        # What has reached LEAST and begins where another that has ends but for a word.
-        good = _bit(ever[length - 2], h)
+        good, turn = look.reached(length - 1, h)
         at, h = at[good], h[good]
         follows = np.flatnonzero(at[1:] == at[:-1] + 1)
-        begin, first, last = at[follows], h[follows], h[follows + 1]
-        if not len(begin):
+        at, first, last, turn = at[follows], h[follows], h[follows + 1], np.maximum(turn[follows], turn[follows + 1])
+        if not len(at):
             return
-        h = np.full(len(begin), U(length))
+        h = np.full(len(at), U(length) + lang)
         for k in range(length):
-            h += words[begin + k] * _PLACE[k]
-        h = mix(h + lang[begin])
-        new = _bit(lately[length - 2], first) | _bit(lately[length - 2], last)
-        v, i, n = np.unique(h[new], return_index=True, return_counts=True)
-        yield length, v, n, first[new][i], last[new][i]
-        at = begin
+            h += words[at + k] * _PLACE[k]
+        h = mix(h)
+        yield length, h, first, last, turn
 
 
-def _count(shard: DataFrame, reached: Reached, single: bool) -> DataFrame:
-    """(length, h, first, last, n) of what is to be counted in a shard, of some texts at a time; length 0 has a language's words."""
-    sparse = lambda maps: [(np.flatnonzero(m).astype(np.int32), m[m != 0]) for m in maps]
-    ever, lately = sparse(reached.ever), sparse(reached.lately())
-    size, step = BITS // 8, 8 * STEP_WORDS
+def _sequences(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[tuple[U, np.ndarray]]:
+    """The words of some texts of a language at a time, about ``step`` of them."""
+    have: dict[int, list[bytes]] = {}
+    held = 0
+    join = lambda: [(U(g & (2**64 - 1)), np.frombuffer(GAP.to_bytes(8, "little").join(rows), "<u8")) for g, rows in have.items()]
+    for batch in batches:
+        for g, row in zip(batch.column("g").to_pylist(), batch.column("words").to_pylist()):
+            have.setdefault(g, []).append(row)
+            held += len(row)
+            if held > 8 * step:
+                yield from join()
+                have, held = {}, 0
+    yield from join()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = []
-        for levels in (ever, lately):
-            full = np.zeros((LONGEST, size), np.uint8)
-            for level, (at, bits) in zip(full, levels):
-                level[at] = bits
-            maps.append(full)
 
-        def told(lang: int, rows: list[bytes]) -> Iterator[pa.RecordBatch]:
-            words = np.frombuffer(GAP.to_bytes(8, "little").join(rows), "<u8")
-            g, none = np.full(len(words), U(lang & (2**64 - 1))), np.zeros(1, U)
-            out = [(0, g[:1], np.array([(words != GAP).sum()]), none, none)] if single and words.any() else []
-            for length, h, n, first, last in (*out, *phrases(words, g, *maps, single)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), length, np.int8)), *(pa.array(x.view(np.int64)) for x in (h, first, last)), pa.array(n.astype(np.int64))], ["length", "h", "first", "last", "n"])
+def _by_language(rows: DataFrame) -> DataFrame:
+    return rows.select(F.xxhash64("lang").alias("g"), "words")
 
-        have: dict[int, list[bytes]] = {}
-        held = 0
-        for batch in batches:
-            for lang, row in zip(batch.column("g").to_pylist(), batch.column("words").to_pylist()):
-                have.setdefault(lang, []).append(row)
-                held += len(row)
-                if held > step:
-                    for g, rows in have.items():
-                        yield from told(g, rows)
-                    have, held = {}, 0
-        for g, rows in have.items():
-            yield from told(g, rows)
 
-    return shard.select(F.xxhash64("lang").alias("g"), "words").mapInArrow(run, "length tinyint, h long, first long, last long, n long")
+COUNTS = "length tinyint, h long, begun tinyint, n long"
+#: What has reached LEAST, and in which turn.
+KEPT = "length tinyint, h long, turn tinyint"
 
 
-#: What has reached LEAST, with its parts and the turn in which it did.
-KEPT = "length tinyint, h long, first long, last long, turn int"
+def _count(shard: DataFrame, reached: Reached, turn: int) -> DataFrame:
+    """COUNTS of what is to be counted in a shard, of some texts at a time; length 0 has a language's words. Where only maps tell
+    what has reached LEAST, also the hashes of the parts."""
+    told, step, shards, parts = reached.told(), STEP_WORDS, SHARDS, reached.known is None
 
-
-def _parts_known(found: DataFrame, known: DataFrame, turn: int) -> DataFrame:
-    """Of the longer phrases those whose parts have reached LEAST, with the turn from which they count, if that cycle isn't over."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Lookup(told)
+        for lang, words in _sequences(batches, step):
+            for length, h, first, last, when in phrases(words, lang, look):
+                if length == 1 and turn >= shards:
+                    continue
+                if length == 1 and len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array(np.array([lang]).view(np.int64)), pa.array([0], pa.int8()), pa.array([len(h)], pa.int64()), *[pa.nulls(1, pa.int64())] * (2 * parts)], names)
+                if length > 1:  # what one of the last cycle is part of
+                    due = (_bit(look.lately[length - 2], first) | _bit(look.lately[length - 2], last)) if parts else when >= turn - shards
+                    h, first, last, when = h[due], first[due], last[due], when[due]
+                v, i, n = np.unique(h, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), length, np.int8)), pa.array(v.view(np.int64)), pa.array(when[i] + np.int8(1)), pa.array(n.astype(np.int64)), *[pa.array(x[i].view(np.int64)) for x in (first, last)[: 2 * parts]]], names)
+
+    names = ["length", "h", "begun", "n", *["first", "last"][: 2 * parts]]
+    return _by_language(shard).mapInArrow(run, COUNTS + (", first long, last long" if parts else ""))
+
+
+def _begun(found: DataFrame, known: DataFrame, turn: int) -> DataFrame:
+    """Of the longer phrases those whose parts have really reached LEAST, with the turn from which they count."""
+    found = found.groupBy("length", "h").agg(F.max("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     part = lambda name: known.select((F.col("length") + 1).cast("tinyint").alias("length"), F.col("h").alias(name), F.col("turn").alias(f"_{name}"))
     longer = found.where("length > 1").join(part("first"), ["length", "first"]).join(part("last"), ["length", "last"])
-    return longer.withColumn("begun", F.greatest("_first", "_last") + 1).where(F.col("begun") > turn - SHARDS).select("length", "h", "first", "last", "n", "begun")
+    longer = longer.withColumn("begun", (F.greatest("_first", "_last") + 1).cast("tinyint")).where(F.col("begun") > turn - SHARDS)
+    return found.where("length < 2").withColumn("begun", F.lit(0).cast("tinyint")).unionByName(longer.select(found.columns + ["begun"])).select("length", "h", "begun", "n")
+
+
+def _named(rows: DataFrame, finals: DataFrame, reached: Reached) -> DataFrame:
+    """(length, h, first, last, n) of ``finals``: one look at all shards for their parts, each once a task while their hashes are known."""
+    told, step = reached.told(), STEP_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Lookup(told)
+        seen = [np.zeros(len(h), bool) for h, _ in look.known] if look.known is not None else None
+        for lang, words in _sequences(batches, step):
+            for length, h, first, last, _ in phrases(words, lang, look):
+                at, _ = look.reached(length, h)
+                h, i = np.unique(h[at], return_index=True)
+                if seen is not None:
+                    place = look.place(length, h)
+                    new = ~seen[length - 1][place]
+                    seen[length - 1][place] = True
+                    h, i = h[new], i[new]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), length, np.int8)), *(pa.array(x.view(np.int64)) for x in (h, first[at][i], last[at][i]))], ["length", "h", "first", "last"])
+
+    # A phrase is told once a task, so there are no more tasks than the cluster can run, however many files there are.
+    few = _by_language(rows).coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(run, "length tinyint, h long, first long, last long").groupBy("length", "h").agg(F.max("first").alias("first"), F.max("last").alias("last"))
+    return finals.join(parts, ["length", "h"], "left")
 
 
 def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -203,35 +274,29 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     reached, turn, state, old = Reached(), 0, None, None
     news: list[str] = []
     ended: list[str] = []
-    none = F.lit(None).cast("long")
     while turn < SHARDS or reached.recent():
-        found = _count(rows.where(F.col("shard") == turn % SHARDS), reached, turn < SHARDS)
-        found = found.groupBy("length", "h").agg(F.max("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
-        begun = found.where("length < 2").withColumn("begun", F.lit(0))
-        if news:
-            begun = begun.unionByName(_parts_known(found, spark.read.schema(KEPT).parquet(*news), turn))
-        now = begun.withColumn("before", F.lit(0).cast("long"))
+        found = _count(rows.where(F.col("shard") == turn % SHARDS), reached, turn)
+        if reached.known is None:
+            found = _begun(found, spark.read.schema(KEPT).parquet(*news), turn)
+        found = found.select("length", "h", "begun", "n", F.lit(0).cast("long").alias("before"))
         if state is not None:
-            past = state.select("length", "h", none.alias("first"), none.alias("last"), "n", "begun", F.col("n").alias("before"))
-            now = now.unionByName(past).groupBy("length", "h").agg(F.max("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.max("begun").alias("begun"), F.sum("before").alias("before"))
-        # What has crossed LEAST in this turn keeps its parts; of the rest only counts are written.
-        fresh = ((F.col("n") >= LEAST) & (F.col("before") < LEAST)) | ((F.col("length") == 0) & (F.col("before") == 0))
+            found = found.unionByName(state.select("length", "h", "begun", "n", F.col("n").alias("before")))
+        found = found.groupBy("length", "h").agg(F.max("begun").alias("begun"), F.sum("n").alias("n"), F.sum("before").alias("before"))
+        # What can't change any more and hasn't reached LEAST isn't written.
+        over, often = F.col("begun") + SHARDS - 1 <= turn, (F.col("n") >= LEAST) | (F.col("length") == 0)
         here, new, end = scratch(spark), scratch(spark), scratch(spark)
-        now = saved(now.withColumn("fresh", fresh).select("length", "h", "begun", "n", "fresh", *(F.when(F.col("fresh"), F.col(c)).alias(c) for c in ("first", "last"))), here)
-        cells = saved(now.where("fresh").select("length", "h", "first", "last", F.lit(turn).alias("turn")), new)
+        fresh = (F.col("n") >= LEAST) & (F.col("before") < LEAST) & (F.col("length") > 0)
+        now = saved(found.where(~over | often).select("length", "h", "begun", "n", fresh.alias("fresh"), over.alias("over")), here)
+        reached.add(saved(now.where("fresh").select("length", "h", F.lit(turn).cast("tinyint").alias("turn")), new), turn)
         news.append(new)
-        cells = cells.where(f"length between 1 and {LONGEST - 1}").select("length", F.col("h").bitwiseAND(F.lit(BITS - 1).cast("long")).alias("c")).distinct().toArrow()  # BITS a length at most
-        level, c = cells["length"].to_numpy(), cells["c"].to_numpy()
-        reached.add([c[level == k + 1] for k in range(LONGEST)])
-        over = F.col("begun") + SHARDS - 1 <= turn
-        saved(now.where(over & ((F.col("n") >= LEAST) | (F.col("length") == 0))).select("length", "h", "n"), end)
+        saved(now.where(F.col("over") & often).select("length", "h", "n"), end)
         ended.append(end)
-        state = now.where(~over).select("length", "h", "begun", "n")
+        state = now.where("not over").select("length", "h", "begun", "n")
         if old:
             remove(spark, old)
         old, turn = here, turn + 1
     finals = spark.read.schema("length tinyint, h long, n long").parquet(*ended)
-    found = saved(finals.join(spark.read.schema(KEPT).parquet(*news).drop("turn"), ["length", "h"]))
+    found = saved(_named(rows.where(F.col("shard") >= 0), finals, reached))
     remove(spark, old, *news, *ended)
     return found, rows.where(F.col("shard") == -1).select("hash", "word"), rows.where(F.col("shard") >= 0).select("lang").distinct().withColumn("g", F.xxhash64("lang"))
 

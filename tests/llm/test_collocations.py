@@ -51,9 +51,9 @@ def made(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("least,shards,bits,step", [(8, 4, 1 << 22, 1_000_000), (5, 3, 64, 50), (12, 1, 1 << 12, 7)])
-def test_phrases_equal_plain_counting(spark, monkeypatch, least, shards, bits, step):
-    for name, value in (("LEAST", least), ("SHARDS", shards), ("BITS", bits), ("STEP_WORDS", step), ("TOP", 40)):
+@pytest.mark.parametrize("least,shards,bits,step,known", [(8, 4, 1 << 22, 1_000_000, 2_000_000), (5, 2, 64, 50, 3), (12, 1, 1 << 12, 7, 40)])
+def test_phrases_equal_plain_counting(spark, monkeypatch, least, shards, bits, step, known):
+    for name, value in (("LEAST", least), ("SHARDS", shards), ("BITS", bits), ("STEP_WORDS", step), ("KNOWN", known), ("TOP", 40)):
         monkeypatch.setattr(collocations, name, value)
     rows = made()
     df = spark.createDataFrame([(i, t, lang, 1, 2, "x") for i, t, lang in rows], SCHEMA).repartition(3)
