@@ -9,7 +9,7 @@ same answers from the columns that the lines were made from.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,7 +22,7 @@ from sawmill.operators import aggregate as agg
 from sawmill.operators import columns, facets
 from sawmill.operators import retrieve as get
 from sawmill.operators.normalize import is_json_log, normalize
-from sawmill.sources import files
+from sawmill.sources import files, retention
 from sawmill.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -548,6 +548,14 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(json_lines(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")))
 
 
+def _halves(spark: SparkSession, sf_dir: str, path: str) -> Iterator[DataFrame]:
+    """A stream of entries that has half of the events, and then the same stream with the other half."""
+    lines = json_lines(events(configure(spark), sf_dir))
+    for k in (0, 1):
+        lines.where(F.floor(F.col("seq") / 100) % 2 == k).write.mode("append").parquet(f"{path}/in")
+        yield normalize(spark.readStream.schema(lines.schema).parquet(f"{path}/in"))
+
+
 @query("t1_live_tail", E + TIERS + "e where level = 'error'")
 def _t1(spark, sf_dir):
     path = _scratch(spark)
@@ -603,6 +611,20 @@ def _t5(spark, sf_dir):
     return rows(agg.retain_last(entries(spark, sf_dir), 2500))
 
 
+@query("t5_retention_table", E + f"select seq, level, msg, tier from e where sec >= {START + 12 * DAY + 40_000} or (seq % 50 = 0 and sec >= {START + 12 * DAY + 36_000})")
+def _t5b(spark, sf_dir):
+    """Two cuts through one day, between them late rows of all times; what is replaced is deleted."""
+    path, df = _scratch(spark), entries(spark, sf_dir)
+    late = F.col("seq") % 50 == 0
+    files.write_table(df.where(~late), path)
+    retention.cut_before(spark, path, START + 12 * DAY + 36_000)
+    files.write_table(df.where(late & (F.col("ts") < START + 12 * DAY + 40_000)).withColumn("ts", F.col("ts") + 4_000), path)
+    retention.cut_before(spark, path, START + 12 * DAY + 40_000)
+    files.write_table(df.where(late & (F.col("ts") >= START + 12 * DAY + 40_000)), path)
+    retention.sweep(spark, path, 0)
+    return files.read_table(spark, path).select("seq", "level", "msg", paths.path_text("user.tier").alias("tier"))
+
+
 @query("t6_stream_histogram", E + f""", c as (select sec // 3600 * 3600 as t, {_classes('e')} group by 1), spine as (select unnest(generate_series((select min(t) from c), (select max(t) from c), 3600)) as t)
     select cast(t as bigint) as t, {', '.join(f'coalesce({c}, 0) as {c}' for c in agg.CLASS_NAMES)} from spine left join c using (t)""")
 def _t6(spark, sf_dir):
@@ -618,6 +640,15 @@ def _t7(spark, sf_dir):
     return live.read_facets(spark, f"{path}/out")
 
 
+@query("t7_top_facets", E + _LEAVES + "select path, value, n, rank from (select *, cast(row_number() over (partition by path order by n desc, value) as int) as rank from c) where rank <= 50")
+def _t7b(spark, sf_dir):
+    """Summaries of the batches of a stream name the values that are counted again."""
+    path = _scratch(spark)
+    for lines in _halves(spark, sf_dir, path):
+        live.stream_top_facets(lines, f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
+    return live.exact_top_facets(entries(spark, sf_dir), live.read_top_facets(spark, f"{path}/out"))
+
+
 @query("t8_stream_recommend", _RECOMMENDED + _RECOMMENDED_ROWS)
 def _t8(spark, sf_dir):
     path = _scratch(spark)
@@ -628,3 +659,14 @@ def _t8(spark, sf_dir):
 @query("t9_remove_source", E + ", x as (select * from e where source <> 'src1') select service as value, count(*) as n from x group by 1")
 def _t9(spark, sf_dir):
     return facets.facet_counts(agg.remove_source(entries(spark, sf_dir), "src1")).where("path = 'service'").select("value", "n")
+
+
+@query("t9_take_back", E.replace("from events)", "from events where not (user_id % 3 = 1 and event_id // 100 % 2 = 0))") + _LEAVES + "select path, value, n from c")
+def _t9b(spark, sf_dir):
+    """A source is taken back after the first half; what it sends in the second counts."""
+    path = _scratch(spark)
+    for k, lines in enumerate(_halves(spark, sf_dir, path)):
+        live.stream_source_facets(lines, f"{path}/out", f"{path}/cursor", once=True).awaitTermination()
+        if k == 0:
+            live.take_back(spark, f"{path}/out", "src1")
+    return live.read_source_facets(spark, f"{path}/out")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +12,11 @@ from sawmill.functions.predicates import time_window
 from sawmill.operators.retrieve import first_rows
 
 from .growing import growing
+from .retention import day_at, day_of, forget, kept_rows
 
 EXPORT_LIMIT, EXPORT_MOST = 100_000, 1_000_000
 #: Rows of an export that one task may sort.
 ONE_TASK = 10_000
-#: Times outside of these are kept with the first and the last day.
-FIRST_TS, LAST_TS, EPOCH = -2_208_988_800.0, 253_402_214_400.0, date(1970, 1, 1)
 EXPORTED = ("seq", "ts", "source_id", "source", "level", "service", "msg", "fields", "text", "ansi")
 
 
@@ -117,16 +114,13 @@ def selected(df: DataFrame, seqs: list[int] | DataFrame) -> DataFrame:
     return df.where(F.col("seq").isin(seqs)) if isinstance(seqs, list) else df.join(seqs.select("seq"), "seq", "left_semi")
 
 
-def day_of(ts: Column) -> Column:
-    """The day of a time in seconds, that rows of a table are kept by. It never falls as time rises, whatever the time."""
-    return F.to_date(F.timestamp_seconds(F.greatest(F.lit(FIRST_TS), F.least(F.lit(LAST_TS), ts))))
-
-
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
     """Entries as Parquet by day and source, each file in the order of time, so that windows skip days, files and row groups.
 
     Rows of a day and source are spread by Spark over as many tasks as they need, so a large source isn't one file.
     """
+    if mode == "overwrite":
+        forget(df.sparkSession, path)
     days = df.withColumn("date", day_of(F.col("ts")))
     days.hint("rebalance", "date", "source").sortWithinPartitions("date", "source", "ts").write.mode(mode).partitionBy("date", "source").parquet(path)
 
@@ -134,10 +128,9 @@ def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
 def read_table(spark: SparkSession, path: str, start: float = 0, end: float = 0) -> DataFrame:
     """The table, or its rows with ``ts`` from ``start`` up to ``end`` (0: open). The days that the window touches follow
     from it, so other folders aren't even listed; inside a day the order of time leaves few row groups to read."""
-    table = spark.read.parquet(path)
-    day = lambda at: F.lit(EPOCH + timedelta(days=math.floor(min(max(at, FIRST_TS), LAST_TS) / 86_400)))
+    table = kept_rows(spark, path)
     if start:
-        table = table.where(F.col("date") >= day(start))
+        table = table.where(F.col("date") >= F.lit(day_at(start)))
     if end:
-        table = table.where(F.col("date") <= day(end))
+        table = table.where(F.col("date") <= F.lit(day_at(end)))
     return table.where(time_window(start, end)) if start or end else table

@@ -12,13 +12,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sawmill.operators.aggregate import CLASS_NAMES, class_counts
 from sawmill.operators.columns import SAMPLE, recommend_columns
-from sawmill.operators.facets import DEPTH, facet_counts
+from sawmill.operators.facets import DEPTH, KEYS, TOP, facet_counts, facet_leaves, top_values
 from sawmill.operators.retrieve import tail_recent
 
 #: How often rows are delivered, and how often tables of partial results are added to.
 TRIGGER, TABLE_TRIGGER = "50 milliseconds", "10 seconds"
 #: Batches of partial results after which they are put together.
 COMPACT = 20
+#: Values of a path that a summary of live facets names, and its error: a count is off by at most ERROR / TRACKED of all.
+TRACKED, ERROR = 1_000, 3.5
 #: Seconds for which a source's rows are sampled.
 CLOSES = 30.0
 
@@ -102,6 +104,8 @@ HISTOGRAM = "t timestamp, " + ", ".join(f"{c} long" for c in CLASS_NAMES)
 FACETS = "path string, value string, n long"
 SAMPLED = "source string, n long, seq long, json string"
 RECOMMENDED = "source string, position int, `column` string, batch long"
+SOURCE_FACETS = f"source string, {FACETS}"
+SKETCHES = "path string, n long, sketch struct<sketch:binary,maxItemsTracked:int,itemDataType:string,itemDataTypeDDL:string>"
 RUNS = "source string, first long, last long, seen timestamp"
 #: Numbers of a range of a producer's rows.
 RANGE = 1_000_000
@@ -146,6 +150,86 @@ def read_facets(spark: SparkSession, path: str) -> DataFrame:
     return _summed(_read(spark, path, FACETS)).drop("batch")
 
 
+def _summed_by_source(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("source", "path", "value").agg(F.sum("n").alias("n"), F.max("batch").alias("batch"))
+
+
+def stream_source_facets(stream: DataFrame, path: str, checkpoint: str, once: bool = False, max_depth: int = DEPTH) -> StreamingQuery:
+    """``stream_facets`` with the counts of each source apart, so that ``take_back`` can remove a source without its rows."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        _add(facet_counts(batch, max_depth=max_depth, by=("source",)), batch_id, path, SOURCE_FACETS, _summed_by_source)
+
+    return _started(stream, each, checkpoint, once)
+
+
+def _taken(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """What has been taken back so far, as counts below zero, and how many times something was."""
+    _, times = _partial(spark, f"{path}-taken")
+    at = [f"{path}-taken/batch={times[-1]}"] if times else []
+    return (spark.read.schema(f"{SOURCE_FACETS}, batch long").parquet(*at) if at else spark.createDataFrame([], f"{SOURCE_FACETS}, batch long")), times[-1] + 1 if times else 0
+
+
+def take_back(spark: SparkSession, path: str, source: str) -> None:
+    """All that a source has counted so far is subtracted; what it sends later counts again, as that of a new source.
+
+    The subtracted counts are kept under ``path-taken``, as a whole each time, so the stream goes on meanwhile and its
+    table is never written by two; the last two are kept for readers. To be called by one process at a time.
+    """
+    taken, times = _taken(spark, path)
+    now = _summed_by_source(_read(spark, path, SOURCE_FACETS).unionByName(taken)).where(F.col("source").eqNullSafe(source) & (F.col("n") > 0))
+    both = taken.unionByName(now.withColumn("n", -F.col("n")))
+    _summed_by_source(both).withColumn("batch", F.lit(times).cast("long")).write.mode("overwrite").parquet(f"{path}-taken/batch={times}")
+    if times >= 2:
+        top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-taken/batch={times - 2}")
+        top.getFileSystem(spark._jsc.hadoopConfiguration()).delete(top, True)
+
+
+def read_source_facets(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value, n) of the sources that haven't been taken back, and of what those sent since."""
+    rows = _read(spark, path, SOURCE_FACETS).unionByName(_taken(spark, path)[0])
+    return rows.groupBy("path", "value").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
+
+
+def stream_top_facets(stream: DataFrame, path: str, checkpoint: str, tracked: int = TRACKED, once: bool = False, max_depth: int = DEPTH) -> StreamingQuery:
+    """A summary of the most frequent values of each path, of a size that doesn't grow with the values: one sketch a path
+    and batch, merged from time to time. A count is off by at most ``ERROR / tracked`` of the path's rows."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = facet_leaves(batch, max_depth=max_depth).groupBy("path")
+        _add(rows.agg(F.count("*").alias("n"), F.expr(f"approx_top_k_accumulate(value, {tracked})").alias("sketch")), batch_id, path, SKETCHES, lambda x: _merged(x, tracked))
+
+    return _started(stream, each, checkpoint, once)
+
+
+def _merged(rows: DataFrame, tracked: int) -> DataFrame:
+    return rows.groupBy("path").agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"), F.max("batch").alias("batch"))
+
+
+def read_top_facets(spark: SparkSession, path: str, tracked: int = TRACKED) -> DataFrame:
+    """(path, value, n, total, unsure): the values that the summary names with their estimated counts, how many rows have the path,
+    and the most that an estimate can be off. Every value that occurs more than twice ``unsure`` times is among them; a path
+    without such a value has one row with a null value."""
+    rows = _merged(_read(spark, path, SKETCHES), tracked).withColumn("x", F.expr(f"approx_top_k_estimate(sketch, {tracked})"))
+    found = rows.select("path", F.col("n").alias("total"), F.expr("inline_outer(x)"))
+    return found.select("path", F.col("item").alias("value"), F.col("count").alias("n"), "total", F.ceil(F.col("total") * ERROR / tracked).alias("unsure"))
+
+
+def exact_top_facets(table: DataFrame, live: DataFrame, top: int = TOP, keys: int = KEYS, max_depth: int = DEPTH) -> DataFrame:
+    """``facets`` of a table, helped by the summary ``live`` (what ``read_top_facets`` gives) of the same rows: exact, whatever it missed.
+
+    The values that it names are counted again in the table. A path is proven if its ``top``-th count is more than twice the
+    error, as no other value can then be among the first, or if the named values are all that it has. Of the other paths
+    all values are counted, as the batch operator does for every path.
+    """
+    totals = live.groupBy("path").agg(F.first("total").alias("total"), F.first("unsure").alias("unsure")).orderBy(F.desc("total"), "path").limit(keys)
+    leaves = facet_leaves(table, max_depth=max_depth)
+    named = leaves.join(live.select("path", "value"), ["path", "value"]).groupBy("path", "value").agg(F.count("*").alias("n"))
+    named = named.join(totals, "path").withColumn("rank", F.row_number().over(W.partitionBy("path").orderBy(F.desc("n"), "value")))
+    last = F.max(F.when(F.col("rank") == top, F.col("n")))
+    sure = named.groupBy("path").agg(F.coalesce(last > 2 * F.first("unsure"), F.lit(False)).alias("enough"), (F.sum("n") == F.first("total")).alias("whole")).where("enough or whole").select("path")
+    rest = leaves.join(totals.select("path").join(sure, "path", "left_anti"), "path").groupBy("path", "value").agg(F.count("*").alias("n"))
+    return top_values(named.where(F.col("rank") <= top).join(sure, "path").select("path", "value", "n").unionByName(rest), top, keys)
+
+
 def _first_rows(sample: int, batches: Iterator) -> Iterator:
     """Of each source the first rows of a task, so that a busy source sends no more than these."""
     import pandas as pd

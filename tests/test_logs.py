@@ -13,7 +13,7 @@ from sawmill.functions import predicates as p
 from sawmill.operators import aggregate, columns, facets, retrieve
 from sawmill.operators.normalize import is_json_log, normalize
 from sawmill.plans import checks
-from sawmill.sources import files, growing
+from sawmill.sources import files, growing, retention
 from sawmill.streaming import live
 
 NOW = dt.datetime(2026, 5, 26, 12, 0, 0)
@@ -420,3 +420,79 @@ def test_gap_on_resume(spark):
     table = spark.range(50, 60).select(F.col("id").alias("seq"))
     assert [tuple(r) for r in live.resume_gap(table, 40).collect()] == [(40, 50, 9)]
     assert live.resume_gap(table, 49).collect() == [] and live.resume_gap(table, 55).collect() == [] and live.resume_gap(table, 99).collect() == []
+
+
+def test_cuts_of_a_table(spark, tmp_path):
+    day, path = 86_400, f"file://{tmp_path}/t"
+    row = lambda d, s, m: {"ts": d * day + s, "msg": m, "a": m}
+    put = lambda *lines, **mode: files.write_table(entries_of(spark, list(lines)), path, **mode)
+    table = lambda: files.read_table(spark, path)
+    msgs = lambda t: sorted(r["msg"] for r in t.select("msg").collect())
+    assert retention.cut_before(spark, path, 5.0) == 0 and retention.sweep(spark, path, 0) == 0
+    put(*(row(d, s, f"{d}:{s}") for d in range(4) for s in (1, 2, 3)), "a line without a time")
+    opened = table()
+    everything = msgs(opened)
+    assert retention.cut_before(spark, path, 2 * day + 2) == 1
+    assert msgs(table()) == ["2:2", "2:3", "3:1", "3:2", "3:3", "a line without a time"]
+    assert retention.sweep(spark, path) == 0 and msgs(opened) == everything  # a reader of before the cut goes on
+    put(row(2, 1, "too late"), row(2, 9, "late"), row(0, 7, "far too late"))
+    assert msgs(table()) == ["2:2", "2:3", "3:1", "3:2", "3:3", "a line without a time", "late"]
+    assert retention.cut_before(spark, path, 2 * day) == 1  # back in time: nothing
+    halfway = table()
+    assert retention.cut_before(spark, path, 2 * day + 3) == 2
+    left = ["2:3", "3:1", "3:2", "3:3", "a line without a time", "late"]
+    assert msgs(table()) == left and msgs(halfway)[0] == "2:2"
+    assert retention.sweep(spark, path, 0) > 0 and msgs(table()) == left
+    assert not [d for d in (tmp_path / "t").glob("date=1970-01-0[12]")] and not list((tmp_path / "t" / "date=1970-01-03").rglob("*.parquet"))
+    assert [x.name for x in (tmp_path / "t-kept").iterdir() if x.is_dir()] == ["cut=2"]
+    put(row(2, 4, "2:4"))
+    shown = checks.plan(files.read_table(spark, path, 3 * day, 3 * day + 2))
+    assert "date" in next(x for x in shown.splitlines() if "PartitionFilters" in x)
+    assert msgs(files.read_table(spark, path, 2 * day, 3 * day + 2)) == ["2:3", "2:4", "3:1", "late"]
+    assert table().select(paths.path_text("a").alias("a")).where("a = 'late'").count() == 1
+    retention.cut_before(spark, path, 9 * day)
+    retention.sweep(spark, path, 0)
+    assert msgs(table()) == ["a line without a time"]
+    put(row(1, 1, "anew"), mode="overwrite")
+    assert msgs(table()) == ["anew"]
+
+
+def test_facets_taken_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT", 2)
+    path, schema = f"file://{tmp_path}", "source string, seq long, line string, ingest_ts timestamp"
+    kept, before = [], None
+    for turn in range(6):
+        rows = [(s, 10 * turn + i, json.dumps({"msg": f"m{i % 2}", "service": f"of {s}", "crew": str(turn)}), NOW) for i in range(3) for s in ("a", "b", "c")]
+        kept += rows
+        stream = normalize(stream_of(spark, f"{path}/in", rows, schema))
+        live.stream_source_facets(stream, f"{path}/f", f"{path}/c", once=True).awaitTermination()
+        for source in {1: ["a"], 2: ["b", "never seen"], 4: ["a", "b"]}.get(turn, []):
+            before = live.read_source_facets(spark, f"{path}/f"), len(kept)
+            live.take_back(spark, f"{path}/f", source)
+            kept = [r for r in kept if r[0] != source]
+        got = {(r["path"], r["value"], r["n"]) for r in live.read_source_facets(spark, f"{path}/f").collect()}
+        want = facets.facet_counts(normalize(spark.createDataFrame(kept, schema)))
+        assert got == {(r["path"], r["value"], r["n"]) for r in want.collect()}, turn
+    assert before[0].where("path = 'msg'").agg(F.sum("n")).first()[0] == before[1]  # a reader of before goes on
+
+
+def test_bounded_facets_are_made_exact(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT", 2)
+    path, schema = f"file://{tmp_path}", "source string, seq long, line string, ingest_ts timestamp"
+    draw, kept = random.Random(7), []
+    for turn in range(4):
+        lines = [{"msg": f"{turn}:{i}", "few": i % 3, "skewed": "often" if draw.random() < 0.6 else f"{draw.random()}", "flat": f"v{i % 90}"} for i in range(400)]
+        rows = [("s", 1000 * turn + i, json.dumps({**x, "level": "info"}), NOW) for i, x in enumerate(lines)]
+        kept += rows
+        live.stream_top_facets(normalize(stream_of(spark, f"{path}/in", rows, schema)), f"{path}/f", f"{path}/c", 16, once=True).awaitTermination()
+    named, table = live.read_top_facets(spark, f"{path}/f", 16), normalize(spark.createDataFrame(kept, schema))
+    rows = named.collect()
+    exact = {(r["path"], r["value"]): r["n"] for r in facets.facet_counts(table).collect()}
+    assert all(abs(r["n"] - exact[r["path"], r["value"]]) <= r["unsure"] for r in rows if r["value"] is not None)
+    assert {r["path"]: r["total"] for r in rows}["skewed"] == 1600 and {r["path"] for r in rows} == {p for p, _ in exact}
+    assert len(rows) <= 16 * len({r["path"] for r in rows}) and "often" in {r["value"] for r in rows}
+    assert {(p, v) for (p, v), n in exact.items() if n > 2 * 3.5 / 16 * 1600} <= {(r["path"], r["value"]) for r in rows}
+    for top in (1, 5, 50):
+        got = live.exact_top_facets(table, named, top=top).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, facets.facets(table, top=top).select("path", "value", "n", "rank").collect()))
+    assert {r["path"] for r in live.exact_top_facets(table, named, top=2, keys=3).collect()} == {r["path"] for r in facets.facets(table, top=2, keys=3).collect()}
