@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_CHARS, in_id_order, partitions, settled, steps, table, texts_of
+from .common import STEP_CHARS, in_id_order, partitions, saved, settled, steps, table, texts_of
 
 ROWS = 3
 #: log2 of the cells in a row of a stored fingerprint, and of the step after a failed peeling.
@@ -31,6 +31,7 @@ SIZE, LARGER = 3, 2
 #: each of a text's first words, which makes short texts comparable.
 CUT, LONGEST, BEGINNING = 4, 8, 8
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_paragraphs long, edited_differs_by long, next_differs_by long"
+COMPARED = "doc_id long, likeness double, added array<long>, removed array<long>"
 
 _U = np.uint64
 
@@ -129,6 +130,33 @@ class Sketches:
         c, k, s = (x.reshape(self.n, -1) for x in (self.count.astype("<i4"), self.keys.astype("<u8"), self.checks.astype("<u4")))
         return [base64.b64encode(np.array([m], "<u4").tobytes() + a.tobytes() + b.tobytes() + d.tobytes()).decode() for m, a, b, d in zip(n.tolist(), c, k, s)]
 
+    @classmethod
+    def read(cls, prints: list[str | None], size: int) -> tuple[Sketches, np.ndarray]:
+        """Sketches of 2**size cells a row from the strings of ``texts`` of as many cells or more, and the numbers of paragraphs.
+        No string is an empty text."""
+        out, n, of_size = cls(len(prints), size), np.zeros(len(prints), np.int64), {}
+        for i, p in enumerate(prints):
+            if p is not None:
+                of_size.setdefault(size_of(p), []).append(i)
+        for own, at in of_size.items():
+            cells, some = ROWS << own, cls(len(at), own)
+            raw = np.frombuffer(b"".join(base64.b64decode(prints[i]) for i in at), np.uint8).reshape(len(at), 4 + 16 * cells)
+            n[at], some.count = raw[:, :4].copy().view("<u4").ravel(), raw[:, 4 : 4 + 4 * cells].copy().view("<i4").ravel()
+            some.keys, some.checks = raw[:, 4 + 4 * cells : 4 + 12 * cells].copy().view("<u8").ravel(), raw[:, 4 + 12 * cells :].copy().view("<u4").ravel()
+            while some.size > size:
+                some = some.fold()
+            for mine, theirs in ((out.count, some.count), (out.keys, some.keys), (out.checks, some.checks)):
+                mine.reshape(out.n, -1)[at] = theirs.reshape(len(at), -1)
+        return out, n
+
+
+def size_of(fingerprint: str) -> int:
+    """log2 of the cells in a row of a fingerprint."""
+    cells, rest = divmod(len(fingerprint) // 4 * 3 - fingerprint[-2:].count("=") - 4, 16 * ROWS)
+    if rest or cells < 1 or cells & (cells - 1):
+        raise ValueError("not a fingerprint")
+    return cells.bit_length() - 1
+
 
 def _of(digest: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The digests of chosen texts, with the place of each text among those chosen."""
@@ -191,13 +219,16 @@ def _rows(ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
     )
 
 
-def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs and fingerprint of every row of ``docs`` (doc_id, text; others are ignored). Null is empty."""
+def fingerprint(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, n_paragraphs and fingerprint of every row of ``docs`` (doc_id, text; others are ignored). Null is empty.
+
+    With 2**size cells in each of three rows, versions that differ by about twice as many paragraphs can be told apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, chars=STEP_CHARS // 4):
             digest, n = digests(texts_of(batch))
-            sketches = Sketches(len(n), SIZE)
+            sketches = Sketches(len(n), size)
             sketches.add(np.repeat(np.arange(len(n)), n), digest)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sketches.texts(n), pa.string())], ["doc_id", "n_paragraphs", "fingerprint"])
 
@@ -221,15 +252,53 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
                 digest, n = digests(texts_of(batch) + texts_of(batch, "later"))
                 differ = differences(digest, n, np.arange(k), np.arange(k) + k, recovered=peeled)
                 owner, found, sign = (np.concatenate([x[i] for x in peeled]) for i in range(3))
-                sides = []
-                for s in (-1, 1):
-                    at, some = owner[sign == s], found[sign == s].astype(np.int64)
-                    some = some[np.lexsort((some, at))]
-                    sides.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=k))]).astype(np.int32)), pa.array(some)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(likeness(differ, n[:k], n[k:])), *sides], ["doc_id", "likeness", "added", "removed"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(likeness(differ, n[:k], n[k:])), *_sides(k, owner, found, sign)], ["doc_id", "likeness", "added", "removed"])
+
+    settled(old.sparkSession)
+    return both.mapInArrow(run, COMPARED)
+
+
+def _sides(k: int, owner: np.ndarray, found: np.ndarray, sign: np.ndarray) -> list[pa.ListArray]:
+    """What only the second has and what only the first has, as a list for each of k pairs."""
+    sides = []
+    for s in (-1, 1):
+        at, some = owner[sign == s], found[sign == s].astype(np.int64)
+        some = some[np.lexsort((some, at))]
+        sides.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=k))]).astype(np.int32)), pa.array(some)))
+    return sides
+
+
+def compare_stored(old: DataFrame, new: DataFrame, texts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """What ``compare`` gives, from two tables that ``fingerprint`` wrote (of sizes that may differ), without the texts.
+
+    A pair whose subtracted sketches don't peel has nulls. With ``texts``, the two tables of texts, those documents alone
+    are looked up there and their sketches are built larger. Documents of one table only are compared with an empty
+    text; rows without doc_id are left out; where doc_ids repeat, every old row of one meets every new one.
+    """
+    both = old.select(F.col("doc_id").cast("long"), "fingerprint").join(new.select(F.col("doc_id").cast("long"), F.col("fingerprint").alias("later")), "doc_id", "full_outer").where("doc_id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for wide in steps(batches, "fingerprint", STEP_CHARS // 4):
+            for batch in steps([wide], "later", STEP_CHARS // 4):
+                left, right = (batch.column(c).to_pylist() for c in ("fingerprint", "later"))
+                sizes = np.array([min((size_of(x) for x in pair if x is not None), default=SIZE) for pair in zip(left, right)])
+                for size in np.unique(sizes).tolist():
+                    at = np.flatnonzero(sizes == size)
+                    (a, n), (b, m) = (Sketches.read([side[i] for i in at], size) for side in (left, right))
+                    owner, found, sign, whole = a.minus(b).peel()
+                    like = likeness(np.bincount(owner, minlength=len(at)), n, m)
+                    sides = [pa.ListArray.from_arrays(x.offsets, x.values, mask=pa.array(~whole)) for x in _sides(len(at), owner, found, sign)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(like, mask=~whole), *sides], ["doc_id", "likeness", "added", "removed"])
 
     settled(old.sparkSession)
-    return both.mapInArrow(run, "doc_id long, likeness double, added array<long>, removed array<long>")
+    found = both.mapInArrow(run, COMPARED)
+    if texts is None:
+        return found
+    found = saved(found)
+    stuck = found.where("likeness is null").select("doc_id").distinct()
+    # All pairs of such a document are compared again, so those of its pairs that did peel aren't kept as well.
+    later = compare(*(t.select("doc_id", "text").join(stuck, "doc_id", "left_semi") for t in texts))
+    return found.join(stuck, "doc_id", "left_anti").unionByName(later)
 
 
 def fingerprint_versions(docs: DataFrame) -> DataFrame:

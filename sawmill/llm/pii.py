@@ -39,7 +39,9 @@ NEAR, REACH = 3, 80
 #: Standard deviations by which the lower bound lies under what is counted. With a term and a value of one
 #: text alone, the share passes GENERALISED from about 20 texts on; with another text of the term, from 6e8.
 DOUBT = 0.4
-GENERALISED, REMOVED = 0.95, 0.999
+#: A term all of whose texts have the value passes REMOVED from about 200 texts of the corpus on if it stands in
+#: four, from 540 if in three, from 4,400 if in two, and from 3 million if in one.
+GENERALISED, REMOVED = 0.95, 0.99
 TERM = r"[\p{L}\p{M}]++"
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 

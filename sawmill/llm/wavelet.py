@@ -65,6 +65,16 @@ class Plane:
         block = int(np.searchsorted(have, k, side="right")) - 1
         return block * BLOCK * 8 + int(np.flatnonzero(np.unpackbits(self.blocks[block]) == bit)[k - int(have[block])])
 
+    def select_all(self, bit: int, ks: np.ndarray, n: int) -> np.ndarray:
+        """The same of many, in ascending order: a block is unpacked once for all that lie in it."""
+        have = self.ones if bit else np.minimum(np.arange(len(self.ones)) * BLOCK * 8, n) - self.ones
+        blocks, out = np.searchsorted(have, ks, side="right") - 1, np.empty(len(ks), np.int64)
+        begins = np.flatnonzero(np.diff(blocks, prepend=-1))
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(ks)]):
+            block = int(blocks[begin])
+            out[begin:end] = block * BLOCK * 8 + np.flatnonzero(np.unpackbits(self.blocks[block]) == bit)[ks[begin:end] - have[block]]
+        return out
+
 
 class Packed(Sequence):
     """The blocks of a plane in a file; each is inflated when it is asked for, and the last one is kept."""
@@ -141,6 +151,17 @@ class WaveletMatrix:
             at = plane.select(1, at - zeros, self.n) if at >= zeros else plane.select(0, at, self.n)
         return at
 
+    def places(self, value: int) -> np.ndarray:
+        """Where all occurrences of ``value`` are, in order. They lie side by side after the last plane, and in one half of each
+        plane before, so they are taken up through the planes together."""
+        if value >> self.bits or value < 0:
+            return np.empty(0, np.int64)
+        at = np.arange(*self._range(value, self.n), dtype=np.int64)
+        for level, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
+            bit = value >> level & 1
+            at = plane.select_all(bit, at - zeros if bit else at, self.n)
+        return at
+
     def decode(self) -> np.ndarray:
         """The whole sequence, plane by plane from the last one up."""
         values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
@@ -274,15 +295,15 @@ def count_tokens(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
 
 
 def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
-    """doc_id and position in its document of every occurrence of a token in the shards at ``path``, by select."""
+    """doc_id and position in its document of every occurrence of a token in the shards at ``path``, by select of all of a shard at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("data"):
                 doc_ids, n, matrix = load(data.as_buffer())
-                ends, n_found = np.cumsum(n), matrix.rank(token, matrix.n)
-                for k in range(0, n_found, 10_000):
-                    at = np.array([matrix.select(token, i) for i in range(k, min(k + 10_000, n_found))], np.int64)
+                ends, places = np.cumsum(n), matrix.places(token)
+                for k in range(0, len(places), 10_000):
+                    at = places[k : k + 10_000]
                     doc = np.searchsorted(ends, at, side="right")
                     yield pa.RecordBatch.from_arrays([pa.array([doc_ids[i] for i in doc.tolist()], pa.int64()), pa.array(at - (ends - n)[doc])], ["doc_id", "position"])
 

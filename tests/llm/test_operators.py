@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with every awkward row."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -105,6 +106,25 @@ def test_versions_of_a_table(spark, empty):
     assert fingerprints.compare(empty, empty).collect() == [] and fingerprints.fingerprint(empty).collect() == []
 
 
+def test_stored_fingerprints_are_compared(spark, empty):
+    r = random.Random(17)
+    old = [(i, text_of(r, r.randint(0, 600))) for i in range(60)] + [(100, "only old"), (None, "nameless"), (102, None), (103, text_of(r, 90_000))]
+    new = [(i, t if i % 4 == 0 else " ".join(w for w in (t or "").split() if r.random() > (0.01, 0.05, 0.5)[i % 3])) for i, t in old[:60]] + [(101, "only new"), (102, ""), (103, old[-1][1] + " and more")]
+    new += [(0, "another row of it"), (5, text_of(r, 3_000))]
+    docs = [spark.createDataFrame(t, "doc_id long, text string, fingerprint int").drop("fingerprint") for t in ([(*x, 1) for x in old], [(*x, 1) for x in new])]
+    prints = [fingerprints.fingerprint(d, size) for d, size in zip(docs, (3, 5))]
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    exact = order(fingerprints.compare(*docs))
+    few = order(fingerprints.compare_stored(*prints))
+    stuck = {x[0] for x in few if x[1] is None}
+    assert 5 in stuck and 4 not in stuck and 103 not in stuck and all(x[2] is None and x[3] is None for x in few if x[1] is None)
+    assert [x for x in few if x[0] not in stuck] == [x for x in exact if x[0] not in stuck] and len(few) == len(exact)
+    assert order(fingerprints.compare_stored(*prints, docs)) == exact
+    assert fingerprints.compare_stored(*(fingerprints.fingerprint(empty) for _ in range(2)), (empty, empty)).collect() == []
+    with pytest.raises(ValueError, match="fingerprint"):
+        fingerprints.size_of("AAAA")
+
+
 def test_fingerprints_of_nothing(empty):
     assert fingerprints.fingerprint_versions(empty).collect() == []
 
@@ -159,7 +179,8 @@ def test_wavelet_matrix():
     for i in range(0, 5_000, 61):
         v = int(x[i])
         assert m.access(i) == v and m.rank(v, i) == (x[:i] == v).sum() and m.select(v, m.rank(v, i)) == i
-    assert m.rank(9_999_999, 10) == 0
+        assert (m.places(v) == np.flatnonzero(x == v)).all()
+    assert m.rank(9_999_999, 10) == 0 and len(m.places(9_999_999)) == len(m.places(700)) == len(m.places(-1)) == 0
     with pytest.raises(IndexError):
         m.select(int(x[0]), 5_000)
     with pytest.raises(ValueError, match="shard"):
@@ -179,6 +200,16 @@ def test_lookups_inflate_few_blocks(monkeypatch):
             before = sum(p.blocks.inflated for p in m.planes)
             assert m.rank(int(x[i]), i) == (x[:i] == x[i]).sum() and sum(p.blocks.inflated for p in m.planes) - before <= 2 * m.bits
             assert m.select(int(x[i]), m.rank(int(x[i]), i)) == i
+        for v in {0, 1, 2, top, top + 1}:
+            assert (m.places(v) == np.flatnonzero(x == v)).all()
+
+
+def test_all_places_of_a_token_at_once():
+    r = np.random.default_rng(3)
+    x = np.where(r.random(1_000_000) < 0.18, 17, r.integers(0, 50_000, 1_000_000)).astype(np.uint32)
+    m = wavelet.load(wavelet.dump([1], np.array([len(x)]), x))[2]
+    assert (m.places(17) == np.flatnonzero(x == 17)).all()
+    assert sum(p.blocks.inflated for p in m.planes) <= m.bits * (len(m.planes[0].blocks) + 2)  # each once, and two for the range
 
 
 def test_shards_hold_all_ids_in_order(spark, docs, monkeypatch):
@@ -420,6 +451,16 @@ def test_terms_that_give_a_value_away(spark):
     assert clean[60] is None and clean[61] == "" and clean[10] == table[4][1]
 
 
+def test_terms_of_many_texts_of_a_value_are_removed(spark):
+    table = [(i, f"note {i} about the clerk Zorblax write a.b@x.org soon") for i in range(5)] + [(9, "note about the clerk Grimwick write c.d@x.org soon")]
+    table += [(10 + i, f"the plain note {i} has words about the clerk and nothing soon, write") for i in range(240)]
+    share = {m: math.log(246 / m * m / (m + pii.DOUBT**2)) / math.log(247 / m) for m in (1, 5)}
+    assert pii.GENERALISED <= share[1] < pii.REMOVED <= share[5]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert clean[3] == "note 3 about the clerk  write [EMAIL] soon" and clean[9] == "note about the clerk [email term] write [EMAIL] soon"
+    assert all(clean[i] == t for i, t in table if i >= 10)
+
+
 def test_terms_beside_a_value_of_one_text(spark):
     table = [(0, "the clerk Zorblax write a.b@x.org soon about Grimwick, Zorblax"), (1, "the clerk write c.d@x.org soon about quintal")]
     table += [(10 + i, f"plain text {i} of the clerk and nothing soon, about a write") for i in range(120)] + [(200, "a quintal"), (201, table[0][1])]
@@ -443,8 +484,6 @@ def test_no_term_that_passes_is_left_uncounted(spark):
 
 def brute_terms(texts):
     """The disclosing terms of a corpus, by plain counting of its different texts."""
-    import math
-
     import regex
 
     texts = sorted(set(texts))
