@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .levels import ORDINALS, level_ord
 from .paths import path_num, path_text
+from .patterns import exponential
 
 _COMPARE = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__"}
 
@@ -99,12 +100,15 @@ def at_least(level: str) -> Column:
 
 def regex(path: str, pattern: str, flags: str = "") -> Column:
     """A match anywhere in the text. Only the flag ``i`` is known; the pattern is checked before any plan is
-    built, and look-around and back-references, which the common syntax lacks, are refused."""
+    built. Look-around and back-references, which the common syntax lacks, are refused, and so are patterns that may
+    take time exponential in a text's length (``patterns.exponential``)."""
     if set(flags) - {"i"}:
         raise ValueError(f"unknown flags {flags!r}")
     if re.search(r"\(\?(?:[=!]|<[=!])|\(\?P=|\\[1-9]", pattern):
         raise ValueError("look-around and back-references are not supported")
     compiled = re.compile(pattern)
+    if exponential(pattern, bool(flags)):
+        raise ValueError(f"{pattern!r} may take time exponential in a text's length: a loop in it reads one text in two ways")
     found = path_text(path)
     match = _known(found, found.rlike(("(?i)" if flags else "") + pattern.replace("(?P<", "(?<")))
     return match | found.isNull() if compiled.search("") else match

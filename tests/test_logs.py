@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sawmill.functions import levels, paths, text
+from sawmill.functions import levels, paths, patterns, text
 from sawmill.functions import predicates as p
 from sawmill.operators import aggregate, columns, facets, retrieve
 from sawmill.operators.normalize import is_json_log, normalize
@@ -71,6 +71,25 @@ def test_bad_patterns_are_refused():
             p.regex("msg", pattern, flags)
 
 
+EXPONENTIAL = [
+    r"^(a+)+$", r"(a*)*b", r"^(a|a)*$", r"^(a|aa)+$", r"^(\w|\d)+$", r"^(a|[ab])*$", r"(a|b|a)*!", r"(a?b?)*c", r"((x?|y?)a)*!", r"((a*)?b)*!", r"(x(a?)*y)*!", r"^([a-z]+\s*)+$", r"^(.*)*$", r"(\d+,?)+;",
+    r"([^,]*,?)*;", r"(\w+\s?){1,50}:", r"^(([a-z])+.)+[A-Z]([a-z])+$", r"(?i)^(a|A)*$", r"^(?:a|b|ab)*c", r"(?s)^(.|\n)*x", r"(\[|[[|])*x",
+]
+PLAIN = [
+    "", "^$", "error|warn", r"^parcel 1[78]", r"\d{1,3}(\.\d{1,3}){3}", r"^(\w+\s)+$", r"(foo|foobar)*$", r"[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}", ".*error.*timeout.*", "a*a*b", r"(GET|POST|PUT) /(\w+/)*\w*$",
+    r'"([^"\\]|\\.)*"$', r"^(?:[a-z]+\.)+com$", r"\[|\]|(?P<x>a|b)+$", "(?s)^(.)*x", "(ab|cd)*ef", r"(\w+\s?){3}:", "x{1000}", r"^(.|\n)*x", "^(a|A)*$", "(a+)+", "^(a+)+",
+]
+
+
+def test_patterns_of_exponential_time_are_refused():
+    assert [x for x in EXPONENTIAL if not patterns.exponential(x)] == []
+    assert [x for x in PLAIN if patterns.exponential(x)] == []
+    assert patterns.exponential("^(a|A)*$", ignore_case=True)
+    for pattern, flags in ((r"^(a+)+$", ""), ("^(a|A)*$", "i"), ("a++", ""), ("(?>a)", "")):
+        with pytest.raises(ValueError):
+            p.regex("msg", pattern, flags)
+
+
 def test_dots_and_punctuation(spark):
     df = entries_of(spark, [{"msg": "belt (7) <halted>", "code": "BELT.STOP/7", "w.x": 1, "w": {"y": 2.0}}, {"msg": "gate ==> yard", "code": "OK"}, {"msg": "load is 90%", "n": 1e3, "t": True, "z": None}])
     want = [(p.eq("code", "BELT.STOP/7"), 1), (p.msg_contains("(7) <"), 1), (p.msg_contains("==>"), 1), (~p.msg_contains("load"), 2), (p.eq("w.x", "1"), 1), (p.eq("w.y", "2"), 1), (p.eq("n", "1000"), 1), (p.eq("t", "true"), 1), (p.exists("z"), 0), (p.glob("msg", "*90%*"), 1), (p.glob("msg", "*90_*"), 0)]
