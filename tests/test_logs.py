@@ -1,9 +1,11 @@
 """Functions and operators of the log library on small tables with known answers."""
 
 import datetime as dt
+import itertools
 import json
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +75,7 @@ def test_bad_patterns_are_refused():
 
 EXPONENTIAL = [
     r"^(a+)+$", r"(a*)*b", r"^(a|a)*$", r"^(a|aa)+$", r"^(\w|\d)+$", r"^(a|[ab])*$", r"(a|b|a)*!", r"(a?b?)*c", r"((x?|y?)a)*!", r"((a*)?b)*!", r"(x(a?)*y)*!", r"^([a-z]+\s*)+$", r"^(.*)*$", r"(\d+,?)+;",
-    r"([^,]*,?)*;", r"(\w+\s?){1,50}:", r"^(([a-z])+.)+[A-Z]([a-z])+$", r"(?i)^(a|A)*$", r"^(?:a|b|ab)*c", r"(?s)^(.|\n)*x", r"(\[|[[|])*x",
+    r"([^,]*,?)*;", r"(\w+\s?){1,50}:", r"^(([a-z])+.)+[A-Z]([a-z])+$", r"(?i)^(a|A)*$", r"^(?:a|b|ab)*c", r"(?s)^(.|\n)*x", r"(\[|[\[|])*x",
 ]
 PLAIN = [
     "", "^$", "error|warn", r"^parcel 1[78]", r"\d{1,3}(\.\d{1,3}){3}", r"^(\w+\s)+$", r"(foo|foobar)*$", r"[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}", ".*error.*timeout.*", "a*a*b", r"(GET|POST|PUT) /(\w+/)*\w*$",
@@ -90,6 +92,55 @@ def test_patterns_of_exponential_time_are_refused():
             p.regex("msg", pattern, flags)
 
 
+def _ways(items, text, at, tried):
+    """Places after a row of a pattern's items, each with the ways to it from the places ``at``; counts every character tried on the way."""
+    for kind, arg in items:
+        if kind is patterns.op.LITERAL:
+            tried[0] += sum(at.values())
+            at = Counter({b + 1: n for b, n in at.items() if text[b : b + 1] == chr(arg)})
+        elif kind is patterns.op.SUBPATTERN:
+            at = _ways(arg[3], text, at, tried)
+        elif kind is patterns.op.BRANCH:
+            at = sum((_ways(x, text, at, tried) for x in arg[1]), Counter())
+        else:
+            done, todo = Counter() if arg[0] else Counter(at), Counter(at)
+            while todo:
+                b = min(todo)
+                n, inner = todo.pop(b), [0]
+                for e, m in _ways(arg[2], text, Counter({b: 1}), inner).items():
+                    done[e] += n * m
+                    if e > b:  # a turn that reads nothing is the last
+                        todo[e] += n * m
+                tried[0] += n * inner[0]
+            at = done
+    return at
+
+
+def test_patterns_against_counted_ways():
+    draw = random.Random(11)
+
+    def made(depth):
+        if depth == 0:
+            return draw.choice("ab")
+        x, y = made(depth - 1), made(draw.randrange(depth))
+        return draw.choice([f"{x}{y}", f"({x}|(){y})", f"({x})*", f"({x})+", f"{x}{y}"])
+
+    texts = [h + "".join(w) * 32 for h in ("", "a", "b", "ab", "ba") for n in (1, 2, 3, 4) for w in itertools.product("ab", repeat=n)]
+    seen = Counter()
+    for _ in range(40):
+        pattern = f"({made(2)})*!"
+        growth = 0
+        for x in texts:
+            short, long = [0], [0]
+            _ways(patterns._parser.parse(pattern)[:-1], x[:16], Counter({0: 1}), short)
+            _ways(patterns._parser.parse(pattern)[:-1], x[:32], Counter({0: 1}), long)
+            growth = max(growth, long[0] / max(1, short[0]))
+        # Twice the text: a power of it is at most 8 times the work for patterns as small as these.
+        assert patterns.exponential(pattern) == (growth > 12), (pattern, growth)
+        seen[growth > 12] += 1
+    assert min(seen.values()) > 5
+
+
 def test_dots_and_punctuation(spark):
     df = entries_of(spark, [{"msg": "belt (7) <halted>", "code": "BELT.STOP/7", "w.x": 1, "w": {"y": 2.0}}, {"msg": "gate ==> yard", "code": "OK"}, {"msg": "load is 90%", "n": 1e3, "t": True, "z": None}])
     want = [(p.eq("code", "BELT.STOP/7"), 1), (p.msg_contains("(7) <"), 1), (p.msg_contains("==>"), 1), (~p.msg_contains("load"), 2), (p.eq("w.x", "1"), 1), (p.eq("w.y", "2"), 1), (p.eq("n", "1000"), 1), (p.eq("t", "true"), 1), (p.exists("z"), 0), (p.glob("msg", "*90%*"), 1), (p.glob("msg", "*90_*"), 0)]
