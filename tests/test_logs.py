@@ -231,6 +231,14 @@ def test_diff(spark):
     assert {(r["path"], r["left_value"], r["right_value"]) for r in got} == {("x.y", "1", "2"), ("x.z", "[1,2]", ""), ("w", "", "new")}
 
 
+def test_differences_of_many_pairs_broadcast_nothing(spark, tmp_path):
+    entries_of(spark, [{"ts": i, "msg": f"m{i // 2}"} for i in range(40)]).select("seq", "fields").write.parquet(f"{tmp_path}/rows")
+    spark.range(39).selectExpr("id as left", "id + 1 as right").write.parquet(f"{tmp_path}/pairs")
+    found = retrieve.diff_rows(spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/pairs"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert Counter(r["path"] for r in found.collect()) == {"ts": 39, "msg": 19}
+
+
 def test_facets(spark, parcels):
     counts = facets.facet_counts(parcels)
     assert {(r["value"], r["n"]) for r in counts.where("path = 'service'").collect()} == {("belt/east", 1), ("belt/west", 1), ("gate", 2), ("desk", 1)}
