@@ -44,6 +44,12 @@ def test_query(spark, con, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+def test_an_export_of_a_part_says_how_many_rows_there_are(spark, monkeypatch):
+    monkeypatch.setattr(queries.files, "EXPORT_MOST", 100)
+    got = queries.QUERIES["s5_export_all"](spark, DATA).select("seq", "n").collect()
+    assert sorted(map(tuple, got)) == [(seq, 1000) for seq in range(100)]
+
+
 def test_stands_without_the_training_data_operators(tmp_path):
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copy(f"{repo}/__spark_entry__.py", tmp_path)
