@@ -50,6 +50,10 @@ def test_an_export_of_a_part_says_how_many_rows_there_are(spark, monkeypatch):
     assert sorted(map(tuple, got)) == [(seq, 1000) for seq in range(100)]
 
 
+def test_lines_are_made_by_several_tasks_whatever_the_file(spark):
+    assert queries.json_lines(queries.events(spark, DATA)).rdd.getNumPartitions() > 1
+
+
 def test_stands_without_the_training_data_operators(tmp_path):
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copy(f"{repo}/__spark_entry__.py", tmp_path)
