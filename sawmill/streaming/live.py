@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sawmill import shared_folder
 from sawmill.operators.aggregate import CLASS_NAMES, class_counts
 from sawmill.operators.columns import SAMPLE, recommend_columns
 from sawmill.operators.facets import DEPTH, KEYS, TOP, facet_counts, facet_leaves, top_values
@@ -222,7 +224,10 @@ def exact_top_facets(table: DataFrame, live: DataFrame, top: int = TOP, keys: in
     """
     totals = live.groupBy("path").agg(F.first("total").alias("total"), F.first("unsure").alias("unsure")).orderBy(F.desc("total"), "path").limit(keys)
     leaves = facet_leaves(table, max_depth=max_depth)
+    # At most so many values a path as a summary tracks: written down, so that the table isn't read again at every use.
     named = leaves.join(live.select("path", "value"), ["path", "value"]).groupBy("path", "value").agg(F.count("*").alias("n"))
+    named.write.parquet(at := f"{shared_folder(table.sparkSession)}/named-{uuid.uuid4().hex}")
+    named = table.sparkSession.read.schema(named.schema).parquet(at)
     named = named.join(totals, "path").withColumn("rank", F.row_number().over(W.partitionBy("path").orderBy(F.desc("n"), "value")))
     last = F.max(F.when(F.col("rank") == top, F.col("n")))
     sure = named.groupBy("path").agg(F.coalesce(last > 2 * F.first("unsure"), F.lit(False)).alias("enough"), (F.sum("n") == F.first("total")).alias("whole")).where("enough or whole").select("path")
