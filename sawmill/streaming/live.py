@@ -290,12 +290,31 @@ def read_recommended(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECOMMENDED).parquet(path).select("source", "position", "column")
 
 
+def _joined_runs(rows: DataFrame) -> DataFrame:
+    """Runs of a producer's numbers (first, last, the time of the latest row) put together where they touch or overlap, each
+    with ``after``, the highest number before it, if there is one.
+
+    Runs are looked at in ranges of numbers, so that a producer isn't one task; of a range only how far it reaches and how
+    many runs begin in it is handed on to the next ones.
+    """
+    earlier = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+
+    def with_earlier(df: DataFrame, each: Column, before: Callable[[str], Column], name: str) -> DataFrame:
+        ranges = df.groupBy(F.col("source").alias("of"), F.col("_range").alias("range")).agg(each.alias("each")).withColumnRenamed("of", "source")
+        ranges = ranges.withColumn(name, before("each").over(earlier)).withColumnRenamed("source", "of").drop("each")
+        return df.join(ranges, F.col("source").eqNullSafe(F.col("of")) & (F.col("_range") == F.col("range"))).drop("of", "range")
+
+    ranged = with_earlier(rows.withColumn("_range", F.floor(F.col("first") / RANGE)), F.max("last"), F.max, "_reached")
+    order = W.partitionBy("source", "_range").orderBy("first", "last")
+    marked = ranged.withColumn("after", F.greatest(F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)), "_reached"))
+    marked = marked.withColumn("_new", F.when(F.col("first") <= F.col("after") + 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    counted = with_earlier(marked, F.sum("_new"), F.sum, "_begun").withColumn("_run", F.col("_run") + F.coalesce("_begun", F.lit(0)))
+    after = F.max(F.when(F.col("_new") == 1, F.col("after"))).alias("after")
+    return counted.groupBy("source", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("seen").alias("seen"), F.max("batch").alias("batch"), after).drop("_run")
+
+
 def _runs(rows: DataFrame) -> DataFrame:
-    """Runs of a producer's numbers (first, last, the time of the latest row) put together where they touch or overlap."""
-    order = W.partitionBy("source").orderBy("first", "last")
-    reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(F.col("first") <= reach + 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    return marked.groupBy("source", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("seen").alias("seen"), F.max("batch").alias("batch")).drop("_run")
+    return _joined_runs(rows).drop("after")
 
 
 def stream_gaps(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -318,8 +337,7 @@ def stream_gaps(stream: DataFrame, path: str, checkpoint: str, once: bool = Fals
 def read_gaps(spark: SparkSession, path: str, settled: float = 0) -> DataFrame:
     """(source, after_seq, before_seq, n_missing) as ``detect_gaps`` gives them for all rows so far. With ``settled``, only gaps
     that are final: those whose next run has had no row for so many seconds, after which late rows are no longer expected."""
-    runs = _runs(_read(spark, path, RUNS))
-    found = runs.withColumn("after_seq", F.lag("last").over(W.partitionBy("source").orderBy("first"))).where(F.col("after_seq").isNotNull())
+    found = _joined_runs(_read(spark, path, RUNS)).withColumnRenamed("after", "after_seq").where(F.col("after_seq").isNotNull())
     if settled:
         found = found.where(F.col("seen") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(settled))))
     return found.select("source", "after_seq", F.col("first").alias("before_seq"), (F.col("first") - F.col("after_seq") - 1).alias("n_missing"))

@@ -231,6 +231,40 @@ def test_diff(spark):
     assert {(r["path"], r["left_value"], r["right_value"]) for r in got} == {("x.y", "1", "2"), ("x.z", "[1,2]", ""), ("w", "", "new")}
 
 
+def test_exact_facets_scan_the_table_once_more_for_what_the_summary_leaves_open(spark, tmp_path):
+    entries_of(spark, [{"ts": i, "msg": "same"} for i in range(60)]).select("fields", "service", "level").write.parquet(f"{tmp_path}/table")
+    summary = spark.createDataFrame([("msg", "same", 60, 60, 1), ("ts", None, None, 60, 1)], "path string, value string, n long, total long, unsure long")
+    found = live.exact_top_facets(spark.read.parquet(f"{tmp_path}/table"), summary, top=2)
+    assert sum("Relation" in line and "fields#" in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
+    assert sorted(map(tuple, found.collect())) == [("msg", "same", 60, 1), ("ts", "0", 1, 1), ("ts", "1", 1, 2)]
+
+
+@pytest.mark.parametrize("size", [5, 40, 1_000])
+def test_runs_are_joined_across_ranges(spark, monkeypatch, size):
+    monkeypatch.setattr(live, "RANGE", size)
+    rnd = random.Random(size)
+    rows = [(source, a, a + rnd.choice([0, 0, 1, 3, 60]), 1, 0) for source in ("a", "b", None) for a in rnd.sample(range(-50, 600), 90)]
+    df = spark.createDataFrame(rows, "source string, first long, last long, seen long, batch long").withColumn("seen", F.timestamp_seconds("seen"))
+    want = []
+    for source in ("a", "b", None):
+        runs: list[list] = []
+        for _, first, last, *_ in sorted((r for r in rows if r[0] == source), key=lambda r: r[1:3]):
+            if runs and first <= runs[-1][1] + 1:
+                runs[-1][1] = max(runs[-1][1], last)
+            else:
+                runs.append([first, last, runs[-1][1] if runs else None])
+        want += [(source, *r) for r in runs]
+    found = live._joined_runs(df)
+    assert sorted(map(tuple, found.select("source", "first", "last", "after").collect()), key=repr) == sorted(want, key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window" in line and "last" in line and "_range" not in line]
+
+
+def test_a_text_is_computed_once_however_often_it_is_used(spark):
+    tall = spark.range(1).select(F.try_parse_json(F.lit("{}")).alias("fields")).select(paths.path_text("a").alias("a"))
+    assert tall._jdf.queryExecution().analyzed().toString().count(", StringType, false") == 1
+
+
 def test_differences_of_many_pairs_broadcast_nothing(spark, tmp_path):
     entries_of(spark, [{"ts": i, "msg": f"m{i // 2}"} for i in range(40)]).select("seq", "fields").write.parquet(f"{tmp_path}/rows")
     spark.range(39).selectExpr("id as left", "id + 1 as right").write.parquet(f"{tmp_path}/pairs")
