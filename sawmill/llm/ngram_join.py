@@ -9,7 +9,8 @@ Texts with equal shingle sets are one class, joined once. Between classes:
   too, for heavy partners.
 
 The boundary is the size from which listing subsets costs more rows than scanning.
-Texts are cut into shingles once; the sets are written down and read from there.
+No set is written down, as it takes more room than its text: texts are cut into shingles
+once to count them and once for the lists, and those of candidates when they are compared.
 
 A group of near copies is never paired off. In turns, each list compares its members
 with one of them, its pivot, which the lists of one group mostly share; what links becomes
@@ -28,10 +29,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import guarded, remove, saved, scratch, steps, table, texts_of
+from .common import guarded, marked, marks, remove, saved, scratch, steps, table, texts_of
 from .components import components
 from .words import STEP_BYTES, U, Words, mix
 
@@ -86,12 +87,12 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from steps([batch], chars=STEP_BYTES)
 
 
-SURVEY = "doc_id long, key long, n long, sig array<long>, shingles binary, is_doc boolean"
+SURVEY = "doc_id long, key long, n long, sig array<long>, mark long, is_doc boolean"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a document (its class, set size and signature, and its set where the task meets the class for the
-    first time in a while), and rows of shingles that repeat within a block."""
+    """A row a document (its class and set size, and the signature and the text's mark where the task meets the class
+    for the first time in a while), and rows of shingles that repeat within a block."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     size, names = 0, [c.split()[0] for c in SURVEY.split(", ")]
@@ -100,44 +101,53 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, n = np.unique(np.concatenate([np.empty(0, U), *held]), return_counts=True)
         tokens, n = tokens[n > 1], n[n > 1]
         k = len(n)
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.array(np.zeros(k, bool))], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.array(np.zeros(k, bool))], names)
 
     for batch in _small(batches):
-        keys, sizes, signs, data = [], [], [], []
-        for _, s in sets(batch):
+        keys, sizes, signs, marks = [], [], [], []
+        for (_, s), mark in zip(sets(batch), batch.column("mark").to_pylist()):
             c = class_of(s) if len(s) else None
             keys.append(c)
             sizes.append(len(s))
             first = bool(len(s)) and c not in seen
             signs.append(signature(s) if first else None)
-            data.append(s.tobytes() if first else None)
+            marks.append(mark if first else None)
             if first:
                 seen.add(c)
                 held.append(s)
                 size += len(s)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(data, pa.binary()), pa.array(np.ones(len(sizes), bool))], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(marks, pa.int64()), pa.array(np.ones(len(sizes), bool))], names)
         if size > BLOCK:
             yield repeated()
             seen, held, size = set(), [], 0
     yield repeated()
 
 
-def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, shingles) of the rows of a batch of saved sets."""
-    for c, data in zip(batch.column("class").to_pylist(), batch.column("shingles")):
-        yield c, np.frombuffer(data.as_buffer(), U)
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(class, shingles) of the texts of each step, of a class where the task meets it for the first time in a while."""
+    seen: set[int] = set()
+    size = 0
+    for batch in _small(batches):
+        got = []
+        for _, s in sets(batch):
+            if len(s) and (c := class_of(s)) not in seen:
+                seen.add(c)
+                got.append((c, s))
+                size += len(s)
+        yield got
+        if size > BLOCK:
+            seen, size = set(), 0
 
 
-def _listed(frequent, light: int, shared=None):
-    """Rows (token, class, size and place): the lists in which each class stands, of shared cells only if given."""
+def _listed(frequent, light: int):
+    """Rows (token, class, size and place): the lists in which each class stands."""
     least_listed = -(-(light + 1) * PERCENT[1] // PERCENT[0])  # a light set that may link with a heavy one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = frequent.value
-        cells = shared.value if shared else None
-        for batch in batches:
+        for step in _classes(batches):
             tokens, classes, places = [], [], []
-            for c, s in _sets_of(batch):
+            for c, s in step:
                 n = len(s)
                 got = []
                 if n > light or n >= least_listed:
@@ -150,9 +160,6 @@ def _listed(frequent, light: int, shared=None):
                     subsets = np.array(list(combinations(np.sort(s), SUBSET)), U)
                     got.append((mix(mix(subsets).sum(1, dtype=U) + U(SUBSET)), np.zeros(len(subsets), np.int64)))
                 for t, place in got:
-                    if cells is not None:
-                        keep = in_map(cells, t)
-                        t, place = t[keep], place[keep]
                     tokens.append(t)
                     places.append((n << 32) + place)
                     classes.append(np.full(len(t), c, np.int64))
@@ -191,17 +198,18 @@ def in_map(cells: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (cells[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
 
 
-def sets_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, shingles) of the classes of ``wanted``, once each, from the saved sets. A few other classes may come
-    along, which no join asks for; only these sets are shuffled."""
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, shingles) of the classes of ``wanted`` (class, mark), once each, from the texts that have their marks.
+    A few other classes may come along, which no join asks for; only these texts are cut and these sets shuffled."""
     cells = cell_map(wanted, "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = list(_sets_of(batch.filter(pa.array(in_map(cells.value, batch.column("class").to_numpy())))))
+        for step in _classes(batches):
+            asked = in_map(cells.value, np.array([c for c, _ in step], np.int64))
+            got = [x for x, ask in zip(step, asked) if ask]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64()))], ["class", "shingles"])
 
-    return sets.mapInArrow(run, "class long, shingles array<long>").groupBy("class").agg(F.first("shingles").alias("shingles"))
+    return texts.where(marked(marks(wanted, "mark"), F.col("mark"))).select("text").mapInArrow(run, "class long, shingles array<long>").groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
 def linked(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -213,7 +221,8 @@ def linked(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, class (of equal sets), n, name (of the component: its least class) and component_id (its least
-    doc_id, if any row of it has one) for every row of ``docs``; without shingles the last four are null, 0, null, null."""
+    doc_id, if any row of it has one) for every row of ``docs``; without shingles the last four are null, 0, null, null.
+    ``docs`` is read several times, and must give the same rows each time."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     paths: list[str] = []  # of tables that go when the result is written down
 
@@ -221,10 +230,9 @@ def grouped(docs: DataFrame) -> DataFrame:
         paths.append(scratch(spark))
         return saved(df, paths[-1])
 
-    survey = kept(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_survey, SURVEY))
+    texts = docs.select("text", F.xxhash64("text").alias("mark"))
+    survey = kept(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(_survey, SURVEY))
     documents = survey.where("is_doc").select("doc_id", F.col("key").alias("class"), "n")
-    # A class that several tasks met has its set several times, which no count below depends on.
-    sets = survey.where("shingles is not null").select(F.col("key").alias("class"), "shingles")
 
     often = survey.where("not is_doc").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()  # a fixed number
     hot = np.array([r["key"] for r in often], np.int64).astype(U)
@@ -235,11 +243,12 @@ def grouped(docs: DataFrame) -> DataFrame:
     small = {r["n"]: r["count"] for r in documents.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
     light = boundary(small, float((count.astype(float) ** 2).sum() / max(total, 1)))
 
-    postings = sets.mapInArrow(_listed(frequent, light), LISTED)
-    lists = kept(postings.groupBy("token").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot < last").select("token", "pivot"))
-    cells = cell_map(lists, "token")
-    members = kept(sets.mapInArrow(_listed(frequent, light, cells), LISTED).distinct().join(lists, "token").select("token", "pivot", "class", F.shiftright("size_place", 32).alias("n"), F.col("size_place").bitwiseAND(0xFFFFFFFF).alias("place")))
-    signs = kept(survey.where("sig is not null").groupBy(F.col("key").alias("class")).agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
+    # Postings are shuffled once, by token. A class that several tasks met stands in its lists several times until here.
+    postings = texts.select("text").mapInArrow(_listed(frequent, light), LISTED)
+    of_token = Window.partitionBy("token")
+    shared = postings.select("*", F.min("class").over(of_token).alias("pivot"), F.max("class").over(of_token).alias("last")).where("pivot < last")
+    members = kept(shared.select("token", "pivot", "class", F.shiftright("size_place", 32).alias("n"), F.col("size_place").bitwiseAND(0xFFFFFFFF).alias("place")).distinct())
+    signs = kept(survey.where("sig is not null").groupBy(F.col("key").alias("class")).agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("mark").alias("mark")))
 
     # Sizes and places in a list bound what two sets can have in common; the list of their first common shingle lets linked ones pass.
     may = (F.least("n1", "n2") * PERCENT[0] >= F.greatest("n1", "n2") * PERCENT[1]) & (F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) * (PERCENT[0] + PERCENT[1]) >= (F.col("n1") + F.col("n2")) * PERCENT[1])
@@ -259,7 +268,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     def link(candidates: DataFrame) -> None:
         nonlocal names
         candidates = kept(candidates)
-        shingles = saved(sets_of(sets, kept(candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct())), path := scratch(spark))
+        wanted = kept(candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(signs.select("class", "mark"), "class"))
+        shingles = saved(sets_of(texts, wanted), path := scratch(spark))
         edges = kept(linked(candidates, shingles).distinct())
         remove(spark, path)
         names = kept(components(edges if names is None else edges.union(names.where("node <> component").select("component", "node"))))

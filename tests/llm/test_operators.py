@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -393,6 +394,23 @@ def test_groups_of_many_small_and_chained_sets(spark):
     assert got == brute_groups(table)
 
 
+def test_groups_write_less_than_their_texts(spark, monkeypatch):
+    r = random.Random(5)
+    table = [(i, " ".join(f"w{r.randint(0, 9999)}" for _ in range(400))) for i in range(200)]
+    table += [(200 + i, table[i][1] + " and more") for i in range(20)] + [(300 + i, table[i][1].upper()) for i in range(20)]
+    sizes, save = [], ngram_join.saved
+
+    def measured(df, path=None):
+        out = save(df, path)
+        sizes.append(sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "saved", measured)
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.similar_groups(spark.createDataFrame(table, "doc_id long, text string")).collect())
+    assert got == brute_groups(table)
+    assert max(sizes) < sum(len(t) for _, t in table) / 3
+
+
 def test_one_of_each_group_stays(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
