@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sawmill.functions.paths import ALIASES, explode_paths, path_text
+from sawmill.functions.paths import ALIASES, explode_paths, once, path_text
 from sawmill.functions.text import looks_like_id
 
 RAW_FROM = 16_384
 PRESENT, AT_LEAST, ROWS = 0.5, 32, 64
 LONG = 256
+SHARES = 1024
 SAMPLE, DISTINCT, LENGTH, LONGEST95, DEPTH, TOP = 150, 64, 256, 120, 2, 9
 # Logical columns that come first, in this order.
 FIRST = ("ts", "level", "msg", "service", "caller")
@@ -87,12 +88,25 @@ def _quoted(key):
 
 
 def restore_values(facts: DataFrame, payloads: DataFrame, key: str = "seq") -> DataFrame:
-    """``fields`` again, from facts and payloads: values meet their payloads by digest, then a row's parts come together by its key."""
-    parts = facts.where(F.col("parts").isNotNull()).select(key, F.posexplode_outer("parts").alias("place", "part")).select(key, "place", "part.*")
-    texts = parts.join(payloads.select("digest", "payload"), "digest", "left").select(key, F.struct("place", F.concat("key", F.lit(":"), F.coalesce("json", "payload")).alias("text")).alias("at"))
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["text"]), ",")
-    whole = texts.groupBy(key).agg(F.parse_json(F.concat(F.lit("{"), listed, F.lit("}"))).alias("fields"))
-    return facts.join(whole, key, "left").drop("parts")
+    """``fields`` again, from facts and payloads: digests meet their payloads, which go back to their rows by key.
+
+    Spark takes payloads for far smaller than they are, behind all that makes them from lines, so they are never broadcast.
+    A payload that has more than one SHARES-th of all uses is dealt to as many tasks as that takes; only the digests of those,
+    fewer than SHARES, are broadcast. Rows without a key get no fields.
+    """
+    # Every use below asks for the same columns and rows of this, so it is made once.
+    named = payloads.select(F.unhex("digest").alias("digest"), "payload", "n_uses").where("digest is not null and payload is not null")
+    share = named.agg(F.sum("n_uses") / F.lit(SHARES)).scalar()
+    known = named.withColumn("n", F.greatest(F.ceil(F.col("n_uses") / share), F.lit(1)).cast("int"))
+    frequent = F.broadcast(known.where("n > 1").select("digest", "n"))
+    facts = facts.withColumn("parts", F.transform("parts", lambda x: x.withField("digest", F.unhex(x["digest"]))))
+    wanted = facts.select(key, F.explode_outer(F.col("parts.digest")).alias("digest")).where("digest is not null").join(frequent, "digest", "left")
+    wanted = wanted.select(key, "digest", F.coalesce(F.pmod(F.xxhash64(key), "n"), F.lit(0)).cast("int").alias("turn"))
+    dealt = known.select("digest", "payload", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("turn"))
+    found = wanted.hint("merge").join(dealt, ["digest", "turn"]).groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("digest", "payload"))).alias("_found"))
+    rows = facts.hint("merge").join(found, key, "left")
+    texts = F.transform("parts", lambda x: F.concat(x["key"], F.lit(":"), F.coalesce(x["json"], F.col("_found")[x["digest"]])))
+    return once(rows, fields=F.when(F.col(key).isNotNull(), F.parse_json(F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))))).drop("parts", "_found")
 
 
 def recommend_columns(df: DataFrame, sample: int = SAMPLE, per: str = "source") -> DataFrame:

@@ -497,6 +497,25 @@ def test_values_of_any_type_are_shared(spark):
     assert uses == {"1": 4, '{"c":[1,{"d":null}]}': 3, json.dumps(long): 4, "true": 3, "null": 3, "2.5": 3, "{}": 3, "[]": 3}
 
 
+@pytest.mark.parametrize("shares", [1024, 3])
+def test_restoring_values_broadcasts_no_payloads(spark, tmp_path, monkeypatch, shares):
+    monkeypatch.setattr(columns, "SHARES", shares, raising=False)
+    lines = [{"msg": f"m{i}", "a": True, "b": i % 2, "c": {"d": [i]}} for i in range(60)] + [{"msg": "none"}, "plain text"]
+    df = entries_of(spark, lines)
+    for name, part in zip(("facts", "payloads"), columns.share_values(df)):
+        part.write.parquet(f"{tmp_path}/{name}")
+    whole = columns.restore_values(*(spark.read.parquet(f"{tmp_path}/{name}") for name in ("facts", "payloads"))).select("seq", F.to_json("fields").alias("j"))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 2  # digests of frequent payloads only
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, df.select("seq", F.to_json("fields").alias("j")).collect()))
+
+
+def test_rows_with_one_key_keep_their_own_values(spark):
+    df = entries_of(spark, [{"msg": f"m{i}", "a": i, "b": True} for i in range(3)]).withColumn("seq", F.lit(7))
+    whole = columns.restore_values(*columns.share_values(df)).select("msg", F.to_json("fields").alias("j"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, df.select("msg", F.to_json("fields").alias("j")).collect()))
+
+
 def test_partial_results_are_put_together(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(live, "COMPACT", 2)
     path = f"file://{tmp_path}"
